@@ -1,0 +1,27 @@
+"""Joins of a large table with a lookup that is usually, but not provably, small."""
+
+from pyspark.sql import functions as F
+
+# A lookup row here holds an id and at most a few hundred bytes, so this stays far below
+# what a driver and an executor can hold.
+BROADCAST_ROWS = 200_000
+SALTS = 32
+
+
+def join_lookup(large, lookup, on, how="inner", max_rows=BROADCAST_ROWS, salts=SALTS):
+    """Join ``large`` with a ``lookup`` that is unique on ``on``.
+
+    The lookup is counted (never further than ``max_rows``): small ones are broadcast, so
+    ``large`` is not shuffled. Larger ones are joined by shuffle with every key of ``large``
+    spread over ``salts`` tasks, because one key may hold a large share of its rows.
+    """
+    if how not in ("inner", "left", "left_semi"):
+        raise ValueError(f"unsupported join type {how}")
+    keys = [on] if isinstance(on, str) else list(on)
+    if lookup.limit(max_rows + 1).count() <= max_rows:
+        return large.join(F.broadcast(lookup), keys, how)
+    salted = large.withColumn(
+        "_salt", F.pmod(F.xxhash64(*large.columns), F.lit(salts)).cast("int")
+    )
+    copies = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return salted.join(copies, [*keys, "_salt"], how).drop("_salt")

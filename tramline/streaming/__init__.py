@@ -1,0 +1,5 @@
+"""No streaming job is needed: every input is a finished feed snapshot or one JSON export.
+
+The row-wise functions (typing, labels, position normalisation) hold no state, so they
+apply unchanged to a streaming DataFrame.
+"""
