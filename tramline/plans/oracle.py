@@ -1,6 +1,8 @@
 """DuckDB twins of the registered queries, written as plain row-level SQL."""
 
-from .sql_parts import compose
+from .oracle_quality import quality_twins
+from .params import NOW
+from .sql_parts import REPORT_RANGE, compose, cte
 
 SELECTS = {}
 
@@ -77,5 +79,290 @@ twin("gold_row_counts", """
     UNION ALL SELECT 'coverage_daily', count(*) FROM q_coverage""")
 
 
+# Reports over the KPI tables ---------------------------------------------------------------
+twin("overview_kpi", f"""
+    SELECT CAST((SELECT sum(trip_instances) FROM q_gold_days WHERE {REPORT_RANGE}) AS BIGINT) AS trips,
+           CAST(sum(regular_known_departures) AS BIGINT) AS departures,
+           CAST(sum(regular_events) AS BIGINT) AS regular_events,
+           CAST(sum(total_events) AS BIGINT) AS total_events,
+           CAST(sum(missing_departures) AS BIGINT) AS missing_departures,
+           CAST(sum(no_pickup_events) AS BIGINT) AS no_pickup_events,
+           CAST(sum(on_request_events) AS BIGINT) AS on_request_events,
+           CAST(sum(approximate_regular_departures) AS BIGINT) AS approximate_departures,
+           count(*) FILTER (WHERE calendar_covered) AS covered_days, count(*) AS requested_days,
+           CASE WHEN bool_or(calendar_covered) THEN (
+               SELECT count(DISTINCT route_id) FROM q_gold_routes
+               WHERE {REPORT_RANGE} AND trip_count > 0) END AS active_routes,
+           CASE WHEN bool_or(calendar_covered) THEN (
+               SELECT count(DISTINCT stop_id) FROM q_gold_span WHERE {REPORT_RANGE}) END AS served_stops,
+           (SELECT count(*) FROM g_stops) AS catalog_stops
+    FROM q_coverage WHERE {REPORT_RANGE}""")
+twin("top_routes", f"""
+    SELECT r.route_id, c.route_short_name, CAST(sum(r.trip_count) AS BIGINT) AS trips
+    FROM q_gold_routes r JOIN g_routes c ON c.route_id = r.route_id WHERE {REPORT_RANGE}
+    GROUP BY 1, 2 ORDER BY trips DESC NULLS LAST, r.route_id LIMIT 20""")
+twin("top_stops", f"""
+    SELECT r.stop_id, c.stop_name, CAST(sum(r.regular_known_departures) AS BIGINT) AS departures
+    FROM q_gold_stops r JOIN g_stops c ON c.stop_id = r.stop_id WHERE {REPORT_RANGE}
+    GROUP BY 1, 2 ORDER BY departures DESC NULLS LAST, r.stop_id LIMIT 20""")
+_HOURS = f"""
+    SELECT service_hour, CAST(sum(departure_count) AS BIGINT) AS departures
+    FROM q_gold_hourly WHERE {REPORT_RANGE} GROUP BY 1"""
+twin("hourly_profile", _HOURS)
+twin("hourly_top200", f"SELECT * FROM ({_HOURS}) h ORDER BY departures DESC, service_hour LIMIT 200")
+twin("bounded_fetch", _HOURS)
+twin("coverage_view", f"""
+    SELECT service_date, calendar_covered, total_events, known_arrivals, missing_arrivals,
+           known_departures, missing_departures, regular_events, regular_known_departures,
+           regular_missing_departures, no_pickup_events, on_request_events,
+           approximate_regular_departures, {rounded("known_regular_departure_ratio")}
+    FROM q_coverage WHERE {REPORT_RANGE}""")
+twin("filter_routes", "SELECT route_id, route_short_name, route_long_name FROM g_routes")
+twin("filter_stops", f"""
+    SELECT DISTINCT s.route_id, s.stop_id, c.stop_name FROM q_gold_span s
+    JOIN g_stops c ON c.stop_id = s.stop_id WHERE {REPORT_RANGE}""")
+twin("filter_directions", f"""
+    SELECT DISTINCT route_id, stop_id, direction_id FROM q_gold_span WHERE {REPORT_RANGE}""")
+twin("direction_predicate", " UNION ALL ".join(f"""
+    SELECT '{choice}' AS choice, count(*) AS group_rows,
+           CAST(sum(observation_count) AS BIGINT) AS departures
+    FROM q_gold_span WHERE {REPORT_RANGE} AND {rule}""" for choice, rule in (
+        ("ALL", "true"), ("NULL", "direction_id IS NULL"), ("0", "direction_id = 0"),
+        ("1", "direction_id = 1"))))
+twin("group_daily", f"""
+    SELECT d.service_date, g.route_id, g.stop_id, d.calendar_covered,
+           CASE WHEN d.calendar_covered THEN CAST(coalesce(sum(observation_count), 0) AS BIGINT) END
+               AS departures,
+           CASE WHEN d.calendar_covered THEN CAST(coalesce(sum(regular_event_count), 0) AS BIGINT) END
+               AS regular_events,
+           CASE WHEN d.calendar_covered
+                THEN CAST(coalesce(sum(missing_regular_departures), 0) AS BIGINT) END AS missing,
+           CASE WHEN d.calendar_covered
+                THEN CAST(coalesce(sum(approximate_departures), 0) AS BIGINT) END AS approximate,
+           min(first_departure_seconds) AS first_seconds, max(last_departure_seconds) AS last_seconds
+    FROM (SELECT DISTINCT route_id, stop_id FROM q_gold_span WHERE {REPORT_RANGE}) g
+    CROSS JOIN (SELECT * FROM q_days WHERE {REPORT_RANGE}) d
+    LEFT JOIN q_gold_span s ON s.service_date = d.service_date AND s.route_id = g.route_id
+        AND s.stop_id = g.stop_id
+    GROUP BY 1, 2, 3, 4""")
+twin("group_hourly", f"""
+    SELECT route_id, stop_id, service_hour, CAST(sum(departure_count) AS BIGINT) AS departures
+    FROM q_gold_hourly WHERE {REPORT_RANGE} GROUP BY 1, 2, 3""")
+twin("group_headways", f"""
+    SELECT service_date, route_id, stop_id, direction_id, departure_count, interval_count,
+           {rounded("avg_seconds", "median_seconds", "p90_seconds")}
+    FROM q_gold_headways WHERE {REPORT_RANGE}""")
+twin("span_headway_join", f"""
+    SELECT s.service_date, s.route_id, s.stop_id, s.direction_id, first_departure_seconds,
+           last_departure_seconds, observation_count, regular_event_count,
+           missing_regular_departures, interval_count, {rounded("median_seconds", "p90_seconds")}
+    FROM q_gold_span s JOIN q_gold_headways h ON h.service_date = s.service_date
+        AND h.route_id = s.route_id AND h.stop_id = s.stop_id
+        AND h.direction_id IS NOT DISTINCT FROM s.direction_id""")
+twin("period_event_totals", f"""
+    SELECT CAST(sum(total_events) AS BIGINT) AS visits,
+           CAST(sum(regular_known_departures) AS BIGINT) AS regular_departures,
+           CAST(sum(no_pickup_events) AS BIGINT) AS no_pickup,
+           CAST(sum(on_request_events) AS BIGINT) AS on_request,
+           CAST(sum(missing_departures) AS BIGINT) AS missing_departures
+    FROM q_coverage WHERE {REPORT_RANGE}""")
+twin("shape_counts", "SELECT count(*) AS points, count(DISTINCT shape_id) AS shapes FROM g_shapes")
+
+# Trip explorer -----------------------------------------------------------------------------
+cte("q_explorer_routes", """
+    SELECT r.route_id, r.agency_id, a.agency_name, r.route_short_name, r.route_long_name, r.route_type
+    FROM g_routes r JOIN g_agency a ON a._agency_key = r._agency_key""")
+cte("q_positions_of_visits", """
+    SELECT *, row_number() OVER (PARTITION BY trip_id ORDER BY stop_sequence) AS position
+    FROM g_stop_times""")
+cte("q_patterns", """
+    SELECT trip_id, count(*) AS visits,
+           (array_agg(coalesce(departure_seconds, arrival_seconds) ORDER BY stop_sequence))[1]
+               AS start_seconds,
+           (array_agg(coalesce(arrival_seconds, departure_seconds) ORDER BY stop_sequence DESC))[1]
+               AS end_seconds,
+           bit_xor(CAST(concat('0x', substr(md5(concat(position, ':', stop_id)), 1, 15)) AS BIGINT))
+               AS low,
+           bit_xor(CAST(concat('0x', substr(md5(concat(position, ':', stop_id)), 16, 15)) AS BIGINT))
+               AS high
+    FROM q_positions_of_visits GROUP BY 1""")
+
+
+def _marked(value):
+    return f"coalesce('=' || CAST({value} AS VARCHAR), '-')"
+
+
+_PARTS = ("t.direction_id", "t.trip_headsign", "x.shape_id", "x.variant_id",
+          "(p.visits || ':' || p.low || ':' || p.high)")
+cte("q_extras", """
+    SELECT trip_id, extra_fields->>'shape_id' AS shape_id, extra_fields->>'variant_id' AS variant_id,
+           extra_fields->>'vehicle_id' AS vehicle_id, extra_fields->>'brigade_id' AS brigade_id
+    FROM g_trips""")
+cte("q_trips", f"""
+    SELECT t.trip_id, t.route_id, t.service_id, t.direction_id, t.trip_headsign,
+           nullif(x.shape_id, '') AS shape_id, nullif(x.variant_id, '') AS source_variant_id,
+           x.vehicle_id AS scheduled_vehicle_type_id, x.brigade_id AS scheduled_brigade_id,
+           p.start_seconds, p.end_seconds,
+           md5({" || '|' || ".join(_marked(part) for part in _PARTS)}) AS variant_key
+    FROM g_trips t JOIN q_extras x ON x.trip_id = t.trip_id
+    LEFT JOIN q_patterns p ON p.trip_id = t.trip_id""")
+cte("q_active", """
+    SELECT * FROM q_trips WHERE service_id IN (SELECT service_id FROM q_services_day)""")
+cte("q_visits", """
+    SELECT s.*, c.stop_name, c.stop_lat, c.stop_lon, c.location_type
+    FROM g_stop_times s JOIN g_stops c ON c.stop_id = s.stop_id
+    WHERE EXISTS (SELECT 1 FROM g_trips t WHERE t.trip_id = s.trip_id
+                  AND t.service_id IN (SELECT service_id FROM q_services_day))""")
+
+twin("explorer_views_routes", "SELECT * FROM q_explorer_routes")
+twin("explorer_views_stops", """
+    SELECT stop_id, stop_name, stop_lat, stop_lon, location_type FROM g_stops""")
+twin("explorer_views_calendar", "SELECT * FROM g_calendar")
+twin("explorer_views_calendar_dates", "SELECT * FROM g_calendar_dates")
+twin("explorer_views_stop_times", "SELECT * FROM g_stop_times")
+twin("extra_field_get", """
+    SELECT trip_id, nullif(shape_id, '') AS shape_id, nullif(variant_id, '') AS source_variant_id,
+           vehicle_id, brigade_id FROM q_extras""")
+twin("trip_patterns", "SELECT * FROM q_trips")
+twin("active_services_on_day", "SELECT service_id FROM q_services_day")
+twin("day_in_envelope", """
+    SELECT d.service_date, CASE WHEN NOT calendar_covered THEN 'outside-calendar-envelope'
+           WHEN d.service_date NOT IN (SELECT service_date FROM q_services) THEN 'no-service'
+           ELSE 'within-calendar-envelope' END AS day_state FROM q_days d""")
+twin("explorer_routes", "SELECT * FROM q_explorer_routes")
+
+
+def _clock(seconds):
+    return (
+        f"CASE WHEN {seconds} IS NULL THEN 'Brak czasu' ELSE printf('%02d:%02d:%02d', "
+        f"{seconds} // 3600, ({seconds} // 60) % 60, {seconds} % 60) END"
+    )
+
+
+_MODE = """CASE WHEN route_type IN (0, 900, 901, 902, 903, 904, 905, 906, 907) THEN 'Tramwaj'
+    WHEN route_type IN (3, 800) OR route_type BETWEEN 700 AND 716 THEN 'Autobus'
+    ELSE 'Inny transport' END"""
+_BOARDING = """CASE pickup_type WHEN 0 THEN 'Regularne' WHEN 1 THEN 'Bez wsiadania'
+    WHEN 2 THEN 'Na żądanie telefoniczne' WHEN 3 THEN 'Na żądanie' END"""
+_TIME_KIND = "CASE WHEN timepoint <> 0 THEN 'Dokładny' ELSE 'Przybliżony' END"
+cte("q_named", f"""
+    SELECT *, coalesce(nullif(route_short_name, ''), nullif(route_long_name, ''), 'Bez oznaczenia')
+               AS main_name, {_MODE} AS transport
+    FROM q_explorer_routes""")
+cte("q_labelled", """
+    SELECT * EXCLUDE (main_name), main_name || ' · ' || transport ||
+           CASE WHEN count(*) OVER (PARTITION BY main_name) > 1
+                THEN ' · ' || agency_name || ' · agency_id=' || coalesce(agency_id, 'None')
+                     || ' · route_id=' || route_id ELSE '' END AS route_label
+    FROM q_named""")
+twin("route_label", "SELECT * EXCLUDE (transport) FROM q_labelled")
+twin("route_search", """
+    SELECT * EXCLUDE (transport) FROM q_labelled WHERE transport = 'Autobus'
+        AND contains(lower(route_label || ' ' || route_long_name), lower('R#00000012'))
+    UNION ALL
+    SELECT * EXCLUDE (transport) FROM q_labelled WHERE transport = 'Tramwaj'
+        AND contains(lower(route_label || ' ' || route_long_name), lower('TRAM'))""")
+twin("active_routes", "SELECT DISTINCT route_id FROM q_active")
+twin("variants", """
+    SELECT route_id, variant_key, trip_headsign, direction_id, shape_id, source_variant_id,
+           count(*) AS trip_count, min(start_seconds) AS first_seconds
+    FROM q_active GROUP BY 1, 2, 3, 4, 5, 6""")
+twin("variant_trips", "SELECT * FROM q_active")
+twin("trip_visits", "SELECT * FROM q_visits")
+twin("trip_geometry", """
+    SELECT * FROM g_shapes WHERE shape_id IN (SELECT shape_id FROM q_active)""")
+twin("stop_departures", """
+    SELECT s.trip_id, s.stop_id, s.stop_sequence, s.arrival_seconds, s.departure_seconds,
+           s.pickup_type, s.timepoint, t.route_id, t.trip_headsign, t.direction_id, t.variant_key
+    FROM g_stop_times s JOIN q_active t ON t.trip_id = s.trip_id""")
+twin("first_known_departure", f"""
+    SELECT *, {_clock("first_seconds")} AS first_time FROM (
+        SELECT t.route_id, s.stop_id, count(*) AS visits, min(s.departure_seconds) AS first_seconds
+        FROM g_stop_times s JOIN q_active t ON t.trip_id = s.trip_id GROUP BY 1, 2) firsts""")
+twin("timetable_view", f"""
+    SELECT trip_id, stop_sequence, stop_name, stop_id, {_clock("arrival_seconds")} AS arrival,
+           {_clock("departure_seconds")} AS departure, {_BOARDING} AS boarding,
+           {_TIME_KIND} AS time_kind FROM q_visits""")
+twin("stop_markers", """
+    SELECT trip_id, stop_id, stop_lat AS latitude, stop_lon AS longitude,
+           stop_name || chr(10) || 'stop_id=' || stop_id AS label,
+           stop_id = '0000000005' AS selected
+    FROM (SELECT *, row_number() OVER (PARTITION BY trip_id, stop_id ORDER BY stop_sequence DESC) AS n
+          FROM q_visits WHERE stop_lat IS NOT NULL AND stop_lon IS NOT NULL) ranked WHERE n = 1""")
+twin("trip_summary", """
+    SELECT trip_id, (array_agg(stop_name ORDER BY stop_sequence))[1] AS first_stop,
+           (array_agg(stop_name ORDER BY stop_sequence DESC))[1] AS last_stop, count(*) AS visits
+    FROM q_visits GROUP BY 1""")
+
+# Labels ------------------------------------------------------------------------------------
+twin("service_hour", """
+    SELECT trip_id, stop_sequence, departure_seconds // 3600 AS service_hour FROM g_stop_times
+    WHERE departure_seconds IS NOT NULL""")
+twin("format_service_time", f"""
+    SELECT trip_id, stop_sequence, {_clock("arrival_seconds")} AS arrival,
+           {_clock("(departure_seconds * 1000)")} AS long_time FROM g_stop_times""")
+twin("format_percent", """
+    SELECT service_date, route_id, stop_id, direction_id,
+           CASE WHEN regular_event_count = 0 THEN 'Nieokreślone' ELSE
+               printf('%.1f%%', 100 * CAST(observation_count AS DOUBLE) / regular_event_count) END
+               AS known FROM q_gold_span""")
+twin("transport_mode", f"SELECT route_id, {_MODE} AS transport FROM g_routes")
+twin("boarding_timepoint_label", f"""
+    SELECT trip_id, stop_sequence, {_BOARDING} AS boarding, {_TIME_KIND} AS time_kind
+    FROM g_stop_times""")
+twin("iso_weekday_flag", """
+    SELECT service_id, service_date, CASE extract(isodow FROM service_date) WHEN 1 THEN monday
+           WHEN 2 THEN tuesday WHEN 3 THEN wednesday WHEN 4 THEN thursday WHEN 5 THEN friday
+           WHEN 6 THEN saturday ELSE sunday END AS flag
+    FROM (SELECT *, CAST(unnest(generate_series(CAST(start_date AS TIMESTAMP),
+                    CAST(end_date AS TIMESTAMP), INTERVAL 1 DAY)) AS DATE) AS service_date
+          FROM g_calendar) days""")
+
+# Vehicle observations ----------------------------------------------------------------------
+cte("q_numbers", """
+    SELECT *, CASE WHEN isfinite(lat) THEN lat END AS lat_ok, CASE WHEN isfinite(lon) THEN lon END AS lon_ok
+    FROM (SELECT *, TRY_CAST(replace(latitude, ',', '.') AS DOUBLE) AS lat,
+                 TRY_CAST(replace(longitude, ',', '.') AS DOUBLE) AS lon FROM r_positions) n""")
+cte("q_checked", f"""
+    SELECT *, coalesce(lat_ok BETWEEN -90 AND 90 AND lon_ok BETWEEN -180 AND 180
+                       AND NOT (lat_ok = 0 AND lon_ok = 0), false) AS usable,
+           CASE WHEN measured_at LIKE '%+00:00' OR measured_at LIKE '%+02:00' THEN
+               epoch(TIMESTAMP '{NOW:%Y-%m-%d %H:%M:%S}')
+               - epoch(CAST(replace(substr(measured_at, 1, 19), 'T', ' ') AS TIMESTAMP))
+               + CASE WHEN measured_at LIKE '%+02:00' THEN 7200 ELSE 0 END END AS age
+    FROM q_numbers""")
+cte("q_duplicates", """
+    SELECT coalesce(vehicle_id, 'None') AS vehicle_id, count(*) AS observations
+    FROM r_positions GROUP BY 1 HAVING count(*) > 1""")
+cte("q_observed_vehicles", """
+    SELECT observation_id, CASE WHEN line = '' THEN 'Niepodana' ELSE line END AS line,
+           coalesce(vehicle_id, 'Niepodany') AS vehicle_id, lat_ok AS latitude, lon_ok AS longitude,
+           measured_at, CAST(age AS DOUBLE) AS age_seconds,
+           CASE WHEN age IS NULL THEN 'Niepotwierdzony czas / strefa'
+                WHEN age < -60 THEN 'Czas w przyszłości' WHEN age > 600 THEN 'Stara obserwacja'
+                ELSE 'Niedawna obserwacja' END AS state,
+           coalesce(vehicle_id, 'Niepodany') IN (SELECT d.vehicle_id FROM q_duplicates d) AS duplicate_id
+    FROM q_checked WHERE usable""")
+twin("normalize_positions", f"""
+    SELECT * EXCLUDE (latitude, longitude, age_seconds),
+           {rounded("latitude", "longitude", "age_seconds")} FROM q_observed_vehicles""")
+twin("position_freshness", """
+    SELECT state, count(*) AS observations, round(min(age_seconds), 6) AS youngest,
+           round(max(age_seconds), 6) AS oldest FROM q_observed_vehicles GROUP BY 1""")
+twin("position_labels", """
+    SELECT observation_id, 'Linia ' || line || ' · pojazd ' || vehicle_id || chr(10) || measured_at
+           || chr(10) || state AS label FROM q_observed_vehicles""")
+twin("duplicate_vehicle_ids", "SELECT * FROM q_duplicates")
+twin("position_summary", """
+    SELECT count(*) AS received, count(*) FILTER (WHERE NOT usable) AS skipped,
+           count(*) FILTER (WHERE usable AND age IS NULL) AS unconfirmed_time FROM q_checked""")
+twin("positions_for_line", """
+    SELECT observation_id, line, vehicle_id FROM q_observed_vehicles
+    WHERE line IN (SELECT route_short_name FROM g_routes)""")
+
+
+SELECTS.update(quality_twins())
+
+
 def oracle_sql():
     return {name: compose(select) for name, select in SELECTS.items()}

@@ -2,10 +2,20 @@
 
 from pyspark.sql import functions as F
 
-from ..operators import events, gold, service_calendar
-from ..sources.derived_feed import clean_feed
+from ..functions import labels, parsing
+from ..operators import (
+    events,
+    explorer,
+    gold,
+    positions,
+    quality,
+    reports,
+    service_calendar,
+    silver,
+)
+from ..sources.derived_feed import clean_feed, raw_tables, view
 from .analysis import Analysis
-from .params import END, START
+from .params import DAY, END, NOW, REPORT_END, REPORT_START, START
 
 QUERIES = {}
 
@@ -84,3 +94,339 @@ on_feed("source_context")(
 on_feed("route_catalog")(gold.route_catalog)
 on_feed("stop_catalog")(gold.stop_catalog)
 on_analysis("gold_row_counts")(lambda a: gold.row_counts(a.tables()))
+
+
+# Reports over the KPI tables ---------------------------------------------------------------
+def on_reports(name):
+    """Register a function of the analysis and the report range."""
+
+    def register(function):
+        def run(spark, sf_dir):
+            analysis = Analysis(clean_feed(spark, sf_dir), START, END)
+            first, last = reports.check_range(analysis, REPORT_START, REPORT_END)
+            return function(analysis, first, last)
+
+        QUERIES[name] = run
+        return function
+
+    return register
+
+
+on_reports("overview_kpi")(
+    lambda a, s, e: reports.overview(
+        a.analysis_days, a.coverage_daily, a.route_daily, a.service_span, a.feed.stops, s, e
+    )
+)
+on_reports("top_routes")(lambda a, s, e: reports.top_routes(a.route_daily, a.feed.routes, s, e))
+on_reports("top_stops")(lambda a, s, e: reports.top_stops(a.stop_daily, a.feed.stops, s, e))
+on_reports("hourly_profile")(lambda a, s, e: reports.hourly_profile(a.route_stop_hourly, s, e))
+on_reports("hourly_top200")(
+    lambda a, s, e: reports.busiest_hours(reports.hourly_profile(a.route_stop_hourly, s, e))
+)
+on_reports("coverage_view")(
+    lambda a, s, e: rounded(
+        reports.coverage_view(a.coverage_daily, s, e), "known_regular_departure_ratio"
+    )
+)
+on_reports("filter_routes")(lambda a, s, e: reports.filter_routes(gold.route_catalog(a.feed)))
+on_reports("filter_stops")(
+    lambda a, s, e: reports.filter_stops(a.service_span, a.feed.stops, s, e)
+)
+on_reports("filter_directions")(lambda a, s, e: reports.filter_directions(a.service_span, s, e))
+on_reports("direction_predicate")(
+    lambda a, s, e: reports.direction_totals(reports.in_range(a.service_span, s, e))
+)
+on_reports("group_daily")(
+    lambda a, s, e: reports.group_daily(a.analysis_days, a.service_span, s, e)
+)
+on_reports("group_hourly")(lambda a, s, e: reports.group_hourly(a.route_stop_hourly, s, e))
+on_reports("group_headways")(
+    lambda a, s, e: rounded(
+        reports.group_headways(a.route_stop_headways, s, e),
+        "avg_seconds", "median_seconds", "p90_seconds",
+    )
+)
+on_reports("bounded_fetch")(
+    lambda a, s, e: reports.bounded_fetch(reports.hourly_profile(a.route_stop_hourly, s, e))
+)
+on_analysis("span_headway_join")(
+    lambda a: rounded(
+        reports.span_headway_join(a.service_span, a.route_stop_headways),
+        "median_seconds", "p90_seconds",
+    )
+)
+on_reports("period_event_totals")(
+    lambda a, s, e: reports.period_event_totals(a.coverage_daily, s, e)
+)
+on_feed("shape_counts")(lambda f: reports.shape_counts(f.shapes))
+
+# Trip explorer -----------------------------------------------------------------------------
+on_feed("explorer_views_routes")(explorer.routes_view)
+on_feed("explorer_views_stops")(explorer.stops_view)
+on_feed("explorer_views_calendar")(explorer.calendar_view)
+on_feed("explorer_views_calendar_dates")(explorer.calendar_dates_view)
+on_feed("explorer_views_stop_times")(explorer.stop_times_view)
+on_feed("extra_field_get")(
+    lambda f: f.trips.withColumn("extras", F.from_json("extra_fields", explorer.EXTRAS)).select(
+        "trip_id",
+        F.nullif("extras.shape_id", F.lit("")).alias("shape_id"),
+        F.nullif("extras.variant_id", F.lit("")).alias("source_variant_id"),
+        F.col("extras.vehicle_id").alias("vehicle_id"),
+        F.col("extras.brigade_id").alias("brigade_id"),
+    )
+)
+on_feed("trip_patterns")(explorer.trip_patterns)
+on_feed("active_services_on_day")(lambda f: events.running_services_on(f, DAY))
+on_feed("day_in_envelope")(lambda f: service_calendar.day_in_envelope(f, START, END))
+on_feed("explorer_routes")(explorer.list_routes)
+on_feed("route_label")(lambda f: explorer.with_route_label(explorer.routes_view(f)))
+on_feed("route_search")(
+    lambda f: explorer.route_search(explorer.routes_view(f), labels.BUS, "R#00000012")
+    .unionByName(explorer.route_search(explorer.routes_view(f), labels.TRAM, "TRAM"))
+)
+on_feed("active_routes")(lambda f: explorer.active_routes(f, DAY))
+on_feed("variants")(lambda f: explorer.variants(f, DAY))
+on_feed("variant_trips")(lambda f: explorer.variant_trips(f, DAY))
+on_feed("trip_visits")(lambda f: explorer.trip_visits(f, DAY))
+on_feed("trip_geometry")(lambda f: explorer.trip_geometry(f, DAY))
+on_feed("stop_departures")(lambda f: explorer.stop_departures(f, DAY))
+on_feed("first_known_departure")(lambda f: explorer.first_known_departure(f, DAY))
+on_feed("timetable_view")(lambda f: explorer.timetable_view(explorer.trip_visits(f, DAY)))
+on_feed("stop_markers")(
+    lambda f: explorer.stop_markers(explorer.trip_visits(f, DAY), "0000000005")
+)
+on_feed("trip_summary")(lambda f: explorer.trip_summary(explorer.trip_visits(f, DAY)))
+
+# Labels ------------------------------------------------------------------------------------
+on_feed("service_hour")(
+    lambda f: f.stop_times.filter(F.col("departure_seconds").isNotNull()).select(
+        "trip_id", "stop_sequence", gold.service_hour("departure_seconds").alias("service_hour")
+    )
+)
+on_feed("format_service_time")(
+    lambda f: f.stop_times.select(
+        "trip_id", "stop_sequence",
+        labels.service_time(F.col("arrival_seconds")).alias("arrival"),
+        labels.service_time(F.col("departure_seconds") * 1000).alias("long_time"),
+    )
+)
+on_analysis("format_percent")(
+    lambda a: a.service_span.select(
+        *events.GROUP,
+        labels.percent(F.col("observation_count"), F.col("regular_event_count")).alias("known"),
+    )
+)
+on_feed("transport_mode")(
+    lambda f: f.routes.select(
+        "route_id", labels.transport_mode(F.col("route_type")).alias("transport")
+    )
+)
+on_feed("boarding_timepoint_label")(
+    lambda f: f.stop_times.select(
+        "trip_id", "stop_sequence",
+        labels.boarding_label(F.col("pickup_type")).alias("boarding"),
+        labels.timepoint_label(F.col("timepoint")).alias("time_kind"),
+    )
+)
+on_feed("iso_weekday_flag")(
+    lambda f: f.calendar.select(
+        "service_id",
+        F.explode(F.sequence("start_date", "end_date")).alias("service_date"),
+        *service_calendar.DAYS,
+    ).select(
+        "service_id", "service_date",
+        service_calendar.weekday_flag(F.col("service_date")).alias("flag"),
+    )
+)
+
+
+# Vehicle observations ----------------------------------------------------------------------
+def on_positions(name):
+    def register(function):
+        QUERIES[name] = lambda spark, sf_dir: function(
+            view(spark, sf_dir, "r_positions"), spark, sf_dir
+        )
+        return function
+
+    return register
+
+
+def _observations(records):
+    return positions.normalize_positions(records, NOW, terms_confirmed=True)
+
+
+on_positions("normalize_positions")(
+    lambda p, spark, sf_dir: rounded(
+        _observations(p).drop("label"), "latitude", "longitude", "age_seconds"
+    )
+)
+on_positions("position_freshness")(
+    lambda p, spark, sf_dir: _observations(p).groupBy("state").agg(
+        F.count("*").alias("observations"),
+        F.round(F.min("age_seconds"), 6).alias("youngest"),
+        F.round(F.max("age_seconds"), 6).alias("oldest"),
+    )
+)
+on_positions("position_labels")(
+    lambda p, spark, sf_dir: _observations(p).select("observation_id", "label")
+)
+on_positions("duplicate_vehicle_ids")(
+    lambda p, spark, sf_dir: positions.duplicate_vehicle_ids(p)
+)
+on_positions("position_summary")(
+    lambda p, spark, sf_dir: positions.position_summary(p, NOW)
+)
+on_positions("positions_for_line")(
+    lambda p, spark, sf_dir: positions.positions_for_line(
+        _observations(p), view(spark, sf_dir, "g_routes")
+    ).select("observation_id", "line", "vehicle_id")
+)
+
+
+# Typing and quality of the raw feed --------------------------------------------------------
+def on_raw(name):
+    """Register a function of the dict of raw tables."""
+
+    def register(function):
+        QUERIES[name] = lambda spark, sf_dir: function(raw_tables(spark, sf_dir))
+        return function
+
+    return register
+
+
+for _table in silver.TABLES:
+    on_raw(f"silver_{_table}")(
+        lambda raw, table=_table: silver.to_silver(table, raw[table], raw["agency"])
+    )
+on_raw("conform_columns")(lambda raw: silver.conform_columns("stop_times", raw["stop_times"]))
+on_raw("normalize_id")(
+    lambda raw: silver.to_silver("stops", raw["stops"]).select(
+        "_source_record", "stop_id", "parent_station"
+    )
+)
+on_raw("parse_int_enum")(
+    lambda raw: raw["stop_times"].select(
+        "_source_record",
+        F.col("stop_sequence").alias("sequence_text"),
+        parsing.parse_int(F.col("stop_sequence")).alias("stop_sequence"),
+        F.col("pickup_type").alias("pickup_text"),
+        parsing.parse_int(F.col("pickup_type"), "0").alias("pickup_type"),
+    )
+)
+on_raw("parse_date_strict")(
+    lambda raw: raw["calendar"].select(
+        "_source_record",
+        F.col("start_date").alias("date_text"),
+        parsing.parse_date(F.col("start_date")).alias("start_date"),
+    )
+)
+on_raw("parse_coordinate")(
+    lambda raw: raw["stops"].select(
+        "_source_record",
+        F.col("stop_lat").alias("lat_text"),
+        F.round(parsing.parse_number(F.col("stop_lat")), 6).alias("stop_lat"),
+        F.round(parsing.parse_number(F.col("stop_lon")), 6).alias("stop_lon"),
+    )
+)
+on_raw("parse_gtfs_seconds")(
+    lambda raw: raw["stop_times"].select(
+        "_source_record",
+        "arrival_time",
+        parsing.parse_seconds(F.col("arrival_time")).alias("arrival_seconds"),
+        parsing.parse_seconds(F.col("departure_time")).alias("departure_seconds"),
+    )
+)
+on_raw("agency_key")(
+    lambda raw: silver.to_silver("routes", raw["routes"], raw["agency"]).select(
+        "_source_record", "_agency_key"
+    )
+)
+on_raw("route_type_description")(
+    lambda raw: silver.to_silver("routes", raw["routes"], raw["agency"]).select(
+        "_source_record", "route_type", "route_type_description"
+    )
+)
+on_raw("timezone_valid")(
+    lambda raw: raw["agency"].select(
+        "_source_record", quality.zone_exists(F.col("agency_timezone")).alias("zone_valid")
+    )
+)
+on_raw("extra_fields_json")(
+    lambda raw: silver.with_extra_fields(
+        "trips", silver.to_silver("trips", raw["trips"])
+    ).select("_source_record", "extra_fields")
+)
+
+# Codes of the checks that look at one raw row, and the tables they concern.
+ROW_CODES = {
+    "id_whitespace": silver.TABLES,
+    "required_id": ("stops", "routes", "trips", "stop_times", "calendar", "calendar_dates"),
+    "invalid_integer_or_enum": (
+        "stops", "routes", "trips", "stop_times", "calendar", "calendar_dates",
+    ),
+    "invalid_date": ("calendar", "calendar_dates"),
+    "invalid_coordinate": ("stops",),
+    "required_text": ("agency",),
+    "invalid_timezone": ("agency",),
+    "ambiguous_agency": ("routes",),
+    "missing_route_name": ("routes",),
+    "required_stop_name": ("stops",),
+    "required_coordinate": ("stops",),
+    "invalid_gtfs_time": ("stop_times",),
+    "unsupported_flexible_service": ("stop_times",),
+}
+for _code, _tables in ROW_CODES.items():
+    on_raw(f"dq_{_code}")(
+        lambda raw, code=_code, tables=_tables: quality.summarize(
+            silver.union_all(
+                [quality.row_findings(t, raw[t], raw["agency"], {code}) for t in tables]
+            )
+        )
+    )
+for _code, _check in (
+    ("duplicate_key", quality.duplicate_keys),
+    ("orphan_reference", quality.orphan_references),
+    ("unknown_service", quality.unknown_services),
+    ("calendar_range", quality.calendar_ranges),
+    ("required_parent", quality.required_parents),
+    ("invalid_parent_type", quality.invalid_parent_types),
+    ("invalid_event_location", quality.invalid_event_locations),
+    ("missing_exact_time", quality.missing_exact_times),
+    ("missing_endpoint_arrival", quality.missing_endpoint_arrivals),
+    ("time_decreases", quality.time_decreases),
+    ("multi_agency_missing_id", quality.agency_consistency),
+    ("multiple_agency_timezones", quality.agency_consistency),
+    ("unknown_departure", quality.unknown_times),
+    ("unknown_arrival", quality.unknown_times),
+):
+    on_raw(f"dq_{_code}")(
+        lambda raw, code=_code, check=_check: quality.summarize(
+            check(silver.silver_tables(raw)).filter(F.col("code") == code)
+        )
+    )
+QUERIES["dq_unsupported_frequencies"] = lambda spark, sf_dir: quality.summarize(
+    quality.unsupported_frequencies(view(spark, sf_dir, "r_frequencies"))
+)
+
+
+def _all_findings(spark, sf_dir):
+    return quality.all_findings(raw_tables(spark, sf_dir), view(spark, sf_dir, "r_frequencies"))
+
+
+QUERIES["dq_report"] = lambda spark, sf_dir: quality.summarize(_all_findings(spark, sf_dir))
+QUERIES["dq_report_examples"] = lambda spark, sf_dir: quality.examples(_all_findings(spark, sf_dir))
+QUERIES["silver_gate_status"] = lambda spark, sf_dir: quality.report_status(
+    quality.summarize(_all_findings(spark, sf_dir))
+)
+on_raw("dq_time_coverage")(
+    lambda raw: rounded(
+        quality.time_coverage(silver.to_silver("stop_times", raw["stop_times"])), "departure_ratio"
+    )
+)
+on_raw("dq_service_date_range")(
+    lambda raw: quality.service_date_range(silver.silver_tables(raw))
+)
+on_raw("dq_unknown_directions")(
+    lambda raw: quality.unknown_directions(silver.to_silver("trips", raw["trips"]))
+)
+on_raw("dq_row_counts")(lambda raw: gold.row_counts(silver.silver_tables(raw)))
