@@ -60,3 +60,13 @@ def parse_seconds(text):
         F.try_multiply(hours.try_cast("long"), F.lit(3600).cast("long")), minutes * 60 + seconds
     )
     return F.when(usable, total)
+
+
+# Fixed value: whole numbers as a lenient reader takes them.
+WHOLE_NUMBER = rf"^{BLANKS}*[+-]?[0-9](_?[0-9])*{BLANKS}*\z"
+
+
+def parse_whole_number(text):
+    """A signed 64-bit integer, surrounding blanks and digit separators allowed."""
+    cleaned = F.regexp_replace(F.regexp_replace(text, BLANKS, ""), "_", "")
+    return F.when(text.rlike(WHOLE_NUMBER), cleaned.try_cast("long"))

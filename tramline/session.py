@@ -2,6 +2,7 @@
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -32,3 +33,8 @@ def checkpoint_folder(spark):
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
     spark.sparkContext.setCheckpointDir(folder)
     return folder
+
+
+def scratch_folder(spark):
+    """A new folder for intermediate tables, inside the shared checkpoint folder."""
+    return f"{checkpoint_folder(spark)}/{uuid.uuid4().hex}"
