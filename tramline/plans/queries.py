@@ -534,7 +534,9 @@ on_raw("write_scan_silver")(
 
 def _as_csv(frame, name):
     path = f"{scratch_folder(frame.sparkSession)}/{name}.txt"
-    frame.write.options(header=True, escape='"', emptyValue="").csv(path)
+    frame.write.options(
+        header=True, escape='"', emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
+    ).csv(path)
     return path
 
 

@@ -24,15 +24,15 @@ def local_session(cpus="*", shuffle_partitions=8, app="tramline"):
 
 
 def checkpoint_folder(spark):
-    """The shared folder named by the cluster; a private one only where none is set."""
+    """The shared folder the cluster names; a private one only in local runs without any."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder and spark.sparkContext.master.startswith("local"):
-        folder = tempfile.mkdtemp(prefix="tramline-checkpoint-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    if not folder:
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    spark.sparkContext.setCheckpointDir(folder)
-    return folder
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tramline-"))
+    return spark.sparkContext.getCheckpointDir()
 
 
 def scratch_folder(spark):
