@@ -46,32 +46,27 @@ def row_text(columns):
     return F.concat(*parts)
 
 
-def content_measures(columns):
-    """Aggregates whose result depends on the rows of a table but not on their order.
+def content_fingerprint(frame, columns=None):
+    """Row count and content hash of a table, independent of row order; one row.
 
     Two 60-bit lanes of each row's hash are summed, so any split into tasks gives the same
     result and a repeated row changes it.
     """
-    digest = F.sha2(row_text(columns), 256)
-    lanes = [
-        F.conv(F.substring(digest, start, 15), 16, 10).cast("decimal(20,0)") for start in (1, 16)
-    ]
-    return [
+    hashed = frame.select(F.sha2(row_text(columns or frame.columns), 256).alias("digest"))
+    lanes = {
+        name: F.sum(F.conv(F.substring("digest", start, 15), 16, 10).cast("decimal(20,0)"))
+        for name, start in (("low", 1), ("high", 16))
+    }
+    sums = hashed.agg(
         F.count(F.lit(1)).alias("row_count"),
-        F.coalesce(F.sum(lanes[0]), F.lit(0)).cast("string").alias("low"),
-        F.coalesce(F.sum(lanes[1]), F.lit(0)).cast("string").alias("high"),
-    ]
-
-
-def content_fingerprint(frame, columns=None):
-    """Row count and order-free content hash of a table; one row."""
-    columns = columns or frame.columns
-    return frame.agg(*content_measures(columns)).select(
+        *[F.coalesce(lane, F.lit(0)).cast("string").alias(name) for name, lane in lanes.items()],
+    )
+    return sums.select(
         "row_count", F.sha2(F.concat_ws(":", "row_count", "low", "high"), 256).alias("content_hash")
     )
 
 
-def fingerprint_of(measures):
-    """The content hash from collected measures, equal to ``content_fingerprint``."""
-    text = ":".join(str(measures[name]) for name in ("row_count", "low", "high"))
+def document_hash(document):
+    """Hash of a small JSON document, whatever the order of its keys."""
+    text = json.dumps(document, sort_keys=True, separators=(",", ":"))
     return hashlib.sha256(text.encode()).hexdigest()

@@ -5,25 +5,28 @@ from pyspark.sql import functions as F
 # Accepted text forms and bounds.
 DIGITS = r"^[0-9]+\z"
 COMPACT_DATE = r"^[0-9]{8}\z"
-CLOCK = r"^([0-9]+):([0-5][0-9]):([0-5][0-9])\z"
+CLOCK = r"^[0-9]+:[0-5][0-9]:[0-5][0-9]\z"
 BLANKS = r"[\s\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+BLANK_CHARACTERS = (
+    " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007"
+    "\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
 NUMBER = (
     rf"^{BLANKS}*[+-]?([0-9](_?[0-9])*\.?([0-9](_?[0-9])*)?|\.[0-9](_?[0-9])*)"
     rf"([eE][+-]?[0-9](_?[0-9])*)?{BLANKS}*\z"
 )
-OUTER_BLANK = rf"^{BLANKS}|{BLANKS}\z"
-ALL_BLANK = rf"^{BLANKS}*\z"
+PLAIN_NUMBER = r"^[+-]?[0-9]+(\.[0-9]*)?\z"
 MAX_HOUR_DIGITS = 16
 MAX_LATITUDE = 90
 MAX_LONGITUDE = 180
 
 
 def has_outer_blank(text):
-    return text.rlike(OUTER_BLANK)
+    return F.trim(text, F.lit(BLANK_CHARACTERS)) != text
 
 
 def is_blank(text):
-    return text.rlike(ALL_BLANK)
+    return F.trim(text, F.lit(BLANK_CHARACTERS)) == ""
 
 
 def normalize_id(text):
@@ -44,18 +47,24 @@ def parse_date(text):
 
 
 def parse_number(text):
-    """A finite decimal number; special names such as NaN are not numbers."""
+    """A finite decimal number; special names such as NaN are not numbers.
+
+    Blanks around the number and single underscores between digits are allowed; texts without
+    them, nearly all, take the first branch only.
+    """
     cleaned = F.regexp_replace(F.regexp_replace(text, BLANKS, ""), "_", "")
-    number = F.when(text.rlike(NUMBER), cleaned.try_cast("double"))
+    number = F.when(text.rlike(PLAIN_NUMBER), text.try_cast("double")).when(
+        text.rlike(NUMBER), cleaned.try_cast("double")
+    )
     return F.when(F.abs(number) != F.lit(float("inf")), number)
 
 
 def parse_seconds(text):
     """H:MM:SS with any hour to seconds of the service day."""
-    hours = F.regexp_replace(F.regexp_extract(text, CLOCK, 1), "^0+(?=[0-9])", "")
-    minutes = F.regexp_extract(text, CLOCK, 2).try_cast("long")
-    seconds = F.regexp_extract(text, CLOCK, 3).try_cast("long")
-    usable = text.rlike(CLOCK) & (F.length(hours) <= MAX_HOUR_DIGITS)
+    hours = F.substring(text, F.lit(1), F.length(text) - 6)
+    minutes = F.substring(text, -5, 2).try_cast("long")
+    seconds = F.right(text, F.lit(2)).try_cast("long")
+    usable = text.rlike(CLOCK) & (F.length(F.ltrim(hours, F.lit("0"))) <= MAX_HOUR_DIGITS)
     total = F.try_add(
         F.try_multiply(hours.try_cast("long"), F.lit(3600).cast("long")), minutes * 60 + seconds
     )

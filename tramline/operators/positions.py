@@ -28,11 +28,8 @@ OFFSET_TIME = (
 
 def coordinates_usable():
     lat, lon = F.col("latitude"), F.col("longitude")
-    return (
-        lat.between(-MAX_LATITUDE, MAX_LATITUDE)
-        & lon.between(-MAX_LONGITUDE, MAX_LONGITUDE)
-        & ~((lat == 0) & (lon == 0))
-    )
+    inside = (F.abs(lat) <= MAX_LATITUDE) & (F.abs(lon) <= MAX_LONGITUDE)
+    return inside & ((lat != 0) | (lon != 0))
 
 
 def with_coordinates(records):

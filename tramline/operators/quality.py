@@ -144,7 +144,8 @@ def row_findings(table, raw, agency=None, codes=None):
         return None
     return (
         silver.conform_columns(table, raw)
-        .select(F.col(RECORD).alias("record"), F.explode(F.array_compact(F.array(*marks))).alias("f"))
+        .select(F.col(RECORD).alias("record"), F.explode(F.array(*marks)).alias("f"))
+        .filter(F.col("f").isNotNull())
         .select(
             F.lit("error").alias("severity"),
             "f.code",
@@ -283,14 +284,18 @@ def missing_endpoint_arrivals(tables):
         )
     )
     ends = per_sequence.groupBy("trip_id").agg(
-        F.min(F.struct("stop_sequence", "rows", "record")).alias("first"),
-        F.max(F.struct("stop_sequence", "rows", "record")).alias("last"),
+        (F.min("stop_sequence") != F.max("stop_sequence")).alias("apart"),
+        *[
+            end(F.col(name), F.col("stop_sequence")).alias(f"{place}_{name}")
+            for place, end in (("first", F.min_by), ("last", F.max_by))
+            for name in ("rows", "record")
+        ],
     )
-    apart = F.col("first.stop_sequence") != F.col("last.stop_sequence")
+    last_rows = F.when(F.col("apart"), F.col("last_rows")).otherwise(0)
     wrong = ends.select(
         "trip_id",
-        (F.col("first.rows") + F.when(apart, F.col("last.rows")).otherwise(0)).alias("rows"),
-        F.least("first.record", "last.record").alias("record"),
+        (F.col("first_rows") + last_rows).alias("rows"),
+        F.least("first_record", "last_record").alias("record"),
     ).filter(F.col("rows") > 0)
     return findings(
         wrong, "missing_endpoint_arrival", "stop_times", "arrival_time", "record", "trip_id", "rows"
@@ -315,23 +320,29 @@ def time_decreases(tables):
     points = (
         times.groupBy("trip_id", "stop_sequence", "phase")
         .agg(
-            F.min(F.struct("seconds", RECORD)).alias("low"),
+            F.min("seconds").alias("low"),
             F.max("seconds").alias("high"),
+            F.min(RECORD).alias("record"),
         )
         .withColumn("block", whole_div(F.col("stop_sequence"), BLOCK))
     )
     along = Window.partitionBy("trip_id", "block").orderBy("stop_sequence", "phase")
-    inside = points.select("trip_id", "low", F.lag("high").over(along).alias("before"))
-    place = F.struct("stop_sequence", "phase")
-    blocks = points.groupBy("trip_id", "block").agg(
-        F.min_by("low", place).alias("low"), F.max_by("high", place).alias("high")
+    whole = along.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    walked = points.select(
+        "trip_id",
+        "block",
+        "low",
+        "record",
+        F.lag("high").over(along).alias("before"),
+        F.row_number().over(along).alias("place"),
+        F.last("high").over(whole).alias("block_end"),
     )
     between = Window.partitionBy("trip_id").orderBy("block")
-    edges = blocks.select("trip_id", "low", F.lag("high").over(between).alias("before"))
-    wrong = (
-        inside.unionByName(edges)
-        .filter(F.col("low.seconds") < F.col("before"))
-        .select("trip_id", F.col(f"low.{RECORD}").alias("record"))
+    edges = walked.filter(F.col("place") == 1).withColumn(
+        "before", F.lag("block_end").over(between)
+    )
+    wrong = walked.filter(F.col("place") > 1).unionByName(edges).filter(
+        F.col("low") < F.col("before")
     )
     return findings(
         wrong, "time_decreases", "stop_times", "arrival_time,departure_time", "record", "trip_id"
@@ -395,9 +406,13 @@ GLOBAL_CHECKS = (
 )
 
 
-def all_findings(raw, frequencies=None):
-    """Findings of every check on a feed given as a dict of raw tables."""
-    tables = silver.silver_tables(raw)
+def all_findings(raw, frequencies=None, typed=None):
+    """Findings of every check on a feed given as a dict of raw tables.
+
+    ``typed`` holds the typed tables where they are written already; each check then reads
+    only the columns it needs.
+    """
+    tables = typed or silver.silver_tables(raw)
     found = [row_findings(table, raw[table], raw["agency"]) for table in RULES]
     found += [check(tables) for check in GLOBAL_CHECKS]
     if frequencies is not None:

@@ -360,6 +360,39 @@ on_raw("extra_fields_json")(
     ).select("_source_record", "extra_fields")
 )
 
+# The checks run as in a real import: raw text is first written as bronze files, typed once,
+# and the checks read the columns they need from those files.
+_STAGED = {}
+
+
+def staged_feed(spark, sf_dir):
+    """Bronze and typed tables of the raw feed, written once per session and folder."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _STAGED:
+        folder = scratch_folder(spark)
+        for name, frame in raw_tables(spark, sf_dir).items():
+            warehouse.write_parquet(frame, f"{folder}/bronze/{name}")
+        raw = warehouse.read_silver(spark, f"{folder}/bronze")
+        for name, frame in silver.silver_tables(raw).items():
+            warehouse.write_parquet(frame, f"{folder}/silver/{name}")
+        _STAGED[key] = folder
+    folder = _STAGED[key]
+    return (
+        warehouse.read_silver(spark, f"{folder}/bronze"),
+        warehouse.read_silver(spark, f"{folder}/silver"),
+    )
+
+
+def on_staged(name):
+    """Register a function of the written raw and typed tables."""
+
+    def register(function):
+        QUERIES[name] = lambda spark, sf_dir: function(*staged_feed(spark, sf_dir))
+        return function
+
+    return register
+
+
 # Codes of the checks that look at one raw row, and the tables they concern.
 ROW_CODES = {
     "id_whitespace": silver.TABLES,
@@ -379,8 +412,8 @@ ROW_CODES = {
     "unsupported_flexible_service": ("stop_times",),
 }
 for _code, _tables in ROW_CODES.items():
-    on_raw(f"dq_{_code}")(
-        lambda raw, code=_code, tables=_tables: quality.summarize(
+    on_staged(f"dq_{_code}")(
+        lambda raw, typed, code=_code, tables=_tables: quality.summarize(
             silver.union_all(
                 [quality.row_findings(t, raw[t], raw["agency"], {code}) for t in tables]
             )
@@ -402,9 +435,9 @@ for _code, _check in (
     ("unknown_departure", quality.unknown_times),
     ("unknown_arrival", quality.unknown_times),
 ):
-    on_raw(f"dq_{_code}")(
-        lambda raw, code=_code, check=_check: quality.summarize(
-            check(silver.silver_tables(raw)).filter(F.col("code") == code)
+    on_staged(f"dq_{_code}")(
+        lambda raw, typed, code=_code, check=_check: quality.summarize(
+            check(typed).filter(F.col("code") == code)
         )
     )
 QUERIES["dq_unsupported_frequencies"] = lambda spark, sf_dir: quality.summarize(
@@ -413,7 +446,8 @@ QUERIES["dq_unsupported_frequencies"] = lambda spark, sf_dir: quality.summarize(
 
 
 def _all_findings(spark, sf_dir):
-    return quality.all_findings(raw_tables(spark, sf_dir), view(spark, sf_dir, "r_frequencies"))
+    raw, typed = staged_feed(spark, sf_dir)
+    return quality.all_findings(raw, view(spark, sf_dir, "r_frequencies"), typed)
 
 
 QUERIES["dq_report"] = lambda spark, sf_dir: quality.summarize(_all_findings(spark, sf_dir))
@@ -421,28 +455,21 @@ QUERIES["dq_report_examples"] = lambda spark, sf_dir: quality.examples(_all_find
 QUERIES["silver_gate_status"] = lambda spark, sf_dir: quality.report_status(
     quality.summarize(_all_findings(spark, sf_dir))
 )
-on_raw("dq_time_coverage")(
-    lambda raw: rounded(
-        quality.time_coverage(silver.to_silver("stop_times", raw["stop_times"])), "departure_ratio"
-    )
-)
-on_raw("dq_service_date_range")(
-    lambda raw: quality.service_date_range(silver.silver_tables(raw))
-)
-on_raw("dq_unknown_directions")(
-    lambda raw: quality.unknown_directions(silver.to_silver("trips", raw["trips"]))
+on_staged("dq_time_coverage")(
+    lambda raw, typed: rounded(quality.time_coverage(typed["stop_times"]), "departure_ratio")
 )
-on_raw("dq_row_counts")(lambda raw: gold.row_counts(silver.silver_tables(raw)))
+on_staged("dq_service_date_range")(lambda raw, typed: quality.service_date_range(typed))
+on_staged("dq_unknown_directions")(lambda raw, typed: quality.unknown_directions(typed["trips"]))
+on_staged("dq_row_counts")(lambda raw, typed: gold.row_counts(typed))
 
 
 # Constraints, identities, sources and sinks ------------------------------------------------
-on_raw("check_constraints_silver")(
-    lambda raw: constraints.check_constraints(
+on_staged("check_constraints_silver")(
+    lambda raw, typed: constraints.check_constraints(
         {
-            **silver.silver_tables(raw),
+            **typed,
             "services": service_calendar.services_catalog(
-                silver.to_silver("calendar", raw["calendar"]),
-                silver.to_silver("calendar_dates", raw["calendar_dates"]),
+                typed["calendar"], typed["calendar_dates"]
             ),
         }
     )
@@ -522,7 +549,7 @@ def _rewritten(frame, name):
     """A table written as zstd Parquet and scanned again with its declared schema."""
     spark = frame.sparkSession
     path = f"{scratch_folder(spark)}/{name}"
-    warehouse.write_table(frame, path)
+    warehouse.write_parquet(frame, path)
     return spark.read.schema(frame.schema).parquet(path)
 
 

@@ -16,9 +16,8 @@ from ..functions.identity import (
     MODEL_VERSION,
     analysis_id,
     content_fingerprint,
-    content_measures,
     dataset_id,
-    fingerprint_of,
+    document_hash,
 )
 from ..operators import quality, silver
 from ..operators.events import estimate_guard
@@ -41,16 +40,17 @@ class QualityFailed(Rejected):
         self.report = report
 
 
+def write_parquet(frame, path):
+    frame.write.mode("overwrite").option("compression", "zstd").parquet(path)
+
+
 def write_table(frame, path):
-    """Write a table as zstd Parquet; count and fingerprint come from the same pass."""
-    seen = Observation()
-    frame.observe(seen, *content_measures(frame.columns)).write.mode("overwrite").option(
-        "compression", "zstd"
-    ).parquet(path)
-    measures = seen.get
+    """Write a table as zstd Parquet; count and fingerprint are taken from what was written."""
+    write_parquet(frame, path)
+    measures = content_fingerprint(frame.sparkSession.read.schema(frame.schema).parquet(path)).first()
     return {
-        "row_count": measures["row_count"],
-        "content_hash": fingerprint_of(measures),
+        "row_count": measures.row_count,
+        "content_hash": measures.content_hash,
         "columns": [[field.name, field.dataType.simpleString()] for field in frame.schema],
     }
 
@@ -77,43 +77,44 @@ def write_bronze(tables, folder):
     return {name: write_table(frame, f"{folder}/{name}") for name, frame in tables.items()}
 
 
-def quality_report(raw, frequencies=None):
+def quality_report(raw, frequencies=None, typed=None):
     """The bounded report of a feed as one small document."""
-    found = quality.all_findings(raw, frequencies)
+    typed = typed or silver.silver_tables({name: raw[name] for name in silver.TABLES})
+    found = quality.all_findings(raw, frequencies, typed)
     checks = quality.summarize(found).orderBy(*quality.CHECK_KEYS).collect()
     totals = {"error": 0, "warning": 0}
     for row in checks:
         totals[row.severity] += row.findings
-    report = {
+    return {
         "status": "failed" if totals["error"] else "passed",
         "error_count": totals["error"],
         "warning_count": totals["warning"],
         "checks": [row.asDict() for row in checks],
         "examples": [row.asDict() for row in quality.examples(found).collect()] if checks else [],
         "example_limit": quality.EXAMPLES_TOTAL,
+        "time_coverage": quality.time_coverage(typed["stop_times"]).first().asDict(),
+        "service_date_range": quality.service_date_range(typed).first().asDict(),
+        "unknown_directions": quality.unknown_directions(typed["trips"]).first()[0],
     }
-    typed = silver.silver_tables({name: raw[name] for name in silver.TABLES})
-    report["time_coverage"] = quality.time_coverage(typed["stop_times"]).first().asDict()
-    report["service_date_range"] = quality.service_date_range(typed).first().asDict()
-    report["unknown_directions"] = quality.unknown_directions(typed["trips"]).first()[0]
-    return report
 
 
 def silver_gate(raw, folder, source_sha256, frequencies=None, present=None, data_kind="unknown"):
-    """Publish typed tables only without errors; the report is written either way.
+    """Write typed tables, check them and publish them only without errors.
 
-    ``raw`` should come from bronze files, since it is read for the checks and for the write.
+    Typing runs once; the checks across rows read the written columns they need. Tables count
+    as published only with a manifest, which a feed with errors never gets; the report is
+    written either way. ``raw`` should come from bronze files, since it is read twice.
     """
     spark = raw["trips"].sparkSession
-    identity = dataset_id(source_sha256)
-    report = quality_report(raw, frequencies)
+    typed = silver.silver_tables({name: raw[name] for name in silver.TABLES})
+    written = {name: write_table(frame, f"{folder}/{name}") for name, frame in typed.items()}
+    report = quality_report(raw, frequencies, read_silver(spark, folder))
     write_document(spark, f"{folder}/quality", report)
     if report["error_count"]:
         raise QualityFailed(report)
-    typed = silver.silver_tables({name: raw[name] for name in silver.TABLES})
     capabilities = feed_capabilities(raw, present or dict.fromkeys(silver.TABLES, True), frequencies)
     manifest = {
-        "dataset_id": identity,
+        "dataset_id": dataset_id(source_sha256),
         "source_sha256": source_sha256,
         "model_version": MODEL_VERSION,
         "status": "passed",
@@ -121,7 +122,7 @@ def silver_gate(raw, folder, source_sha256, frequencies=None, present=None, data
         "warning_count": report["warning_count"],
         "time_coverage": report["time_coverage"],
         "capabilities": capabilities.first().asDict(recursive=True),
-        "tables": {name: write_table(frame, f"{folder}/{name}") for name, frame in typed.items()},
+        "tables": written,
     }
     write_document(spark, f"{folder}/manifest", manifest)
     return manifest
@@ -158,13 +159,9 @@ def verify_silver(spark, folder):
 
 
 def logical_fingerprint(manifest):
-    """One hash for all tables of a manifest."""
-    return fingerprint_of(
-        {
-            "row_count": sum(t["row_count"] for t in manifest["tables"].values()),
-            "low": json.dumps({n: t["content_hash"] for n, t in sorted(manifest["tables"].items())}),
-            "high": json.dumps({n: t["columns"] for n, t in sorted(manifest["tables"].items())}),
-        }
+    """One hash for the schemas and contents of all tables of a manifest."""
+    return document_hash(
+        {n: [t["columns"], t["row_count"], t["content_hash"]] for n, t in manifest["tables"].items()}
     )
 
 
@@ -202,9 +199,7 @@ def load_silver(spark, folder, warehouse):
     tables = read_silver(spark, folder)
     for name, frame in tables.items():
         packed = silver.with_extra_fields(name, frame)
-        packed.write.mode("overwrite").option("compression", "zstd").parquet(
-            f"{warehouse}/silver/{name}/dataset_id={identity}"
-        )
+        write_parquet(packed, f"{warehouse}/silver/{name}/dataset_id={identity}")
     services_catalog(tables["calendar"], tables["calendar_dates"]).write.mode("overwrite").parquet(
         f"{warehouse}/silver/services/dataset_id={identity}"
     )
