@@ -8,17 +8,17 @@ BROADCAST_ROWS = 200_000
 SALTS = 32
 
 
-def join_lookup(large, lookup, on, how="inner", max_rows=BROADCAST_ROWS, salts=SALTS):
+def join_lookup(large, lookup, on, how="inner", max_rows=None, salts=SALTS):
     """Join ``large`` with a ``lookup`` that is unique on ``on``.
 
-    The lookup is counted (never further than ``max_rows``): small ones are broadcast, so
-    ``large`` is not shuffled. Larger ones are joined by shuffle with every key of ``large``
+    The lookup is counted first: small ones are broadcast, so ``large`` is not shuffled. Larger ones are joined by shuffle with every key of ``large``
     spread over ``salts`` tasks, because one key may hold a large share of its rows.
     """
+    max_rows = BROADCAST_ROWS if max_rows is None else max_rows
     if how not in ("inner", "left", "left_semi"):
         raise ValueError(f"unsupported join type {how}")
     keys = [on] if isinstance(on, str) else list(on)
-    if lookup.limit(max_rows + 1).count() <= max_rows:
+    if lookup.count() <= max_rows:
         return large.join(F.broadcast(lookup), keys, how)
     salted = large.withColumn(
         "_salt", F.pmod(F.xxhash64(*large.columns), F.lit(salts)).cast("int")

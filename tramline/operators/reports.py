@@ -58,7 +58,7 @@ def group_filter(table, route=None, stop=None, direction="ALL"):
 
 def bounded_fetch(frame, limit=MAX_ROWS):
     """The frame itself if it has at most ``limit`` rows, an error otherwise; never cut."""
-    if frame.limit(limit + 1).count() > limit:
+    if frame.count() > limit:
         raise TooManyRows(f"more than {limit} rows; narrow the dates or filters")
     return frame
 
@@ -190,7 +190,8 @@ def group_daily(days, span, start, end, route=None, stop=None, direction="ALL"):
     """Every date for each route and stop: sums, first and last departure.
 
     With both ids given the group is shown even if it was never served. Dates are attached to
-    a group by the range itself; the one-row-per-date table only adds the covered mark.
+    a group by the range itself; the covered marks, one row per date of the range and so never
+    more than its days, are broadcast.
     """
     first, last = service_range(start, end)
     spans = group_filter(in_range(span, first, last), route, stop, direction)
@@ -210,7 +211,7 @@ def group_daily(days, span, start, end, route=None, stop=None, direction="ALL"):
         F.min("first_departure_seconds").alias("first_seconds"),
         F.max("last_departure_seconds").alias("last_seconds"),
     )
-    marks = days.select("service_date", "calendar_covered")
+    marks = F.broadcast(in_range(days, first, last).select("service_date", "calendar_covered"))
     return (
         groups.withColumn("service_date", F.explode(dates_between(first, last)))
         .join(sums, ["service_date", "route_id", "stop_id"], "left")
