@@ -4,6 +4,8 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_points
+from tramline.plans.oracle import oracle_sql
+from tramline.plans.queries import QUERIES
 from check_oracle import TABLES, table_rows
 
 FOLDER = "/root/testdata/sf0.001"
@@ -15,7 +17,7 @@ NAMES = (
 
 
 def test_every_query_has_a_twin():
-    assert set(entry_points.queries()) == set(entry_points.oracle_sql())
+    assert set(QUERIES) == set(oracle_sql())
 
 
 def test_entry(spark):
