@@ -1,7 +1,9 @@
 """Registry of the corpus queries: name -> callable(spark, folder), and their SQL twins."""
 
-from . import digest_merge, ordered_packing
-from .storage import read_table
+from pyspark.sql import functions as F
+
+from . import block_extraction, digest_merge, ordered_packing, toxicity_lexicon
+from .storage import cut, read_table
 
 QUERIES = {}
 ORACLE_SQL = {}
@@ -31,3 +33,21 @@ WINDOW same AS (PARTITION BY words)
 @query
 def op9_ordered_packing(spark, sf_dir):
     return ordered_packing.pack(read_table(spark, sf_dir, "documents"))
+
+
+@query
+def op6_toxicity_lexicon(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents")
+    rows = toxicity_lexicon.labelled(docs, read_table(spark, sf_dir, "labels"), toxicity_lexicon.training_fold)
+    lexicon = toxicity_lexicon.learn(cut(rows))
+    return toxicity_lexicon.score(docs, lexicon).select(
+        "doc_id",
+        toxicity_lexicon.held_out(F.col("doc_id")).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
+@query
+def op10_block_extraction(spark, sf_dir):
+    return block_extraction.extract(read_table(spark, sf_dir, "pages"))
