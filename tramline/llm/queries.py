@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from . import block_extraction, digest_merge, ordered_packing, toxicity_lexicon
+from . import block_extraction, digest_merge, ordered_packing, pii_boosting, toxicity_lexicon
 from .storage import cut, read_table
 
 QUERIES = {}
@@ -51,3 +51,9 @@ def op6_toxicity_lexicon(spark, sf_dir):
 @query
 def op10_block_extraction(spark, sf_dir):
     return block_extraction.extract(read_table(spark, sf_dir, "pages"))
+
+
+@query
+def op4_pii_boosting(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents")
+    return pii_boosting.find(docs, pii_boosting.train_on(docs))
