@@ -2,7 +2,14 @@
 
 from pyspark.sql import functions as F
 
-from . import block_extraction, digest_merge, ordered_packing, pii_boosting, toxicity_lexicon
+from . import (
+    block_extraction,
+    digest_merge,
+    fragment_join,
+    ordered_packing,
+    pii_boosting,
+    toxicity_lexicon,
+)
 from .storage import cut, read_table
 
 QUERIES = {}
@@ -57,3 +64,8 @@ def op10_block_extraction(spark, sf_dir):
 def op4_pii_boosting(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents")
     return pii_boosting.find(docs, pii_boosting.train_on(docs))
+
+
+@query
+def op3_fragment_join(spark, sf_dir):
+    return fragment_join.jaccard_components(read_table(spark, sf_dir, "documents"))
