@@ -8,7 +8,10 @@ from . import (
     fragment_join,
     ordered_packing,
     pii_boosting,
+    role_repair,
+    template_decontamination,
     toxicity_lexicon,
+    training_order,
 )
 from .storage import cut, read_table
 
@@ -69,3 +72,20 @@ def op4_pii_boosting(spark, sf_dir):
 @query
 def op3_fragment_join(spark, sf_dir):
     return fragment_join.jaccard_components(read_table(spark, sf_dir, "documents"))
+
+
+@query
+def op1_template_decontamination(spark, sf_dir):
+    docs, benchmark = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")
+    found = template_decontamination.leaks(docs, benchmark)
+    return found.select("doc_id", "item_id", "windows", "item_windows", "copied")
+
+
+@query
+def op2_role_repair(spark, sf_dir):
+    return role_repair.repair(read_table(spark, sf_dir, "conversations"))
+
+
+@query
+def op7_training_order(spark, sf_dir):
+    return training_order.training_order(read_table(spark, sf_dir, "documents"))

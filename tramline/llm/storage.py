@@ -13,14 +13,19 @@ def cut(frame):
     the files with the frame where cleaning of checkpoints is on. Only local sessions that name
     no folder get one of their own.
     """
-    spark = frame.sparkSession
+    shared_folder(frame.sparkSession)
+    return frame.checkpoint(eager=True)
+
+
+def shared_folder(spark):
+    """The folder for intermediate data; without it, a local session's own."""
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if context.getCheckpointDir() is None:
         if folder is None and not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tramline-"))
-    return frame.checkpoint(eager=True)
+    return folder or context.getCheckpointDir()
 
 
 def read_table(spark, folder, name):
