@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from . import (
+    bilinear_lm,
     block_extraction,
     digest_merge,
     fragment_join,
@@ -89,3 +90,13 @@ def op2_role_repair(spark, sf_dir):
 @query
 def op7_training_order(spark, sf_dir):
     return training_order.training_order(read_table(spark, sf_dir, "documents"))
+
+
+@query
+def op5_bilinear_lm(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents")
+    model, counts = bilinear_lm.learn(docs, ~bilinear_lm.held_out(F.col("doc_id")))
+    return bilinear_lm.score(docs, model, counts).select(
+        "doc_id", bilinear_lm.held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", "train_tokens",
+        "base_score", "score",
+    )
