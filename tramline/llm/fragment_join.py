@@ -39,6 +39,7 @@ FRAGMENTS = 8
 HOT = 20_000  # prefix entries of an n-gram per task
 BAND = 1.5
 MAX_ROUNDS = 8
+FEW_PAIRS = 100_000  # with no more left than this, and twice the entries, no further round of stars
 BROADCAST_IDS = 100_000  # rows of at most 100 bytes
 
 
@@ -283,7 +284,7 @@ class _Join:
 
     def star_pairs(self, entries, number):
         """Pairs of classes with the pivots of their n-grams, within bands of similar sizes."""
-        band = F.floor(F.log(F.lit(BAND), F.col("n").cast("double")) + (0.5 if number % 2 else 0.0))
+        band = F.floor(F.log(BAND, F.col("n").cast("double")) + (0.5 if number % 2 else 0.0))
         entries = entries.withColumn("band", band)
         about = [F.col("class"), F.col("n"), F.col("root")]
         rank = lambda k: F.xxhash64("class", F.lit(17 * number + k))
@@ -351,10 +352,10 @@ class _Join:
     def run(self):
         for number in range(MAX_ROUNDS + 1):
             entries = self.open_entries()
-            left = entries.agg(F.sum(F.col("total") * F.col("rest") / F.col("total"))).first()[0] or 0
+            left = entries.agg(F.sum("rest")).first()[0] or 0  # pairs that are still to be compared, at most
             if not left:
                 break
-            if left <= 2 * self.n_entries + 100_000 or number == MAX_ROUNDS:
+            if left <= 2 * self.n_entries + FEW_PAIRS or number == MAX_ROUNDS:
                 self.connect(self.verify(self.all_pairs(entries)))
                 break
             self.connect(self.verify(self.star_pairs(entries, number)))

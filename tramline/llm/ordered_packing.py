@@ -31,8 +31,8 @@ LENGTH = 1024
 END_ID = 0
 WINDOW_CHARGE = 8
 INSIDE_PENALTY = 16
-INSIDE_STEP = 64
-THIN = 48  # of the sentence ends in a stretch of so many ids the last is a candidate
+INSIDE_STEP = 16
+THIN = 16  # of the sentence ends in a stretch of so many ids the last is a candidate
 SHORTEST = 128  # windows without padding are looked for from this length on
 BLOCK_IDS = 1 << 18
 
