@@ -1,6 +1,6 @@
 """N-gram Jaccard join with vertical partitioning.
 
-All n-grams stand in one global order, the rare ones first: counts of 65,536 hash buckets over every
+All n-grams stand in one global order, the rare ones first: counts of 262,144 hash buckets over every
 text rank the buckets, and the number of an n-gram is its bucket's rank followed by its hash. The
 order is cut into fragments; a text's set falls into one segment per fragment.
 
@@ -15,7 +15,7 @@ order is cut into fragments; a text's set falls into one segment per fragment.
 
 Only components are wanted, so classes already connected needn't be compared. Where many classes share
 n-grams, rounds of stars go first: every class is compared with a few pivots of each of its n-grams,
-those with the largest shared part and some by hash, and the components are updated. What is left,
+those with the largest shared part and then by hash, and the components are updated. What is left,
 every pair that shares a prefix n-gram and lies in different components, is then compared without
 exception, so no link is lost; the rounds only decide how many pairs are left.
 
@@ -26,6 +26,8 @@ linked with nothing; a null id is ignored as the smallest of a component unless
 rows that agree in id and text are in one class; an empty table gives no rows.
 """
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
@@ -33,11 +35,12 @@ from pyspark.sql import functions as F
 from .shingles import mix, shingle_sets
 from .storage import cut, keep_rows, row_key, text_of
 
-BUCKET_BITS = 16
+BUCKET_BITS = 18
 SLICES = 16
 FRAGMENTS = 8
-HOT = 20_000  # prefix entries of an n-gram per task
+HOT = 20_000  # n-grams of a bucket beyond four times the mean; for each so many its entries get a further part
 BAND = 1.5
+PIVOTS = 4
 MAX_ROUNDS = 8
 FEW_PAIRS = 100_000  # with no more left than this, and twice the entries, no further round of stars
 BROADCAST_IDS = 100_000  # rows of at most 100 bytes
@@ -77,7 +80,7 @@ def _summary(texts, size):
                 [batch.column(0), batch.column(1), pa.array(classes, pa.int64()), pa.array(sizes, pa.int64()), *none], names=names
             )
         if counts.any():
-            parts = [part.astype("<i8").tobytes() for part in np.split(counts, SLICES)]
+            parts = [zlib.compress(part.astype("<i8").tobytes(), 1) for part in np.split(counts, SLICES)]
             none = [pa.nulls(SLICES, kind) for kind in (pa.int64(), pa.string(), pa.int64(), pa.int64())]
             yield pa.RecordBatch.from_arrays(
                 [*none, pa.array(range(SLICES), pa.int32()), pa.array(parts, pa.binary())], names=names
@@ -87,16 +90,16 @@ def _summary(texts, size):
 
 
 def _bucket_counts(summary):
-    """Sum of the bucket counts of all tasks: 65,536 numbers."""
+    """Sum of the bucket counts of all tasks."""
 
     def add(batches):
         sums = {}
         for batch in batches:
             for number, part in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                part = np.frombuffer(part.as_py(), dtype="<i8")
+                part = np.frombuffer(zlib.decompress(part.as_py()), dtype="<i8")
                 sums[number] = sums[number] + part if number in sums else part
         yield pa.RecordBatch.from_arrays(
-            [pa.array(list(sums), pa.int32()), pa.array([s.tobytes() for s in sums.values()], pa.binary())],
+            [pa.array(list(sums), pa.int32()), pa.array([zlib.compress(s.tobytes(), 1) for s in sums.values()], pa.binary())],
             names=["slice", "counts"],
         )
 
@@ -105,7 +108,7 @@ def _bucket_counts(summary):
     summed = parts.mapInArrow(add, schema).repartition(SLICES, "slice").mapInArrow(add, schema)
     out = np.zeros((SLICES, (1 << BUCKET_BITS) // SLICES), dtype=np.int64)
     for row in summed.collect():
-        out[row["slice"]] = np.frombuffer(row["counts"], dtype="<i8")
+        out[row["slice"]] = np.frombuffer(zlib.decompress(row["counts"]), dtype="<i8")
     return out.ravel()
 
 
@@ -119,7 +122,7 @@ class _Order:
         mass = np.cumsum(counts[by_count])
         steps = np.searchsorted(mass, mass[-1] * np.arange(1, fragments) / fragments)
         self.cuts = steps.astype(np.int64) << (63 - BUCKET_BITS)
-        self.shares = (counts[by_count] // HOT + 1).astype(np.int64)
+        self.shares = (np.maximum(counts[by_count] - 4 * counts.mean(), 0) // HOT + 1).astype(np.int64)
 
     def numbers(self, hashes):
         bucket = (hashes & np.uint64((1 << BUCKET_BITS) - 1)).astype(np.int64)
@@ -149,7 +152,7 @@ def _prefixes(texts, order, percent, size):
                 name = np.repeat(np.array([c for _, c, _ in parts], dtype=np.int64), lengths)
                 n = np.repeat(np.array([n for _, _, n in parts], dtype=np.int32), lengths)
                 place = np.concatenate([np.arange(k, dtype=np.int32) for k in lengths])
-                share = name % table.shares[number >> (63 - BUCKET_BITS)]
+                share = (mix((number ^ name).view(np.uint64)) >> np.uint64(1)).view(np.int64) % table.shares[number >> (63 - BUCKET_BITS)]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(number), pa.array(share.astype(np.int32)), pa.array(name), pa.array(n), pa.array(place)],
                     names=["number", "share", "class", "n", "place"],
@@ -193,8 +196,12 @@ def _with_partner(order, percent):
     return task
 
 
+def _parts(frame):
+    return int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def _segments(texts, rows, order, size):
-    """Rows (class, fragment, numbers) of the texts in ``rows`` (row, class)."""
+    """Rows (segment, numbers) of the texts in ``rows`` (row, class), spread by segment for the joins."""
 
     def task(batches):
         table = order.value
@@ -217,7 +224,46 @@ def _segments(texts, rows, order, size):
     small = rows.count() <= BROADCAST_IDS
     wanted = texts.select("row", "text").join(F.broadcast(rows) if small else rows, "row")
     found = wanted.select("class", "text").mapInArrow(task, "class long, fragment int, numbers array<long>")
-    return cut(found.dropDuplicates(["class", "fragment"]))
+    return cut(
+        found.select(F.xxhash64("class", "fragment").alias("segment"), "numbers").repartition(_parts(found), "segment")
+    )
+
+
+def _stars(order, percent):
+    """Pairs of each class with pivots of its n-grams, and how many pairs would be left to compare.
+
+    Rows come sorted by n-gram, share, band and rank, so the first rows of a group are its pivots.
+    Output (a, b, left): pairs in different components, and one row per task with the sum of
+    group size times classes outside the component of the first pivot.
+    """
+
+    def task(batches):
+        group, pivots, total, rest, left = None, [], 0, 0, 0
+        for batch in batches:
+            pairs = set()
+            columns = (batch.column(k).to_pylist() for k in range(6))
+            for number, share, band, name, n, root in zip(*columns, strict=True):
+                if group != (number, share, band):
+                    left += total * rest
+                    group, pivots, total, rest = (number, share, band), [], 0, 0
+                total += 1
+                if pivots and root != pivots[0][2]:
+                    rest += 1
+                for other, m, its in pivots:
+                    if its != root and 100 * min(n, m) >= percent * max(n, m):
+                        pairs.add((name, other) if name < other else (other, name))
+                if len(pivots) < PIVOTS and all(name != other for other, _, _ in pivots):
+                    pivots.append((name, n, root))
+            if pairs:
+                first, second = zip(*pairs, strict=True)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(first, pa.int64()), pa.array(second, pa.int64()), pa.nulls(len(first), pa.int64())], names=["a", "b", "left"]
+                )
+        left += total * rest
+        if left:
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([left], pa.int64())], names=["a", "b", "left"])
+
+    return task
 
 
 def components(edges):
@@ -246,70 +292,65 @@ def components(edges):
 
 
 class _Join:
-    """State of one join: prefix entries, prefixes by class, segments so far, links and components."""
+    """State of one join: prefixes by class, segments so far, links and components."""
 
     def __init__(self, texts, classes, entries, order, percent, size):
         self.texts, self.classes, self.order, self.percent, self.size = texts, classes, order, percent, size
         spark = texts.sparkSession
         self.prefixes = cut(
-            entries.groupBy("class").agg(
+            entries.repartition(_parts(entries), "class").groupBy("class").agg(
                 F.first("n").alias("n"), F.sort_array(F.collect_list("number")).alias("numbers"),
                 F.sort_array(F.collect_list("place")).alias("places"),
             )
         )
-        shared = self.prefixes.select("class", (F.size("numbers") / F.col("n")).alias("central"))
-        self.entries = cut(entries.join(shared, "class").select("number", "class", "n", "central"))
-        self.n_entries = self.entries.count()
+        self.n_entries = self.prefixes.agg(F.sum(F.size("numbers"))).first()[0] or 0
         self.segments = None
-        self.links = spark.createDataFrame([], "a long, b long")
         self.roots = spark.createDataFrame([], "node long, root long")
         self.checked = None
 
-    def rooted(self):
+    def entries(self, round_number=0):
+        """Prefix entries with the component of their class and their rank as a pivot."""
         roots = self.roots.select(F.col("node").alias("class"), "root")
-        return self.entries.join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))
-
-    def open_entries(self):
-        """Entries of n-grams whose classes aren't all connected, and the largest component there."""
-        entries = self.rooted()
-        by_root = entries.groupBy("number", "root").agg(F.count("*").alias("size"))
-        largest = by_root.groupBy("number").agg(
-            F.max(F.struct("size", "root")).alias("top"), F.sum("size").alias("total"), F.count("*").alias("roots")
-        ).filter("roots > 1")
-        return cut(entries.join(largest.select("number", F.col("top.root").alias("top"), (F.col("total") - F.col("top.size")).alias("rest"),
-                                               "total"), "number"))
+        central = F.round(F.size("numbers") / F.col("n"), 1 if round_number else 3)
+        return (
+            self.prefixes.join(roots, "class", "left")
+            .select("class", "n", F.coalesce("root", "class").alias("root"), (-central).alias("rank"), F.explode("numbers").alias("number"))
+        )
 
     def fitting(self, left, right):
         return F.least(left, right) * 100 >= F.greatest(left, right) * self.percent
 
-    def star_pairs(self, entries, number):
-        """Pairs of classes with the pivots of their n-grams, within bands of similar sizes."""
-        band = F.floor(F.log(BAND, F.col("n").cast("double")) + (0.5 if number % 2 else 0.0))
-        entries = entries.withColumn("band", band)
-        about = [F.col("class"), F.col("n"), F.col("root")]
-        rank = lambda k: F.xxhash64("class", F.lit(17 * number + k))
-        pivots = entries.groupBy("number", "band").agg(
-            F.array(
-                F.min(F.struct((-F.col("central")).alias("r"), rank(0).alias("s"), *about)),
-                F.min(F.struct(F.round(-F.col("central"), 1).alias("r"), rank(1).alias("s"), *about)),
-                F.min(F.struct(F.lit(0.0).alias("r"), rank(2).alias("s"), *about)),
-                F.min(F.struct(F.lit(0.0).alias("r"), rank(3).alias("s"), *about)),
-            ).alias("pivots")
+    def star_pairs(self, number):
+        """Pairs with pivots, and the number of pairs left; bands of sizes are moved in every other round."""
+        band = F.floor(F.log(BAND, F.col("n").cast("double")) + (0.5 if number % 2 else 0.0)).cast("int")
+        shares = self.order.value.shares
+        hot = np.flatnonzero(shares > 1)
+        share = F.lit(0)
+        if len(hot):  # hot buckets are the last ones of the order
+            limit = int(hot[0]) << (63 - BUCKET_BITS)
+            share = F.when(F.col("number") >= limit, F.pmod(F.xxhash64("class", "number", F.lit(number)), F.lit(int(shares[hot].max()))).cast("int")).otherwise(0)
+        spread = self.entries(number).select("number", share.alias("share"), band.alias("band"), "class", "n", "root", "rank")
+        ordered = spread.repartition("number", "share").sortWithinPartitions(
+            "number", "share", "band", "rank", F.xxhash64("class", F.lit(number)), "class"
         )
-        pairs = entries.join(pivots, ["number", "band"]).select("class", "n", "root", F.explode(F.array_distinct("pivots")).alias("p"))
-        return pairs.filter((F.col("root") != F.col("p.root")) & self.fitting(F.col("n"), F.col("p.n"))).select(
-            F.least("class", "p.class").alias("a"), F.greatest("class", "p.class").alias("b")
+        return cut(
+            ordered.select("number", "share", "band", "class", "n", "root")
+            .mapInArrow(_stars(self.order, self.percent), "a long, b long, left long").groupBy("a", "b").agg(F.sum("left").alias("left"))
         )
 
-    def all_pairs(self, entries):
+    def all_pairs(self):
         """Every pair in different components that shares a prefix n-gram."""
-        rest = entries.filter("root <> top").select("number", F.col("class").alias("x"), F.col("n").alias("m"), F.col("root").alias("r"))
-        pairs = entries.join(rest, "number").filter((F.col("root") != F.col("r")) & self.fitting(F.col("n"), F.col("m")))
-        return pairs.select(F.least("class", "x").alias("a"), F.greatest("class", "x").alias("b"))
+        entries = self.entries()
+        tops = entries.groupBy("number").agg(
+            F.min(F.struct("rank", F.xxhash64("class").alias("s"), "root")).alias("top"), F.min("root").alias("low"), F.max("root").alias("high")
+        ).filter("low <> high").select("number", F.col("top.root").alias("top"))
+        open_entries = entries.join(tops, "number").select("number", "class", "n", "root", "top")
+        rest = open_entries.filter("root <> top").select("number", F.col("class").alias("x"), F.col("n").alias("m"), F.col("root").alias("r"))
+        pairs = open_entries.join(rest, "number").filter((F.col("root") != F.col("r")) & self.fitting(F.col("n"), F.col("m")))
+        return pairs.select(F.least("class", "x").alias("a"), F.greatest("class", "x").alias("b")).distinct()
 
     def verify(self, pairs):
-        """The pairs that are links, by counts of prefixes first and of fragments then."""
-        pairs = pairs.distinct()
+        """The pairs that are links, by counts of prefixes first and of fragments then; pairs are distinct."""
         if self.checked is not None:
             pairs = pairs.join(self.checked, ["a", "b"], "left_anti")
         side = lambda c: self.prefixes.select(
@@ -327,20 +368,26 @@ class _Join:
             .select("a", "b", (F.col("n_a") + F.col("n_b")).alias("sizes"))
         )
         self.add_segments(likely)
-        likely_a = likely.join(self.segments.select(F.col("class").alias("a"), "fragment", F.col("numbers").alias("numbers_a")), "a")
-        partial = likely_a.join(
-            self.segments.select(F.col("class").alias("b"), "fragment", F.col("numbers").alias("numbers_b")), ["b", "fragment"]
-        ).select("a", "b", "sizes", F.size(F.array_intersect("numbers_a", "numbers_b")).alias("part"))
-        overlap = partial.groupBy("a", "b", "sizes").agg(F.sum("part").alias("overlap"))
+        fragments = F.explode(F.sequence(F.lit(0), F.lit(FRAGMENTS - 1))).alias("fragment")
+        keys = likely.select("a", "b", "sizes", fragments).select(
+            "a", "b", "sizes", "fragment", F.xxhash64("a", "fragment").alias("segment_a"), F.xxhash64("b", "fragment").alias("segment_b")
+        )
+        part = lambda c: self.segments.select(F.col("segment").alias(f"segment_{c}"), F.col("numbers").alias(f"numbers_{c}"))
+        partial = keys.join(part("a"), "segment_a").join(part("b"), "segment_b")
+        counted = partial.groupBy("a", "b", "sizes", "fragment").agg(  # a text that is there twice has its segments twice
+            F.max(F.size(F.array_intersect("numbers_a", "numbers_b"))).alias("part")
+        )
+        overlap = counted.groupBy("a", "b", "sizes").agg(F.sum("part").alias("overlap"))
         found = overlap.filter(F.col("overlap") * 100 >= (F.col("sizes") - F.col("overlap")) * self.percent)
         done = likely.select("a", "b")
         self.checked = done if self.checked is None else self.checked.unionByName(done)
         return cut(found.select("a", "b"))
 
     def add_segments(self, pairs):
+        """Segments of the classes of the pairs that have none yet."""
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
         if self.segments is not None:
-            wanted = wanted.join(self.segments.select("class"), "class", "left_anti")
+            wanted = wanted.join(self.checked.select(F.explode(F.array("a", "b")).alias("class")).distinct(), "class", "left_anti")
         rows = cut(self.classes.join(wanted, "class", "left_semi").select("row", "class"))
         new = _segments(self.texts, rows, self.order, self.size)
         self.segments = new if self.segments is None else self.segments.unionByName(new)
@@ -350,15 +397,13 @@ class _Join:
         self.roots = components(edges)
 
     def run(self):
-        for number in range(MAX_ROUNDS + 1):
-            entries = self.open_entries()
-            left = entries.agg(F.sum("rest")).first()[0] or 0  # pairs that are still to be compared, at most
-            if not left:
-                break
-            if left <= 2 * self.n_entries + FEW_PAIRS or number == MAX_ROUNDS:
-                self.connect(self.verify(self.all_pairs(entries)))
+        for number in range(MAX_ROUNDS):
+            stars = self.star_pairs(number)
+            left = stars.agg(F.sum("left")).first()[0] or 0
+            if left <= 2 * self.n_entries + FEW_PAIRS:
                 break
-            self.connect(self.verify(self.star_pairs(entries, number)))
+            self.connect(self.verify(stars.filter("a IS NOT NULL").select("a", "b")))
+        self.connect(self.verify(self.all_pairs()))
         return self.roots
 
 
@@ -373,9 +418,8 @@ def _joined(docs, percent, size, id_column, text_column):
         return rows, spark.createDataFrame([], "node long, root long")
     order = spark.sparkContext.broadcast(_Order(counts))
     spread = _prefixes(texts, order, percent, size).repartition("number", "share")
-    entries = cut(
-        spread.sortWithinPartitions("number", "share", "n", "class")
-        .mapInArrow(_with_partner(order, percent), "number long, class long, n int, place int")
+    entries = spread.sortWithinPartitions("number", "share", "n", "class").mapInArrow(
+        _with_partner(order, percent), "number long, class long, n int, place int"
     )
     classes = rows.filter("n > 0").groupBy("class").agg(F.min("row").alias("row"))
     return rows, _Join(texts, classes, entries, order, percent, size).run()
