@@ -229,37 +229,42 @@ def _segments(texts, rows, order, size):
     )
 
 
-def _stars(order, percent):
+def _stars(percent):
     """Pairs of each class with pivots of its n-grams, and how many pairs would be left to compare.
 
     Rows come sorted by n-gram, share, band and rank, so the first rows of a group are its pivots.
-    Output (a, b, left): pairs in different components, and one row per task with the sum of
-    group size times classes outside the component of the first pivot.
+    Output (a, b, left): pairs in different components that may be links, and a row per task with the
+    sum over groups of the pairs that have a class outside the component of the first pivot.
     """
 
     def task(batches):
-        group, pivots, total, rest, left = None, [], 0, 0, 0
+        group, pivots, left = None, [], 0
+        total = strong_total = rest = strong_rest = 0
         for batch in batches:
             pairs = set()
-            columns = (batch.column(k).to_pylist() for k in range(6))
-            for number, share, band, name, n, root in zip(*columns, strict=True):
+            columns = (batch.column(k).to_pylist() for k in range(9))
+            for number, share, band, name, n, root, k, behind, strong in zip(*columns, strict=True):
                 if group != (number, share, band):
-                    left += total * rest
-                    group, pivots, total, rest = (number, share, band), [], 0, 0
+                    left += total * strong_rest + strong_total * rest
+                    group, pivots = (number, share, band), []
+                    total = strong_total = rest = strong_rest = 0
                 total += 1
+                strong_total += strong
                 if pivots and root != pivots[0][2]:
                     rest += 1
-                for other, m, its in pivots:
-                    if its != root and 100 * min(n, m) >= percent * max(n, m):
-                        pairs.add((name, other) if name < other else (other, name))
-                if len(pivots) < PIVOTS and all(name != other for other, _, _ in pivots):
-                    pivots.append((name, n, root))
+                    strong_rest += strong
+                for other, m, its, k2, behind2, strong2 in pivots:
+                    if its != root and (strong if (n, name) < (m, other) else strong2) and 100 * min(n, m) >= percent * max(n, m):
+                        if min(k, k2) + 1 + min(behind, behind2) >= -(-percent * (n + m) // (100 + percent)):
+                            pairs.add((name, other) if name < other else (other, name))
+                if len(pivots) < PIVOTS and all(name != p[0] for p in pivots):
+                    pivots.append((name, n, root, k, behind, strong))
             if pairs:
                 first, second = zip(*pairs, strict=True)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(first, pa.int64()), pa.array(second, pa.int64()), pa.nulls(len(first), pa.int64())], names=["a", "b", "left"]
                 )
-        left += total * rest
+        left += total * strong_rest + strong_total * rest
         if left:
             yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([left], pa.int64())], names=["a", "b", "left"])
 
@@ -308,18 +313,30 @@ class _Join:
         self.roots = spark.createDataFrame([], "node long, root long")
         self.checked = None
 
+    def needed(self, n, m):
+        """The overlap two sets of these sizes need: overlap / (n + m - overlap) >= percent / 100."""
+        whole = 100 + self.percent
+        return F.call_function("div", (n + m) * self.percent + (whole - 1), F.lit(whole))
+
     def entries(self, round_number=0):
-        """Prefix entries with the component of their class and their rank as a pivot."""
+        """Prefix entries with the component of their class and their rank as a pivot.
+
+        ``k`` is the place among the class's entries and ``behind`` the number of its n-grams after
+        this one. Of the last n-gram two prefixes share, the smaller ``k`` + 1 bounds what they share up
+        to it, and the smaller ``behind`` what they may share after it. An entry is strong if that
+        allows a link with a set that isn't smaller; of a pair the smaller set must have one.
+        """
         roots = self.roots.select(F.col("node").alias("class"), "root")
         central = F.round(F.size("numbers") / F.col("n"), 1 if round_number else 3)
+        n = F.col("n").cast("long")
         return (
             self.prefixes.join(roots, "class", "left")
-            .select("class", "n", F.coalesce("root", "class").alias("root"), (-central).alias("rank"), F.explode("numbers").alias("number"))
+            .select("class", n.alias("n"), F.coalesce("root", "class").alias("root"), (-central).alias("rank"),
+                    F.posexplode(F.arrays_zip("numbers", "places")).alias("k", "entry"))
+            .select("class", "n", "root", "rank", "k", F.col("entry.numbers").alias("number"), (F.col("n") - F.col("entry.places") - 1).alias("behind"))
+            .withColumn("strong", F.col("k") + 1 + F.col("behind") >= self.needed(F.col("n"), F.col("n")))
         )
 
-    def fitting(self, left, right):
-        return F.least(left, right) * 100 >= F.greatest(left, right) * self.percent
-
     def star_pairs(self, number):
         """Pairs with pivots, and the number of pairs left; bands of sizes are moved in every other round."""
         band = F.floor(F.log(BAND, F.col("n").cast("double")) + (0.5 if number % 2 else 0.0)).cast("int")
@@ -329,25 +346,47 @@ class _Join:
         if len(hot):  # hot buckets are the last ones of the order
             limit = int(hot[0]) << (63 - BUCKET_BITS)
             share = F.when(F.col("number") >= limit, F.pmod(F.xxhash64("class", "number", F.lit(number)), F.lit(int(shares[hot].max()))).cast("int")).otherwise(0)
-        spread = self.entries(number).select("number", share.alias("share"), band.alias("band"), "class", "n", "root", "rank")
+        spread = self.entries(number).select("number", share.alias("share"), band.alias("band"), "class", "n", "root", "k", "behind", "strong", "rank")
         ordered = spread.repartition("number", "share").sortWithinPartitions(
             "number", "share", "band", "rank", F.xxhash64("class", F.lit(number)), "class"
         )
         return cut(
-            ordered.select("number", "share", "band", "class", "n", "root")
-            .mapInArrow(_stars(self.order, self.percent), "a long, b long, left long").groupBy("a", "b").agg(F.sum("left").alias("left"))
+            ordered.drop("rank").mapInArrow(_stars(self.percent), "a long, b long, left long")
+            .groupBy("a", "b").agg(F.sum("left").alias("left"))
         )
 
     def all_pairs(self):
-        """Every pair in different components that shares a prefix n-gram."""
+        """Every pair in different components that shares a prefix n-gram and may be a link there.
+
+        Both sides meet by n-gram and band of sizes. Of each n-gram one component is left out against
+        itself: a pair in different components has a class outside of it.
+        """
         entries = self.entries()
         tops = entries.groupBy("number").agg(
             F.min(F.struct("rank", F.xxhash64("class").alias("s"), "root")).alias("top"), F.min("root").alias("low"), F.max("root").alias("high")
         ).filter("low <> high").select("number", F.col("top.root").alias("top"))
-        open_entries = entries.join(tops, "number").select("number", "class", "n", "root", "top")
-        rest = open_entries.filter("root <> top").select("number", F.col("class").alias("x"), F.col("n").alias("m"), F.col("root").alias("r"))
-        pairs = open_entries.join(rest, "number").filter((F.col("root") != F.col("r")) & self.fitting(F.col("n"), F.col("m")))
-        return pairs.select(F.least("class", "x").alias("a"), F.greatest("class", "x").alias("b")).distinct()
+        ratio = 100.0 / self.percent
+        band = F.floor(F.log(ratio, F.col("n").cast("double")) + 1e-9).cast("int") if ratio > 1 else F.lit(0)
+        open_entries = entries.join(tops, "number").withColumn("band", band)
+        small = open_entries.filter("strong").select(
+            "number", F.explode(F.array(*[F.col("band") + d for d in (-1, 0, 1, 2)])).alias("band"), F.col("class").alias("x"), F.col("n").alias("m"),
+            F.col("root").alias("r"), F.col("k").alias("k2"), F.col("behind").alias("behind2"),
+        )
+        small_rest = small.join(tops, "number").filter("r <> top").drop("top")
+        small_top = small.join(tops, "number").filter("r = top").drop("top")
+        large = open_entries.select("number", "band", "class", "n", "root", "k", "behind", "top")
+        may_link = (
+            (F.col("root") != F.col("r"))
+            & ((F.col("m") < F.col("n")) | ((F.col("m") == F.col("n")) & (F.col("x") < F.col("class"))))
+            & (F.col("m") * 100 >= F.col("n") * self.percent)
+            & (F.least("k", "k2") + 1 + F.least("behind", "behind2") >= self.needed(F.col("n"), F.col("m")))
+        )
+        joined = [
+            large.join(small_rest, ["number", "band"]).filter(may_link),
+            large.filter("root <> top").join(small_top, ["number", "band"]).filter(may_link),
+        ]
+        pairs = [p.select(F.least("class", "x").alias("a"), F.greatest("class", "x").alias("b")) for p in joined]
+        return pairs[0].unionByName(pairs[1]).distinct()
 
     def verify(self, pairs):
         """The pairs that are links, by counts of prefixes first and of fragments then; pairs are distinct."""
@@ -361,8 +400,7 @@ class _Join:
         left_over = lambda c: F.col(f"n_{c}") - 1 - F.element_at(
             f"places_{c}", F.array_position(f"numbers_{c}", last).cast("int")
         )
-        # overlap / union >= percent / 100, with union = n_a + n_b - overlap
-        needed = F.ceil(F.lit(self.percent) * (F.col("n_a") + F.col("n_b")) / (100.0 + self.percent) - 1e-6)
+        needed = self.needed(F.col("n_a").cast("long"), F.col("n_b").cast("long"))
         likely = cut(
             both.filter(F.size("common") + F.least(left_over("a"), left_over("b")) >= needed)
             .select("a", "b", (F.col("n_a") + F.col("n_b")).alias("sizes"))
@@ -397,11 +435,14 @@ class _Join:
         self.roots = components(edges)
 
     def run(self):
+        before = None
         for number in range(MAX_ROUNDS):
             stars = self.star_pairs(number)
             left = stars.agg(F.sum("left")).first()[0] or 0
-            if left <= 2 * self.n_entries + FEW_PAIRS:
+            # another round of stars pays while there is much to compare and the last one more than halved it
+            if left <= 2 * self.n_entries + FEW_PAIRS or (before is not None and 2 * left > before):
                 break
+            before = left
             self.connect(self.verify(stars.filter("a IS NOT NULL").select("a", "b")))
         self.connect(self.verify(self.all_pairs()))
         return self.roots
