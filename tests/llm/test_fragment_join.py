@@ -68,9 +68,10 @@ def test_unusual_rows(spark):
     assert found(documents(spark, [(1, None), (2, "")])) == [(1, 0, 1), (2, 0, 2)]
 
 
-@pytest.mark.parametrize("few", [100_000, -10**9])
-def test_groups_of_near_copies(spark, monkeypatch, few):
+@pytest.mark.parametrize(("large", "few"), [(64, 100_000), (3, -1)])
+def test_groups_of_near_copies(spark, monkeypatch, large, few):
     """The same components, with all pairs at once and with rounds of stars first."""
+    monkeypatch.setattr(fragment_join, "LARGE_GROUP", large)
     monkeypatch.setattr(fragment_join, "FEW_PAIRS", few)
     rows = near_copies(sentence(11, 60), 60, 3, 1, 100) + near_copies(sentence(12, 200), 30, 12, 2, 300)
     rows += near_copies(sentence(13, 25), 12, 1, 3, 500) + [(600 + k, sentence(20 + k, 30 + k)) for k in range(20)]

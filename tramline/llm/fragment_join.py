@@ -42,7 +42,8 @@ HOT = 20_000  # n-grams of a bucket beyond four times the mean; for each so many
 BAND = 1.5
 PIVOTS = 4
 MAX_ROUNDS = 8
-FEW_PAIRS = 100_000  # with no more left than this, and twice the entries, no further round of stars
+LARGE_GROUP = 64  # classes that share an n-gram in their prefixes, from which on stars go first
+FEW_PAIRS = 100_000  # with no more pairs left in large groups than this, no further round of stars
 BROADCAST_IDS = 100_000  # rows of at most 100 bytes
 
 
@@ -301,22 +302,21 @@ class _Join:
 
     def __init__(self, texts, classes, entries, order, percent, size):
         self.texts, self.classes, self.order, self.percent, self.size = texts, classes, order, percent, size
-        spark = texts.sparkSession
         self.prefixes = cut(
             entries.repartition(_parts(entries), "class").groupBy("class").agg(
                 F.first("n").alias("n"), F.sort_array(F.collect_list("number")).alias("numbers"),
                 F.sort_array(F.collect_list("place")).alias("places"),
             )
         )
-        self.n_entries = self.prefixes.agg(F.sum(F.size("numbers"))).first()[0] or 0
-        self.segments = None
-        self.roots = spark.createDataFrame([], "node long, root long")
-        self.checked = None
+        numbers = self.prefixes.select(F.explode("numbers").alias("number"))
+        self.large = cut(numbers.groupBy("number").count().filter(F.col("count") > LARGE_GROUP).select("number"))
+        self.any_large = not self.large.isEmpty()
+        self.segments = self.roots = self.checked = None
 
     def needed(self, n, m):
         """The overlap two sets of these sizes need: overlap / (n + m - overlap) >= percent / 100."""
         whole = 100 + self.percent
-        return F.call_function("div", (n + m) * self.percent + (whole - 1), F.lit(whole))
+        return F.call_function("div", (n.cast("long") + m) * self.percent + (whole - 1), F.lit(whole))
 
     def entries(self, round_number=0):
         """Prefix entries with the component of their class and their rank as a pivot.
@@ -326,17 +326,23 @@ class _Join:
         to it, and the smaller ``behind`` what they may share after it. An entry is strong if that
         allows a link with a set that isn't smaller; of a pair the smaller set must have one.
         """
-        roots = self.roots.select(F.col("node").alias("class"), "root")
+        entries = self.prefixes
+        if self.roots is None:
+            entries = entries.withColumn("root", F.col("class"))
+        else:
+            roots = self.roots.select(F.col("node").alias("class"), "root")
+            entries = entries.join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))
         central = F.round(F.size("numbers") / F.col("n"), 1 if round_number else 3)
-        n = F.col("n").cast("long")
         return (
-            self.prefixes.join(roots, "class", "left")
-            .select("class", n.alias("n"), F.coalesce("root", "class").alias("root"), (-central).alias("rank"),
-                    F.posexplode(F.arrays_zip("numbers", "places")).alias("k", "entry"))
+            entries.select("class", "n", "root", (-central).alias("rank"), F.posexplode(F.arrays_zip("numbers", "places")).alias("k", "entry"))
             .select("class", "n", "root", "rank", "k", F.col("entry.numbers").alias("number"), (F.col("n") - F.col("entry.places") - 1).alias("behind"))
             .withColumn("strong", F.col("k") + 1 + F.col("behind") >= self.needed(F.col("n"), F.col("n")))
         )
 
+    def in_large_groups(self, entries, wanted=True):
+        """The entries of n-grams that many classes share, or the others."""
+        return entries.join(self.large, "number", "left_semi" if wanted else "left_anti") if self.any_large else entries
+
     def star_pairs(self, number):
         """Pairs with pivots, and the number of pairs left; bands of sizes are moved in every other round."""
         band = F.floor(F.log(BAND, F.col("n").cast("double")) + (0.5 if number % 2 else 0.0)).cast("int")
@@ -346,7 +352,7 @@ class _Join:
         if len(hot):  # hot buckets are the last ones of the order
             limit = int(hot[0]) << (63 - BUCKET_BITS)
             share = F.when(F.col("number") >= limit, F.pmod(F.xxhash64("class", "number", F.lit(number)), F.lit(int(shares[hot].max()))).cast("int")).otherwise(0)
-        spread = self.entries(number).select("number", share.alias("share"), band.alias("band"), "class", "n", "root", "k", "behind", "strong", "rank")
+        spread = self.in_large_groups(self.entries(number)).select("number", share.alias("share"), band.alias("band"), "class", "n", "root", "k", "behind", "strong", "rank")
         ordered = spread.repartition("number", "share").sortWithinPartitions(
             "number", "share", "band", "rank", F.xxhash64("class", F.lit(number)), "class"
         )
@@ -355,38 +361,49 @@ class _Join:
             .groupBy("a", "b").agg(F.sum("left").alias("left"))
         )
 
+    def meeting(self, large, small, keys):
+        """Pairs of a class and a smaller or equal one, from entries that meet, as far as they may be links."""
+        may_link = (
+            (F.col("root") != F.col("r"))
+            & ((F.col("m") < F.col("n")) | ((F.col("m") == F.col("n")) & (F.col("x") < F.col("class"))))
+            & (F.col("m") * 100 >= F.col("n") * self.percent)
+            & (F.least("k", "k2") + 1 + F.least("behind", "behind2") >= self.needed(F.col("n"), F.col("m")))
+        )
+        met = large.join(small, keys).filter(may_link)
+        return met.select(F.least("class", "x").alias("a"), F.greatest("class", "x").alias("b"))
+
+    def smaller(self, entries, *others):
+        return entries.filter("strong").select(
+            "number", *others, F.col("class").alias("x"), F.col("n").alias("m"), F.col("root").alias("r"), F.col("k").alias("k2"),
+            F.col("behind").alias("behind2"),
+        )
+
     def all_pairs(self):
         """Every pair in different components that shares a prefix n-gram and may be a link there.
 
-        Both sides meet by n-gram and band of sizes. Of each n-gram one component is left out against
-        itself: a pair in different components has a class outside of it.
+        In large groups both sides meet by band of sizes too, and of each n-gram one component is left
+        out against itself: a pair in different components has a class outside of it.
         """
-        entries = self.entries()
+        columns = ["number", "class", "n", "root", "k", "behind", "strong"]
+        others = self.in_large_groups(self.entries().select(*columns), False)
+        pairs = self.meeting(others.drop("strong"), self.smaller(others), ["number"])
+        if not self.any_large:
+            return pairs.distinct()
+        entries = self.in_large_groups(self.entries())
         tops = entries.groupBy("number").agg(
             F.min(F.struct("rank", F.xxhash64("class").alias("s"), "root")).alias("top"), F.min("root").alias("low"), F.max("root").alias("high")
         ).filter("low <> high").select("number", F.col("top.root").alias("top"))
         ratio = 100.0 / self.percent
+        # sizes within the ratio lie in one band or in neighbours; equal quotients are rounded alike
         band = F.floor(F.log(ratio, F.col("n").cast("double")) + 1e-9).cast("int") if ratio > 1 else F.lit(0)
-        open_entries = entries.join(tops, "number").withColumn("band", band)
-        small = open_entries.filter("strong").select(
-            "number", F.explode(F.array(*[F.col("band") + d for d in (-1, 0, 1, 2)])).alias("band"), F.col("class").alias("x"), F.col("n").alias("m"),
-            F.col("root").alias("r"), F.col("k").alias("k2"), F.col("behind").alias("behind2"),
-        )
-        small_rest = small.join(tops, "number").filter("r <> top").drop("top")
-        small_top = small.join(tops, "number").filter("r = top").drop("top")
-        large = open_entries.select("number", "band", "class", "n", "root", "k", "behind", "top")
-        may_link = (
-            (F.col("root") != F.col("r"))
-            & ((F.col("m") < F.col("n")) | ((F.col("m") == F.col("n")) & (F.col("x") < F.col("class"))))
-            & (F.col("m") * 100 >= F.col("n") * self.percent)
-            & (F.least("k", "k2") + 1 + F.least("behind", "behind2") >= self.needed(F.col("n"), F.col("m")))
+        entries = cut(entries.join(tops, "number").select(*columns, "top", band.alias("band")))
+        near = F.explode(F.array("band", F.col("band") + 1)).alias("band")
+        small_rest = self.smaller(entries.filter("root <> top"), near)
+        small_top = self.smaller(entries.filter("root = top"), near)
+        return (
+            pairs.unionByName(self.meeting(entries, small_rest, ["number", "band"]))
+            .unionByName(self.meeting(entries.filter("root <> top"), small_top, ["number", "band"])).distinct()
         )
-        joined = [
-            large.join(small_rest, ["number", "band"]).filter(may_link),
-            large.filter("root <> top").join(small_top, ["number", "band"]).filter(may_link),
-        ]
-        pairs = [p.select(F.least("class", "x").alias("a"), F.greatest("class", "x").alias("b")) for p in joined]
-        return pairs[0].unionByName(pairs[1]).distinct()
 
     def verify(self, pairs):
         """The pairs that are links, by counts of prefixes first and of fragments then; pairs are distinct."""
@@ -431,16 +448,17 @@ class _Join:
         self.segments = new if self.segments is None else self.segments.unionByName(new)
 
     def connect(self, links):
-        edges = links.unionByName(self.roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
-        self.roots = components(edges)
+        if self.roots is not None:
+            links = links.unionByName(self.roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
+        self.roots = components(links)
 
     def run(self):
         before = None
-        for number in range(MAX_ROUNDS):
+        for number in range(MAX_ROUNDS if self.any_large else 0):
             stars = self.star_pairs(number)
             left = stars.agg(F.sum("left")).first()[0] or 0
             # another round of stars pays while there is much to compare and the last one more than halved it
-            if left <= 2 * self.n_entries + FEW_PAIRS or (before is not None and 2 * left > before):
+            if left <= FEW_PAIRS or (before is not None and 2 * left > before):
                 break
             before = left
             self.connect(self.verify(stars.filter("a IS NOT NULL").select("a", "b")))
