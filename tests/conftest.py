@@ -1,6 +1,6 @@
 import pytest
 
-from tests.fixtures import demo_raw, scenario_raw
+from tests.fixtures import lake_raw
 from tramline.feed import Feed
 from tramline.operators import silver
 from tramline.session import local_session
@@ -21,10 +21,5 @@ def as_feed(raw):
 
 
 @pytest.fixture(scope="session")
-def scenario(spark):
-    return as_feed(scenario_raw(spark))
-
-
-@pytest.fixture(scope="session")
-def demo(spark):
-    return as_feed(demo_raw(spark))
+def lake(spark):
+    return as_feed(lake_raw(spark))

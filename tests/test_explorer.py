@@ -4,38 +4,38 @@ import pytest
 from pyspark.sql import functions as F
 
 from tramline.functions import labels
-from tramline.operators import explorer, joins
+from tramline.operators import explorer
 
-DAY = date(2026, 10, 7)  # WD removed, EXTRA added
-WEEKDAY = date(2026, 10, 1)
+FAIR = date(2027, 3, 5)
+MONDAY = date(2027, 3, 1)
 
 
-def test_active_trips_follow_exceptions(demo):
-    assert [r.trip_id for r in explorer.active_trips(demo, DAY).collect()] == ["EXTRA"]
-    assert {r.trip_id for r in explorer.active_trips(demo, WEEKDAY).collect()} == {"T1", "T2", "LATE"}
-    assert {r.route_id for r in explorer.active_routes(demo, WEEKDAY).collect()} == {"D1", "D2"}
+def test_active_trips_follow_exceptions(lake):
+    assert [r.trip_id for r in explorer.active_trips(lake, FAIR).collect()] == ["f1"]
+    assert {r.trip_id for r in explorer.active_trips(lake, MONDAY).collect()} == {"s1", "s2", "s3", "s4"}
+    assert {r.route_id for r in explorer.active_routes(lake, MONDAY).collect()} == {"B", "T"}
 
 
-def test_repeated_visits_are_kept(demo):
-    visits = explorer.trip_visits(demo, DAY, trip="EXTRA").collect()
-    assert [(v.stop_sequence, v.stop_id) for v in visits] == [(0, "0001"), (2, "NA"), (5, "0001")]
-    markers = explorer.stop_markers(explorer.trip_visits(demo, DAY), "NA").collect()
-    assert {(m.stop_id, m.selected) for m in markers} == {("0001", False), ("NA", True)}
-    summary = explorer.trip_summary(explorer.trip_visits(demo, DAY)).first()
-    assert (summary.first_stop, summary.last_stop, summary.visits) == ("North", "North", 3)
+def test_repeated_visits_are_kept(lake):
+    found = explorer.trip_visits(lake, MONDAY, trip="s3")
+    assert [(v.stop_sequence, v.stop_id) for v in found.collect()] == [(10, "0042"), (20, "None"), (30, "0042")]
+    markers = explorer.stop_markers(found, "None").collect()
+    assert {(m.stop_id, m.selected) for m in markers} == {("0042", False), ("None", True)}
+    summary = explorer.trip_summary(found).first()
+    assert (summary.first_stop, summary.last_stop, summary.visits) == ("Pier", "Pier", 3)
 
 
-def test_variants_group_equal_patterns(demo):
-    found = explorer.variants(demo, WEEKDAY, route="D1").collect()
-    assert [(v.trip_count, v.first_seconds) for v in found] == [(2, 28800)]
-    times = {t.trip_id: (t.start_seconds, t.end_seconds) for t in explorer.trip_patterns(demo).collect()}
-    assert times["LATE"] == (85800, 90600)
+def test_variants_group_equal_patterns(lake):
+    found = explorer.variants(lake, MONDAY, route="B").collect()
+    assert sorted((v.trip_count, v.first_seconds) for v in found) == [(1, 25200), (2, 21600)]
+    times = {t.trip_id: (t.start_seconds, t.end_seconds) for t in explorer.trip_patterns(lake).collect()}
+    assert times["s4"] == (81000, 93900)
 
 
-def test_trip_without_visits_stays(demo):
-    trips = demo.with_tables(stop_times=demo.stop_times.filter(F.col("trip_id") != "T1"))
+def test_trip_without_visits_stays(lake):
+    trips = lake.with_tables(stop_times=lake.stop_times.filter(F.col("trip_id") != "s1"))
     rows = {r.trip_id: r for r in explorer.trip_patterns(trips).collect()}
-    assert len(rows) == 5 and rows["T1"].start_seconds is None
+    assert len(rows) == 6 and rows["s1"].start_seconds is None
 
 
 @pytest.mark.parametrize("block", [1, 7, 4096])
@@ -70,14 +70,14 @@ def test_equal_stops_with_other_numbers_share_a_pattern(spark):
     assert pattern["a"] == pattern["b"] and len(set(pattern.values())) == 3
 
 
-def test_departures_and_labels(demo):
-    rows = explorer.stop_departures(demo, WEEKDAY, "D1", "NA").collect()
-    assert [(r.trip_id, r.departure_seconds) for r in rows] == [("T1", 29400), ("T2", None)]
-    table = explorer.timetable_view(explorer.trip_visits(demo, WEEKDAY, trip="T2")).collect()
+def test_departures_and_labels(lake):
+    rows = explorer.stop_departures(lake, MONDAY, "B", "None").collect()
+    assert {r.trip_id: r.departure_seconds for r in rows} == {"s1": 22500, "s2": None, "s3": 25800}
+    table = explorer.timetable_view(explorer.trip_visits(lake, MONDAY, trip="s2")).collect()
     assert [(r.departure, r.boarding, r.time_kind) for r in table] == [
-        ("08:30:00", "Regularne", "Dokładny"),
+        ("06:20:00", "Regularne", "Dokładny"),
         ("Brak czasu", "Regularne", "Przybliżony"),
-        ("08:55:00", "Bez wsiadania", "Dokładny"),
+        ("07:05:00", "Na żądanie telefoniczne", "Dokładny"),
     ]
 
 
@@ -95,25 +95,22 @@ def test_texts(spark):
     ]
 
 
-def test_route_search(demo):
-    routes = explorer.routes_view(demo)
-    assert [r.route_id for r in explorer.route_search(routes, labels.TRAM).collect()] == ["D1"]
-    assert [r.route_id for r in explorer.route_search(routes, text="SECOND").collect()] == ["D2"]
-    doubled = routes.withColumn("route_short_name", F.lit("1"))
-    label = {r.route_id: r.route_label for r in explorer.with_route_label(doubled).collect()}
-    assert label["D1"] == "1 · Tramwaj · Demo · agency_id=None · route_id=D1"
+@pytest.mark.parametrize("whole", [7, 8, 16, 40, 200, 2000, 2048, 10_000, 30_000])
+def test_shares_are_rounded_as_the_binary_value(spark, whole):
+    parts = spark.range(0, whole + 1, max(1, whole // 600)).select(
+        F.col("id").alias("part"), F.lit(whole).cast("long").alias("whole")
+    )
+    found = parts.select("part", labels.percent(F.col("part"), F.col("whole")).alias("share")).collect()
+    assert {r.part: r.share for r in found} == {r.part: f"{100 * r.part / whole:.1f}%" for r in found}
 
 
-@pytest.mark.parametrize("how", ["inner", "left", "left_semi"])
-def test_large_lookups_are_joined_by_salted_shuffle(spark, how):
-    """A third of the rows share one key; both ways of joining give the same rows."""
-    large = spark.range(900).select(
-        F.when(F.col("id") % 3 == 0, F.lit(0)).otherwise(F.col("id") % 50).alias("key"), "id"
-    )
-    lookup = spark.range(40).select(F.col("id").alias("key"), (F.col("id") * 2).alias("double"))
-    small = joins.join_lookup(large, lookup, "key", how)
-    salted = joins.join_lookup(large, lookup, "key", how, max_rows=3, salts=5)
-    assert "_salt" not in salted.columns
-    assert sorted(map(str, small.collect())) == sorted(map(str, salted.select(*small.columns).collect()))
-    plan = salted._jdf.queryExecution().toString()
-    assert "_salt" in plan
+def test_route_search(lake):
+    routes = explorer.routes_view(lake)
+    assert [r.route_id for r in explorer.route_search(routes, labels.TRAM).collect()] == ["T"]
+    assert [r.route_id for r in explorer.route_search(routes, text="US TEN").collect()] == ["B"]
+    street = routes.withColumn("route_long_name", F.when(F.col("route_id") == "Q", "Lange Straße ΟΔΟΣ").otherwise("x"))
+    for text in ("STRASSE", "straße", "οδος"):
+        assert [r.route_id for r in explorer.route_search(street, text=text).collect()] == ["Q"]
+    doubled = routes.withColumn("route_short_name", F.lit("1"))
+    label = {r.route_id: r.route_label for r in explorer.with_route_label(doubled).collect()}
+    assert label["T"] == "1 · Tramwaj · Lake Lines · agency_id=None · route_id=T"

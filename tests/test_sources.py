@@ -1,10 +1,14 @@
+import contextlib
+import csv
+import io
 import json
+import random
 from datetime import UTC, date, datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
-from tests.fixtures import as_raw, demo_tables
+from tests.fixtures import as_raw, lake_tables
 from tramline.functions import identity
 from tramline.operators import positions
 from tramline.sources import feed_csv, positions_json, warehouse
@@ -29,23 +33,86 @@ def test_csv_values_stay_text(spark, tmp_path):
     ]
 
 
-def test_csv_quoted_line_break(spark, tmp_path):
-    path = write(tmp_path / "a.txt", 'stop_id,stop_name\n1,"two\nlines"\n2,b\n')
-    assert feed_csv.has_quoted_line_breaks(spark, path)
-    rows = feed_csv.read_feed_csv(spark, path, "stops").collect()
-    assert [(r.stop_id, r.stop_name, r[RECORD]) for r in rows] == [("1", "two\nlines", 1), ("2", "b", 2)]
+def python_records(text):
+    """(number, fields) as the csv module reads them, blank records left out."""
+    rows = csv.reader(io.StringIO(text.removeprefix("\ufeff"), newline=""), strict=True)
+    next(rows)
+    return [(n, tuple(row)) for n, row in enumerate(rows, 1) if any(field.strip() for field in row)]
+
+
+TEXTS = [
+    'a,b\n1,"two\nlines"\n2,b\n',
+    '\ufeffa,b\r\n"x, y","say ""hi"""\r\n\r\n1,"in\r\nside"\r\n,\r\n2,\r\n',
+    'a,b\n1,5" pipe\n2,6"" pipe\n3,"""q"""\n4,""\n',
+    'a,b\n1,"x\n\n,""\n""y,\n"\n"","\n"\n3,z',
+    'a,b\n\n  ,\n1,2\n"",""\n3,\ufffd\n',
+    "a,b\n",
+]
+
+
+@pytest.mark.parametrize("text", TEXTS)
+@pytest.mark.parametrize("split", [1, 5, 100_000])
+def test_csv_equals_the_csv_module(spark, tmp_path, text, split):
+    """Whole and cut into splits of a few bytes."""
+    path = write(tmp_path / "a.txt", text)
+    with splits_of(spark, split):
+        rows = feed_csv.read_feed_csv(spark, path, "stops").collect()
+    assert sorted((r[RECORD], (r.a, r.b)) for r in rows) == python_records(text)
 
 
-def test_csv_split_file_is_numbered_in_order(spark, tmp_path):
-    path = write(tmp_path / "b.txt", "trip_id\n" + "".join(f"T{i}\n" for i in range(1, 5001)))
-    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
-    spark.conf.set("spark.sql.files.maxPartitionBytes", "4000")
+@contextlib.contextmanager
+def splits_of(spark, size):
+    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    before = [spark.conf.get(name) for name in names]
+    for name in names:
+        spark.conf.set(name, str(size))
     try:
-        frame = feed_csv.read_feed_csv(spark, path, "trips")
-        wrong = frame.filter(F.concat(F.lit("T"), F.col(RECORD)) != F.col("trip_id"))
-        assert frame.count() == 5000 and wrong.isEmpty()
+        yield
     finally:
-        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        for name, value in zip(names, before, strict=True):
+            spark.conf.set(name, value)
+
+
+def test_csv_random_texts(spark, tmp_path):
+    chance = random.Random(5)
+    for number in range(6):
+        out = io.StringIO(newline="")
+        writer = csv.writer(out, lineterminator=chance.choice(["\n", "\r\n"]))
+        writer.writerow(["a", "b"])
+        for _ in range(40):
+            writer.writerow(["".join(chance.choice('ab",\n ') for _ in range(chance.randint(0, 6))) for _ in range(2)])
+        path = write(tmp_path / f"{number}.txt", out.getvalue())
+        with splits_of(spark, chance.randint(7, 60)):
+            rows = feed_csv.read_feed_csv(spark, path, "stops").collect()
+        assert sorted((r[RECORD], (r.a, r.b)) for r in rows) == python_records(out.getvalue())
+
+
+def test_csv_folder_is_numbered_by_file(spark, tmp_path):
+    for name, size in (("b0", 3), ("a0", 50), ("c0", 1)):
+        write(tmp_path / f"{name}.csv", "t\n" + "".join(f"{name}-{k}\n" for k in range(size)))
+    rows = feed_csv.read_feed_csv(spark, str(tmp_path), "trips").collect()
+    wanted = [f"{name}-{k}" for name, size in (("a0", 50), ("b0", 3), ("c0", 1)) for k in range(size)]
+    assert [r.t for r in sorted(rows, key=lambda r: r[RECORD])] == wanted
+    assert sorted(r[RECORD] for r in rows) == list(range(1, 55))
+
+
+def test_csv_long_file_is_read_in_splits(spark, tmp_path):
+    text = "trip_id,note\n" + "".join(f'T{i},{"5"}" pipe\n' if i % 7 else f'T{i},"a\nb"\n' for i in range(1, 3001))
+    path = write(tmp_path / "b.txt", text)
+    with splits_of(spark, 2000):
+        frame = feed_csv.read_feed_csv(spark, path, "trips")
+        assert feed_csv.read_lines(spark, path).rdd.getNumPartitions() > 10
+        assert frame.count() == 3000
+        assert frame.filter(F.concat(F.lit("T"), F.col(RECORD)) != F.col("trip_id")).isEmpty()
+
+
+@pytest.mark.parametrize("text", [
+    'a,b\n1,a\n2,"unterminated\n3,b\n4,c\n5,d\n', 'a,b\n1,"x"y\n', 'a,b\n1,"x\ny"z\n2,b\n', 'a,b\n1,"',
+])
+@pytest.mark.parametrize("split", [4, 100_000])
+def test_csv_broken_quotes_are_refused(spark, tmp_path, text, split):
+    with splits_of(spark, split), pytest.raises(feed_csv.FeedError, match="quoted"):
+        feed_csv.read_feed_csv(spark, write(tmp_path / "a.txt", text), "stops")
 
 
 @pytest.mark.parametrize("text", ["a,a\n1,2\n", "a, \n1,2\n", f"{RECORD}\n1\n", ""])
@@ -59,13 +126,13 @@ def test_short_records_and_bad_text_are_refused(spark, tmp_path):
     with pytest.raises(Exception, match="(?i)malformed|failfast"):
         short.collect()
     latin = write(tmp_path / "e.txt", "a\nłó\n", "cp1250")
-    with pytest.raises(feed_csv.FeedError):
-        feed_csv.reject_undecodable(feed_csv.read_feed_csv(spark, latin, "stops"), "stops")
+    with pytest.raises(feed_csv.FeedError, match="UTF-8"):
+        feed_csv.read_feed_csv(spark, latin, "stops")
 
 
 def feed_files(tmp_path, leave=()):
     paths = {}
-    for name, (columns, rows) in demo_tables().items():
+    for name, (columns, rows) in lake_tables().items():
         if name not in leave:
             text = "\n".join([",".join(columns), *[",".join(map(str, row)) for row in rows]]) + "\n"
             paths[name] = write(tmp_path / f"{name}.txt", text)
@@ -104,10 +171,10 @@ def test_feed_to_published_kpis(spark, tmp_path):
     assert warehouse.import_geometry(spark, store, name, "ab" * 32, shapes)[1]["point_count"] == 2
     assert warehouse.import_geometry(spark, store, name, "ab" * 32, shapes)[0] == "ALREADY_IMPORTED"
     scratch = str(tmp_path / "scratch")
-    first, last = date(2026, 10, 1), date(2026, 10, 7)
+    first, last = date(2027, 3, 1), date(2027, 3, 7)
     state, entry = warehouse.publish_gold(spark, store, name, first, last, scratch)
-    assert state == "ANALYZED" and entry["coverage"]["total_events"] == 48
-    assert entry["source_context"]["agency_timezones"] == ["Europe/Warsaw"]
+    assert state == "ANALYZED" and entry["coverage"]["total_events"] == 28
+    assert entry["source_context"]["agency_timezones"] == ["Europe/Zurich"]
     assert warehouse.publish_gold(spark, store, name, first, last, scratch)[0] == "ALREADY_ANALYZED"
     tables, _ = warehouse.read_gold(spark, store, entry["analysis_id"])
     assert {n: t.count() for n, t in tables.items()} == entry["row_counts"]
@@ -118,25 +185,25 @@ def test_feed_to_published_kpis(spark, tmp_path):
 
 
 def test_gate_refuses_errors_and_keeps_the_report(spark, tmp_path):
-    tables = demo_tables()
-    tables["trips"] = (tables["trips"][0], [("ABSENT", *r[1:]) for r in tables["trips"][1]])
+    tables = lake_tables()
+    tables["trips"] = (tables["trips"][0], [(r[0], "gone", *r[2:]) for r in tables["trips"][1]])
     with pytest.raises(warehouse.QualityFailed) as failure:
         warehouse.silver_gate(as_raw(spark, tables), str(tmp_path / "s"), "cd" * 32)
-    assert failure.value.report["error_count"] == 5
+    assert failure.value.report["error_count"] == 6
     assert warehouse.read_document(spark, str(tmp_path / "s" / "quality"))["status"] == "failed"
     with pytest.raises(warehouse.Rejected):
         warehouse.load_silver(spark, str(tmp_path / "s"), str(tmp_path / "w"))
 
 
 def test_frequencies_block_kpis(spark, tmp_path):
-    raw = as_raw(spark, demo_tables())
+    raw = as_raw(spark, lake_tables())
     templates = spark.createDataFrame([("T1",)], "trip_id string")
     folder, store = str(tmp_path / "s"), str(tmp_path / "w")
     manifest = warehouse.silver_gate(raw, folder, "ef" * 32, frequencies=templates)
     warehouse.load_silver(spark, folder, store)
     with pytest.raises(warehouse.Rejected, match="FREQUENCIES"):
         warehouse.publish_gold(
-            spark, store, manifest["dataset_id"], "2026-10-01", "2026-10-02", str(tmp_path / "x")
+            spark, store, manifest["dataset_id"], "2027-03-01", "2027-03-02", str(tmp_path / "x")
         )
 
 
@@ -173,7 +240,7 @@ def test_positions(spark, tmp_path):
         observation(time="2026-10-09T14:00:00+0200"), observation(time="2026-10-09 12:00:00.5Z"),
         observation(lat=900), observation(lon="NaN"), observation(lat=0, lon=0),
         observation(lat="51,1", lon="17,1", vehicle="2", line=""), "no record",
-        observation(time=None, vehicle=None),
+        observation(time=None, vehicle=None), None, 7,
     ]
     path = write(tmp_path / "p.json", json.dumps({"meta": {"tytul": "t"}, "dane": records}))
     raw = positions_json.read_positions(spark, path)
@@ -188,13 +255,35 @@ def test_positions(spark, tmp_path):
     assert rows["0"].duplicate_id and rows["10"].vehicle_id == "Niepodany"
     assert rows["10"].label.split("\n")[1] == "Brak czasu"
     summary = positions.position_summary(raw, NOW).first()
-    assert tuple(summary) == (11, 4, 3)
+    assert tuple(summary) == (13, 6, 3)
     repeated = {r.vehicle_id: r.observations for r in positions.duplicate_vehicle_ids(raw).collect()}
-    assert repeated["0001"] == 8
+    assert repeated == {"0001": 8}
     with pytest.raises(ValueError):
         positions.normalize_positions(raw, datetime(2026, 10, 9))
 
 
+@pytest.mark.parametrize("text", [
+    "2026-10-09T14:00:00+02:00", "2026-10-09 14:00+02", "2026-10-09T14+02", "20261009T140000+0200", "20261009T14Z",
+    "2026-10-09T11:59:59.1234567Z", "2026-10-09T12:00:00,25Z", "2026-10-09T14:00:30+02:00:30", "20261009 1200Z",
+    "2026-10-09T12:00:00", "2026-10-09", "2026-13-09T12:00Z", "2026-10-09T25:00Z", "2026-10-09T12:00+24:00", "soon",
+])
+def test_times_are_read_as_the_iso_forms_say(spark, text):
+    try:
+        when = datetime.fromisoformat(text)
+        wanted = None if when.tzinfo is None else (NOW - when).total_seconds()
+    except ValueError:
+        wanted = None
+    frame = spark.createDataFrame([(text,)], "t string")
+    assert frame.select(positions.age_seconds(F.col("t"), NOW)).first()[0] == wanted
+
+
+def test_position_lines(spark, tmp_path):
+    path = write(tmp_path / "p.jsonl", "\n".join(json.dumps(observation(vehicle=str(k % 3))) for k in range(9)) + "\n\nnone\n")
+    rows = positions_json.read_position_lines(spark, path).collect()
+    assert len(rows) == 10 and len({r.observation_id for r in rows}) == 10
+    assert [r.is_object for r in rows].count(False) == 1
+
+
 @pytest.mark.parametrize(
     ("title", "licence", "expected"),
     [("t", "CC0 1.0", (True, True)), ("x", "CC0 1.0", (False, False)), ("t", "other", (True, False))],
@@ -203,3 +292,31 @@ def test_source_terms(spark, tmp_path, title, licence, expected):
     export = write(tmp_path / "p.json", json.dumps({"meta": {"tytul": "t"}, "dane": []}))
     metadata = write(tmp_path / "m.json", json.dumps({"tytul": title, "licencja": licence}))
     assert tuple(positions_json.source_terms(spark, export, metadata).first()) == expected
+
+
+def test_a_failed_run_leaves_what_was_published(spark, tmp_path):
+    folder = str(tmp_path / "s")
+    good = warehouse.silver_gate(as_raw(spark, lake_tables()), folder, "ab" * 32)
+    before = {name: frame.count() for name, frame in warehouse.read_silver(spark, folder).items()}
+    broken = lake_tables()
+    broken["trips"] = (broken["trips"][0], [(r[0], "gone", *r[2:]) for r in broken["trips"][1]])
+    with pytest.raises(warehouse.QualityFailed):
+        warehouse.silver_gate(as_raw(spark, broken), folder, "cd" * 32)
+    assert warehouse.published(spark, folder) == good
+    assert {name: frame.count() for name, frame in warehouse.read_silver(spark, folder).items()} == before
+    flags = warehouse.verify_silver(spark, folder).collect()
+    assert all(r.schema_matches and r.count_matches and r.content_matches for r in flags)
+    report = warehouse.read_document(spark, f"{folder}/quality")
+    assert report["status"] == "failed" and report["row_counts"]["trips"] == 6 and "frequencies" in report["capabilities"]
+
+
+def test_changed_tables_are_noticed(spark, tmp_path):
+    folder = str(tmp_path / "s")
+    manifest = warehouse.silver_gate(as_raw(spark, lake_tables()), folder, "ab" * 32)
+    path = f"{folder}/{manifest['run']}/stops"
+    changed = spark.createDataFrame(spark.read.parquet(path).collect(), spark.read.parquet(path).schema)
+    changed.withColumn("stop_name", F.concat("stop_name", F.lit("!"))).write.mode("overwrite").parquet(path)
+    flags = {r.table_name: r for r in warehouse.verify_silver(spark, folder).collect()}
+    assert not flags["stops"].content_matches and flags["stops"].count_matches and flags["trips"].content_matches
+    with pytest.raises(warehouse.Rejected):
+        warehouse.load_silver(spark, folder, str(tmp_path / "w"))

@@ -52,18 +52,29 @@ def content_fingerprint(frame, columns=None):
     Two 60-bit lanes of each row's hash are summed, so any split into tasks gives the same
     result and a repeated row changes it.
     """
-    hashed = frame.select(F.sha2(row_text(columns or frame.columns), 256).alias("digest"))
+    sums = frame.agg(*fingerprint_parts(frame, columns))
+    return sums.select(
+        "row_count", F.sha2(F.concat_ws(":", "row_count", "low", "high"), 256).alias("content_hash")
+    )
+
+
+def fingerprint_parts(frame, columns=None):
+    """The aggregates a fingerprint is made of, which an Observation can take during a write."""
+    digest = F.sha2(row_text(columns or frame.columns), 256)
     lanes = {
-        name: F.sum(F.conv(F.substring("digest", start, 15), 16, 10).cast("decimal(20,0)"))
+        name: F.sum(F.conv(F.substring(digest, start, 15), 16, 10).cast("decimal(20,0)"))
         for name, start in (("low", 1), ("high", 16))
     }
-    sums = hashed.agg(
+    return [
         F.count(F.lit(1)).alias("row_count"),
         *[F.coalesce(lane, F.lit(0)).cast("string").alias(name) for name, lane in lanes.items()],
-    )
-    return sums.select(
-        "row_count", F.sha2(F.concat_ws(":", "row_count", "low", "high"), 256).alias("content_hash")
-    )
+    ]
+
+
+def observed_fingerprint(parts):
+    """(row count, content hash) from observed aggregates."""
+    text = f"{parts['row_count']}:{parts['low']}:{parts['high']}"
+    return parts["row_count"], hashlib.sha256(text.encode()).hexdigest()
 
 
 def document_hash(document):

@@ -43,10 +43,30 @@ def service_time(seconds):
 
 
 def percent(part, whole):
-    """Share with one decimal, ties to even; a text where it is undefined."""
-    exact = (100 * part).cast("decimal(20,0)") / F.nullif(whole, F.lit(0)).cast("decimal(20,0)")
-    share = F.concat(F.bround(exact, 1).cast("decimal(30,1)").cast("string"), F.lit("%"))
-    return F.coalesce(share, F.lit(UNDEFINED))
+    """Share with one decimal, rounded as the binary value of 100 * part / whole; a text where undefined.
+
+    A share that lies between two tenths is hardly ever a binary value: the nearest one lies a bit
+    above or below. Scaled by a power of two it is a whole number, so the side is found exactly.
+    """
+    whole = F.nullif(whole, F.lit(0)).cast("long")
+    exact = (100 * part).cast("decimal(20,0)") / whole.cast("decimal(20,0)")
+    value = (100 * part).cast("double") / whole.cast("double")
+    halves = F.call_function("div", 2000 * part, whole)
+    between = (halves * whole == 2000 * part) & (halves % 2 != 0)
+    bits = F.when(value >= 1, F.lit(52)).otherwise(F.lit(60))
+    scaled = (value * F.pow(F.lit(2.0), bits)).cast("long").cast("decimal(20,0)") * F.lit(20).cast("decimal(4,0)")
+    middle = halves.cast("decimal(6,0)") * F.pow(F.lit(2.0), bits).cast("long").cast("decimal(20,0)")
+    low = whole_div(halves - 1, 2)
+    tenths = F.when(scaled > middle, low + 1).when(scaled < middle, low).otherwise(low + low % 2)
+    rounded = F.when(between, (tenths / F.lit(10.0)).cast("decimal(30,1)")).otherwise(
+        F.bround(exact, 1).cast("decimal(30,1)")
+    )
+    return F.coalesce(F.concat(rounded.cast("string"), F.lit("%")), F.lit(UNDEFINED))
+
+
+def fold_case(text):
+    """Text for comparison in any case: lower case, with a sharp s as a double one and one small sigma."""
+    return F.replace(F.replace(F.lower(text), F.lit("ß"), F.lit("ss")), F.lit("ς"), F.lit("σ"))
 
 
 def transport_mode(route_type):

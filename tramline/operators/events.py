@@ -7,7 +7,6 @@ expanded only afterwards, so the big join handles each visit once however long t
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from .joins import join_lookup
 from .service_calendar import active_services, service_dates
 
 # Pickup codes of the timetable format.
@@ -25,7 +24,7 @@ class LimitExceeded(ValueError):
 def dated_trips(feed, start, end):
     """Running trips, one row each, with the array of their dates."""
     trips = feed.trips.select("trip_id", "route_id", "service_id", "direction_id")
-    return join_lookup(trips, service_dates(feed, start, end), "service_id")
+    return trips.join(service_dates(feed, start, end), "service_id")
 
 
 def trip_instances(feed, start, end):
@@ -89,13 +88,19 @@ def estimate(feed, start, end):
     return totals.withColumn("grid_rows", F.lit(requested).cast("long") * (routes + platforms))
 
 
-def estimate_guard(feed, start, end, max_days=31, max_events=5_000_000, max_grid_rows=5_000_000):
-    """Refuse an analysis over the limits; returns the estimate as a one-row frame."""
-    if (end - start).days + 1 > max_days:
+def over(value, limit):
+    return limit is not None and value > limit
+
+
+def estimate_guard(feed, start, end, max_days=None, max_events=None, max_grid_rows=None):
+    """Refuse an analysis over the limits the caller sets; returns the estimate as a one-row frame."""
+    if max_days is not None and (end - start).days + 1 > max_days:
         raise LimitExceeded(f"the range has more than {max_days} days")
     found = estimate(feed, start, end)
+    if max_events is None and max_grid_rows is None:
+        return found
     row = found.first()
-    if max(row.events, row.instances) > max_events or row.grid_rows > max_grid_rows:
+    if over(max(row.events, row.instances), max_events) or over(row.grid_rows, max_grid_rows):
         raise LimitExceeded(
             f"events={row.events}, instances={row.instances}, grid_rows={row.grid_rows}"
         )

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from ..functions import labels
 from .events import running_services_on
-from .joins import join_lookup
 from .service_calendar import DAYS
 
 # Visits are numbered within blocks of this many sequence numbers, so a very long trip is
@@ -154,7 +153,7 @@ def active_trips(feed, day, route=None, trip=None):
         trips = trips.filter(F.col("route_id") == route)
     if trip is not None:
         trips = trips.filter(F.col("trip_id") == trip)
-    return join_lookup(trips, running_services_on(feed, day), "service_id", "left_semi")
+    return trips.join(running_services_on(feed, day), "service_id", "left_semi")
 
 
 def list_routes(feed):
@@ -165,7 +164,7 @@ def with_route_label(routes):
     """Routes with the label shown for them; routes that share a name also show their ids."""
     named = routes.withColumn("_name", labels.route_main_name())
     shared = named.groupBy("_name").agg(F.count("*").alias("_routes"))
-    return join_lookup(named, shared, "_name").select(
+    return named.join(shared, "_name").select(
         *routes.columns, labels.route_label(F.col("_routes") > 1).alias("route_label")
     )
 
@@ -173,8 +172,8 @@ def with_route_label(routes):
 def route_search(routes, mode=labels.ALL_MODES, text=""):
     """Routes of a mode whose label or long name contains the text in any case."""
     labelled = with_route_label(routes)
-    haystack = F.lower(F.concat("route_label", F.lit(" "), "route_long_name"))
-    found = labelled.filter(F.contains(haystack, F.lower(F.lit(text))))
+    haystack = labels.fold_case(F.concat("route_label", F.lit(" "), "route_long_name"))
+    found = labelled.filter(F.contains(haystack, labels.fold_case(F.lit(text))))
     if mode != labels.ALL_MODES:
         found = found.filter(labels.transport_mode(F.col("route_type")) == mode)
     return found
@@ -216,7 +215,7 @@ def trip_visits(feed, day, route=None, trip=None):
     """Visits of trips running on a day with their stops; repeated visits are kept."""
     trips = active_trips(feed, day, route, trip).select("trip_id")
     visits = feed.stop_times.select(*VISIT_COLUMNS).join(trips, "trip_id", "left_semi")
-    shown = join_lookup(visits, stops_view(feed), "stop_id")
+    shown = visits.join(stops_view(feed), "stop_id")
     return shown if trip is None else shown.orderBy("stop_sequence")
 
 
@@ -230,7 +229,7 @@ def trip_geometry(feed, day, route=None, trip=None):
         .distinct()
     )
     points = feed.shapes.select("shape_id", "shape_pt_sequence", "latitude", "longitude")
-    found = join_lookup(points, used, "shape_id", "left_semi")
+    found = points.join(used, "shape_id", "left_semi")
     return found if trip is None else found.orderBy("shape_pt_sequence")
 
 

@@ -131,56 +131,69 @@ def gold_hourly(measures):
     )
 
 
+def _headway_entries(profile):
+    """Profile rows with their gap; departures of the same second add a row of zero gaps without counts."""
+    measures = ("regular", "departures", "approximate")
+    first = F.struct("departure", "gap", F.lit(1).cast("long").alias("times"), *measures)
+    same_second = F.struct(
+        "departure",
+        F.lit(0).cast("long").alias("gap"),
+        (F.col("departures") - 1).alias("times"),
+        *[F.lit(0).cast("long").alias(name) for name in measures],
+    )
+    entries = F.array_compact(F.array(first, F.when(F.col("departures") > 1, same_second)))
+    exploded = headway_gaps(profile).select(*GROUP, F.explode(entries).alias("entry"))
+    return exploded.select(*GROUP, "entry.departure", "entry.gap", "entry.times", *[f"entry.{m}" for m in measures])
+
+
+def _headway_columns():
+    intervals = F.coalesce(F.sum(F.when(F.col("gap").isNotNull(), F.col("times"))), F.lit(0))
+    return [
+        F.sum("departures").alias("departure_count"),
+        intervals.alias("interval_count"),
+        (F.sum(F.col("gap") * F.col("times")) / F.nullif(intervals, F.lit(0))).alias("avg_seconds"),
+        F.percentile("gap", F.lit(0.5), F.col("times")).alias("median_seconds"),
+        F.percentile("gap", F.lit(0.9), F.col("times")).alias("p90_seconds"),
+    ]
+
+
+def _span_columns():
+    return [
+        F.min("departure").alias("first_departure_seconds"),
+        F.max("departure").alias("last_departure_seconds"),
+        F.sum("departures").alias("observation_count"),
+        F.sum("regular").alias("regular_event_count"),
+        F.sum(F.col("regular") - F.col("departures")).alias("missing_regular_departures"),
+        F.sum("approximate").alias("approximate_departures"),
+    ]
+
+
 def gold_headways(profile):
     """Departures, intervals and their mean, exact median and 90th percentile per group.
 
     Needs the departure profile: after it a group has at most a row per second. Groups
     visited without any regular departure stay, with counts of zero.
     """
-    first = F.struct(
-        F.col("gap"), F.lit(1).cast("long").alias("times"), F.col("departures").alias("departures")
-    )
-    same_second = F.struct(
-        F.lit(0).cast("long").alias("gap"),
-        (F.col("departures") - 1).alias("times"),
-        F.lit(0).cast("long").alias("departures"),
-    )
-    entries = F.array_compact(F.array(first, F.when(F.col("departures") > 1, same_second)))
-    known = F.col("gap").isNotNull()
-    intervals = F.coalesce(F.sum(F.when(known, F.col("times"))), F.lit(0))
-    return (
-        headway_gaps(profile)
-        .select(*GROUP, F.explode(entries).alias("entry"))
-        .select(*GROUP, "entry.gap", "entry.times", "entry.departures")
-        .groupBy(*GROUP)
-        .agg(
-            F.sum("departures").alias("departure_count"),
-            intervals.alias("interval_count"),
-            (F.sum(F.col("gap") * F.col("times")) / F.nullif(intervals, F.lit(0))).alias(
-                "avg_seconds"
-            ),
-            F.percentile("gap", F.lit(0.5), F.col("times")).alias("median_seconds"),
-            F.percentile("gap", F.lit(0.9), F.col("times")).alias("p90_seconds"),
-        )
-    )
+    return _headway_entries(profile).groupBy(*GROUP).agg(*_headway_columns())
 
 
 def gold_span(measures):
     """First and last regular departure and how complete the regular times are."""
     return (
         measures.groupBy(*GROUP)
-        .agg(
-            F.min("departure").alias("first_departure_seconds"),
-            F.max("departure").alias("last_departure_seconds"),
-            F.sum("departures").alias("observation_count"),
-            F.sum("regular").alias("regular_event_count"),
-            F.sum(F.col("regular") - F.col("departures")).alias("missing_regular_departures"),
-            F.sum("approximate").alias("approximate_departures"),
-        )
+        .agg(*_span_columns())
         .withColumn("known_regular_ratio", ratio("observation_count", "regular_event_count"))
     )
 
 
+def span_and_headways(profile):
+    """Span and headways of each group, an unknown direction included, from one aggregate."""
+    return (
+        _headway_entries(profile).groupBy(*GROUP).agg(*_span_columns(), *_headway_columns())
+        .drop("departure_count", "avg_seconds", "approximate_departures")
+    )
+
+
 def _visit_counts():
     regular = F.col("pickup_type") == REGULAR
     conditions = {

@@ -5,7 +5,6 @@ from datetime import UTC
 from pyspark.sql import functions as F
 
 from ..functions.parsing import MAX_LATITUDE, MAX_LONGITUDE, parse_number
-from .joins import join_lookup
 
 # Age limits in seconds and the texts shown.
 FUTURE_SECONDS = -60
@@ -19,10 +18,14 @@ NO_VEHICLE = "Niepodany"
 NO_LINE = "Niepodana"
 NO_MEASURED_TIME = "Niepodany"
 NO_TIME = "Brak czasu"
-# Fixed value: ISO time with an explicit offset.
-OFFSET_TIME = (
-    r"^[0-9]{4}-[0-9]{2}-[0-9]{2}[T ][0-9]{2}:[0-9]{2}(:[0-9]{2}([.,][0-9]{1,9})?)?"
-    r"(Z|[+-][0-9]{2}(:?[0-9]{2})?)\z"
+# ISO times with an explicit offset, in the extended and in the compact form. The groups are
+# year, month, day, hour, minute, second, fraction, sign, and hours, minutes and seconds of the offset.
+_OFFSET = r"(?:Z|([+-])([0-9]{2})(?::?([0-9]{2})(?::?([0-9]{2})(?:[.][0-9]+)?)?)?)\z"
+_TIME = r"([0-9]{2})(?::([0-9]{2})(?::([0-9]{2})(?:[.,]([0-9]+))?)?)?"
+_COMPACT_TIME = r"([0-9]{2})(?:([0-9]{2})(?:([0-9]{2})(?:[.,]([0-9]+))?)?)?"
+_DATE, _COMPACT_DATE = r"^([0-9]{4})-([0-9]{2})-([0-9]{2})", r"^([0-9]{4})([0-9]{2})([0-9]{2})"
+OFFSET_TIMES = tuple(
+    f"{day}[^0-9]{time}{_OFFSET}" for day in (_DATE, _COMPACT_DATE) for time in (_TIME, _COMPACT_TIME)
 )
 
 
@@ -40,16 +43,29 @@ def with_coordinates(records):
     )
 
 
+def _measured(text, form):
+    """Microseconds since 1970 of a time in one of the forms; NULL for any other text."""
+    part = lambda group: F.regexp_extract(text, form, group)
+    number = lambda group: F.coalesce(F.nullif(part(group), F.lit("")).cast("long"), F.lit(0))
+    clock = F.concat(
+        part(1), F.lit("-"), part(2), F.lit("-"), part(3), F.lit(" "), part(4), F.lit(":"),
+        F.lpad(part(5), 2, "0"), F.lit(":"), F.lpad(part(6), 2, "0"), F.lit("."),
+        F.rpad(F.substring(part(7), 1, 6), 6, "0"), F.lit("Z"),
+    )
+    offset = (number(9) * 3600 + number(10) * 60 + number(11)) * F.when(part(8) == "-", -1).otherwise(1)
+    real = (number(9) < 24) & (number(10) < 60) & (number(11) < 60)
+    return F.when(
+        text.rlike(form) & real, F.unix_micros(clock.try_cast("timestamp")) - offset * F.lit(1_000_000)
+    )
+
+
 def age_seconds(measured_at, now):
     """Seconds since an ISO time with an offset; NULL without one, since the zone is unknown."""
     if now.tzinfo is None:
         raise ValueError("the check time needs a zone")
-    text = F.regexp_replace(measured_at, r"([+-][0-9]{2}):?([0-9]{2})$", "$1:$2")
-    text = F.regexp_replace(text, r"(T[0-9:.,]*|\s[0-9:.,]*)([+-][0-9]{2})$", "$1$2:00")
-    text = F.replace(text, F.lit(","), F.lit("."))
-    measured = F.when(measured_at.rlike(OFFSET_TIME), text.try_cast("timestamp"))
+    measured = F.coalesce(*[_measured(measured_at, form) for form in OFFSET_TIMES])
     now_micros = int(now.astimezone(UTC).timestamp() * 1_000_000)
-    return (F.lit(now_micros) - F.unix_micros(measured)) / F.lit(1e6)
+    return (F.lit(now_micros) - measured) / F.lit(1e6)
 
 
 def freshness(age, terms_confirmed):
@@ -63,7 +79,12 @@ def freshness(age, terms_confirmed):
 
 
 def duplicate_vehicle_ids(records):
-    """Vehicle ids that occur more than once among all records, usable or not."""
+    """Vehicle ids that occur more than once among all records, usable or not.
+
+    Records known not to be objects have no id and aren't counted.
+    """
+    if "is_object" in records.columns:
+        records = records.filter("is_object")
     return (
         records.groupBy(F.coalesce("vehicle_id", F.lit("None")).alias("vehicle_id"))
         .agg(F.count("*").alias("observations"))
@@ -93,7 +114,7 @@ def normalize_positions(records, now, terms_confirmed=False):
     ).withColumn("state", freshness(F.col("age_seconds"), terms_confirmed))
     head = F.concat(F.lit("Linia "), "line", F.lit(" · pojazd "), "vehicle_id")
     return (
-        join_lookup(labelled, repeated, "vehicle_id", "left")
+        labelled.join(repeated, "vehicle_id", "left")
         .withColumn("duplicate_id", F.coalesce("_repeated", F.lit(False)))
         .withColumn("label", F.concat_ws("\n", head, "_shown_time", "state"))
         .drop("_repeated", "_shown_time")
@@ -114,4 +135,4 @@ def position_summary(records, now):
 def positions_for_line(positions, routes):
     """Observations whose line is the short name of some route of ``routes``."""
     names = routes.select(F.col("route_short_name").alias("line")).distinct()
-    return join_lookup(positions, names, "line", "left_semi")
+    return positions.join(names, "line", "left_semi")

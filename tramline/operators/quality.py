@@ -18,7 +18,7 @@ from .explorer import BLOCK
 from .service_calendar import calendar_envelope
 from .silver import RECORD, RULES, union_all
 
-# Report bounds, unique keys, references and unsupported columns.
+# Usual size of a report's examples, unique keys, references and unsupported columns.
 EXAMPLES_PER_CHECK = 5
 EXAMPLES_TOTAL = 50
 VALUE_LENGTH = 100
@@ -120,8 +120,7 @@ def findings(frame, code, table, column, record=None, value=None, occurrences=No
         F.lit(table).alias("table_name"),
         F.lit(column).cast("string").alias("column_name"),
         (F.lit(None) if record is None else F.col(record)).cast("long").alias("record"),
-        F.left((F.lit(None) if value is None else F.col(value)).cast("string"), F.lit(VALUE_LENGTH))
-        .alias("value"),
+        (F.lit(None) if value is None else F.col(value)).cast("string").alias("value"),
         (F.lit(1) if occurrences is None else F.col(occurrences)).cast("long").alias("occurrences"),
     )
 
@@ -134,7 +133,7 @@ def row_findings(table, raw, agency=None, codes=None):
             F.struct(
                 F.lit(code).alias("code"),
                 F.lit(column).alias("column_name"),
-                F.left(F.col(column), F.lit(VALUE_LENGTH)).alias("value"),
+                F.col(column).alias("value"),
             ),
         )
         for code, column, bad in row_checks(table, raw, agency)
@@ -427,16 +426,16 @@ def summarize(found):
     )
 
 
-def examples(found):
-    """At most five examples per check and fifty in all, by check and record."""
+def examples(found, per_check=EXAMPLES_PER_CHECK, total=EXAMPLES_TOTAL, length=VALUE_LENGTH):
+    """The first findings of each check by record, so many in all, with the beginnings of their values."""
     order = Window.partitionBy(*CHECK_KEYS).orderBy("record", "value")
     return (
         found.filter(F.col("record").isNotNull())
         .withColumn("rank", F.row_number().over(order))
-        .filter(F.col("rank") <= EXAMPLES_PER_CHECK)
+        .filter(F.col("rank") <= per_check)
         .orderBy("severity", "code", "table_name", "column_name", "rank")
-        .limit(EXAMPLES_TOTAL)
-        .select(*CHECK_KEYS, "record", "value")
+        .limit(total)
+        .select(*CHECK_KEYS, "record", F.left("value", F.lit(length)).alias("value"))
     )
 
 

@@ -8,15 +8,12 @@ from pyspark.sql import functions as F
 
 from ..feed import service_range
 from .gold import covered_or_null
-from .joins import join_lookup
 from .service_calendar import dates_between
 
-# Choices of the direction filter, lengths of top lists and of the hour profile,
-# and the most rows a view may show.
+# Choices of the direction filter, usual lengths of top lists and of the hour profile.
 DIRECTIONS = ("ALL", "NULL", "0", "1")
 TOP = 20
 BUSIEST_HOURS = 200
-MAX_ROWS = 20_000
 
 
 class TooManyRows(ValueError):
@@ -56,9 +53,12 @@ def group_filter(table, route=None, stop=None, direction="ALL"):
     return table.filter(direction_predicate(direction))
 
 
-def bounded_fetch(frame, limit=MAX_ROWS):
-    """The frame itself if it has at most ``limit`` rows, an error otherwise; never cut."""
-    if frame.count() > limit:
+def bounded_fetch(frame, limit):
+    """The frame itself if it has at most ``limit`` rows, an error otherwise; never cut.
+
+    The caller names the limit. One row more than it is looked for, not all of them.
+    """
+    if len(frame.limit(limit + 1).select(F.lit(1)).collect()) > limit:
         raise TooManyRows(f"more than {limit} rows; narrow the dates or filters")
     return frame
 
@@ -100,24 +100,24 @@ def overview(days, coverage, route_daily, span, stops, start, end):
     )
 
 
-def _top(daily, catalog, key, label, measure, alias, start, end):
+def _top(daily, catalog, key, label, measure, alias, start, end, top):
     """Sum per key first, so only one row per key meets the catalog."""
     totals = in_range(daily, start, end).groupBy(key).agg(F.sum(measure).alias(alias))
     return (
         totals.join(catalog.select(key, label), key)
         .orderBy(F.desc_nulls_last(alias), key)
-        .limit(TOP)
+        .limit(top)
         .select(key, label, alias)
     )
 
 
-def top_routes(route_daily, routes, start, end):
-    return _top(route_daily, routes, "route_id", "route_short_name", "trip_count", "trips", start, end)
+def top_routes(route_daily, routes, start, end, top=TOP):
+    return _top(route_daily, routes, "route_id", "route_short_name", "trip_count", "trips", start, end, top)
 
 
-def top_stops(stop_daily, stops, start, end):
+def top_stops(stop_daily, stops, start, end, top=TOP):
     return _top(
-        stop_daily, stops, "stop_id", "stop_name", "regular_known_departures", "departures", start, end
+        stop_daily, stops, "stop_id", "stop_name", "regular_known_departures", "departures", start, end, top
     )
 
 
@@ -171,9 +171,7 @@ def filter_routes(routes):
 def filter_stops(span, stops, start, end, route=None):
     """Stops served by each route (or one) in the range."""
     served = group_filter(in_range(span, start, end), route).select("route_id", "stop_id").distinct()
-    return join_lookup(served, stops.select("stop_id", "stop_name"), "stop_id").orderBy(
-        "route_id", "stop_id"
-    )
+    return served.join(stops.select("stop_id", "stop_name"), "stop_id")
 
 
 def filter_directions(span, start, end, route=None, stop=None):
@@ -264,25 +262,6 @@ def direction_totals(span):
     )
 
 
-def span_headway_join(span, headways):
-    """Span and headways of the same group; an unknown direction matches itself."""
-    gaps = headways.select(
-        *[F.col(k).alias(f"h_{k}") for k in ("service_date", "route_id", "stop_id", "direction_id")],
-        "interval_count", "median_seconds", "p90_seconds",
-    )
-    same = (
-        (F.col("service_date") == F.col("h_service_date"))
-        & (F.col("route_id") == F.col("h_route_id"))
-        & (F.col("stop_id") == F.col("h_stop_id"))
-        & F.col("direction_id").eqNullSafe(F.col("h_direction_id"))
-    )
-    return span.join(gaps, same).select(
-        "service_date", "route_id", "stop_id", "direction_id", "first_departure_seconds",
-        "last_departure_seconds", "observation_count", "regular_event_count",
-        "missing_regular_departures", "interval_count", "median_seconds", "p90_seconds",
-    )
-
-
 def period_event_totals(coverage, start, end):
     return in_range(coverage, start, end).agg(
         F.sum("total_events").alias("visits"),

@@ -81,6 +81,11 @@ class Analysis:
     def service_span(self):
         return gold.gold_span(self._measures)
 
+    @property
+    def span_headways(self):
+        """Span and headways of the same groups."""
+        return gold.span_and_headways(self._profile)
+
     @cached_property
     def coverage(self):
         return gold.gold_coverage(self.feed, self.start, self.end)

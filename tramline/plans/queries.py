@@ -15,7 +15,7 @@ from ..operators import (
     silver,
 )
 from ..session import scratch_folder
-from ..sources import feed_csv, warehouse
+from ..sources import feed_csv, positions_json, warehouse
 from ..sources.derived_feed import clean_feed, raw_tables, view
 from .analysis import OUTPUTS, Analysis
 from .params import DAY, END, NOW, REPORT_END, REPORT_START, START
@@ -63,7 +63,7 @@ on_feed("services_catalog")(
 )
 on_feed("trip_instances")(lambda f: events.trip_instances(f, START, END))
 on_feed("estimate_guard")(
-    lambda f: events.estimate_guard(f, START, END, max_events=10**15, max_grid_rows=10**15)
+    lambda f: events.estimate_guard(f, START, END)
 )
 on_feed("stop_events")(lambda f: events.stop_events(f, START, END))
 on_feed("regular_departures")(lambda f: events.regular_departures(f, START, END))
@@ -150,13 +150,10 @@ on_reports("group_headways")(
     )
 )
 on_reports("bounded_fetch")(
-    lambda a, s, e: reports.bounded_fetch(reports.hourly_profile(a.route_stop_hourly, s, e))
+    lambda a, s, e: reports.bounded_fetch(reports.hourly_profile(a.route_stop_hourly, s, e), 20_000)
 )
 on_analysis("span_headway_join")(
-    lambda a: rounded(
-        reports.span_headway_join(a.service_span, a.route_stop_headways),
-        "median_seconds", "p90_seconds",
-    )
+    lambda a: rounded(a.span_headways, "median_seconds", "p90_seconds")
 )
 on_reports("period_event_totals")(
     lambda a, s, e: reports.period_event_totals(a.coverage_daily, s, e)
@@ -365,21 +362,32 @@ on_raw("extra_fields_json")(
 _STAGED = {}
 
 
+def _listing(spark, folder):
+    """Names, sizes and times of the files of a folder, so that a changed input is staged anew."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
+    return tuple(sorted((s.getPath().getName(), s.getLen(), s.getModificationTime()) for s in found))
+
+
+def _tables(spark, folder):
+    return {name: spark.read.parquet(f"{folder}/{name}") for name in silver.TABLES}
+
+
 def staged_feed(spark, sf_dir):
-    """Bronze and typed tables of the raw feed, written once per session and folder."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    """Bronze and typed tables of the raw feed, written once per session and state of the input."""
+    key = (spark.sparkContext.applicationId, sf_dir, _listing(spark, sf_dir))
     if key not in _STAGED:
         folder = scratch_folder(spark)
         for name, frame in raw_tables(spark, sf_dir).items():
             warehouse.write_parquet(frame, f"{folder}/bronze/{name}")
-        raw = warehouse.read_silver(spark, f"{folder}/bronze")
+        raw = _tables(spark, f"{folder}/bronze")
         for name, frame in silver.silver_tables(raw).items():
             warehouse.write_parquet(frame, f"{folder}/silver/{name}")
         _STAGED[key] = folder
     folder = _STAGED[key]
     return (
-        warehouse.read_silver(spark, f"{folder}/bronze"),
-        warehouse.read_silver(spark, f"{folder}/silver"),
+        _tables(spark, f"{folder}/bronze"),
+        _tables(spark, f"{folder}/silver"),
     )
 
 
@@ -497,7 +505,10 @@ def check_constraints_gold(spark, sf_dir):
 
 @query
 def publish_gold(spark, sf_dir):
-    return gold.row_counts(_published(spark, sf_dir)[1])
+    """Row counts of the KPI tables that the publishing of a loaded dataset wrote."""
+    store, identity_ = _loaded(spark, sf_dir)
+    _, entry = warehouse.publish_gold(spark, store, identity_, START, END, scratch_folder(spark))
+    return gold.row_counts(warehouse.read_gold(spark, store, entry["analysis_id"])[0])
 
 
 @query
@@ -531,18 +542,80 @@ on_feed("content_fingerprint")(
 on_feed("dataset_metadata")(lambda f: warehouse.dataset_metadata(f, "gtfs_derived"))
 
 
+def _clean_raw(spark, sf_dir):
+    """The clean feed as raw text, in the form an import starts from.
+
+    Visits without an arrival are left out, since a trip may not begin or end with one. Stations
+    become platforms, since trips visit them, and get the coordinates they must have.
+    """
+    feed = clean_feed(spark, sf_dir)
+    raw = {}
+    for name in silver.TABLES:
+        frame, columns = getattr(feed, name), []
+        if name == "stop_times":
+            frame = frame.filter("arrival_seconds IS NOT NULL")
+        for column in silver.RULES[name]:
+            if column in ("arrival_time", "departure_time"):
+                columns.append(
+                    F.when(F.col(column.replace("time", "seconds")).isNull(), "")
+                    .otherwise(labels.service_time(F.col(column.replace("time", "seconds")))).alias(column)
+                )
+                continue
+            value = F.col(column)
+            if column in ("stop_lat", "stop_lon"):
+                value = F.coalesce(column, F.lit(17.5))
+            elif column == "location_type":
+                value = F.lit(0)
+            if dict(frame.dtypes)[column] == "date":
+                value = F.date_format(value, "yyyyMMdd")
+            columns.append(F.coalesce(value.cast("string"), F.lit("")).alias(column))
+        raw[name] = frame.select(*columns, F.monotonically_increasing_id().alias("_source_record"))
+    return raw
+
+
+def _imported(spark, sf_dir):
+    """A folder with typed tables published through the gate, and its manifest."""
+    folder = scratch_folder(spark)
+    return folder, warehouse.silver_gate(_clean_raw(spark, sf_dir), folder, "0" * 64, data_kind="gtfs_derived")
+
+
 @query
 def verify_silver(spark, sf_dir):
-    folder = scratch_folder(spark)
-    flags = []
-    for name, frame in silver.silver_tables(raw_tables(spark, sf_dir)).items():
-        declared = warehouse.write_table(frame, f"{folder}/{name}")
-        flags.append(
-            warehouse.verify_table(spark.read.parquet(f"{folder}/{name}"), declared).select(
-                F.lit(name).alias("table_name"), "*"
-            )
-        )
-    return silver.union_all(flags)
+    return warehouse.verify_silver(spark, _imported(spark, sf_dir)[0])
+
+
+@query
+def silver_gate(spark, sf_dir):
+    """The stop times that went through gate and report."""
+    folder, _ = _imported(spark, sf_dir)
+    return warehouse.read_silver(spark, folder)["stop_times"].select(
+        "trip_id", "stop_id", "stop_sequence", "arrival_seconds", "departure_seconds", "pickup_type", "timepoint"
+    )
+
+
+@query
+def write_quality_report(spark, sf_dir):
+    """The counts of the report document of a gate, one row per table."""
+    folder, _ = _imported(spark, sf_dir)
+    report = spark.read.text(f"{folder}/quality", wholetext=True)
+    parsed = F.from_json("value", "status string, error_count bigint, row_counts map<string, bigint>")
+    return report.select(parsed.alias("r")).select("r.status", "r.error_count", F.explode("r.row_counts").alias("table_name", "row_count"))
+
+
+def _loaded(spark, sf_dir):
+    folder, manifest = _imported(spark, sf_dir)
+    store = f"{folder}/store"
+    warehouse.load_silver(spark, folder, store)
+    return store, manifest["dataset_id"]
+
+
+@query
+def load_silver(spark, sf_dir):
+    """The trips of the feed of a loaded dataset."""
+    store, identity_ = _loaded(spark, sf_dir)
+    return warehouse.loaded_feed(spark, store, identity_).trips.select(
+        "trip_id", "route_id", "service_id", "direction_id", "trip_headsign"
+    )
 
 
 def _rewritten(frame, name):
@@ -574,16 +647,16 @@ on_raw("read_feed_csv")(
         "stop_times",
     ).drop("_source_record")
 )
-on_raw("source_record_number")(
-    lambda raw: feed_csv.read_feed_csv(
-        raw["trips"].sparkSession, _as_csv(raw["trips"].drop("_source_record"), "trips"), "trips"
-    ).agg(
-        F.count("*").alias("records"),
-        F.count_distinct("_source_record").alias("numbers"),
-        F.min("_source_record").alias("first_number"),
-        F.max("_source_record").alias("last_number"),
-    )
-)
+def _numbered(raw):
+    """Trips written in the order of their ids with their numbers as read; some notes have quotes and line breaks."""
+    trips = raw["trips"].filter(F.col("trip_id") != "").groupBy("trip_id").agg(F.min("trip_headsign").alias("headsign"))
+    long_note = F.concat(F.lit('a "'), "headsign", F.lit('",\nb'))
+    note = F.when(F.right("trip_id", F.lit(1)).isin("1", "4", "7"), long_note).otherwise(F.lit('5" x'))
+    rows = trips.select("trip_id", note.alias("note")).repartitionByRange(4, "trip_id").sortWithinPartitions("trip_id")
+    return feed_csv.read_feed_csv(raw["trips"].sparkSession, _as_csv(rows, "trips"), "trips")
+
+
+on_raw("source_record_number")(_numbered)
 on_raw("skip_blank_records")(
     lambda raw: feed_csv.skip_blank_records(
         raw["stop_times"].select("_source_record", "location_group_id", "timepoint"),
@@ -636,10 +709,23 @@ def read_shapes(spark, sf_dir):
 
 @query
 def import_geometry(spark, sf_dir):
-    points = feed_csv.typed_shapes(
-        view(spark, sf_dir, "g_shapes").select(
-            "shape_id", "shape_pt_sequence",
-            F.col("latitude").alias("shape_pt_lat"), F.col("longitude").alias("shape_pt_lon"),
-        ).select(*[F.col(c).cast("string").alias(c) for c in feed_csv.SHAPE_COLUMNS])
-    ).filter("valid")
-    return reports.shape_counts(_rewritten(points.drop("valid"), "shapes"))
+    """Counts of the shapes that were imported for a loaded dataset from a file."""
+    points = view(spark, sf_dir, "g_shapes").select(
+        "shape_id", "shape_pt_sequence",
+        F.col("latitude").alias("shape_pt_lat"), F.col("longitude").alias("shape_pt_lon"),
+    ).select(*[F.col(c).cast("string").alias(c) for c in feed_csv.SHAPE_COLUMNS])
+    store, identity_ = _loaded(spark, sf_dir)
+    warehouse.import_geometry(spark, store, identity_, "0" * 64, _as_csv(points, "shapes"))
+    return reports.shape_counts(warehouse.loaded_feed(spark, store, identity_).shapes)
+
+
+@query
+def read_positions_json(spark, sf_dir):
+    """Observations written as a history of one record per line and read again."""
+    positions_ = view(spark, sf_dir, "r_positions")
+    records = positions_.select(F.to_json(F.struct(
+        *[F.col(name).alias(field) for name, field in positions_json.FIELDS.items()]
+    )).alias("value"))
+    path = f"{scratch_folder(spark)}/positions"
+    records.write.text(path)
+    return positions_json.read_position_lines(spark, path).drop("observation_id", "is_object")

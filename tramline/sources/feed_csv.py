@@ -1,10 +1,21 @@
-"""Feed tables as all-text DataFrames read from CSV files."""
-
+"""Feed tables as all-text DataFrames read from CSV files.
+
+A file is read as lines, in splits, whatever it holds. A record goes on over a line break only inside
+a quoted field, and whether a line begins inside one depends on the lines before it. So lines with a
+quote are read for both cases: entered outside and entered inside a quoted field. Walked along, they
+tell for both cases how a split ends and how many of its lines continue a record: one small row per
+split. Composed in file order, these rows say how every split is entered, the number of its first
+record, and whether a field stays open at the end of a file. A second walk puts lines together to
+records; only pieces of records that cross an edge of a split are shuffled.
+"""
+
+import pyarrow as pa
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import parsing
 from ..operators.silver import GENERATED, OPTIONAL_TABLES, RECORD, RULES, TABLES
+from ..session import scratch_folder
 
 # Columns each file must have, and names reserved for typed columns.
 REQUIRED_COLUMNS = {
@@ -24,7 +35,6 @@ RESERVED = {name for names in GENERATED.values() for name in names} | {RECORD}
 ROUTE_NAMES = ("route_short_name", "route_long_name")
 # A text no feed holds: an empty field stays an empty text and "NA" or "NULL" stay ids.
 NO_NULL = "\x00\x00"
-REPLACEMENT = "\ufffd"
 
 ISSUES = "code string, file string, detail string"
 
@@ -33,23 +43,206 @@ class FeedError(ValueError):
     """A file or table that cannot be accepted."""
 
 
-def _reader(spark, multi_line):
-    return spark.read.options(
-        multiLine=multi_line, mode="FAILFAST", encoding="UTF-8", quote='"', escape='"',
-        nullValue=NO_NULL, emptyValue="", ignoreLeadingWhiteSpace=False,
-        ignoreTrailingWhiteSpace=False, maxCharsPerColumn=-1,
+# What a line is, entered outside or inside a quoted field, and how it leaves. Repeats are possessive.
+_IN = r'[^"]*+(?:""[^"]*+)*+'
+_FIELDS = rf'(?:"{_IN}",|[^",][^,]*+,|,)*+'
+_LAST = rf'(?:"{_IN}"|[^",][^,]*+|)\r?\z'
+OUTSIDE_TO_OUTSIDE = rf"^{_FIELDS}{_LAST}"
+OUTSIDE_TO_INSIDE = rf'^{_FIELDS}"{_IN}\z'
+INSIDE_TO_OUTSIDE = rf'^{_IN}"(?:\r?\z|,{_FIELDS}{_LAST})'
+INSIDE_TO_INSIDE = rf'^{_IN}(?:\z|",{_FIELDS}"{_IN}\z)'
+OUTSIDE, INSIDE, BROKEN = 0, 1, 2
+
+PARSER = {
+    "mode": "FAILFAST", "quote": '"', "escape": '"', "nullValue": NO_NULL, "emptyValue": "", "multiLine": "true",
+    "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false", "maxCharsPerColumn": "-1",
+}
+
+
+def _reader(spark):
+    return spark.read.options(encoding="UTF-8", **PARSER)
+
+
+def read_lines(spark, path):
+    """Every line: its file, split and place there, text, and what it makes of either way of entering it."""
+    def leaves(to_outside, to_inside, plain):
+        text = F.when(F.col("block") == 0, F.ltrim("value", F.lit("\ufeff"))).otherwise(F.col("value"))
+        read = F.when(text.rlike(to_outside), OUTSIDE).when(text.rlike(to_inside), INSIDE).otherwise(BROKEN)
+        return F.when(F.contains(F.col("value"), F.lit('"')), read).otherwise(plain).cast("int")
+
+    return spark.read.option("lineSep", "\n").text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("place"), "value",
+    ).select(
+        "*",
+        leaves(OUTSIDE_TO_OUTSIDE, OUTSIDE_TO_INSIDE, OUTSIDE).alias("outside"),
+        leaves(INSIDE_TO_OUTSIDE, INSIDE_TO_INSIDE, INSIDE).alias("inside"),
     )
 
 
-def has_quoted_line_breaks(spark, path):
-    """Whether some record spans lines: its first line then holds an odd number of quotes."""
-    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
-    return not spark.read.text(path).filter(quotes % 2 == 1).isEmpty()
+class _Walk:
+    """Lines with a quote along one split, for one way of entering it."""
+
+    def __init__(self, entry):
+        self.state, self.opened, self.head, self.middle = entry, None, None, 0
+        self.entry = entry
+
+    def step(self, place, outside, inside):
+        if self.state == OUTSIDE and outside == INSIDE:
+            self.opened = place
+        elif self.state == INSIDE and inside != INSIDE:
+            if self.opened is None:
+                self.head = place  # the lines of the split up to here continue a record
+            else:
+                self.middle += place - self.opened
+                self.opened = None
+        if self.state != BROKEN:
+            self.state = inside if self.state == INSIDE else outside
+
+
+_WALKED = "file string, block long, entry int, leaves int, head long, middle long, opened long"
+
+
+def _walk_splits(batches):
+    """Per split with quotes and way of entering it: how it ends and which lines continue a record."""
+    split, walks, out = None, (), []
+
+    def rows():
+        kinds = (pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
+        names = [field.split(" ")[0] for field in _WALKED.split(", ")]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
+
+    for batch in batches:
+        for file, block, *line in zip(*(column.to_pylist() for column in batch.columns), strict=True):
+            if split != (file, block):
+                out += [(*split, w.entry, w.state, w.head, w.middle, w.opened) for w in walks]
+                split, walks = (file, block), (_Walk(OUTSIDE), _Walk(INSIDE))
+            for walk in walks:
+                walk.step(*line)
+    out += [(*split, w.entry, w.state, w.head, w.middle, w.opened) for w in walks]
+    if out:
+        yield rows()
+
+
+def _enter_splits(batches):
+    """Per file: how each split is entered, records that begin before it, and the end of the file."""
+    for batch in batches:
+        out = []
+        for file, splits in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            state, begun = OUTSIDE, -1  # the header has no number
+            for split in sorted(splits, key=lambda s: s["block"]):
+                out.append((file, split["block"], state, begun, False))
+                lines = split["high"] - split["low"] + 1
+                walk = next((w for w in split["walks"] if w["entry"] == state), None)
+                if walk is None:
+                    begun += lines if state == OUTSIDE else 0
+                    continue
+                if state == INSIDE:
+                    lines -= (split["high"] if walk["head"] is None else walk["head"]) - split["low"] + 1
+                lines -= walk["middle"] + (0 if walk["opened"] is None else split["high"] - walk["opened"])
+                begun += lines
+                state = walk["leaves"]
+            out.append((file, None, state, begun, True))
+        kinds = (pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.bool_())
+        names = ["file", "block", "entered", "begun", "at_end"]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
+
+
+def _put_together(batches):
+    """Records of each split as (number, block, text, whole); headers are left out."""
+    split, number, lowest, state, pieces, whole, out = None, 0, 0, OUTSIDE, [], True, []
+
+    def end(complete):
+        if pieces and number >= lowest:
+            out.append((number, split[1], "\n".join(pieces), whole and complete))
+
+    def rows():
+        kinds = (pa.int64(), pa.int64(), pa.string(), pa.bool_())
+        batch = pa.RecordBatch.from_arrays(
+            [pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["number", "block", "text", "whole"]
+        )
+        out.clear()
+        return batch
+
+    for batch in batches:
+        for file, block, text, outside, inside, entered, before, first in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if split != (file, block):
+                end(state == OUTSIDE)
+                split, number, lowest, state, pieces, whole = (file, block), before, first, entered, [], entered == OUTSIDE
+            if state == OUTSIDE:
+                if pieces:
+                    end(True)
+                    whole = True
+                number += 1
+                pieces = [text]
+            else:
+                pieces.append(text)
+            state = inside if state == INSIDE else outside
+        if out:
+            yield rows()
+    if split is not None:
+        end(state == OUTSIDE)
+    if out:
+        yield rows()
+
+
+def _stored(frame, name):
+    """A small table that several steps start from, written once; its size is then known to the planner."""
+    spark = frame.sparkSession
+    path = f"{scratch_folder(spark)}/{name}"
+    frame.write.parquet(path)
+    return spark.read.schema(frame.schema).parquet(path)
+
+
+def read_records(spark, path, table):
+    """(number, text) of the records of a file or folder, blank ones included, headers left out.
+
+    Numbers count in the order of file names and lines. Text that is not UTF-8, a quoted field that
+    is never closed and text after a closing quote are refused.
+    """
+    lines = read_lines(spark, path)
+    splits = _stored(
+        lines.groupBy("file", "block").agg(
+            F.min("place").alias("low"), F.max("place").alias("high"), F.count_if(~F.is_valid_utf8("value")).alias("undecodable")
+        ), "splits",
+    )
+    if not splits.filter("undecodable > 0").isEmpty():
+        raise FeedError(f"{table}: not valid UTF-8")
+    quoted = lines.filter(F.contains(F.col("value"), F.lit('"'))).select("file", "block", "place", "outside", "inside")
+    walked = quoted.mapInArrow(_walk_splits, _WALKED).groupBy("file", "block").agg(
+        F.collect_list(F.struct("entry", "leaves", "head", "middle", "opened")).alias("walks")
+    )
+    none = F.array().cast("array<struct<entry: int, leaves: int, head: bigint, middle: bigint, opened: bigint>>")
+    of_file = splits.join(walked, ["file", "block"], "left").groupBy("file").agg(
+        F.collect_list(F.struct("block", "low", "high", F.coalesce("walks", none).alias("walks"))).alias("splits")
+    )
+    entered = _stored(
+        of_file.mapInArrow(_enter_splits, "file string, block long, entered int, begun long, at_end boolean"), "entered"
+    )
+    if not entered.filter(F.col("at_end") & (F.col("entered") != OUTSIDE)).isEmpty():
+        raise FeedError(f"{table}: a quoted field is not closed, or text follows its closing quote")
+    # One row per file; records of a file come after those of all files before it.
+    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    files = entered.filter("at_end").select("file", F.coalesce(F.sum(F.greatest("begun", F.lit(0))).over(before), F.lit(0)).alias("earlier"))
+    known = _stored(
+        entered.filter("NOT at_end").join(files, "file").select(
+            "file", "block", "entered", (F.col("earlier") + F.col("begun")).alias("before"), (F.col("earlier") + 1).alias("first")
+        ), "known",
+    )
+    placed = lines.join(known, ["file", "block"]).sortWithinPartitions("file", "block", "place").select(
+        "file", "block", "value", "outside", "inside", "entered", "before", "first"
+    )
+    records = placed.mapInArrow(_put_together, "number long, block long, text string, whole boolean")
+    parted = (
+        records.filter("NOT whole").groupBy("number").agg(F.sort_array(F.collect_list(F.struct("block", "text"))).alias("parts"))
+        .select("number", F.array_join("parts.text", "\n").alias("text"))
+    )
+    return records.filter("whole").select("number", "text").unionByName(parted)
 
 
 def read_header(spark, path):
     """Column names of a file as they are written, repeated ones included."""
-    first = _reader(spark, True).csv(path, header=False).first()
+    first = _reader(spark).csv(path, header=False).first()
     names = [] if first is None else ["" if value is None else value for value in first]
     if names:
         names[0] = names[0].removeprefix("\ufeff")
@@ -64,59 +257,22 @@ def check_header(names, table):
     return names
 
 
-def number_records(frame):
-    """Add the 1-based record number in file order.
-
-    Rows are numbered within their input split; a small table with one row per split, which
-    is all that is broadcast, says how many rows come before it.
-    """
-    numbered = frame.select(
-        "*",
-        F.spark_partition_id().alias("_split"),
-        F.monotonically_increasing_id().bitwiseAND(2**33 - 1).alias("_place"),
-    )
-    earlier = Window.orderBy("_split").rowsBetween(Window.unboundedPreceding, -1)
-    starts = (
-        numbered.groupBy("_split")
-        .agg(F.count("*").alias("_rows"))
-        .select("_split", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_start"))
-    )
-    return (
-        numbered.join(F.broadcast(starts), "_split")
-        .withColumn(RECORD, F.col("_place") + F.col("_start") + 1)
-        .drop("_split", "_place", "_start")
-    )
-
-
 def skip_blank_records(frame, columns):
     """Drop records whose fields are all blank."""
     return frame.filter(~parsing.is_blank(F.concat_ws("", *[F.col(f"`{c}`") for c in columns])))
 
 
-def read_feed_csv(spark, path, table, multi_line=None):
-    """A feed file as text columns plus the record number.
+def read_feed_csv(spark, path, table):
+    """A feed file as text columns plus the record number; blank records keep their number and go.
 
-    Files without quoted line breaks, found by a scan of the lines, are read in splits; a file
-    that has them can only be read from its start. Short or long records fail the read.
+    Short or long records fail the read.
     """
     names = check_header(read_header(spark, path), table)
-    if multi_line is None:
-        multi_line = has_quoted_line_breaks(spark, path)
     schema = ", ".join(f"`{name}` string" for name in names)
-    rows = _reader(spark, multi_line).csv(path, header=True, schema=schema, enforceSchema=True)
-    rows = rows.select(*[F.coalesce(F.col(f"`{n}`"), F.lit("")).alias(n) for n in names])
-    return skip_blank_records(number_records(rows), names)
-
-
-def reject_undecodable(frame, table):
-    """Fail on text that was not valid UTF-8, which the reader replaces by a mark."""
-    marked = [F.contains(F.col(f"`{n}`"), F.lit(REPLACEMENT)) for n in frame.columns if n != RECORD]
-    bad = marked[0]
-    for mark in marked[1:]:
-        bad = bad | mark
-    if not frame.filter(bad).isEmpty():
-        raise FeedError(f"{table}: not valid UTF-8")
-    return frame
+    records = read_records(spark, path, table)
+    blank = parsing.is_blank(F.translate("text", '",', ""))
+    rows = records.filter(~blank).select(F.from_csv(F.regexp_replace("text", r"\r\z", ""), schema, PARSER).alias("r"), F.col("number").alias(RECORD))
+    return rows.select(*[F.coalesce(F.col(f"r.`{n}`"), F.lit("")).alias(n) for n in names], RECORD)
 
 
 def read_feed(spark, paths):
@@ -128,7 +284,7 @@ def read_feed(spark, paths):
     tables = {}
     for table in TABLES:
         if present[table]:
-            tables[table] = reject_undecodable(read_feed_csv(spark, paths[table], table), table)
+            tables[table] = read_feed_csv(spark, paths[table], table)
         elif table in OPTIONAL_TABLES:
             tables[table] = empty_raw(spark, table)
         else:
@@ -178,7 +334,7 @@ def feed_structure_check(spark, paths):
     headers = {table: read_header(spark, path) for table, path in known.items()}
     empty = set()
     for table, path in known.items():
-        rows = _reader(spark, True).csv(path, header=True)
+        rows = _reader(spark).csv(path, header=True)
         if not rows.columns or skip_blank_records(rows, rows.columns).isEmpty():
             empty.add(table)
     return spark.createDataFrame(structure_issues(headers, empty), ISSUES)

@@ -22,16 +22,28 @@ def read_positions(spark, path):
     """One row per record: its 0-based place and its fields as text.
 
     A record that is no JSON object keeps its place with all fields NULL and no coordinates,
-    so it is counted as received and skipped.
+    so it is counted as received and skipped; ``is_object`` tells it apart. An export is one
+    document; a history in one line per record is read by ``read_position_lines``, in splits.
     """
     export = spark.read.schema(f"{RECORDS} array<string>").json(path, multiLine=True)
-    return (
-        export.select(F.posexplode(RECORDS).alias("place", "text"))
-        .withColumn("record", F.from_json("text", RECORD_SCHEMA))
-        .select(
-            F.col("place").cast("string").alias("observation_id"),
-            *[F.col(f"record.`{field}`").alias(name) for name, field in FIELDS.items()],
-        )
+    records = export.select(F.posexplode(RECORDS).alias("place", "text"))
+    return _records(records.select(F.col("place").cast("string").alias("observation_id"), "text"))
+
+
+def read_position_lines(spark, path):
+    """The same rows from files with one record per line; ids are unique but not consecutive."""
+    lines = spark.read.text(path).filter(F.trim("value") != "")
+    return _records(
+        lines.select(F.monotonically_increasing_id().cast("string").alias("observation_id"), F.col("value").alias("text"))
+    )
+
+
+def _records(records):
+    kind = F.schema_of_variant(F.try_parse_json("text"))
+    return records.withColumn("record", F.from_json("text", RECORD_SCHEMA)).select(
+        "observation_id",
+        *[F.col(f"record.`{field}`").alias(name) for name, field in FIELDS.items()],
+        F.coalesce(kind.startswith("OBJECT"), F.lit(False)).alias("is_object"),
     )
 
 

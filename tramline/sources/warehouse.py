@@ -1,11 +1,14 @@
 """Writing feeds and analyses: one folder per table and identity, one marker per commit.
 
-Plain files have no transaction over several tables. Every table is written to the folder of
-its identity, which a retry simply overwrites, and a marker is written last; readers accept
-only identities with a marker. Two identical runs at the same time are not kept apart.
+Plain files have no transaction over several tables. Typed tables are written to a folder of the
+run, checked there, and become the published ones when the manifest that names the run is written;
+a run that fails leaves what was published before as it was. Warehouse tables are written to the
+folder of their identity, which a retry simply overwrites, and a marker is written last; readers
+accept only identities with a marker. Two identical runs at the same time are not kept apart.
 """
 
 import json
+import uuid
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Observation
@@ -18,13 +21,16 @@ from ..functions.identity import (
     content_fingerprint,
     dataset_id,
     document_hash,
+    fingerprint_parts,
+    observed_fingerprint,
 )
 from ..operators import quality, silver
 from ..operators.events import estimate_guard
 from ..operators.gold import coverage_summary, source_context
-from ..operators.service_calendar import services_catalog
+from ..operators.service_calendar import calendar_envelope, services_catalog
 from ..feed import Feed
 from ..plans.analysis import OUTPUTS, Analysis
+from ..session import scratch_folder
 from .feed_csv import feed_capabilities, read_shapes
 
 
@@ -45,12 +51,13 @@ def write_parquet(frame, path):
 
 
 def write_table(frame, path):
-    """Write a table as zstd Parquet; count and fingerprint are taken from what was written."""
-    write_parquet(frame, path)
-    measures = content_fingerprint(frame.sparkSession.read.schema(frame.schema).parquet(path)).first()
+    """Write a table as zstd Parquet; count and fingerprint are taken of the rows as they are written."""
+    seen = Observation()
+    write_parquet(frame.observe(seen, *fingerprint_parts(frame)), path)
+    row_count, content_hash = observed_fingerprint(seen.get)
     return {
-        "row_count": measures.row_count,
-        "content_hash": measures.content_hash,
+        "row_count": row_count,
+        "content_hash": content_hash,
         "columns": [[field.name, field.dataType.simpleString()] for field in frame.schema],
     }
 
@@ -77,10 +84,19 @@ def write_bronze(tables, folder):
     return {name: write_table(frame, f"{folder}/{name}") for name, frame in tables.items()}
 
 
-def quality_report(raw, frequencies=None, typed=None):
-    """The bounded report of a feed as one small document."""
+def quality_report(raw, frequencies=None, typed=None, present=None, row_counts=None):
+    """The bounded report of a feed as one small document.
+
+    The findings are written to the scratch folder once; counts and examples are read from there.
+    """
+    spark = raw["trips"].sparkSession
     typed = typed or silver.silver_tables({name: raw[name] for name in silver.TABLES})
-    found = quality.all_findings(raw, frequencies, typed)
+    path = f"{scratch_folder(spark)}/findings"
+    write_parquet(quality.all_findings(raw, frequencies, typed), path)
+    found = spark.read.parquet(path)
+    capabilities = feed_capabilities(raw, present or dict.fromkeys(silver.TABLES, True), frequencies)
+    if row_counts is None:
+        row_counts = {name: frame.count() for name, frame in typed.items()}
     checks = quality.summarize(found).orderBy(*quality.CHECK_KEYS).collect()
     totals = {"error": 0, "warning": 0}
     for row in checks:
@@ -95,44 +111,61 @@ def quality_report(raw, frequencies=None, typed=None):
         "time_coverage": quality.time_coverage(typed["stop_times"]).first().asDict(),
         "service_date_range": quality.service_date_range(typed).first().asDict(),
         "unknown_directions": quality.unknown_directions(typed["trips"]).first()[0],
+        "capabilities": capabilities.first().asDict(recursive=True),
+        "row_counts": row_counts,
     }
 
 
 def silver_gate(raw, folder, source_sha256, frequencies=None, present=None, data_kind="unknown"):
-    """Write typed tables, check them and publish them only without errors.
+    """Write typed tables to a folder of this run, check them, and publish them only without errors.
 
-    Typing runs once; the checks across rows read the written columns they need. Tables count
-    as published only with a manifest, which a feed with errors never gets; the report is
+    Typing runs once; the checks across rows read the written columns they need. A feed with errors
+    gets no manifest, so what the folder published before stays; the report of the last run is
     written either way. ``raw`` should come from bronze files, since it is read twice.
     """
     spark = raw["trips"].sparkSession
+    run = f"runs/{uuid.uuid4().hex}"
     typed = silver.silver_tables({name: raw[name] for name in silver.TABLES})
-    written = {name: write_table(frame, f"{folder}/{name}") for name, frame in typed.items()}
-    report = quality_report(raw, frequencies, read_silver(spark, folder))
-    write_document(spark, f"{folder}/quality", report)
+    written = {name: write_table(frame, f"{folder}/{run}/{name}") for name, frame in typed.items()}
+    row_counts = {name: table["row_count"] for name, table in written.items()}
+    report = quality_report(raw, frequencies, _typed_tables(spark, f"{folder}/{run}"), present, row_counts)
+    for place in (f"{folder}/{run}/quality", f"{folder}/quality"):
+        write_document(spark, place, report)
     if report["error_count"]:
         raise QualityFailed(report)
-    capabilities = feed_capabilities(raw, present or dict.fromkeys(silver.TABLES, True), frequencies)
     manifest = {
         "dataset_id": dataset_id(source_sha256),
         "source_sha256": source_sha256,
         "model_version": MODEL_VERSION,
         "status": "passed",
+        "run": run,
         "data_kind": data_kind,
         "warning_count": report["warning_count"],
         "time_coverage": report["time_coverage"],
-        "capabilities": capabilities.first().asDict(recursive=True),
+        "capabilities": report["capabilities"],
         "tables": written,
     }
     write_document(spark, f"{folder}/manifest", manifest)
     return manifest
 
 
-def read_silver(spark, folder):
-    """Typed tables of a published folder."""
+def _typed_tables(spark, folder):
     return {name: spark.read.parquet(f"{folder}/{name}") for name in silver.TABLES}
 
 
+def published(spark, folder):
+    """The manifest of a folder's published tables."""
+    manifest = read_document(spark, f"{folder}/manifest")
+    if manifest is None or manifest["status"] != "passed":
+        raise Rejected(f"{folder} holds no published tables")
+    return manifest
+
+
+def read_silver(spark, folder):
+    """Typed tables a folder has published."""
+    return _typed_tables(spark, f"{folder}/{published(spark, folder)['run']}")
+
+
 def verify_table(frame, declared):
     """Compare a table with its manifest entry; one row with a flag per property."""
     schema = [[field.name, field.dataType.simpleString()] for field in frame.schema]
@@ -145,10 +178,8 @@ def verify_table(frame, declared):
 
 def verify_silver(spark, folder):
     """Check a published folder against its manifest and report; one row per table."""
-    manifest = read_document(spark, f"{folder}/manifest")
-    if manifest is None or manifest["status"] != "passed":
-        raise Rejected(f"{folder} holds no published tables")
-    report = read_document(spark, f"{folder}/quality")
+    manifest = published(spark, folder)
+    report = read_document(spark, f"{folder}/{manifest['run']}/quality")
     warnings = sum(c["findings"] for c in report["checks"] if c["severity"] == "warning")
     if report["status"] != "passed" or warnings != manifest["warning_count"]:
         raise Rejected(f"{folder}: the quality report does not belong to the manifest")
@@ -176,7 +207,7 @@ def load_silver(spark, folder, warehouse):
     wrong = [row.table_name for row in bad.collect()]
     if wrong:
         raise Rejected(f"tables differ from their manifest: {wrong}")
-    manifest = read_document(spark, f"{folder}/manifest")
+    manifest = published(spark, folder)
     identity = manifest["dataset_id"]
     entry = {
         "dataset_id": identity,
@@ -221,21 +252,6 @@ def loaded_feed(spark, warehouse, identity):
     return Feed(**tables)
 
 
-def save_bucketed(feed, prefix, buckets):
-    """Save trips and stop_times as tables bucketed by trip, so their join needs no shuffle.
-
-    Worth it when many analyses read the same dataset.
-    """
-    saved = {}
-    for name in ("trips", "stop_times"):
-        table = f"{prefix}_{name}"
-        getattr(feed, name).write.mode("overwrite").bucketBy(buckets, "trip_id").sortBy(
-            "trip_id"
-        ).saveAsTable(table)
-        saved[name] = feed.spark.table(table)
-    return feed.with_tables(**saved)
-
-
 def write_gold(analysis, folder, name):
     """Write the eight KPI tables of an analysis; returns their row counts."""
     counts = {}
@@ -274,6 +290,10 @@ def publish_gold(spark, warehouse, identity, start, end, scratch, **limits):
         return "ALREADY_ANALYZED", existing
     estimate_guard(feed, analysis.start, analysis.end, **limits)
     counts = write_gold(analysis.share_profile(f"{scratch}/{name}"), f"{warehouse}/gold", name)
+    envelope = calendar_envelope(feed.calendar, feed.calendar_dates)
+    coverage = gold_tables(spark, f"{warehouse}/gold", name)["coverage_daily"].withColumns(
+        {bound: envelope.select(bound).scalar() for bound in ("source_start", "source_end")}
+    )
     context = source_context(
         feed,
         json.dumps(dataset["capabilities"]),
@@ -289,7 +309,7 @@ def publish_gold(spark, warehouse, identity, start, end, scratch, **limits):
         "input_fingerprint": dataset["fingerprint"],
         "status": "complete",
         "row_counts": counts,
-        "coverage": json.loads(coverage_summary(analysis.coverage).first()[0]),
+        "coverage": json.loads(coverage_summary(coverage).first()[0]),
         "source_context": context.first().asDict(),
     }
     write_document(spark, marker, entry)
