@@ -100,5 +100,5 @@ def test_held_out_texts_score_better_than_the_base(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model, counts = L.learn(docs, ~L.held_out(F.col("doc_id")), rounds=2)
     found = L.score(docs, model, counts).filter(L.held_out(F.col("doc_id")))
-    sums = found.agg(F.sum("score"), F.sum("base_score"), F.count("*"), F.count_if("score > base_score")).first()
+    sums = found.agg(F.sum("score"), F.sum("base_score"), F.count("*"), F.count_if(F.col("score") > F.col("base_score"))).first()
     assert sums[0] > 0.9 * sums[1] and sums[3] > 0.95 * sums[2]
