@@ -96,6 +96,14 @@ def test_training_learns_what_follows():
     assert score(trained) > -0.3
 
 
+@pytest.mark.parametrize("partitions", [1, 5])
+def test_every_position_is_learned_from(spark, partitions):
+    """However the texts lie: one task has far more than 100,000 positions, in several groups of texts."""
+    rows = [(k, " ".join(f"a{(k + j) % 50}" for j in range(2000))) for k in range(300)]
+    model, _ = L.learn(documents(spark, rows, partitions), F.lit(True), rounds=2)
+    assert model.learned == model.total == 300 * 2001
+
+
 def test_held_out_texts_score_better_than_the_base(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model, counts = L.learn(docs, ~L.held_out(F.col("doc_id")), rounds=2)

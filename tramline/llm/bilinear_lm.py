@@ -9,8 +9,9 @@ share of the class's training tokens, less a part for unknown words, which is th
 seen once. So the probabilities of all classes and words in every context add up to one.
 
 Vectors are trained in numpy by noise-contrastive estimation, with noise from the frequencies of
-classes. In each round every task trains a copy on positions of its own texts, and the copies are
-averaged; each round reads another part of the training texts, so what is learned from grows with them.
+classes. In each round every task trains a copy on its own texts, group of texts by group, and the
+copies are averaged; each round reads another part of the training texts, and together the rounds read
+all of them. Every position is learned from, and equally often, wherever its text lies.
 
 Scores need no approximation: the exponentials of both contexts' tables are multiplied as matrices,
 which yields the normaliser of every pair of contexts at once. A table of the counts of the most
@@ -39,8 +40,6 @@ OWN_CLASSES = 1024
 ENDINGS = 128
 DIMENSIONS = 32
 ROUNDS = 4
-STRIDE = 8  # of the positions of a text every eighth is learned from, more where a task has few
-LEAST_POSITIONS = 100_000
 BATCH = 2048
 NOISE = 96
 RATE = 0.1
@@ -110,6 +109,7 @@ class Model(NamedTuple):
     unknown: np.ndarray  # per ending: log10 of what unknown words have of a class
     frequency: np.ndarray  # per class
     vectors: dict  # r, q, b, c1, c2
+    learned: int = 0  # positions the vectors have learned from
 
 
 def count_words(train_texts):
@@ -202,29 +202,35 @@ def _sum_rows(index, rows, size):
     return index[starts], np.add.reduceat(rows[order], starts, axis=0)
 
 
-def train_copy(vectors, frequency, positions, seed, rate=RATE, batch=BATCH, noise=NOISE):
-    """Noise-contrastive steps with Adagrad over positions (target, first, second context)."""
-    v = {k: x.copy() for k, x in vectors.items()}
-    past = {k: np.full(x.shape, 0.1, dtype=np.float32) for k, x in v.items()}
-    random = np.random.default_rng(seed)
-    edge = np.cumsum(frequency)
-    log_noise = np.log(noise * frequency).astype(np.float32)
+class Copy:
+    """Vectors that learn from positions (target, first, second context) by noise-contrastive steps with Adagrad."""
+
+    def __init__(self, vectors, frequency, seed, rate=RATE, batch=BATCH, noise=NOISE):
+        self.v = {k: x.copy() for k, x in vectors.items()}
+        self.past = {k: np.full(x.shape, 0.1, dtype=np.float32) for k, x in self.v.items()}
+        self.random = np.random.default_rng(seed)
+        self.edge = np.cumsum(frequency)
+        self.log_noise = np.log(noise * frequency).astype(np.float32)
+        self.rate, self.batch, self.noise = rate, batch, noise
+        self.learned = 0
 
-    def move(name, index, gradient):
+    def _move(self, name, index, gradient):
+        v, past = self.v[name], self.past[name]
         if index is None:
-            past[name] += gradient * gradient
-            v[name] -= rate * gradient / np.sqrt(past[name])
+            past += gradient * gradient
+            v -= self.rate * gradient / np.sqrt(past)
         else:
-            index, gradient = _sum_rows(index, gradient, len(v[name]))
-            past[name][index] += gradient * gradient
-            v[name][index] -= rate * gradient / np.sqrt(past[name][index])
-
-    epochs = max(1, -(-LEAST_POSITIONS // max(1, len(positions))))
-    for _ in range(min(epochs, 20)):
-        positions = positions[random.permutation(len(positions))]
+            index, gradient = _sum_rows(index, gradient, len(v))
+            past[index] += gradient * gradient
+            v[index] -= self.rate * gradient / np.sqrt(past[index])
+
+    def learn(self, positions):
+        """Every position once, in a random order."""
+        v, batch, edge, log_noise = self.v, self.batch, self.edge, self.log_noise
+        positions = positions[self.random.permutation(len(positions))]
         for at in range(0, len(positions), batch):
             target, first, second = positions[at : at + batch].T
-            drawn = np.minimum(np.searchsorted(edge, random.random(noise) * edge[-1]), len(edge) - 1)
+            drawn = np.minimum(np.searchsorted(edge, self.random.random(self.noise) * edge[-1]), len(edge) - 1)
             r1, r2, qt, qn = v["r"][first], v["r"][second], v["q"][target], v["q"][drawn]
             h = r1 @ v["c1"] + r2 @ v["c2"]
             true = (h * qt).sum(1) + v["b"][target] - log_noise[target]
@@ -232,12 +238,19 @@ def train_copy(vectors, frequency, positions, seed, rate=RATE, batch=BATCH, nois
             dt = (-1 / (1 + np.exp(np.clip(true, -30, 30)))).astype(np.float32) / batch * 64
             dn = (1 / (1 + np.exp(-np.clip(false, -30, 30)))).astype(np.float32) / batch * 64
             dh = dt[:, None] * qt + dn @ qn
-            move("q", np.concatenate((target, drawn)), np.concatenate((dt[:, None] * h, dn.T @ h)))
-            move("b", np.concatenate((target, drawn)), np.concatenate((dt, dn.sum(0))))
-            move("r", np.concatenate((first, second)), np.concatenate((dh @ v["c1"].T, dh @ v["c2"].T)))
-            move("c1", None, r1.T @ dh)
-            move("c2", None, r2.T @ dh)
-    return v
+            self._move("q", np.concatenate((target, drawn)), np.concatenate((dt[:, None] * h, dn.T @ h)))
+            self._move("b", np.concatenate((target, drawn)), np.concatenate((dt, dn.sum(0))))
+            self._move("r", np.concatenate((first, second)), np.concatenate((dh @ v["c1"].T, dh @ v["c2"].T)))
+            self._move("c1", None, r1.T @ dh)
+            self._move("c2", None, r2.T @ dh)
+        self.learned += len(positions)
+
+
+def train_copy(vectors, frequency, positions, seed, **parameters):
+    """Vectors that have learned from every position once."""
+    copy = Copy(vectors, frequency, seed, **parameters)
+    copy.learn(positions)
+    return copy.v
 
 
 def _flat(vectors):
@@ -259,23 +272,18 @@ def _train_round(texts, model, number, slices=16):
     def train(batches):
         model = shared.value
         begin = len(model.frequency)
-        seed = 1000 * number + TaskContext.get().partitionId()
-        random = np.random.default_rng(seed)
-        every, held = [], 0
+        copy = Copy(model.vectors, model.frequency, 1000 * number + TaskContext.get().partitionId())
         for batch in batches:
             for group in chunks(batch.column(0).to_pylist()):
                 hashes, ending, counts = tokens(group)
                 classes, _ = class_ids(model, hashes, ending)
                 rows = np.column_stack((classes, *contexts(classes, counts, begin))).astype(np.int32)
-                if held > LEAST_POSITIONS:
-                    rows = rows[random.integers(STRIDE) :: STRIDE]
-                every.append(rows)
-                held += len(rows)
-        if held:
-            copy = _flat(train_copy(model.vectors, model.frequency, np.concatenate(every), seed)).astype(np.float64) * held
-            for k, part in enumerate(np.array_split(copy, slices)):
+                copy.learn(rows)
+        if copy.learned:
+            flat = _flat(copy.v).astype(np.float64) * copy.learned
+            for k, part in enumerate(np.array_split(flat, slices)):
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([k], pa.int32()), pa.array([float(held)]), pa.array([part.tobytes()], pa.binary())],
+                    [pa.array([k], pa.int32()), pa.array([float(copy.learned)]), pa.array([part.tobytes()], pa.binary())],
                     names=["slice", "weight", "sums"],
                 )
 
@@ -296,7 +304,7 @@ def _train_round(texts, model, number, slices=16):
     if not summed:
         return model
     flat = np.concatenate([np.frombuffer(r["sums"]) / r["weight"] for r in sorted(summed, key=lambda r: r["slice"])])
-    return model._replace(vectors=_unflat(flat, model.vectors))
+    return model._replace(vectors=_unflat(flat, model.vectors), learned=model.learned + int(summed[0]["weight"]))
 
 
 def learn(docs, training, table_words=TABLE_WORDS, own_classes=OWN_CLASSES, dimensions=DIMENSIONS, rounds=ROUNDS,
