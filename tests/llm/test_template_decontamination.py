@@ -53,6 +53,21 @@ def test_slots_must_agree(spark):
     assert set(hits) == {(1, 1)}
 
 
+def test_names_that_begin_sentences_are_replaced(spark):
+    item = (
+        "Maria has 12 apples. Maria buys 5 more apples at the market. Maria gives 3 apples to her brother. "
+        "How many apples does she have left?"
+    )
+    rows = [
+        (1, item.replace("Maria", "Peter")), (2, f"{sentence(1)}. {item.replace('Maria', 'Zoé').replace('12', '40')} {sentence(2)}"),
+        (3, item.replace("Maria", "Peter", 1).replace("Maria", "Anna", 1).replace("Maria", "Tom", 1)),
+    ]
+    hits = found(spark, rows, [(1, item), (2, sentence(60))])
+    assert set(hits) == {(1, 1), (2, 1)}
+    windows, of, copied = hits[1, 1]
+    assert windows > 0.8 * of and copied == 6
+
+
 def test_half_an_item_and_long_passages(spark):
     long = sentence(7, 200)
     rows = [(1, " ".join(long.split()[:30])), (2, " ".join(long.split()[:20])), (3, " ".join(long.split()[50:160]))]

@@ -2,13 +2,15 @@
 
 Texts are read as tokens: runs of letters and digits, numbers with their points and commas. In the
 template of a text, numbers, units after numbers and names (capitalised words that don't begin a
-sentence) are typed placeholders. Windows of ``width`` tokens are hashed in two forms: as written
-in lower case, and, where a window has a slot and enough literal words, as template.
+sentence) are typed placeholders. Windows of ``width`` tokens are hashed in three forms: as written
+in lower case, and, where a window has a slot and enough literal words, as template; where it has a
+capitalised word that begins a sentence, also as a template in which that word is a name.
 
 The windows of the benchmark are a table. Windows of documents that can't be in it are dropped in
 the scan by a bitmap of fixed size; the rest are joined with it on the hash. Template windows count
 only as far as their slots are consistent: along one alignment of a document with an item, every
-value of the item must always become the same value, or the disagreeing windows are left out. A
+value of the item must always become the same value, or the disagreeing windows are left out; words
+that begin sentences have to agree with the other slots, but don't speak against them. A
 document leaks an item when its windows cover the wanted share of the item's windows, or as many of
 them as a passage of ``passage`` tokens has.
 
@@ -93,12 +95,15 @@ class Tokens:
         self.counts = np.diff(np.searchsorted(self.begins, bounds), prepend=0)
         starts = np.cumsum(self.counts) - self.counts
         first[starts[self.counts > 0]] = True
-        name = upper[self.begins] & ~first & (count(kind == 2) > 0) & ~number if n else np.zeros(0, dtype=bool)
+        capital = upper[self.begins] & (count(kind == 2) > 0) & ~number if n else np.zeros(0, dtype=bool)
+        name = capital & ~first
         unit = np.zeros(n, dtype=bool)
         if n > 1:
             unit[1:] = number[:-1] & ~first[1:] & np.isin(self.literal[1:], _units())
         self.slot = number | name | unit
         self.template = np.where(number, _NUMBER, np.where(unit, _UNIT, np.where(name, _NAME, self.literal)))
+        self.opening = capital & first
+        self.wide = np.where(self.opening, _NAME, self.template)
 
 
 _UNIT_HASHES = []
@@ -121,50 +126,59 @@ def _rolled(values, width):
 
 
 def text_windows(texts, width=WIDTH, literals=LITERALS):
-    """(hashes, places, template?, slot values or None) of the windows of each text, and its tokens."""
+    """(hashes, places, template?, forms, tokens, first token, their number) of the windows of each text.
+
+    Forms: 0 as written, 1 template, 2 template in which words that begin sentences are names too.
+    """
     for group in chunks(texts):
         tokens = Tokens(group)
         plain = _rolled(tokens.literal, width)
         template = _rolled(tokens.template, width) ^ np.uint64(0x5555555555555555)
+        wide = _rolled(tokens.wide, width) ^ np.uint64(0x3333333333333333)
         slots = np.concatenate(([0], np.cumsum(tokens.slot)))
+        openings = np.concatenate(([0], np.cumsum(tokens.opening)))
         at = 0
         for count in tokens.counts.tolist():
             n = max(0, count - width + 1)
             places = np.arange(n)
             used = slots[at + width : at + width + n] - slots[at : at + n]
+            opened = openings[at + width : at + width + n] - openings[at : at + n]
             typed = np.flatnonzero((used > 0) & (width - used >= literals))
-            hashes = np.concatenate((plain[at : at + n], template[at : at + n][typed]))
-            yield hashes, np.concatenate((places, typed)), np.repeat([False, True], [n, len(typed)]), tokens, at, count
+            named = np.flatnonzero((opened > 0) & (width - used - opened >= literals))
+            hashes = np.concatenate((plain[at : at + n], template[at : at + n][typed], wide[at : at + n][named]))
+            forms = np.repeat([0, 1, 2], [n, len(typed), len(named)])
+            yield hashes, np.concatenate((places, typed, named)), forms > 0, forms, tokens, at, count
             at += count
 
 
 def _window_rows(batches, width, literals, bitmap=None):
-    """Rows (key columns ..., tokens, hash, place, typed, slots), only hashes in the bitmap if given."""
+    """Rows (key columns ..., tokens, hash, place, form, slots), only hashes in the bitmap if given."""
     for batch in batches:
         picked = []
-        for row, (hashes, places, typed, tokens, at, count) in enumerate(text_windows(batch.column(2).to_pylist(), width, literals)):
+        for row, (hashes, places, _, forms, tokens, at, count) in enumerate(text_windows(batch.column(2).to_pylist(), width, literals)):
             if bitmap is not None:
                 low = (hashes & np.uint64((1 << BITMAP_BITS) - 1)).astype(np.int64)
                 here = np.flatnonzero((bitmap[low >> 6] >> (low & 63).astype(np.uint64)) & np.uint64(1))
-                hashes, places, typed = hashes[here], places[here], typed[here]
-            for h, p, t in zip(hashes.view(np.int64).tolist(), places.tolist(), typed.tolist(), strict=True):
+                hashes, places, forms = hashes[here], places[here], forms[here]
+            for h, p, form in zip(hashes.view(np.int64).tolist(), places.tolist(), forms.tolist(), strict=True):
                 values = None
-                if t:
+                if form:
                     of = slice(at + p, at + p + width)
-                    values = tokens.literal[of][tokens.slot[of]].view(np.int64).tolist()
-                picked.append((row, count, h, p, t, values))
+                    slot = tokens.slot[of] | tokens.opening[of] if form == 2 else tokens.slot[of]
+                    values = tokens.literal[of][slot].view(np.int64).tolist()
+                picked.append((row, count, h, p, form, values))
         for part in range(0, len(picked), 8192):
             rows = picked[part : part + 8192]
             index = pa.array([r[0] for r in rows], pa.int32())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(index), batch.column(1).take(index), pa.array([r[1] for r in rows], pa.int32()),
                  pa.array([r[2] for r in rows], pa.int64()), pa.array([r[3] for r in rows], pa.int32()),
-                 pa.array([r[4] for r in rows], pa.bool_()), pa.array([r[5] for r in rows], pa.list_(pa.int64()))],
-                names=["id", "key", "tokens", "hash", "place", "typed", "slots"],
+                 pa.array([r[4] for r in rows], pa.int32()), pa.array([r[5] for r in rows], pa.list_(pa.int64()))],
+                names=["id", "key", "tokens", "hash", "place", "form", "slots"],
             )
 
 
-_ROWS = "id long, key string, tokens int, hash long, place int, typed boolean, slots array<long>"
+_ROWS = "id long, key string, tokens int, hash long, place int, form int, slots array<long>"
 
 
 def _bitmap(windows):
@@ -199,28 +213,31 @@ def leaks(docs, benchmark, width=WIDTH, coverage=COVERAGE, passage=PASSAGE, lite
     )
     found = texts.mapInArrow(scan, _ROWS)
     wanted = items.select(
-        "hash", "typed", F.col("id").alias("item_id"), F.col("tokens").alias("item_tokens"), F.col("place").alias("item_place"),
+        "hash", "form", F.col("id").alias("item_id"), F.col("tokens").alias("item_tokens"), F.col("place").alias("item_place"),
         F.col("slots").alias("item_slots"),
     )
     hits = cut(
-        found.drop("tokens").join(wanted, ["hash", "typed"])
-        .filter(~F.col("typed") | (F.size("slots") == F.size("item_slots")))
+        found.drop("tokens").join(wanted, ["hash", "form"])
+        .filter((F.col("form") == 0) | (F.size("slots") == F.size("item_slots")))
         .withColumn("shift", F.col("place") - F.col("item_place"))
     )
     # The value of the document for each value of the item along one alignment, where it isn't the only one.
+    # Values of templates also speak for the form in which words that begin sentences are names.
     values = (
-        hits.filter("typed").select("key", "item_id", "shift", F.explode(F.arrays_zip("item_slots", "slots")).alias("s"))
-        .groupBy("key", "item_id", "shift", F.col("s.item_slots").alias("value"))
+        hits.filter("form > 0")
+        .select("key", "item_id", "shift", F.explode(F.sequence("form", F.lit(2))).alias("form"), "item_slots", "slots")
+        .select("key", "item_id", "shift", "form", F.explode(F.arrays_zip("item_slots", "slots")).alias("s"))
+        .groupBy("key", "item_id", "shift", "form", F.col("s.item_slots").alias("value"))
         .agg(F.min("s.slots").alias("least"), F.max("s.slots").alias("most"))
         .filter("least <> most")
-        .groupBy("key", "item_id", "shift").agg(F.collect_set("value").alias("torn"))
+        .groupBy("key", "item_id", "shift", "form").agg(F.collect_set("value").alias("torn"))
     )
     sound = (
-        hits.join(values, ["key", "item_id", "shift"], "left")
-        .filter(~F.col("typed") | F.col("torn").isNull() | ~F.arrays_overlap("item_slots", "torn"))
+        hits.join(values, ["key", "item_id", "shift", "form"], "left")
+        .filter((F.col("form") == 0) | F.col("torn").isNull() | ~F.arrays_overlap("item_slots", "torn"))
     )
     matched = sound.groupBy("id", "key", "item_id", "item_tokens", "item_place").agg(
-        F.max((~F.col("typed")).cast("int")).alias("as_written")
+        F.max((F.col("form") == 0).cast("int")).alias("as_written")
     )
     total = F.col("item_tokens") - (width - 1)
     return (
