@@ -46,6 +46,37 @@ def test_pages_without_telling_elements():
     assert text.count("\n") == 2 and "item" not in text and "more" not in text
 
 
+ARTICLE = [f"{'word ' * 45}number {k}." for k in range(3)]
+MENU = "<ul>" + "".join(f"<li><a href=x>item {k}</a></li>" for k in range(5)) + "</ul>"
+
+
+@pytest.mark.parametrize("around", [
+    ("<body class='has-sidebar'>", "</body>"), ("<body class='page sidebar search'><div>", "</div></body>"),
+    ("<div class='content no-sidebar'>", "</div>"), ("<div class='sidebar-left content'>", "</div>"),
+    ("<div class='page header-fixed'>", "</div>"), ("<section id=wrap class='with-sidebar'>", "</section>"),
+    ("<body><form id=aspnetForm method=post action='x'><input type=hidden name=state value=1>", "</form></body>"),
+    ("<body><form><div class='content'>", "</div><select><option>a</option></select><textarea>b</textarea></form></body>"),
+])
+def test_articles_in_wrappers(around):
+    body = "".join(f"<p>{p}</p>" for p in ARTICLE)
+    page = f"{around[0]}<nav>{MENU}</nav><div>{body}</div><div id='comments'><p>{'first ' * 30}</p></div>{around[1]}"
+    assert B.main_text(TREE, page).split("\n") == [" ".join(p.split()) for p in ARTICLE]
+
+
+@pytest.mark.parametrize("name", ["main-nav", "post-comments", "comment-content", "sidebar", "footer widget"])
+def test_parts_named_after_content_stay_out(name):
+    body = "".join(f"<p>{p}</p>" for p in ARTICLE)
+    page = f"<main>{body}</main><div class='{name}'><p>{'other ' * 40}</p></div>"
+    assert B.main_text(TREE, page).split("\n") == [" ".join(p.split()) for p in ARTICLE]
+
+
+def test_short_forms_stay_out():
+    body = "".join(f"<p>{p}</p>" for p in ARTICLE)
+    form = "<form><p>Your name</p><input name=n><p>Your mail</p><input name=m><button>Send it now</button></form>"
+    for page in (f"<article>{body}{form}</article>", f"<div>{body}</div>{form}", f"<aside><form><p>{'other ' * 40}</p></form></aside><div>{body}</div>"):
+        assert B.main_text(TREE, page).split("\n") == [" ".join(p.split()) for p in ARTICLE]
+
+
 def test_long_and_broken_pages_end():
     for page in ("<" * 200_000, "<a" * 100_000 + ">", "<div>" * 20_000 + "x", "<p>" + "w " * 300_000, "<div class='" * 20_000, "&" * 100_000):
         B.main_text(TREE, page)

@@ -3,8 +3,10 @@
 A page is read once, tag by tag, into blocks of text between block-level tags. Each block has its
 number of words and link density, those of the block before and after it, whether it is a heading,
 and what the nearest telling element around it says: an article or main part, or a part that pages
-use for navigation, notices, adverts, comments and the like. A decision tree grown on the small
-labelled table below tells content from the rest.
+use for navigation, notices, adverts, comments and the like. Names on the body and names that state
+whether the page has a part (``no-sidebar``, ``header-fixed``) don't make such a part, and a name of
+content beside them counts more. A form says nothing itself, since pages may lie in one as a whole; its
+controls are not read. A decision tree grown on the small labelled table below tells content from the rest.
 
 Results for unusual input: a null or empty page, or one without any content block, has an empty
 text; unclosed tags, comments and scripts reach to the end of the page.
@@ -28,7 +30,7 @@ BLOCK = frozenset(
 )
 CONTAINER = frozenset("article aside body details dialog div footer form header main menu nav ol section table ul".split())
 UNREAD = frozenset(
-    "button canvas datalist form head iframe math noscript object script select style svg template textarea title".split()
+    "button canvas datalist head iframe math noscript object script select style svg template textarea title".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 OUTER = frozenset(
@@ -38,6 +40,7 @@ OUTER = frozenset(
     "respond search share sharing sidebar social sponsor sponsored subscribe tags toolbar widget widgets".split()
 )
 INNER = frozenset("article content main post entry story articlebody maincontent".split())
+STATES = frozenset("no has have with without hide show is fixed sticky static enabled disabled collapsed expanded".split())
 
 _TAG = re.compile(
     r"<!--|<!\[CDATA\[|<[!?][^>]*+>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
@@ -52,16 +55,25 @@ def _says(name, attributes, inside):
     """1 for content, -1 for the rest, 0 for nothing."""
     if name in ("article", "main"):
         return 1
+    if name == "form":
+        return _named(attributes)
     if name in ("nav", "aside", "footer", "menu", "dialog") or (name == "header" and not inside):
         return -1
     if not attributes:
         return 0
     if _HIDDEN.search(attributes):
         return -1
-    words = {w for m in _NAMES.finditer(attributes) for w in _PART.findall((m[1] or m[2] or m[3] or "").lower())}
-    if words & OUTER and not (name == "header" and inside):
-        return -1
-    return 1 if words & INNER else 0
+    said = _named(attributes)
+    return 0 if said < 0 and (name == "body" or name == "header" and inside) else said
+
+
+def _named(attributes):
+    """What class, id, role and itemprop say: content if a name says so, else the rest if one does."""
+    names = {n for m in _NAMES.finditer(attributes) for n in (m[1] or m[2] or m[3] or "").lower().split()}
+    parts = [set(_PART.findall(n)) for n in names]
+    if any(p & INNER and not p & OUTER or p & INNER and p & STATES for p in parts):
+        return 1
+    return -1 if any(p & OUTER and not p & STATES for p in parts) else 0
 
 
 def blocks(page):
@@ -104,7 +116,7 @@ def blocks(page):
             continue
         closing, attributes = bool(found[1] or found[4]), found[3] or found[6] or ""
         if name in UNREAD:
-            if name in ("form", "title", "head"):
+            if name in ("title", "head"):
                 close()
             if not closing and not (attributes.endswith("/") and name in ("svg", "math", "object", "iframe")):
                 end = re.compile(rf"</{name}\b[^>]*>" if name != "head" else r"</head\b[^>]*>|(?=<body\b)", re.I).search(page, at)
@@ -124,7 +136,7 @@ def blocks(page):
                 if not closing:
                     stack.append((name, says, inside))
                     said = _says(name, attributes, inside)
-                    says = said or says
+                    says = said or (min(says, 0) if name == "form" else says)
                     inside = inside or said == 1
                 elif any(name == opened for opened, _, _ in stack):
                     while True:
