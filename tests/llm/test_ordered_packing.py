@@ -9,7 +9,7 @@ from tokenizers import Tokenizer
 
 from tests.llm.common import clashing, documents, edge_rows, sentence
 from tramline.llm import ordered_packing
-from tramline.llm.token_ids import encode
+from tramline.llm.token_ids import encode, encode_marked
 
 
 @pytest.fixture(scope="module")
@@ -25,6 +25,20 @@ def test_ids_equal_the_other_library(other):
         assert encode(text).tolist() == other.encode(text, add_special_tokens=False).ids
 
 
+MARKED = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>\n y.<|endoftext|>", "<|endoftext |> no", "<|endoftext|>tail  "]
+
+
+def test_pieces_have_the_ids_of_the_other_library(spark):
+    """With its settings as they come: the mark for the end of a text is one id."""
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    for number, text in enumerate(MARKED + [sentence(5, 700) + MARKED[2] + sentence(6, 700)]):
+        ids = np.array([*tokenizer.encode(text, add_special_tokens=False).ids, 0], dtype="<u4")
+        assert encode_marked(text).tolist() == ids[:-1].tolist()
+        for p in ordered_packing.pack(documents(spark, [(number, text)])).collect():
+            assert (p.doc_tokens, p.ids_crc32) == (len(ids), crc32(ids[p.start : p.start + p.length].tobytes()))
+    assert encode_marked(MARKED[0]).tolist() == [64, 220, 50256, 275]
+
+
 def check(rows, pieces, length=1024):
     by_row = defaultdict(list)
     for p in pieces:

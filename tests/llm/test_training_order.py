@@ -30,6 +30,12 @@ def ids(text):
     return np.concatenate((encode(text), [0])).astype("<u4")
 
 
+def test_the_mark_for_the_end_of_a_text_is_one_id(spark, tmp_path):
+    O.materialise(documents(spark, [(1, "a <|endoftext|> b")]), str(tmp_path / "marked"))
+    row = spark.read.parquet(str(tmp_path / "marked")).first()
+    assert O.unpack(row.ids, row.n_tokens).tolist() == [64, 220, 50256, 275, 0]
+
+
 def test_shards_hold_every_sequence(spark, tmp_path):
     rows = edge_rows() + [(100 + k, sentence(k, 5 + k)) for k in range(70)]
     docs = documents(spark, rows, 5)

@@ -25,7 +25,7 @@ from zlib import crc32
 from pyspark import TaskContext
 
 from .storage import text_of
-from .token_ids import encode, sentence_ends
+from .token_ids import encode_marked, sentence_ends
 
 LENGTH = 1024
 END_ID = 0
@@ -160,7 +160,7 @@ def pack(docs, id_column="doc_id", text_column="text", length=LENGTH, end_id=END
         tail = np.array([end_id], dtype=np.uint32)
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                rows = stream.add(doc_id, np.concatenate((encode(text.as_py(), vocabulary), tail)))
+                rows = stream.add(doc_id, np.concatenate((encode_marked(text.as_py(), vocabulary), tail)))
                 if rows:
                     yield _batch(rows)
         if rows := stream.flush(last=True):

@@ -1,8 +1,9 @@
 """Token ids of the public byte-level BPE vocabulary, as numpy arrays.
 
 The vocabulary files come as two forms of the same table; the ranks are used here because they are
-encoded several times faster, and the tests hold the ids against the other form. One encoder lives
-in each worker process.
+encoded several times faster, and the tests hold the ids against the other form. The other form also
+has a mark for the end of a text, with an id of its own; the text is split at it. One encoder lives in
+each worker process.
 """
 
 import base64
@@ -11,6 +12,7 @@ from functools import lru_cache
 import numpy as np
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
+MARK = "<|endoftext|>"
 
 
 @lru_cache(maxsize=2)
@@ -22,7 +24,8 @@ def _encoder(path):
     with open(path, "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
     encoder = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    ends = np.zeros(max(ranks.values()) + 1, dtype=bool)
+    ends = np.zeros(max(ranks.values()) + 2, dtype=bool)
+    ends[-1] = True  # the mark, whose id follows the others
     for token, number in ranks.items():
         ends[number] = token.rstrip(b" \"')")[-1:] in (b".", b"!", b"?", b"\n")
     return encoder, ends
@@ -33,6 +36,15 @@ def encode(text, path=None):
     return np.array(_encoder(path)[0].encode_ordinary(text or ""), dtype=np.uint32)
 
 
+def encode_marked(text, path=None):
+    """Ids of a text in which the mark for the end of a text has its own id."""
+    parts = (text or "").split(MARK)
+    if len(parts) == 1:
+        return encode(text, path)
+    mark = np.array([len(sentence_ends(path)) - 1], dtype=np.uint32)
+    return np.concatenate([ids for part in parts for ids in (mark, encode(part, path))][1:])
+
+
 def sentence_ends(path=None):
     """By id: whether a sentence or a line can end with this token."""
     return _encoder(path)[1]

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .shingles import mix
 from .storage import shared_folder, text_of
-from .token_ids import encode
+from .token_ids import encode_marked
 
 KEY = 20_240_229
 ROUNDS = 6
@@ -101,7 +101,7 @@ def materialise(docs, folder, key=KEY, stride=None, id_column="doc_id", text_col
                 piece = batch.slice(part, 256)
                 slots = permute(np.arange(at, at + piece.num_rows), size, key)
                 at += piece.num_rows
-                ids = [np.concatenate((encode(t.as_py(), vocabulary).astype("<u4"), tail)) for t in piece.column(1)]
+                ids = [np.concatenate((encode_marked(t.as_py(), vocabulary).astype("<u4"), tail)) for t in piece.column(1)]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array((slots // stride).astype(np.int32)), pa.array(slots), piece.column(0),
                      pa.array([len(i) for i in ids], pa.int32()), pa.array([_packed(i) for i in ids], pa.binary())],
