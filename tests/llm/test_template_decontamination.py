@@ -68,6 +68,25 @@ def test_names_that_begin_sentences_are_replaced(spark):
     assert windows > 0.8 * of and copied == 6
 
 
+def test_items_shorter_than_a_window_are_found_as_whole_copies(spark):
+    items = [(1, "What is seven times eight?"), (2, "Capital of Peru"), (3, "zyzzyva"), (4, sentence(9, 7)), (5, "")]
+    rows = [
+        (1, f"{sentence(1)} what is SEVEN times eight {sentence(2)}"), (2, "capital of Peru"), (3, "capital of new Peru"),
+        (4, "a zyzzyva, and a zyzzyva"), (5, sentence(9, 7)), (6, sentence(9, 6)), (7, "What is seven times"), (8, None),
+    ]
+    hits = found(spark, rows, items)
+    assert hits == {(1, 1): (1, 1, 1), (2, 2): (1, 1, 1), (4, 3): (1, 1, 1), (5, 4): (1, 1, 1)}
+
+
+def test_scripts_without_spaces_are_read_by_character(spark):
+    texts = ["小明有12个苹果，他又买了五个。", "東京は日本の首都です。", "カタカナ、ﾊﾝｶｸ「々」", "ภาษาไทย", "x漢y 𠀀𠀁"]
+    counts = T.Tokens([t.encode() for t in texts]).counts.tolist()
+    assert counts == [13, 10, 9, 7, 5]
+    item = "小明有很多苹果，他又买了五个橙子，一共花了二十元。"
+    rows = [(1, f"前文很长。{item}后文也很长。"), (2, "小明没有苹果，也没有橙子。今天天气很好，我们去公园玩。"), (3, "我说東京です。"), (4, "東京")]
+    assert set(found(spark, rows, [(1, item), (2, "東京です")])) == {(1, 1), (3, 2)}
+
+
 def test_half_an_item_and_long_passages(spark):
     long = sentence(7, 200)
     rows = [(1, " ".join(long.split()[:30])), (2, " ".join(long.split()[:20])), (3, " ".join(long.split()[50:160]))]

@@ -1,10 +1,12 @@
 """Benchmark decontamination by template windows.
 
-Texts are read as tokens: runs of letters and digits, numbers with their points and commas. In the
+Texts are read as tokens: runs of letters and digits, numbers with their points and commas, single
+characters of scripts that are written without spaces between words. In the
 template of a text, numbers, units after numbers and names (capitalised words that don't begin a
 sentence) are typed placeholders. Windows of ``width`` tokens are hashed in three forms: as written
 in lower case, and, where a window has a slot and enough literal words, as template; where it has a
-capitalised word that begins a sentence, also as a template in which that word is a name.
+capitalised word that begins a sentence, also as a template in which that word is a name. An item with
+fewer tokens is one window as written, and documents have windows of that length too.
 
 The windows of the benchmark are a table. Windows of documents that can't be in it are dropped in
 the scan by a bitmap of fixed size; the rest are joined with it on the hash. Template windows count
@@ -14,8 +16,7 @@ that begin sentences have to agree with the other slots, but don't speak against
 document leaks an item when its windows cover the wanted share of the item's windows, or as many of
 them as a passage of ``passage`` tokens has.
 
-Results for unusual input: null and empty texts have no windows; items with fewer than ``width``
-tokens are never found; rows that agree in id and text are judged together, and a null id is
+Results for unusual input: null and empty texts have no windows; rows that agree in id and text are judged together, and a null id is
 reported as null; equal items are all reported; an empty table on either side gives no rows.
 """
 
@@ -45,6 +46,15 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 _KIND = np.zeros(256, dtype=np.uint8)  # 1 digit, 2 lower, 4 upper, 8 part of a longer character, 16 point or comma
 _KIND[48:58], _KIND[97:123], _KIND[65:91], _KIND[128:] = 1, 2, 4, 8
 _KIND[[44, 46]] = 16
+# Lead bytes and second bytes of the three-byte characters of scripts without spaces, and of their signs.
+_SINGLE, _SIGN = np.zeros((256, 256), dtype=bool), np.zeros((256, 256), dtype=bool)
+_SINGLE[0xE4:0xEA, 0x80:] = True  # Chinese characters
+_SINGLE[0xE3, 0x81:0x84] = True  # Japanese syllables
+_SINGLE[0xE3, 0x87] = _SINGLE[0xE3, 0x90:] = True  # more of both
+_SINGLE[0xEF, 0xA4:0xAC] = _SINGLE[0xEF, 0xBD:0xBF] = True  # and of their other widths
+_SINGLE[0xE0, 0xB8:0xBC] = True  # Thai, Lao
+_SINGLE[0xE1, 0x80:0x83] = _SINGLE[0xE1, 0x9E:0xA0] = True  # Burmese, Khmer
+_SIGN[0xE3, 0x80] = _SIGN[0xEF, 0xBC] = True  # their signs, less what is told apart by the third byte
 _STOP = np.zeros(256, dtype=bool)
 _STOP[[10, 13, 33, 46, 58, 63]] = True
 
@@ -64,11 +74,22 @@ class Tokens:
         sign[1:] |= sign[:-1]
         long = (data == 0xE2) & (after == 0x80)
         sign[2:] |= long[:-2]
+        third = np.append(after[1:], np.uint8(0))
+        single = _SINGLE[data, after] | ((data == 0xE3) & (after == 0x80) & (third >= 0x85) & (third <= 0x87))
+        lead = _SIGN[data, after] & ~single & ~((data == 0xEF) & ((third >= 0x90) & (third <= 0x99) | (third >= 0xA1) & (third <= 0xBA)))
+        lead |= (data == 0xEF) & (after == 0xBD) & (third >= 0x9B) & (third <= 0xA5)
+        wide = (data == 0xF0) & (after >= 0xA0) & (after <= 0xB3)
+        single &= ~lead
+        for k in range(3):
+            sign[k:] |= lead[: len(lead) - k]
+        edge = single | wide
+        edge[3:] |= single[:-3]
+        edge[4:] |= wide[:-4]
         digit = kind == 1
         inner = (kind == 16) & np.concatenate(([False], digit[:-1])) & np.append(digit[1:], False)
         word = (((kind & 15) > 0) & ~sign) | inner
-        self.begins = np.flatnonzero(word & np.concatenate(([True], ~word[:-1])))
-        self.ends = np.flatnonzero(~word & np.concatenate(([False], word[:-1])))
+        self.begins = np.flatnonzero(word & (np.concatenate(([True], ~word[:-1])) | edge))
+        self.ends = np.flatnonzero((~word | edge) & np.concatenate(([False], word[:-1])))
         n = len(self.begins)
 
         up = np.full(len(data), _BASE)
@@ -125,16 +146,18 @@ def _rolled(values, width):
     return mix(out)
 
 
-def text_windows(texts, width=WIDTH, literals=LITERALS):
+def text_windows(texts, width=WIDTH, literals=LITERALS, short=()):
     """(hashes, places, template?, forms, tokens, first token, their number) of the windows of each text.
 
-    Forms: 0 as written, 1 template, 2 template in which words that begin sentences are names too.
+    Forms: 0 as written, 1 template, 2 template in which words that begin sentences are names too, -k as
+    written with k tokens: of the lengths in ``short``, or, if it is None, a whole text shorter than ``width``.
     """
     for group in chunks(texts):
         tokens = Tokens(group)
         plain = _rolled(tokens.literal, width)
         template = _rolled(tokens.template, width) ^ np.uint64(0x5555555555555555)
         wide = _rolled(tokens.wide, width) ^ np.uint64(0x3333333333333333)
+        rolled = {k: _rolled(tokens.literal, k) for k in short or ()}
         slots = np.concatenate(([0], np.cumsum(tokens.slot)))
         openings = np.concatenate(([0], np.cumsum(tokens.opening)))
         at = 0
@@ -146,23 +169,31 @@ def text_windows(texts, width=WIDTH, literals=LITERALS):
             typed = np.flatnonzero((used > 0) & (width - used >= literals))
             named = np.flatnonzero((opened > 0) & (width - used - opened >= literals))
             hashes = np.concatenate((plain[at : at + n], template[at : at + n][typed], wide[at : at + n][named]))
+            places = np.concatenate((places, typed, named))
             forms = np.repeat([0, 1, 2], [n, len(typed), len(named)])
-            yield hashes, np.concatenate((places, typed, named)), forms > 0, forms, tokens, at, count
+            if short is None and 0 < count < width:
+                hashes, places, forms = _rolled(tokens.literal[at : at + count], count), np.zeros(1, int), np.array([-count])
+            for k in rolled:
+                # One of equal windows is enough, since the item has no other.
+                here, first = np.unique(rolled[k][at : at + max(0, count - k + 1)], return_index=True)
+                hashes, places = np.concatenate((hashes, here)), np.concatenate((places, first))
+                forms = np.concatenate((forms, np.full(len(here), -k)))
+            yield hashes, places, forms > 0, forms, tokens, at, count
             at += count
 
 
-def _window_rows(batches, width, literals, bitmap=None):
+def _window_rows(batches, width, literals, short=None, bitmap=None):
     """Rows (key columns ..., tokens, hash, place, form, slots), only hashes in the bitmap if given."""
     for batch in batches:
         picked = []
-        for row, (hashes, places, _, forms, tokens, at, count) in enumerate(text_windows(batch.column(2).to_pylist(), width, literals)):
+        for row, (hashes, places, _, forms, tokens, at, count) in enumerate(text_windows(batch.column(2).to_pylist(), width, literals, short)):
             if bitmap is not None:
                 low = (hashes & np.uint64((1 << BITMAP_BITS) - 1)).astype(np.int64)
                 here = np.flatnonzero((bitmap[low >> 6] >> (low & 63).astype(np.uint64)) & np.uint64(1))
                 hashes, places, forms = hashes[here], places[here], forms[here]
             for h, p, form in zip(hashes.view(np.int64).tolist(), places.tolist(), forms.tolist(), strict=True):
                 values = None
-                if form:
+                if form > 0:
                     of = slice(at + p, at + p + width)
                     slot = tokens.slot[of] | tokens.opening[of] if form == 2 else tokens.slot[of]
                     values = tokens.literal[of][slot].view(np.int64).tolist()
@@ -204,9 +235,10 @@ def leaks(docs, benchmark, width=WIDTH, coverage=COVERAGE, passage=PASSAGE, lite
     )
     items = cut(item_rows.mapInArrow(lambda batches: _window_rows(batches, width, literals), _ROWS))
     bitmap = spark.sparkContext.broadcast(_bitmap(items))
+    short = sorted(-r["form"] for r in items.filter("form < 0").select("form").distinct().collect())  # fewer than width
 
     def scan(batches):
-        yield from _window_rows(batches, width, literals, bitmap.value)
+        yield from _window_rows(batches, width, literals, short, bitmap.value)
 
     texts = docs.select(
         F.col(id_column).cast("long").alias("id"), row_key(id_column, text_column).alias("key"), text_of(text_column).alias("text")
@@ -218,7 +250,7 @@ def leaks(docs, benchmark, width=WIDTH, coverage=COVERAGE, passage=PASSAGE, lite
     )
     hits = cut(
         found.drop("tokens").join(wanted, ["hash", "form"])
-        .filter((F.col("form") == 0) | (F.size("slots") == F.size("item_slots")))
+        .filter((F.col("form") <= 0) | (F.size("slots") == F.size("item_slots")))
         .withColumn("shift", F.col("place") - F.col("item_place"))
     )
     # The value of the document for each value of the item along one alignment, where it isn't the only one.
@@ -234,12 +266,12 @@ def leaks(docs, benchmark, width=WIDTH, coverage=COVERAGE, passage=PASSAGE, lite
     )
     sound = (
         hits.join(values, ["key", "item_id", "shift", "form"], "left")
-        .filter((F.col("form") == 0) | F.col("torn").isNull() | ~F.arrays_overlap("item_slots", "torn"))
+        .filter((F.col("form") <= 0) | F.col("torn").isNull() | ~F.arrays_overlap("item_slots", "torn"))
     )
     matched = sound.groupBy("id", "key", "item_id", "item_tokens", "item_place").agg(
-        F.max((F.col("form") == 0).cast("int")).alias("as_written")
+        F.max((F.col("form") <= 0).cast("int")).alias("as_written")
     )
-    total = F.col("item_tokens") - (width - 1)
+    total = F.greatest(F.col("item_tokens") - (width - 1), F.lit(1))
     return (
         matched.groupBy("id", "key", "item_id", "item_tokens")
         .agg(F.count("*").alias("windows"), F.sum("as_written").alias("copied"))
