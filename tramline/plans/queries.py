@@ -369,7 +369,7 @@ def _listing(spark, folder):
     return tuple(sorted((s.getPath().getName(), s.getLen(), s.getModificationTime()) for s in found))
 
 
-def _tables(spark, folder):
+def _written_tables(spark, folder):
     return {name: spark.read.parquet(f"{folder}/{name}") for name in silver.TABLES}
 
 
@@ -380,14 +380,14 @@ def staged_feed(spark, sf_dir):
         folder = scratch_folder(spark)
         for name, frame in raw_tables(spark, sf_dir).items():
             warehouse.write_parquet(frame, f"{folder}/bronze/{name}")
-        raw = _tables(spark, f"{folder}/bronze")
+        raw = _written_tables(spark, f"{folder}/bronze")
         for name, frame in silver.silver_tables(raw).items():
             warehouse.write_parquet(frame, f"{folder}/silver/{name}")
         _STAGED[key] = folder
     folder = _STAGED[key]
     return (
-        _tables(spark, f"{folder}/bronze"),
-        _tables(spark, f"{folder}/silver"),
+        _written_tables(spark, f"{folder}/bronze"),
+        _written_tables(spark, f"{folder}/silver"),
     )
 
 
@@ -419,11 +419,11 @@ ROW_CODES = {
     "invalid_gtfs_time": ("stop_times",),
     "unsupported_flexible_service": ("stop_times",),
 }
-for _code, _tables in ROW_CODES.items():
+for _code, _concerned in ROW_CODES.items():
     on_staged(f"dq_{_code}")(
-        lambda raw, typed, code=_code, tables=_tables: quality.summarize(
+        lambda raw, typed, code=_code, concerned=_concerned: quality.summarize(
             silver.union_all(
-                [quality.row_findings(t, raw[t], raw["agency"], {code}) for t in tables]
+                [quality.row_findings(t, raw[t], raw["agency"], {code}) for t in concerned]
             )
         )
     )
