@@ -7,6 +7,7 @@ from . import (
     block_extraction,
     digest_merge,
     fragment_join,
+    importance_resampling,
     ordered_packing,
     pii_boosting,
     role_repair,
@@ -100,3 +101,60 @@ def op5_bilinear_lm(spark, sf_dir):
         "doc_id", bilinear_lm.held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", "train_tokens",
         "base_score", "score",
     )
+
+
+@query
+def op11_importance_resampling(spark, sf_dir):
+    return importance_resampling.resample(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+# The CRC-32 of each distinct word is taken byte by byte, eight steps of one bit each.
+ORACLE_SQL["op11_importance_resampling"] = """
+WITH found AS (
+    SELECT doc_id, regexp_extract_all(
+               translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+               '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS words
+    FROM documents
+), wanted AS (
+    SELECT unnest(regexp_extract_all(
+               translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+               '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')) AS word
+    FROM benchmark
+), used AS (
+    SELECT doc_id, unnest(words) AS word FROM found
+), distinct_words AS (
+    SELECT word, hex(encode(word)) AS digits FROM (SELECT word FROM used UNION SELECT word FROM wanted) every_word
+), bytes AS (
+    SELECT word, list_transform(range(1, length(digits), 2), lambda k: CAST('0x' || substr(digits, CAST(k AS BIGINT), 2) AS BIGINT)) AS bytes
+    FROM distinct_words
+), buckets AS (
+    SELECT word, xor(list_reduce(list_concat([4294967295], bytes), lambda crc, byte:
+        list_reduce([xor(crc, byte), 0, 0, 0, 0, 0, 0, 0, 0], lambda c, step:
+            CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)), 4294967295) % 10000 AS bucket
+    FROM bytes
+), raw_counts AS (
+    SELECT bucket, count(*) AS s FROM used JOIN buckets USING (word) GROUP BY bucket
+), target_counts AS (
+    SELECT bucket, count(*) AS t FROM wanted JOIN buckets USING (word) GROUP BY bucket
+), gains AS (
+    SELECT bucket, CAST(floor(1000.0::DOUBLE * ln(
+               ((coalesce(t, 0) + 1.0::DOUBLE) * ((SELECT coalesce(sum(t), 0) FROM target_counts) + 10000.0::DOUBLE))
+               / ((coalesce(s, 0) + 1.0::DOUBLE) * ((SELECT coalesce(sum(s), 0) FROM raw_counts) + 10000.0::DOUBLE)))) AS BIGINT) AS gain
+    FROM raw_counts FULL JOIN target_counts USING (bucket)
+), weights AS (
+    SELECT doc_id, CAST(sum(gain) AS BIGINT) AS weight
+    FROM used JOIN buckets USING (word) JOIN gains USING (bucket) GROUP BY doc_id
+), scored AS (
+    SELECT found.doc_id, CAST(len(words) AS BIGINT) AS n_features, coalesce(weight, 0) AS weight,
+           coalesce(weight, 0) + CAST(floor(-1000.0::DOUBLE * ln(-ln(
+               (CAST('0x' || substr(sha256('2024:' || found.doc_id), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296.0::DOUBLE))) AS BIGINT) AS score
+    FROM found LEFT JOIN weights USING (doc_id)
+), placed AS (
+    SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS place,
+           n_features >= 20 AS enough
+    FROM scored
+)
+SELECT doc_id, n_features, weight, score,
+       CASE WHEN enough AND place <= 10 * (SELECT count(*) FROM scored WHERE n_features >= 20) // 100 THEN place END AS rank
+FROM placed
+"""
