@@ -23,7 +23,6 @@ get neighbouring ranks; very long texts are read whole; an empty table gives no
 gives gains from the smoothing alone. Extra columns are not read, whatever their names.
 """
 
-import uuid
 from zlib import crc32
 
 import numpy as np
@@ -32,7 +31,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .shingles import chunks
-from .storage import cut, shared_folder, text_of
+from .storage import cut, stored, text_of
 
 N_BUCKETS = 10_000
 MAX_N = 1
@@ -193,7 +192,7 @@ def gains(spark, raw_counts, target_counts, n_buckets=N_BUCKETS):
     both = spark.range(n_buckets).withColumnRenamed("id", "bucket").join(raw, "bucket", "left").join(target, "bucket", "left")
     s, t = (F.coalesce(F.col(name), F.lit(0)).cast("double") for name in ("s", "t"))
     sums = both.agg(*[F.coalesce(F.sum(name), F.lit(0)).cast("double").alias(name) for name in ("s", "t")]).first()
-    ratio = ((t + 1.0) * F.lit(sums.t + n_buckets)) / ((s + 1.0) * F.lit(sums.s + n_buckets))
+    ratio = ((t + 1.0) * F.lit(sums.s + n_buckets)) / ((s + 1.0) * F.lit(sums.t + n_buckets))
     return both.select("bucket", F.floor(F.lit(1000.0) * F.log(ratio)).cast("long").alias("gain"))
 
 
@@ -250,15 +249,12 @@ def resample(
     id_column="doc_id", text_column="text", target_column="text",
 ):
     """doc_id, n_features, weight, score and rank of every row; ranks number the drawn rows."""
-    spark = docs.sparkSession
-    folder = f"{shared_folder(spark)}/buckets-{uuid.uuid4().hex}"
     texts = docs.select(F.col(id_column).alias("doc_id"), text_of(text_column).alias("text"))
-    featured(texts, max_n, n_buckets).write.option("compression", "zstd").parquet(folder)
-    rows = spark.read.parquet(folder)
+    rows = stored(featured(texts, max_n, n_buckets))
     wanted = featured(
         target.select(F.lit(0).alias("doc_id"), text_of(target_column).alias("text")), max_n, n_buckets
     )
-    table = gains(spark, bucket_counts(rows, n_buckets), bucket_counts(wanted, n_buckets), n_buckets)
+    table = gains(docs.sparkSession, bucket_counts(rows, n_buckets), bucket_counts(wanted, n_buckets), n_buckets)
     gain = np.zeros(n_buckets, dtype=np.int64)
     for bucket, value in table.collect():  # one number a bucket
         gain[bucket] = value

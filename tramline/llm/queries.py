@@ -8,7 +8,9 @@ from . import (
     digest_merge,
     fragment_join,
     importance_resampling,
+    language_crf,
     ordered_packing,
+    phrase_tiles,
     pii_boosting,
     role_repair,
     template_decontamination,
@@ -138,8 +140,8 @@ WITH found AS (
     SELECT bucket, count(*) AS t FROM wanted JOIN buckets USING (word) GROUP BY bucket
 ), gains AS (
     SELECT bucket, CAST(floor(1000.0::DOUBLE * ln(
-               ((coalesce(t, 0) + 1.0::DOUBLE) * ((SELECT coalesce(sum(t), 0) FROM target_counts) + 10000.0::DOUBLE))
-               / ((coalesce(s, 0) + 1.0::DOUBLE) * ((SELECT coalesce(sum(s), 0) FROM raw_counts) + 10000.0::DOUBLE)))) AS BIGINT) AS gain
+               ((coalesce(t, 0) + 1.0::DOUBLE) * ((SELECT coalesce(sum(s), 0) FROM raw_counts) + 10000.0::DOUBLE))
+               / ((coalesce(s, 0) + 1.0::DOUBLE) * ((SELECT coalesce(sum(t), 0) FROM target_counts) + 10000.0::DOUBLE)))) AS BIGINT) AS gain
     FROM raw_counts FULL JOIN target_counts USING (bucket)
 ), weights AS (
     SELECT doc_id, CAST(sum(gain) AS BIGINT) AS weight
@@ -158,3 +160,59 @@ SELECT doc_id, n_features, weight, score,
        CASE WHEN enough AND place <= 10 * (SELECT count(*) FROM scored WHERE n_features >= 20) // 100 THEN place END AS rank
 FROM placed
 """
+
+
+@query
+def op13_phrase_tiles(spark, sf_dir):
+    return phrase_tiles.collocations(read_table(spark, sf_dir, "documents"))
+
+
+ORACLE_SQL["op13_phrase_tiles"] = """
+WITH pieces AS (
+    SELECT lang, regexp_extract_all(unnest(regexp_split_to_array(
+               translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')),
+               '[^\\x20\\x09]+') AS words
+    FROM (SELECT coalesce(lang, 'und') AS lang, coalesce(text, '') AS text FROM documents) texts
+), runs AS (
+    SELECT lang, 1 AS size, unnest(words) AS phrase FROM pieces
+    UNION ALL
+    SELECT lang, 2, unnest(list_transform(range(1, len(words)), lambda k: words[k] || ' ' || words[k + 1])) FROM pieces
+    UNION ALL
+    SELECT lang, 3, unnest(list_transform(range(1, len(words) - 1), lambda k: words[k] || ' ' || words[k + 1] || ' ' || words[k + 2]))
+    FROM pieces
+), counts AS (
+    SELECT lang, size, phrase, count(*) AS f FROM runs GROUP BY ALL
+), totals AS (
+    SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM counts WHERE size = 1 GROUP BY lang
+), candidates AS (
+    SELECT lang, size, phrase, f AS a, string_split(phrase, ' ') AS words FROM counts WHERE size > 1 AND f >= 10
+), cuts AS (
+    SELECT *, unnest(range(1, size)) AS k FROM candidates
+), sides AS (
+    SELECT c.lang, c.size, c.phrase, c.words, c.a, c.k, x.f AS l, y.f AS r,
+           CAST(1000000::HUGEINT * c.a * c.a // (x.f::HUGEINT * y.f) AS BIGINT) AS score
+    FROM cuts c
+    JOIN counts x ON x.lang = c.lang AND x.phrase = array_to_string(c.words[1:c.k], ' ')
+    JOIN counts y ON y.lang = c.lang AND y.phrase = array_to_string(c.words[c.k + 1:], ' ')
+), best AS (
+    SELECT * FROM sides QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), inside AS (
+    SELECT lang, max(a) AS around, phrase FROM (
+        SELECT lang, a, unnest([words[1] || ' ' || words[2], words[2] || ' ' || words[3]]) AS phrase
+        FROM candidates WHERE size = 3) shorter
+    GROUP BY lang, phrase
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM best JOIN totals USING (lang) LEFT JOIN inside USING (lang, phrase)
+WHERE around IS NULL OR 100 * around < 50 * a
+QUALIFY rank <= 2000
+"""
+
+
+@query
+def op12_language_crf(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents")
+    model = language_crf.learn(docs, ~language_crf.held_out(F.col("doc_id")))
+    return language_crf.predict(docs, model).select(
+        "doc_id", language_crf.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score"
+    )

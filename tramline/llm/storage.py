@@ -1,6 +1,7 @@
 """Lineage cuts, table reads and row keys shared by the operators."""
 
 import tempfile
+import uuid
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -28,6 +29,14 @@ def shared_folder(spark):
     return folder or context.getCheckpointDir()
 
 
+def stored(frame):
+    """The same cut for frames with much data: compressed Parquet in the shared folder."""
+    spark = frame.sparkSession
+    folder = f"{shared_folder(spark)}/stored-{uuid.uuid4().hex}"
+    frame.write.option("compression", "zstd").parquet(folder)
+    return spark.read.schema(frame.schema).parquet(folder)
+
+
 def read_table(spark, folder, name):
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
