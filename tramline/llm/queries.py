@@ -180,20 +180,23 @@ WITH pieces AS (
     UNION ALL
     SELECT lang, 3, unnest(list_transform(range(1, len(words) - 1), lambda k: words[k] || ' ' || words[k + 1] || ' ' || words[k + 2]))
     FROM pieces
-), counts AS (
+), counts AS MATERIALIZED (
     SELECT lang, size, phrase, count(*) AS f FROM runs GROUP BY ALL
 ), totals AS (
     SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM counts WHERE size = 1 GROUP BY lang
-), candidates AS (
+), candidates AS MATERIALIZED (
     SELECT lang, size, phrase, f AS a, string_split(phrase, ' ') AS words FROM counts WHERE size > 1 AND f >= 10
-), cuts AS (
-    SELECT *, unnest(range(1, size)) AS k FROM candidates
-), sides AS (
-    SELECT c.lang, c.size, c.phrase, c.words, c.a, c.k, x.f AS l, y.f AS r,
-           CAST(1000000::HUGEINT * c.a * c.a // (x.f::HUGEINT * y.f) AS BIGINT) AS score
-    FROM cuts c
-    JOIN counts x ON x.lang = c.lang AND x.phrase = array_to_string(c.words[1:c.k], ' ')
-    JOIN counts y ON y.lang = c.lang AND y.phrase = array_to_string(c.words[c.k + 1:], ' ')
+), cuts AS MATERIALIZED (
+    SELECT lang, size, phrase, a, k, array_to_string(words[1:k], ' ') AS first_part, array_to_string(words[k + 1:], ' ') AS rest
+    FROM (SELECT *, unnest(range(1, size)) AS k FROM candidates) each_cut
+), parts AS MATERIALIZED (
+    SELECT lang, phrase AS part, f FROM counts WHERE f >= 10
+), left_sides AS MATERIALIZED (
+    SELECT cuts.*, f AS l FROM cuts JOIN parts ON parts.lang = cuts.lang AND parts.part = cuts.first_part
+), sides AS MATERIALIZED (
+    SELECT c.lang, c.size, c.phrase, c.a, c.k, c.l, f AS r,
+           CAST(1000000::HUGEINT * c.a * c.a // (c.l::HUGEINT * f) AS BIGINT) AS score
+    FROM left_sides c JOIN parts ON parts.lang = c.lang AND parts.part = c.rest
 ), best AS (
     SELECT * FROM sides QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
 ), inside AS (
