@@ -1,20 +1,17 @@
 """Feed tables as all-text DataFrames read from CSV files.
 
-A file is read as lines, in splits, whatever it holds. A record goes on over a line break only inside
-a quoted field, and whether a line begins inside one depends on the lines before it. So lines with a
-quote are read for both cases: entered outside and entered inside a quoted field. Walked along, they
-tell for both cases how a split ends and how many of its lines continue a record: one small row per
-split. Composed in file order, these rows say how every split is entered, the number of its first
-record, and whether a field stays open at the end of a file. A second walk puts lines together to
-records; only pieces of records that cross an edge of a split are shuffled.
+A file in which every line is a whole record is read as lines, in splits. A file with a line that is
+none, which is one with a line break inside a quoted field or a broken one, is read whole by one task
+and cut into records there. Which of the two a file is follows from one scan of its lines, which also
+finds text that is not UTF-8 and counts the lines of every split, so that records get their numbers.
+The fields of a record are read by Spark's CSV parser.
 """
 
-import pyarrow as pa
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import parsing
-from ..operators.silver import GENERATED, OPTIONAL_TABLES, RECORD, RULES, TABLES
+from ..operators.silver import GENERATED, OPTIONAL_TABLES, RECORD, RULES, TABLES, to_silver, union_all
 from ..session import scratch_folder
 
 # Columns each file must have, and names reserved for typed columns.
@@ -43,15 +40,16 @@ class FeedError(ValueError):
     """A file or table that cannot be accepted."""
 
 
-# What a line is, entered outside or inside a quoted field, and how it leaves. Repeats are possessive.
-_IN = r'[^"]*+(?:""[^"]*+)*+'
-_FIELDS = rf'(?:"{_IN}",|[^",][^,]*+,|,)*+'
-_LAST = rf'(?:"{_IN}"|[^",][^,]*+|)\r?\z'
-OUTSIDE_TO_OUTSIDE = rf"^{_FIELDS}{_LAST}"
-OUTSIDE_TO_INSIDE = rf'^{_FIELDS}"{_IN}\z'
-INSIDE_TO_OUTSIDE = rf'^{_IN}"(?:\r?\z|,{_FIELDS}{_LAST})'
-INSIDE_TO_INSIDE = rf'^{_IN}(?:\z|",{_FIELDS}"{_IN}\z)'
-OUTSIDE, INSIDE, BROKEN = 0, 1, 2
+# A quoted field may hold anything, its quotes doubled; any other field runs to the next comma and may
+# not begin with a quote. Repeats are possessive, so long texts need no deep stack.
+_QUOTED = r'"[^"]*+(?:""[^"]*+)*+"'
+_PLAIN = r'[^",\n][^,\n]*+|'
+_RECORD = rf"(?:{_QUOTED}|{_PLAIN})(?:,(?:{_QUOTED}|{_PLAIN}))*+"
+WHOLE_LINE = rf"^{_RECORD}\r?\z"
+RECORDS = rf"{_RECORD}(?:\r?\n|\r?\z)"
+BLANK_RECORD = rf'^(?:"{parsing.BLANKS}*+"|{parsing.BLANKS}*+)(?:,(?:"{parsing.BLANKS}*+"|{parsing.BLANKS}*+))*+\z'
+# A file that one task must read whole has at most so many bytes.
+WHOLE_BYTES = 1 << 30
 
 PARSER = {
     "mode": "FAILFAST", "quote": '"', "escape": '"', "nullValue": NO_NULL, "emptyValue": "", "multiLine": "true",
@@ -63,127 +61,18 @@ def _reader(spark):
     return spark.read.options(encoding="UTF-8", **PARSER)
 
 
-def read_lines(spark, path):
-    """Every line: its file, split and place there, text, and what it makes of either way of entering it."""
-    def leaves(to_outside, to_inside, plain):
-        text = F.when(F.col("block") == 0, F.ltrim("value", F.lit("\ufeff"))).otherwise(F.col("value"))
-        read = F.when(text.rlike(to_outside), OUTSIDE).when(text.rlike(to_inside), INSIDE).otherwise(BROKEN)
-        return F.when(F.contains(F.col("value"), F.lit('"')), read).otherwise(plain).cast("int")
-
-    return spark.read.option("lineSep", "\n").text(path).select(
-        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("place"), "value",
-    ).select(
-        "*",
-        leaves(OUTSIDE_TO_OUTSIDE, OUTSIDE_TO_INSIDE, OUTSIDE).alias("outside"),
-        leaves(INSIDE_TO_OUTSIDE, INSIDE_TO_INSIDE, INSIDE).alias("inside"),
-    )
+def _without_mark(text, at_start):
+    return F.when(at_start, F.ltrim(text, F.lit("\ufeff"))).otherwise(text)
 
 
-class _Walk:
-    """Lines with a quote along one split, for one way of entering it."""
-
-    def __init__(self, entry):
-        self.state, self.opened, self.head, self.middle = entry, None, None, 0
-        self.entry = entry
-
-    def step(self, place, outside, inside):
-        if self.state == OUTSIDE and outside == INSIDE:
-            self.opened = place
-        elif self.state == INSIDE and inside != INSIDE:
-            if self.opened is None:
-                self.head = place  # the lines of the split up to here continue a record
-            else:
-                self.middle += place - self.opened
-                self.opened = None
-        if self.state != BROKEN:
-            self.state = inside if self.state == INSIDE else outside
-
-
-_WALKED = "file string, block long, entry int, leaves int, head long, middle long, opened long"
-
-
-def _walk_splits(batches):
-    """Per split with quotes and way of entering it: how it ends and which lines continue a record."""
-    split, walks, out = None, (), []
-
-    def rows():
-        kinds = (pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-        names = [field.split(" ")[0] for field in _WALKED.split(", ")]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
-
-    for batch in batches:
-        for file, block, *line in zip(*(column.to_pylist() for column in batch.columns), strict=True):
-            if split != (file, block):
-                out += [(*split, w.entry, w.state, w.head, w.middle, w.opened) for w in walks]
-                split, walks = (file, block), (_Walk(OUTSIDE), _Walk(INSIDE))
-            for walk in walks:
-                walk.step(*line)
-    out += [(*split, w.entry, w.state, w.head, w.middle, w.opened) for w in walks]
-    if out:
-        yield rows()
-
-
-def _enter_splits(batches):
-    """Per file: how each split is entered, records that begin before it, and the end of the file."""
-    for batch in batches:
-        out = []
-        for file, splits in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            state, begun = OUTSIDE, -1  # the header has no number
-            for split in sorted(splits, key=lambda s: s["block"]):
-                out.append((file, split["block"], state, begun, False))
-                lines = split["high"] - split["low"] + 1
-                walk = next((w for w in split["walks"] if w["entry"] == state), None)
-                if walk is None:
-                    begun += lines if state == OUTSIDE else 0
-                    continue
-                if state == INSIDE:
-                    lines -= (split["high"] if walk["head"] is None else walk["head"]) - split["low"] + 1
-                lines -= walk["middle"] + (0 if walk["opened"] is None else split["high"] - walk["opened"])
-                begun += lines
-                state = walk["leaves"]
-            out.append((file, None, state, begun, True))
-        kinds = (pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.bool_())
-        names = ["file", "block", "entered", "begun", "at_end"]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
-
-
-def _put_together(batches):
-    """Records of each split as (number, block, text, whole); headers are left out."""
-    split, number, lowest, state, pieces, whole, out = None, 0, 0, OUTSIDE, [], True, []
-
-    def end(complete):
-        if pieces and number >= lowest:
-            out.append((number, split[1], "\n".join(pieces), whole and complete))
-
-    def rows():
-        kinds = (pa.int64(), pa.int64(), pa.string(), pa.bool_())
-        batch = pa.RecordBatch.from_arrays(
-            [pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["number", "block", "text", "whole"]
-        )
-        out.clear()
-        return batch
-
-    for batch in batches:
-        for file, block, text, outside, inside, entered, before, first in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if split != (file, block):
-                end(state == OUTSIDE)
-                split, number, lowest, state, pieces, whole = (file, block), before, first, entered, [], entered == OUTSIDE
-            if state == OUTSIDE:
-                if pieces:
-                    end(True)
-                    whole = True
-                number += 1
-                pieces = [text]
-            else:
-                pieces.append(text)
-            state = inside if state == INSIDE else outside
-        if out:
-            yield rows()
-    if split is not None:
-        end(state == OUTSIDE)
-    if out:
-        yield rows()
+def read_lines(spark, path):
+    """Every line with its file, split and place, and whether it is a whole record."""
+    lines = spark.read.option("lineSep", "\n").text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("size"),
+        F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("place"), "value",
+    )
+    plain = ~F.contains(F.col("value"), F.lit('"'))
+    return lines.withColumn("complete", plain | _without_mark(F.col("value"), F.col("block") == 0).rlike(WHOLE_LINE))
 
 
 def _stored(frame, name):
@@ -194,6 +83,17 @@ def _stored(frame, name):
     return spark.read.schema(frame.schema).parquet(path)
 
 
+def _whole_files(spark, path, names):
+    """(file, records) of the files named, each read by one task; a record keeps its line break."""
+    text = _without_mark(F.col("value"), F.lit(True))
+    files = spark.read.text(path, wholetext=True).filter(F.col("_metadata.file_path").isin(names))
+    found = F.filter(F.regexp_extract_all(text, F.lit(RECORDS), 0), lambda record: record != "")
+    return files.select(
+        F.col("_metadata.file_path").alias("file"), found.alias("records"),
+        (F.length(F.array_join(found, "")) == F.length(text)).alias("complete"),
+    )
+
+
 def read_records(spark, path, table):
     """(number, text) of the records of a file or folder, blank ones included, headers left out.
 
@@ -202,42 +102,36 @@ def read_records(spark, path, table):
     """
     lines = read_lines(spark, path)
     splits = _stored(
-        lines.groupBy("file", "block").agg(
-            F.min("place").alias("low"), F.max("place").alias("high"), F.count_if(~F.is_valid_utf8("value")).alias("undecodable")
+        lines.groupBy("file", "size", "block").agg(
+            F.min("place").alias("low"), F.count("*").alias("n"), F.count_if(~F.is_valid_utf8("value")).alias("undecodable"),
+            F.count_if(~F.col("complete")).alias("broken"),
         ), "splits",
     )
     if not splits.filter("undecodable > 0").isEmpty():
         raise FeedError(f"{table}: not valid UTF-8")
-    quoted = lines.filter(F.contains(F.col("value"), F.lit('"'))).select("file", "block", "place", "outside", "inside")
-    walked = quoted.mapInArrow(_walk_splits, _WALKED).groupBy("file", "block").agg(
-        F.collect_list(F.struct("entry", "leaves", "head", "middle", "opened")).alias("walks")
-    )
-    none = F.array().cast("array<struct<entry: int, leaves: int, head: bigint, middle: bigint, opened: bigint>>")
-    of_file = splits.join(walked, ["file", "block"], "left").groupBy("file").agg(
-        F.collect_list(F.struct("block", "low", "high", F.coalesce("walks", none).alias("walks"))).alias("splits")
-    )
-    entered = _stored(
-        of_file.mapInArrow(_enter_splits, "file string, block long, entered int, begun long, at_end boolean"), "entered"
-    )
-    if not entered.filter(F.col("at_end") & (F.col("entered") != OUTSIDE)).isEmpty():
-        raise FeedError(f"{table}: a quoted field is not closed, or text follows its closing quote")
+    sizes = {row.file: row.size for row in splits.filter("broken > 0").select("file", "size").distinct().collect()}
+    if any(size > WHOLE_BYTES for size in sizes.values()):
+        raise FeedError(f"{table}: a quoted line break or a broken quoted field in a file of more than {WHOLE_BYTES} bytes")
+    names = sorted(sizes)
+    counts = splits.filter(~F.col("file").isin(names)).groupBy("file").agg(F.sum("n").alias("n"))
+    if names:
+        whole = _stored(_whole_files(spark, path, names).select("file", "complete", F.size("records").cast("long").alias("n")), "whole")
+        if not whole.filter("NOT complete").isEmpty():
+            raise FeedError(f"{table}: a quoted field is not closed, or text follows its closing quote")
+        counts = counts.unionByName(whole.select("file", "n"))
     # One row per file; records of a file come after those of all files before it.
     before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
-    files = entered.filter("at_end").select("file", F.coalesce(F.sum(F.greatest("begun", F.lit(0))).over(before), F.lit(0)).alias("earlier"))
-    known = _stored(
-        entered.filter("NOT at_end").join(files, "file").select(
-            "file", "block", "entered", (F.col("earlier") + F.col("begun")).alias("before"), (F.col("earlier") + 1).alias("first")
-        ), "known",
-    )
-    placed = lines.join(known, ["file", "block"]).sortWithinPartitions("file", "block", "place").select(
-        "file", "block", "value", "outside", "inside", "entered", "before", "first"
-    )
-    records = placed.mapInArrow(_put_together, "number long, block long, text string, whole boolean")
-    parted = (
-        records.filter("NOT whole").groupBy("number").agg(F.sort_array(F.collect_list(F.struct("block", "text"))).alias("parts"))
-        .select("number", F.array_join("parts.text", "\n").alias("text"))
-    )
-    return records.filter("whole").select("number", "text").unionByName(parted)
+    files = counts.select("file", F.coalesce(F.sum(F.greatest(F.col("n") - 1, F.lit(0))).over(before), F.lit(0)).alias("earlier"))
+    within = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    known = splits.filter(~F.col("file").isin(names)).withColumn("begun", F.coalesce(F.sum("n").over(within), F.lit(0)))
+    known = _stored(known.join(files, "file").select("file", "block", "low", "begun", "earlier"), "known")
+    number = F.col("place") - F.col("low") + F.col("begun")
+    records = lines.join(known, ["file", "block"]).select("earlier", number.alias("at"), F.col("value").alias("text"))
+    if names:
+        cut = _whole_files(spark, path, names).join(files, "file").select("earlier", F.posexplode("records").alias("at", "text"))
+        records = records.unionByName(cut.withColumn("at", F.col("at").cast("long")))
+    line_break = F.regexp_replace("text", r"\r?\n?\z", "")
+    return records.filter("at > 0").select((F.col("earlier") + F.col("at")).alias("number"), line_break.alias("text"))
 
 
 def read_header(spark, path):
@@ -269,9 +163,8 @@ def read_feed_csv(spark, path, table):
     """
     names = check_header(read_header(spark, path), table)
     schema = ", ".join(f"`{name}` string" for name in names)
-    records = read_records(spark, path, table)
-    blank = parsing.is_blank(F.translate("text", '",', ""))
-    rows = records.filter(~blank).select(F.from_csv(F.regexp_replace("text", r"\r\z", ""), schema, PARSER).alias("r"), F.col("number").alias(RECORD))
+    records = read_records(spark, path, table).filter(~F.col("text").rlike(BLANK_RECORD))
+    rows = records.select(F.from_csv("text", schema, PARSER).alias("r"), F.col("number").alias(RECORD))
     return rows.select(*[F.coalesce(F.col(f"r.`{n}`"), F.lit("")).alias(n) for n in names], RECORD)
 
 
@@ -300,54 +193,113 @@ def empty_raw(spark, table):
     return spark.createDataFrame([], f"{text}, {RECORD} bigint")
 
 
-def structure_issues(headers, empty):
-    """Issues of a feed from its headers (table -> names) and the set of tables without rows."""
-    issues = []
-    for table in REQUIRED_COLUMNS:
-        if table not in headers and table not in OPTIONAL_TABLES:
-            issues.append(("missing_file", table, ""))
-    calendars = [table for table in OPTIONAL_TABLES if table in headers]
-    if not calendars:
-        issues.append(("missing_calendar", None, ""))
-    for table, names in headers.items():
-        if table not in REQUIRED_COLUMNS:
-            continue
-        if any(not name.strip() for name in names):
-            issues.append(("empty_column", table, ""))
-        if len(set(names)) != len(names):
-            issues.append(("duplicate_column", table, ""))
-        absent = sorted(set(REQUIRED_COLUMNS[table]) - set(names))
-        if absent:
-            issues.append(("missing_columns", table, ",".join(absent)))
-        if table == "routes" and not set(ROUTE_NAMES) & set(names):
-            issues.append(("missing_route_name", table, ""))
-        if table in empty and table not in OPTIONAL_TABLES:
-            issues.append(("empty_table", table, ""))
-    if calendars and set(calendars) <= set(empty):
-        issues.append(("empty_calendar", None, ""))
-    return issues
-
-
-def feed_structure_check(spark, paths):
-    """Missing or empty files and columns of a feed given as table -> path, as a DataFrame."""
-    known = {table: path for table, path in paths.items() if path is not None}
-    headers = {table: read_header(spark, path) for table, path in known.items()}
-    empty = set()
-    for table, path in known.items():
-        rows = _reader(spark).csv(path, header=True)
-        if not rows.columns or skip_blank_records(rows, rows.columns).isEmpty():
-            empty.add(table)
-    return spark.createDataFrame(structure_issues(headers, empty), ISSUES)
+def structure_issues(files):
+    """Issues of a feed from (file, names, has_rows), one row per file or part of one, in one plan.
+
+    A table may come in several parts; its issues are those of any part, and it has rows if one has.
+    """
+    known = files.filter(F.col("file").isin(list(REQUIRED_COLUMNS)))
+    required = F.create_map(*[
+        part for table, names in REQUIRED_COLUMNS.items() for part in (F.lit(table), F.array(*[F.lit(n) for n in names]))
+    ])
+    absent = F.array_sort(F.array_except(required[F.col("file")], "names"))
+    blank = F.exists("names", parsing.is_blank)
+    route_names = F.array(*[F.lit(name) for name in ROUTE_NAMES])
+
+    def issue(condition, code, file, detail=""):
+        detail = F.lit(detail) if isinstance(detail, str) else detail
+        return F.when(condition, F.struct(F.lit(code).alias("code"), file.alias("file"), detail.alias("detail")))
+
+    file = F.col("file")
+    of_parts = known.select(F.explode(F.array(
+        issue(blank, "empty_column", file),
+        issue(F.size(F.array_distinct("names")) < F.size("names"), "duplicate_column", file),
+        issue(F.size(absent) > 0, "missing_columns", file, F.array_join(absent, ",")),
+        issue((file == "routes") & ~F.arrays_overlap("names", route_names), "missing_route_name", file),
+    )).alias("issue")).filter("issue IS NOT NULL").distinct()
+    tables = known.groupBy("file").agg(F.max("has_rows").alias("has_rows"))
+    of_tables = tables.select(
+        issue(~F.col("has_rows") & ~file.isin(list(OPTIONAL_TABLES)), "empty_table", file).alias("issue")
+    )
+    needed = F.array(*[F.lit(t) for t in REQUIRED_COLUMNS if t not in OPTIONAL_TABLES])
+    optional = file.isin(list(OPTIONAL_TABLES))
+    none = F.lit(None).cast("string")
+    of_feed = tables.agg(
+        F.collect_set("file").alias("present"), F.count_if(optional).alias("calendars"),
+        F.count_if(optional & F.col("has_rows")).alias("filled"),
+    ).select(F.explode(F.concat(
+        F.transform(F.array_except(needed, "present"), lambda t: issue(F.lit(True), "missing_file", t)),
+        F.array(
+            issue(F.col("calendars") == 0, "missing_calendar", none),
+            issue((F.col("calendars") > 0) & (F.col("filled") == 0), "empty_calendar", none),
+        ),
+    )).alias("issue"))
+    return union_all([of_parts, of_tables, of_feed]).filter("issue IS NOT NULL").select("issue.*")
+
+
+def _header_names(header):
+    """Column names of the first line of a file; none for an empty line."""
+    fields = F.regexp_extract_all(header, F.lit(rf"(?:^|,)({_QUOTED}|[^,]*)"), 1)
+    names = F.transform(fields, lambda f: F.when(
+        f.startswith('"') & f.endswith('"') & (F.length(f) > 1),
+        F.replace(F.substring(f, F.lit(2), F.length(f) - 2), F.lit('""'), F.lit('"')),
+    ).otherwise(f))
+    return F.when(header == "", F.array().cast("array<string>")).otherwise(names)
+
+
+def feed_structure_check(spark, path):
+    """Issues of the files of a folder, ``<table>.txt`` each, or folders of that name with the parts of one.
+
+    One job reads the first line of every file and whether a line with anything in it follows. A
+    record that is blank over several lines counts as a row.
+    """
+    table = F.regexp_extract(F.col("_metadata.file_path"), r"/([^/]+)\.txt(?:/[^/]*)?$", 1).alias("file")
+    found = spark.read.option("recursiveFileLookup", True)
+    listed = found.format("binaryFile").load(path).select(F.col("_metadata.file_path").alias("path"), table)
+    lines = spark.read.options(recursiveFileLookup=True, lineSep="\n").text(path).select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("place"), F.regexp_replace("value", r"\r\z", "").alias("line"),
+    )
+    first = F.min(F.when(F.col("block") == 0, F.struct("place", "line")))
+    headed = lines.groupBy("path").agg(
+        _without_mark(first["line"], F.lit(True)).alias("header"), F.count_if(~F.col("line").rlike(BLANK_RECORD)).alias("filled")
+    )
+    header = F.coalesce("header", F.lit(""))
+    has_rows = F.coalesce("filled", F.lit(0)) > F.when(header.rlike(BLANK_RECORD), 0).otherwise(1)
+    return structure_issues(
+        listed.join(headed, "path", "left").select("file", _header_names(header).alias("names"), has_rows.alias("has_rows"))
+    )
 
 
 def table_structure_check(tables):
     """The same checks for raw tables that are DataFrames already."""
-    spark = next(iter(tables.values())).sparkSession
-    headers = {name: [c for c in frame.columns if c != RECORD] for name, frame in tables.items()}
-    empty = {
-        name for name, frame in tables.items() if skip_blank_records(frame, headers[name]).isEmpty()
-    }
-    return spark.createDataFrame(structure_issues(headers, empty), ISSUES)
+    rows = []
+    for name, frame in tables.items():
+        columns = [c for c in frame.columns if c != RECORD]
+        filled = skip_blank_records(frame, columns).agg((F.count("*") > 0).alias("has_rows"))
+        names = F.array(*[F.lit(c) for c in columns]).cast("array<string>")
+        rows.append(filled.select(F.lit(name).alias("file"), names.alias("names"), "has_rows"))
+    return structure_issues(union_all(rows))
+
+
+def tables_present(tables, present):
+    """One row per table of a feed: whether its file was there, rows, and the typed columns of an absent one.
+
+    An absent calendar counts as a typed table without rows.
+    """
+    agency = tables["agency"]
+    rows = []
+    for name in TABLES:
+        typed = to_silver(name, tables[name], agency)
+        absent = not present[name]
+        if absent and name not in OPTIONAL_TABLES:
+            raise FeedError(f"missing {name}")
+        kinds = ",".join(f"{f.name}:{f.dataType.simpleString()}" for f in typed.schema) if absent else None
+        rows.append(typed.agg(F.count("*").alias("row_count")).select(
+            F.lit(name).alias("table_name"), F.lit(not absent).alias("source_present"),
+            F.lit(absent).alias("normalized_empty"), "row_count", F.lit(kinds).cast("string").alias("absent_columns"),
+        ))
+    return union_all(rows)
 
 
 def frequencies_capability(frequencies):
