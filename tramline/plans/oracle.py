@@ -470,45 +470,136 @@ twin("dataset_metadata", """
     SELECT 'gtfs_derived' AS dataset_id, CAST(NULL AS VARCHAR) AS data_kind,
            CAST(NULL AS VARCHAR) AS source_sha256, source_start AS start_date, source_end AS end_date
     FROM q_envelope""")
+_CHANGED = {  # table: its flags for schema, count and content after it was changed
+    "stops": "true, true, count(*) = 0", "routes": "false, true, count(*) = 0", "trips": "false, true, count(*) >= 0",
+    "calendar": "true, count(*) FILTER (WHERE service_id = 'SV1') = 0, count(*) FILTER (WHERE service_id = 'SV1') = 0",
+    "calendar_dates": "false, false, count(*) < 0",
+}
 twin("verify_silver", " UNION ALL ".join(
-    f"SELECT '{t}' AS table_name, count(*) >= 0 AS schema_matches, true AS count_matches, "
-    f"true AS content_matches FROM g_{t}" for t in _SILVER if t != "services"))
-# What goes through the import: visits with a known arrival, and every stop as a platform.
+    f"SELECT '{t}' AS table_name, state, schema_matches, count_matches, content_matches FROM ("
+    f"SELECT 'published' AS state, count(*) >= 0 AS schema_matches, true AS count_matches, true AS content_matches FROM g_{t} "
+    f"UNION ALL SELECT 'damaged', {_CHANGED.get(t, 'true, true, count(*) >= 0')} FROM g_{t}) both_states"
+    for t in _SILVER if t != "services"))
+# What goes through the import: the ends of a trip with an arrival, and every stop as a platform.
 _IMPORTED = {
-    "g_stop_times": f"SELECT * FROM ({CTES['g_stop_times']}) visits WHERE arrival_seconds IS NOT NULL",
+    "g_stop_times": f"""
+        SELECT * REPLACE (CASE
+            WHEN arrival_seconds IS NOT NULL THEN arrival_seconds
+            WHEN stop_sequence = min(stop_sequence) OVER trip
+                THEN coalesce(least(min(arrival_seconds) OVER trip, min(departure_seconds) OVER trip), 18000)
+            WHEN stop_sequence = max(stop_sequence) OVER trip
+                THEN coalesce(greatest(max(arrival_seconds) OVER trip, max(departure_seconds) OVER trip), 18000)
+            END AS arrival_seconds)
+        FROM ({CTES['g_stop_times']}) visits WINDOW trip AS (PARTITION BY trip_id)""",
     "g_stops": f"SELECT * REPLACE (CAST(0 AS BIGINT) AS location_type) FROM ({CTES['g_stops']}) stops",
 }
-_AFTER_IMPORT = ("silver_gate", "write_quality_report", "load_silver", "publish_gold", "import_geometry")
+_AFTER_IMPORT = ("silver_gate", "load_silver", "publish_gold", "import_geometry")
 twin("silver_gate", """
     SELECT trip_id, stop_id, stop_sequence, arrival_seconds, departure_seconds, pickup_type, timepoint
     FROM g_stop_times""")
-twin("write_quality_report", " UNION ALL ".join(
-    f"SELECT 'passed' AS status, CAST(0 AS BIGINT) AS error_count, '{t}' AS table_name, count(*) AS row_count "
-    f"FROM g_{t}" for t in _SILVER if t != "services"))
+_ABOUT = "severity || '|' || code || '|' || table_name || '|' || coalesce(column_name, '-')"
+_COVERED = ("stop_time_records", "known_arrivals", "known_departures", "regular_pickup_records", "known_regular_departures",
+            "no_pickup_records", "on_request_pickup_records", "approximate_timepoint_records", "departure_ratio")
+
+
+def report_twin(twins):
+    """The report in rows, from the statements of its parts."""
+    for name in ("silver_gate_status", "dq_report_examples", "dq_time_coverage", "dq_service_date_range",
+                 "dq_unknown_directions", "dq_row_counts"):
+        cte(f"p_{name}", twins[name])
+    parts = [f"SELECT 'report', '{name}', CAST({name} AS VARCHAR) FROM p_silver_gate_status"
+             for name in ("status", "error_count", "warning_count")]
+    parts += ["SELECT 'report', 'example_limit', '50' FROM p_silver_gate_status",
+              "SELECT 'report', 'unknown_directions', CAST(unknown_directions AS VARCHAR) FROM p_dq_unknown_directions",
+              f"SELECT 'check', {_ABOUT}, findings || ' ' || coalesce(first_record, -1) FROM q_checks",
+              f"SELECT 'example', {_ABOUT} || '|' || record, coalesce(value, '') FROM p_dq_report_examples",
+              "SELECT 'row_count', table_name, CAST(row_count AS VARCHAR) FROM p_dq_row_counts"]
+    parts += [f"SELECT 'time_coverage', '{name}', CAST({name} AS VARCHAR) FROM p_dq_time_coverage" for name in _COVERED]
+    parts += [f"SELECT 'service_date_range', '{name}', CAST({name} AS VARCHAR) FROM p_dq_service_date_range"
+              for name in ("start_date", "end_date")]
+    parts += ["SELECT 'capability', 'quantitative', CASE WHEN count(*) = 0 THEN 'true' ELSE 'false' END FROM r_frequencies",
+              "SELECT 'capability', 'flexible', 'false' FROM p_silver_gate_status",
+              "SELECT 'capability', 'frequencies', 'true ' || count(*) || ' textual_bronze_only' FROM r_frequencies",
+              "SELECT 'capability', 'calendar', 'true' FROM p_silver_gate_status",
+              "SELECT 'capability', 'extra of trips', 'shape_id,vehicle_id,brigade_note' FROM p_silver_gate_status"]
+    return "SELECT section, name, value FROM (" + " UNION ALL ".join(parts) + ") AS report(section, name, value)"
+
+
 twin("load_silver", "SELECT trip_id, route_id, service_id, direction_id, trip_headsign FROM g_trips")
-twin("read_positions_json", "SELECT vehicle_id, line, latitude, longitude, measured_at FROM r_positions")
+twin("read_position_lines", "SELECT vehicle_id, line, latitude, longitude, measured_at FROM r_positions")
+twin("read_positions_json", """
+    SELECT 'Positions ' || number AS title,
+           CAST(row_number() OVER (PARTITION BY number ORDER BY observation_id) - 1 AS INTEGER) AS place,
+           'available' AS status, number % 5 <> 3 AS metadata_consistent,
+           number % 5 <> 3 AND number % 7 <> 2 AS terms_confirmed,
+           vehicle_id, line, latitude, longitude, measured_at, true AS is_object
+    FROM (SELECT *, CAST(floor(observation_id / 200) AS BIGINT) AS number FROM r_positions) numbered""")
 twin("write_scan_bronze", "SELECT * FROM r_stop_times")
 twin("write_scan_silver", "SELECT * FROM s_stop_times")
 twin("read_feed_csv", "SELECT * EXCLUDE (_source_record) FROM r_stop_times")
 cte("q_headsigns", """
-    SELECT trip_id, min(trip_headsign) AS headsign, right(trip_id, 1) IN ('1', '4', '7') AS long_note
+    SELECT trip_id, min(trip_headsign) AS headsign, right(trip_id, 1) AS digit
     FROM r_trips WHERE trip_id <> '' GROUP BY trip_id""")
 twin("source_record_number", """
-    SELECT trip_id, if(long_note, 'a "' || headsign || '",' || chr(10) || 'b', '5" x') AS note,
-           rank() OVER (ORDER BY trip_id) AS _source_record
-    FROM q_headsigns""")
+    SELECT trip_id, CASE WHEN digit IN ('1', '4', '7') THEN 'a "' || headsign || '",' || chr(10) || 'b'
+                         WHEN digit = '2' THEN '"   ' WHEN digit = '3' THEN ',",' ELSE '5" x' END AS note, _source_record
+    FROM (SELECT *, rank() OVER (ORDER BY trip_id) AS _source_record FROM q_headsigns) numbered
+    WHERE digit <> '5'""")
 twin("skip_blank_records", """
     SELECT _source_record, location_group_id, timepoint FROM r_stop_times
     WHERE trim(location_group_id || timepoint) <> ''""")
-twin("feed_structure_check", """
+twin("table_structure_check", """
     SELECT 'missing_columns' AS code, 'routes' AS file, 'route_type' AS detail
     FROM (SELECT count(*) FROM r_routes) all_routes
     UNION ALL SELECT 'missing_route_name', 'routes', ''
     UNION ALL SELECT 'empty_calendar', NULL, '' FROM (SELECT count(*) AS n FROM r_calendar
         WHERE service_id = '') none WHERE n = 0""")
+twin("feed_structure_check", f"{SELECTS['table_structure_check']} UNION ALL SELECT 'empty_column', 'stops', ''")
+_WEEK = ",".join(f"{day}:bigint" for day in ("monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday"))
 twin("feed_tables_present", " UNION ALL ".join(
-    f"SELECT '{t}' AS table_name, count(*) > 0 AS has_rows FROM r_{t}"
-    for t in _SILVER if t != "services"))
+    f"SELECT '{t}' AS table_name, true AS source_present, false AS normalized_empty, count(*) AS row_count, "
+    f"CAST(NULL AS VARCHAR) AS absent_columns FROM r_{t}" for t in _SILVER if t not in ("services", "calendar"))
+    + f" UNION ALL SELECT 'calendar', false, true, count(*), 'service_id:string,{_WEEK},"
+      "start_date:date,end_date:date,_source_record:bigint' FROM r_calendar WHERE 1 = 0")
+# Columns of the raw tables in their order; typing puts the record number after them, then what it adds.
+_RAW_COLUMNS = {
+    "agency": "_source_record agency_id agency_name agency_url agency_timezone",
+    "stops": "_source_record stop_id stop_name stop_lat stop_lon location_type parent_station",
+    "routes": "_source_record route_id agency_id route_short_name route_long_name route_type",
+    "trips": "_source_record trip_id route_id service_id direction_id trip_headsign shape_id vehicle_id brigade_note",
+    "stop_times": "_source_record trip_id stop_id stop_sequence arrival_time departure_time pickup_type drop_off_type timepoint "
+                  "location_group_id start_pickup_drop_off_window",
+    "calendar": "_source_record service_id monday tuesday wednesday thursday friday saturday sunday start_date end_date",
+    "calendar_dates": "_source_record service_id date exception_type",
+}
+_ADDED = {"agency": "_agency_key", "routes": "_agency_key route_type_description", "stop_times": "arrival_seconds departure_seconds"}
+_BIGINT = set("_source_record location_type route_type direction_id stop_sequence pickup_type drop_off_type timepoint exception_type "
+              "arrival_seconds departure_seconds monday tuesday wednesday thursday friday saturday sunday".split())
+_KIND = {"stop_lat": "double", "stop_lon": "double", "start_date": "date", "end_date": "date", "date": "date",
+         **dict.fromkeys(_BIGINT, "bigint")}
+
+
+def manifest_twin(source, columns, kinds):
+    """Count and content hash of a table, its rows hashed as text column by column."""
+    text = " || ".join(
+        f"coalesce('=' || length(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')" for c in columns)
+    listed = ",".join(f"{c}:{kinds(c)}" for c in columns)
+    return f"""
+    SELECT '{source[2:]}' AS table_name, n AS row_count, '{listed}' AS columns,
+           sha256(n || ':' || coalesce(low, 0) || ':' || coalesce(high, 0)) AS content_hash
+    FROM (SELECT count(*) AS n, sum(CAST(CAST(concat('0x', substr(h, 1, 15)) AS BIGINT) AS HUGEINT)) AS low,
+                 sum(CAST(CAST(concat('0x', substr(h, 16, 15)) AS BIGINT) AS HUGEINT)) AS high
+          FROM (SELECT sha256({text}) AS h FROM {source}) hashed) sums"""
+
+
+twin("write_bronze", " UNION ALL ".join(
+    manifest_twin(f"r_{t}", names.split(), lambda c: "bigint" if c == "_source_record" else "string")
+    for t, names in _RAW_COLUMNS.items()))
+twin("write_silver", " UNION ALL ".join(
+    manifest_twin(f"s_{t}", [*names.split()[1:], "_source_record", *_ADDED.get(t, "").split()], lambda c: _KIND.get(c, "string"))
+    for t, names in _RAW_COLUMNS.items()))
+for _layer in ("bronze", "silver"):
+    twin(f"scan_{_layer}", f"SELECT * EXCLUDE (columns) FROM ({SELECTS[f'write_{_layer}']}) written")
 twin("frequencies_capability", """
     SELECT count(*) AS row_count, count(*) = 0 AS quantitative_gold_supported FROM r_frequencies""")
 twin("feed_capabilities", """
@@ -522,6 +613,7 @@ twin("read_shapes", f"""
 twin("import_geometry", SELECTS["shape_counts"])
 
 SELECTS.update(quality_twins())
+twin("write_quality_report", report_twin(SELECTS))
 
 
 def oracle_sql():

@@ -542,18 +542,36 @@ on_feed("content_fingerprint")(
 on_feed("dataset_metadata")(lambda f: warehouse.dataset_metadata(f, "gtfs_derived"))
 
 
+def _with_end_times(visits):
+    """Visits with an arrival at the first and the last stop of every trip, which the gate asks for.
+
+    A missing one becomes the earliest, or the latest, time the trip has, and 5:00 without any.
+    """
+    times = ("arrival_seconds", "departure_seconds")
+    ends = visits.groupBy("trip_id").agg(
+        F.min("stop_sequence").alias("first"), F.max("stop_sequence").alias("last"),
+        F.min(F.least(*times)).alias("earliest"), F.max(F.greatest(*times)).alias("latest"),
+    )
+    end = F.when(F.col("stop_sequence") == F.col("first"), F.col("earliest")).when(
+        F.col("stop_sequence") == F.col("last"), F.col("latest")
+    )
+    at_end = F.col("stop_sequence").isin(F.col("first"), F.col("last"))
+    arrival = F.coalesce("arrival_seconds", F.when(at_end, F.coalesce(end, F.lit(18000))))
+    return visits.join(ends, "trip_id").withColumn("arrival_seconds", arrival).select(*visits.columns)
+
+
 def _clean_raw(spark, sf_dir):
-    """The clean feed as raw text, in the form an import starts from.
+    """The clean feed as raw text, in the form an import starts from, with all its visits.
 
-    Visits without an arrival are left out, since a trip may not begin or end with one. Stations
-    become platforms, since trips visit them, and get the coordinates they must have.
+    What the gate must refuse is mended: the ends of a trip get an arrival, and stations become
+    platforms, since trips visit them, with the coordinates they must have.
     """
     feed = clean_feed(spark, sf_dir)
     raw = {}
     for name in silver.TABLES:
         frame, columns = getattr(feed, name), []
         if name == "stop_times":
-            frame = frame.filter("arrival_seconds IS NOT NULL")
+            frame = _with_end_times(frame)
         for column in silver.RULES[name]:
             if column in ("arrival_time", "departure_time"):
                 columns.append(
@@ -579,9 +597,32 @@ def _imported(spark, sf_dir):
     return folder, warehouse.silver_gate(_clean_raw(spark, sf_dir), folder, "0" * 64, data_kind="gtfs_derived")
 
 
+def _damaged(spark, folder, manifest):
+    """Rewrite four tables of a published run: a value, a column, a type and a row are not as declared."""
+    run = f"{folder}/{manifest['run']}"
+    changes = {
+        "stops": lambda f: f.withColumn("stop_name", F.concat("stop_name", F.lit("!"))),
+        "routes": lambda f: f.drop("route_long_name"),
+        "trips": lambda f: f.withColumn("direction_id", F.col("direction_id").cast("string")),
+        "calendar": lambda f: f.filter("service_id <> 'SV1'"),
+    }
+    for name, change in changes.items():
+        kept = f"{folder}/changed/{name}"
+        warehouse.write_parquet(change(spark.read.parquet(f"{run}/{name}")), kept)
+        warehouse.write_parquet(spark.read.parquet(kept), f"{run}/{name}")
+    warehouse.discard(spark, [f"{run}/calendar_dates"])
+
+
 @query
 def verify_silver(spark, sf_dir):
-    return warehouse.verify_silver(spark, _imported(spark, sf_dir)[0])
+    """A published folder against its manifest, as written and after some of its tables were changed."""
+    folder, manifest = _imported(spark, sf_dir)
+    whole = scratch_folder(spark)
+    warehouse.write_parquet(warehouse.verify_silver(spark, folder), whole)
+    _damaged(spark, folder, manifest)
+    return spark.read.parquet(whole).withColumn("state", F.lit("published")).unionByName(
+        warehouse.verify_silver(spark, folder).withColumn("state", F.lit("damaged"))
+    )
 
 
 @query
@@ -593,13 +634,63 @@ def silver_gate(spark, sf_dir):
     )
 
 
+REPORT_SCHEMA = """
+    status string, error_count bigint, warning_count bigint, example_limit bigint, unknown_directions bigint,
+    checks array<struct<severity: string, code: string, table_name: string, column_name: string, findings: bigint,
+                        first_record: bigint>>,
+    examples array<struct<severity: string, code: string, table_name: string, column_name: string, record: bigint,
+                          value: string>>,
+    time_coverage map<string, string>, service_date_range map<string, string>, row_counts map<string, bigint>,
+    capabilities struct<quantitative_gold_supported: boolean, flexible_service_supported: boolean,
+                        frequencies: struct<present: boolean, row_count: bigint, handling: string>,
+                        calendar_sources: map<string, boolean>, untyped_extra_columns: map<string, array<string>>>
+"""
+
+
 @query
 def write_quality_report(spark, sf_dir):
-    """The counts of the report document of a gate, one row per table."""
-    folder, _ = _imported(spark, sf_dir)
-    report = spark.read.text(f"{folder}/quality", wholetext=True)
-    parsed = F.from_json("value", "status string, error_count bigint, row_counts map<string, bigint>")
-    return report.select(parsed.alias("r")).select("r.status", "r.error_count", F.explode("r.row_counts").alias("table_name", "row_count"))
+    """All of the report document of the faulty feed, written and parsed again: (section, name, value)."""
+    raw, typed = staged_feed(spark, sf_dir)
+    path = f"{scratch_folder(spark)}/quality"
+    frequencies = view(spark, sf_dir, "r_frequencies")
+    present = dict.fromkeys((*silver.TABLES, "frequencies"), True)
+    counts = {row.table_name: row.row_count for row in gold.row_counts(typed).collect()}
+    warehouse.write_document(spark, path, warehouse.quality_report(raw, frequencies, typed, present, counts))
+    text = spark.read.text(path, wholetext=True)
+    report = text.select(F.from_json("value", REPORT_SCHEMA, {"mode": "FAILFAST"}).alias("r")).select("r.*")
+
+    def rows(section, items, name, value):
+        return report.select(F.explode(items).alias("i")).select(
+            F.lit(section).alias("section"), name.alias("name"), value.cast("string").alias("value")
+        )
+
+    def entries(section, of):
+        return rows(section, F.map_entries(of), F.col("i.key"), F.col("i.value"))
+
+    about = F.concat_ws("|", "i.severity", "i.code", "i.table_name", F.coalesce("i.column_name", F.lit("-")))
+    single = F.create_map(*[
+        part for name in ("status", "error_count", "warning_count", "example_limit", "unknown_directions")
+        for part in (F.lit(name), F.col(name).cast("string"))
+    ])
+    able = F.create_map(
+        F.lit("quantitative"), F.col("capabilities.quantitative_gold_supported").cast("string"),
+        F.lit("flexible"), F.col("capabilities.flexible_service_supported").cast("string"),
+        F.lit("frequencies"), F.concat_ws(" ", *[F.col(f"capabilities.frequencies.{n}").cast("string") for n in ("present", "row_count", "handling")]),
+        F.lit("calendar"), F.col("capabilities.calendar_sources")["calendar"].cast("string"),
+        F.lit("extra of trips"), F.array_join(F.col("capabilities.untyped_extra_columns")["trips"], ","),
+    )
+    whole = F.filter(F.map_entries("time_coverage"), lambda e: e["key"] != "departure_ratio")
+    return silver.union_all([
+        entries("report", single),
+        rows("check", F.col("checks"), about, F.concat_ws(" ", F.col("i.findings"), F.coalesce("i.first_record", F.lit(-1)))),
+        rows("example", F.col("examples"), F.concat_ws("|", about, F.col("i.record")), F.coalesce("i.value", F.lit(""))),
+        rows("time_coverage", whole, F.col("i.key"), F.col("i.value")),
+        rows("time_coverage", F.array(F.col("time_coverage")["departure_ratio"]), F.lit("departure_ratio"),
+             F.round(F.col("i").cast("double"), 6)),
+        entries("service_date_range", F.col("service_date_range")),
+        entries("row_count", F.col("row_counts")),
+        entries("capability", able),
+    ])
 
 
 def _loaded(spark, sf_dir):
@@ -632,8 +723,45 @@ on_raw("write_scan_silver")(
 )
 
 
-def _as_csv(frame, name):
-    path = f"{scratch_folder(frame.sparkSession)}/{name}.txt"
+def _scanned(spark, folder, names):
+    """Counts and content hashes of written tables, taken from the files alone."""
+    return silver.union_all(
+        identity.content_fingerprint(spark.read.parquet(f"{folder}/{name}")).select(
+            F.lit(name).alias("table_name"), "row_count", "content_hash"
+        )
+        for name in names
+    )
+
+
+def _written(spark, tables):
+    folder = scratch_folder(spark)
+    return folder, warehouse.manifest_rows(spark, warehouse.write_bronze(tables, folder))
+
+
+@query
+def write_bronze(spark, sf_dir):
+    """What the writes of all raw tables observed."""
+    return _written(spark, raw_tables(spark, sf_dir))[1]
+
+
+@query
+def write_silver(spark, sf_dir):
+    """What the writes of all typed tables observed."""
+    return _written(spark, silver.silver_tables(raw_tables(spark, sf_dir)))[1]
+
+
+@query
+def scan_bronze(spark, sf_dir):
+    return _scanned(spark, _written(spark, raw_tables(spark, sf_dir))[0], silver.TABLES)
+
+
+@query
+def scan_silver(spark, sf_dir):
+    return _scanned(spark, _written(spark, silver.silver_tables(raw_tables(spark, sf_dir)))[0], silver.TABLES)
+
+
+def _as_csv(frame, name, folder=None):
+    path = f"{folder or scratch_folder(frame.sparkSession)}/{name}.txt"
     frame.write.options(
         header=True, escape='"', emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
     ).csv(path)
@@ -648,11 +776,22 @@ on_raw("read_feed_csv")(
     ).drop("_source_record")
 )
 def _numbered(raw):
-    """Trips written in the order of their ids with their numbers as read; some notes have quotes and line breaks."""
+    """Trips written in the order of their ids with their numbers as read.
+
+    Some notes have quotes and line breaks, some are quotes or commas alone, and some records are blank.
+    """
     trips = raw["trips"].filter(F.col("trip_id") != "").groupBy("trip_id").agg(F.min("trip_headsign").alias("headsign"))
     long_note = F.concat(F.lit('a "'), "headsign", F.lit('",\nb'))
-    note = F.when(F.right("trip_id", F.lit(1)).isin("1", "4", "7"), long_note).otherwise(F.lit('5" x'))
-    rows = trips.select("trip_id", note.alias("note")).repartitionByRange(4, "trip_id").sortWithinPartitions("trip_id")
+    digit = F.right("trip_id", F.lit(1))
+    note = (
+        F.when(digit.isin("1", "4", "7"), long_note).when(digit == "2", '"   ').when(digit == "3", ',",')
+        .when(digit == "5", "   ").otherwise('5" x')
+    )
+    shown = F.when(digit == "5", "").otherwise(F.col("trip_id"))
+    rows = (
+        trips.select("trip_id", note.alias("note"), shown.alias("shown")).repartitionByRange(4, "trip_id")
+        .sortWithinPartitions("trip_id").select(F.col("shown").alias("trip_id"), "note")
+    )
     return feed_csv.read_feed_csv(raw["trips"].sparkSession, _as_csv(rows, "trips"), "trips")
 
 
@@ -663,7 +802,23 @@ on_raw("skip_blank_records")(
         ["location_group_id", "timepoint"],
     )
 )
-on_raw("feed_structure_check")(
+def _structure(raw):
+    """A folder of files without a route type, a calendar without rows and no exceptions, read by one job."""
+    spark = raw["trips"].sparkSession
+    folder = scratch_folder(spark)
+    tables = {
+        **{t: f for t, f in raw.items() if t != "calendar_dates"},
+        "routes": raw["routes"].drop("route_short_name", "route_long_name", "route_type"),
+        "calendar": raw["calendar"].filter(F.col("service_id") == ""),
+        "stops": raw["stops"].withColumn(" ", F.lit("x")),
+    }
+    for name, frame in tables.items():
+        _as_csv(frame.drop("_source_record"), name, folder)
+    return feed_csv.feed_structure_check(spark, folder)
+
+
+on_raw("feed_structure_check")(_structure)
+on_raw("table_structure_check")(
     lambda raw: feed_csv.table_structure_check(
         {
             **{t: f for t, f in raw.items() if not t.startswith("calendar")},
@@ -672,12 +827,15 @@ on_raw("feed_structure_check")(
         }
     )
 )
-on_raw("feed_tables_present")(
-    lambda raw: silver.union_all(
-        frame.agg((F.count("*") > 0).alias("has_rows")).select(F.lit(t).alias("table_name"), "has_rows")
-        for t, frame in raw.items()
-    )
-)
+
+
+def _without_calendar(raw):
+    """A feed whose services are all exceptions: the weekly calendar's file is not there."""
+    tables = {**raw, "calendar": feed_csv.empty_raw(raw["trips"].sparkSession, "calendar")}
+    return feed_csv.tables_present(tables, {name: name != "calendar" for name in silver.TABLES})
+
+
+on_raw("feed_tables_present")(_without_calendar)
 QUERIES["frequencies_capability"] = lambda spark, sf_dir: feed_csv.frequencies_capability(
     view(spark, sf_dir, "r_frequencies")
 )
@@ -720,7 +878,7 @@ def import_geometry(spark, sf_dir):
 
 
 @query
-def read_positions_json(spark, sf_dir):
+def read_position_lines(spark, sf_dir):
     """Observations written as a history of one record per line and read again."""
     positions_ = view(spark, sf_dir, "r_positions")
     records = positions_.select(F.to_json(F.struct(
@@ -729,3 +887,27 @@ def read_positions_json(spark, sf_dir):
     path = f"{scratch_folder(spark)}/positions"
     records.write.text(path)
     return positions_json.read_position_lines(spark, path).drop("observation_id", "is_object")
+
+
+@query
+def read_positions_json(spark, sf_dir):
+    """Observations written as export documents of up to 200 records, and read with their metadata.
+
+    Some documents have no metadata of their title, and some metadata another licence.
+    """
+    folder = scratch_folder(spark)
+    record = F.struct(*[F.col(name).alias(field) for name, field in positions_json.FIELDS.items()])
+    exports = (
+        view(spark, sf_dir, "r_positions").withColumn("number", F.floor(F.col("observation_id") / 200))
+        .groupBy("number").agg(F.sort_array(F.collect_list(F.struct("observation_id", record.alias("record")))).alias("found"))
+        .withColumn("title", F.concat(F.lit("Positions "), "number"))
+    )
+    exports.select(F.to_json(F.struct(
+        F.struct(F.col("title").alias(positions_json.TITLE)).alias("meta"),
+        F.transform("found", lambda f: f["record"]).alias(positions_json.RECORDS),
+    )).alias("value")).write.text(f"{folder}/exports")
+    licence = F.when(F.col("number") % 7 == 2, "other").otherwise(positions_json.CONFIRMED_LICENCE)
+    exports.filter("number % 5 <> 3").select(F.to_json(F.struct(
+        F.col("title").alias(positions_json.TITLE), licence.alias(positions_json.LICENCE)
+    )).alias("value")).write.text(f"{folder}/metadata")
+    return positions_json.read_position_documents(spark, f"{folder}/exports", f"{folder}/metadata", multi_line=False)

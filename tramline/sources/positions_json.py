@@ -38,15 +38,39 @@ def read_position_lines(spark, path):
     )
 
 
-def _records(records):
+def _records(records, *about):
     kind = F.schema_of_variant(F.try_parse_json("text"))
     return records.withColumn("record", F.from_json("text", RECORD_SCHEMA)).select(
-        "observation_id",
+        *(about or ("observation_id",)),
         *[F.col(f"record.`{field}`").alias(name) for name, field in FIELDS.items()],
         F.coalesce(kind.startswith("OBJECT"), F.lit(False)).alias("is_object"),
     )
 
 
+def read_position_documents(spark, export_path, metadata_path, multi_line=True):
+    """One row per record of every export document, with what its metadata say.
+
+    Exports hold their records and a title; metadata documents hold a title and a licence. An export
+    is consistent when there are metadata with its title, and its terms are confirmed when all of
+    those name the confirmed licence. An export without a list of records is unavailable and gives
+    one row without a place. ``multi_line`` false reads one document per line, in splits.
+    """
+    exports = spark.read.schema(f"{RECORDS} array<string>, meta struct<{TITLE}: string>").json(export_path, multiLine=multi_line)
+    metadata = spark.read.schema(f"{TITLE} string, {LICENCE} string").json(metadata_path, multiLine=multi_line)
+    confirmed = F.coalesce(F.col(LICENCE) == CONFIRMED_LICENCE, F.lit(False))
+    terms = metadata.groupBy(F.col(TITLE).alias("known")).agg(F.bool_and(confirmed).alias("confirmed"))
+    documents = exports.select(F.col(f"meta.{TITLE}").alias("title"), F.col(RECORDS).alias("records"))
+    described = documents.join(terms, F.col("title").eqNullSafe(F.col("known")), "left")
+    status = F.when(F.col("records").isNull(), "unavailable").otherwise("available")
+    available = F.col("records").isNotNull() & F.col("confirmed").isNotNull()
+    records = described.select(
+        "title", status.alias("status"), available.alias("metadata_consistent"),
+        (available & F.coalesce("confirmed", F.lit(False))).alias("terms_confirmed"),
+        F.posexplode_outer("records").alias("place", "text"),
+    )
+    return _records(records, "title", "place", "status", "metadata_consistent", "terms_confirmed")
+
+
 def source_terms(spark, export_path, metadata_path):
     """Whether export and metadata agree and the licence is the confirmed one; one row."""
     titles = spark.read.schema(f"meta struct<{TITLE}: string>").json(export_path, multiLine=True)

@@ -1,17 +1,18 @@
-"""Writing feeds and analyses: one folder per table and identity, one marker per commit.
+"""Writing feeds and analyses: tables in a folder of the run, one marker per commit.
 
-Plain files have no transaction over several tables. Typed tables are written to a folder of the
-run, checked there, and become the published ones when the manifest that names the run is written;
-a run that fails leaves what was published before as it was. Warehouse tables are written to the
-folder of their identity, which a retry simply overwrites, and a marker is written last; readers
-accept only identities with a marker. Two identical runs at the same time are not kept apart.
+Plain files have no transaction over several tables. Tables are written to a folder of the run, and
+become the published ones with a small marker that names the run; a run that fails leaves what was
+published before as it was. The marker of an identity is created only where none is: of two runs that
+load or analyse the same at the same time, one publishes and the other finds what that one published.
 """
 
 import json
+import time
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
-from pyspark.sql import Observation
+from pyspark.sql import Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.identity import (
@@ -69,9 +70,9 @@ def write_document(spark, path, document):
 
 
 def read_document(spark, path):
-    """A document written by ``write_document``, or None if there is none yet."""
+    """A document written by ``write_document`` or ``publish_once``, or None if there is none yet."""
     try:
-        rows = spark.read.text(path, wholetext=True).limit(1).collect()
+        rows = spark.read.text(path, wholetext=True).filter("value <> ''").limit(1).collect()
     except AnalysisException as error:
         if "PATH_NOT_FOUND" not in str(error):
             raise
@@ -79,11 +80,72 @@ def read_document(spark, path):
     return json.loads(rows[0].value) if rows else None
 
 
+def _file_system(spark, path):
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
+def publish_once(spark, path, document):
+    """Write a small JSON document unless there is one; of several writers one gets True."""
+    files, target = _file_system(spark, path)
+    text = json.dumps(document, ensure_ascii=False, default=str, sort_keys=True)
+    try:
+        out = files.create(target, False)
+    except Py4JJavaError as error:
+        if "FileAlreadyExists" not in error.java_exception.toString():
+            raise
+        return False
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+    return True
+
+
+def published_document(spark, path, seconds=30):
+    """The document another writer has just created; waits while it is being written."""
+    for _ in range(2 * seconds):
+        document = read_document(spark, path)
+        if document is not None:
+            return document
+        time.sleep(0.5)
+    raise Rejected(f"{path} was begun and never finished: remove it")
+
+
+def replace_document(spark, path, document):
+    """Put a new document in the place of a published one by a rename; readers see either."""
+    jvm = spark._jvm
+    files, target = _file_system(spark, path)
+    fresh = f"{path}.{uuid.uuid4().hex}"
+    publish_once(spark, fresh, document)
+    renames = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+    options = spark.sparkContext._gateway.new_array(renames, 1)
+    options[0] = renames.OVERWRITE
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(files.getUri(), spark._jsc.hadoopConfiguration())
+    context.rename(files.makeQualified(jvm.org.apache.hadoop.fs.Path(fresh)), files.makeQualified(target), options)
+
+
+def discard(spark, paths):
+    """Remove folders this run has written and will not publish."""
+    for name in paths:
+        files, path = _file_system(spark, name)
+        files.delete(path, True)
+
+
 def write_bronze(tables, folder):
     """Write raw text tables; returns the manifest of the tables written."""
     return {name: write_table(frame, f"{folder}/{name}") for name, frame in tables.items()}
 
 
+def manifest_rows(spark, tables):
+    """The manifest of written tables as a relation: counts, columns and hashes taken by the writes."""
+    rows = [
+        (name, table["row_count"], ",".join(f"{column}:{kind}" for column, kind in table["columns"]), table["content_hash"])
+        for name, table in tables.items()
+    ]
+    return spark.createDataFrame(rows, "table_name string, row_count bigint, columns string, content_hash string")
+
+
 def quality_report(raw, frequencies=None, typed=None, present=None, row_counts=None):
     """The bounded report of a feed as one small document.
 
@@ -145,7 +207,7 @@ def silver_gate(raw, folder, source_sha256, frequencies=None, present=None, data
         "capabilities": report["capabilities"],
         "tables": written,
     }
-    write_document(spark, f"{folder}/manifest", manifest)
+    replace_document(spark, f"{folder}/manifest", manifest)
     return manifest
 
 
@@ -153,6 +215,11 @@ def _typed_tables(spark, folder):
     return {name: spark.read.parquet(f"{folder}/{name}") for name in silver.TABLES}
 
 
+def _table_or_none(spark, path):
+    files, target = _file_system(spark, path)
+    return spark.read.parquet(path) if files.exists(target) else None
+
+
 def published(spark, folder):
     """The manifest of a folder's published tables."""
     manifest = read_document(spark, f"{folder}/manifest")
@@ -167,7 +234,10 @@ def read_silver(spark, folder):
 
 
 def verify_table(frame, declared):
-    """Compare a table with its manifest entry; one row with a flag per property."""
+    """Compare a table with its manifest entry; one row with a flag per property, all false without a table."""
+    if frame is None:
+        names = ("schema_matches", "count_matches", "content_matches")
+        return SparkSession.active().range(1).select(*[F.lit(False).alias(name) for name in names])
     schema = [[field.name, field.dataType.simpleString()] for field in frame.schema]
     return content_fingerprint(frame).select(
         F.lit(schema == [list(pair) for pair in declared["columns"]]).alias("schema_matches"),
@@ -183,9 +253,10 @@ def verify_silver(spark, folder):
     warnings = sum(c["findings"] for c in report["checks"] if c["severity"] == "warning")
     if report["status"] != "passed" or warnings != manifest["warning_count"]:
         raise Rejected(f"{folder}: the quality report does not belong to the manifest")
+    run = f"{folder}/{manifest['run']}"
     return silver.union_all(
-        verify_table(frame, manifest["tables"][name]).withColumn("table_name", F.lit(name))
-        for name, frame in read_silver(spark, folder).items()
+        verify_table(_table_or_none(spark, f"{run}/{name}"), declared).withColumn("table_name", F.lit(name))
+        for name, declared in manifest["tables"].items()
     )
 
 
@@ -223,32 +294,37 @@ def load_silver(spark, folder, warehouse):
     marker = f"{warehouse}/meta/datasets/dataset_id={identity}"
     existing = read_document(spark, marker)
     if existing is not None:
-        keys = ("source_sha256", "model_version", "fingerprint", "status")
-        if any(existing[key] != entry[key] for key in keys):
-            raise Rejected("CONFLICT: the dataset is loaded with other content")
-        return "ALREADY_LOADED", existing
+        return _already_loaded(existing, entry)
     tables = read_silver(spark, folder)
-    for name, frame in tables.items():
-        packed = silver.with_extra_fields(name, frame)
-        write_parquet(packed, f"{warehouse}/silver/{name}/dataset_id={identity}")
-    services_catalog(tables["calendar"], tables["calendar_dates"]).write.mode("overwrite").parquet(
-        f"{warehouse}/silver/services/dataset_id={identity}"
-    )
-    write_document(spark, marker, entry)
+    entry["run"] = f"runs/{uuid.uuid4().hex}"
+    paths = [f"{warehouse}/silver/{name}/dataset_id={identity}/{entry['run']}" for name in (*tables, "services")]
+    for path, (name, frame) in zip(paths, tables.items(), strict=False):
+        write_parquet(silver.with_extra_fields(name, frame), path)
+    write_parquet(services_catalog(tables["calendar"], tables["calendar_dates"]), paths[-1])
+    if not publish_once(spark, marker, entry):
+        discard(spark, paths)
+        return _already_loaded(published_document(spark, marker), entry)
     return "LOADED", entry
 
 
+def _already_loaded(existing, entry):
+    if any(existing[key] != entry[key] for key in ("source_sha256", "model_version", "fingerprint", "status")):
+        raise Rejected("CONFLICT: the dataset is loaded with other content")
+    return "ALREADY_LOADED", existing
+
+
 def loaded_feed(spark, warehouse, identity):
-    """The feed of a loaded dataset; only its own partition is read."""
-    if read_document(spark, f"{warehouse}/meta/datasets/dataset_id={identity}") is None:
+    """The feed of a loaded dataset; only its own run is read."""
+    entry = read_document(spark, f"{warehouse}/meta/datasets/dataset_id={identity}")
+    if entry is None:
         raise Rejected("DATASET_NOT_FOUND")
     tables = {
-        name: spark.read.parquet(f"{warehouse}/silver/{name}/dataset_id={identity}")
+        name: spark.read.parquet(f"{warehouse}/silver/{name}/dataset_id={identity}/{entry['run']}")
         for name in silver.TABLES
     }
     geometry = read_document(spark, f"{warehouse}/meta/geometry/dataset_id={identity}")
     if geometry and geometry["status"] == "complete":
-        tables["shapes"] = spark.read.parquet(f"{warehouse}/shapes/dataset_id={identity}")
+        tables["shapes"] = spark.read.parquet(f"{warehouse}/shapes/dataset_id={identity}/{geometry['run']}")
     return Feed(**tables)
 
 
@@ -268,11 +344,13 @@ def gold_tables(spark, folder, name):
     return {o: spark.read.parquet(f"{folder}/{o}/analysis_id={name}") for o in OUTPUTS}
 
 
-def publish_gold(spark, warehouse, identity, start, end, scratch, **limits):
+def publish_gold(spark, warehouse, identity, start, end, scratch, replace=False, **limits):
     """Compute and publish all KPI tables of a loaded dataset over a range.
 
-    ``scratch`` is a shared folder for the departure profile the group tables start from.
-    Returns ANALYZED or ALREADY_ANALYZED with the published marker.
+    ``scratch`` is a shared folder for the departure profile the group tables start from. The tables
+    are written to a folder of the run, and one marker publishes all of them. Returns ANALYZED or
+    ALREADY_ANALYZED with the published marker; with ``replace`` a published analysis is computed
+    anew, and read as it was until the new marker takes the place of the old one.
     """
     dataset = read_document(spark, f"{warehouse}/meta/datasets/dataset_id={identity}")
     if dataset is None:
@@ -284,14 +362,14 @@ def publish_gold(spark, warehouse, identity, start, end, scratch, **limits):
     name = analysis_id(identity, analysis.start, analysis.end)
     marker = f"{warehouse}/meta/analyses/analysis_id={name}"
     existing = read_document(spark, marker)
-    if existing is not None:
-        if existing["input_fingerprint"] != dataset["fingerprint"]:
-            raise Rejected("CONFLICT: the analysis was made from other content")
-        return "ALREADY_ANALYZED", existing
+    if existing is not None and not replace:
+        return _already_analyzed(existing, dataset)
     estimate_guard(feed, analysis.start, analysis.end, **limits)
-    counts = write_gold(analysis.share_profile(f"{scratch}/{name}"), f"{warehouse}/gold", name)
+    run = uuid.uuid4().hex
+    folder = f"{warehouse}/gold/runs/{run}"
+    counts = write_gold(analysis.share_profile(f"{scratch}/{name}-{run}"), folder, name)
     envelope = calendar_envelope(feed.calendar, feed.calendar_dates)
-    coverage = gold_tables(spark, f"{warehouse}/gold", name)["coverage_daily"].withColumns(
+    coverage = gold_tables(spark, folder, name)["coverage_daily"].withColumns(
         {bound: envelope.select(bound).scalar() for bound in ("source_start", "source_end")}
     )
     context = source_context(
@@ -308,20 +386,31 @@ def publish_gold(spark, warehouse, identity, start, end, scratch, **limits):
         "end_date": analysis.end.isoformat(),
         "input_fingerprint": dataset["fingerprint"],
         "status": "complete",
+        "run": run,
         "row_counts": counts,
         "coverage": json.loads(coverage_summary(coverage).first()[0]),
         "source_context": context.first().asDict(),
     }
-    write_document(spark, marker, entry)
+    if replace and existing is not None:
+        replace_document(spark, marker, entry)
+    elif not publish_once(spark, marker, entry):
+        discard(spark, [folder])
+        return _already_analyzed(published_document(spark, marker), dataset)
     return "ANALYZED", entry
 
 
+def _already_analyzed(existing, dataset):
+    if existing["input_fingerprint"] != dataset["fingerprint"]:
+        raise Rejected("CONFLICT: the analysis was made from other content")
+    return "ALREADY_ANALYZED", existing
+
+
 def read_gold(spark, warehouse, name):
     """KPI tables of a published analysis and its marker."""
     entry = read_document(spark, f"{warehouse}/meta/analyses/analysis_id={name}")
     if entry is None:
         raise Rejected("the analysis is not published")
-    return gold_tables(spark, f"{warehouse}/gold", name), entry
+    return gold_tables(spark, f"{warehouse}/gold/runs/{entry['run']}", name), entry
 
 
 def import_geometry(spark, warehouse, identity, source_sha256, path=None):
@@ -332,26 +421,32 @@ def import_geometry(spark, warehouse, identity, source_sha256, path=None):
     marker = f"{warehouse}/meta/geometry/dataset_id={identity}"
     existing = read_document(spark, marker)
     if existing is not None:
-        if existing["source_sha256"] != source_sha256:
-            raise Rejected("CONFLICT: geometry was imported from another snapshot")
-        return "ALREADY_IMPORTED", existing
+        return _already_imported(existing, source_sha256)
+    run = f"runs/{uuid.uuid4().hex}"
+    folder = f"{warehouse}/shapes/dataset_id={identity}/{run}"
     points = 0
     if path is not None:
-        written = write_table(
-            read_shapes(spark, path).withColumn("source_sha256", F.lit(source_sha256)),
-            f"{warehouse}/shapes/dataset_id={identity}",
-        )
+        written = write_table(read_shapes(spark, path).withColumn("source_sha256", F.lit(source_sha256)), folder)
         points = written["row_count"]
     entry = {
         "dataset_id": identity,
         "source_sha256": source_sha256,
         "status": "absent" if path is None else "complete",
+        "run": run,
         "point_count": points,
     }
-    write_document(spark, marker, entry)
+    if not publish_once(spark, marker, entry):
+        discard(spark, [folder])
+        return _already_imported(published_document(spark, marker), source_sha256)
     return "IMPORTED", entry
 
 
+def _already_imported(existing, source_sha256):
+    if existing["source_sha256"] != source_sha256:
+        raise Rejected("CONFLICT: geometry was imported from another snapshot")
+    return "ALREADY_IMPORTED", existing
+
+
 def dataset_metadata(feed, identity, entry=None):
     """Calendar bounds of a dataset with its registry fields; one row."""
     bounds = quality.service_date_range(
