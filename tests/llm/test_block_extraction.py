@@ -1,4 +1,5 @@
 import html
+import random
 import re
 
 import numpy as np
@@ -77,6 +78,66 @@ def test_short_forms_stay_out():
         assert B.main_text(TREE, page).split("\n") == [" ".join(p.split()) for p in ARTICLE]
 
 
+def linked(n, words):
+    return "".join(f"<p><a href=x>{'elsewhere ' * words}{k}</a></p>" for k in range(n))
+
+
+TALK = [f"{'ja ' * (k % 6)}number {k}" for k in range(8)]
+
+
+@pytest.mark.parametrize(("before", "after"), [("", ""), (f"<div>{linked(6, 9)}</div>", ""), (f"<div>{MENU}</div>", f"<div>{linked(6, 12)}</div>")])
+def test_pages_without_any_name(before, after):
+    """Talk in short lines stays, alone and between long blocks; blocks of links go."""
+    for lines in (TALK, [ARTICLE[0], "No.", "Yes, he said.", ARTICLE[1], "Oh."]):
+        page = f"{before}<div>{''.join(f'<p>{x}</p>' for x in lines)}</div>{after}"
+        assert B.main_text(TREE, page).split("\n") == [" ".join(x.split()) for x in lines]
+    assert B.main_text(TREE, f"<div>{linked(6, 9)}</div>") == ""
+
+
+def test_links_inside_a_named_article_stay():
+    page = f"<div>{MENU}</div><article><p>{ARTICLE[0]}</p>{linked(3, 2)}<table><tr><td><a href=x>one</a><td><a href=x>two words</a></table></article>"
+    assert len(B.main_text(TREE, page).split("\n")) == 6
+
+
+def test_nothing_of_a_named_article_goes():
+    chance = random.Random(4)
+    for _ in range(200):
+        parts = []
+        for _ in range(chance.randint(1, 12)):
+            words, links = chance.choice([1, 2, 3, 5, 9, 30]), chance.choice([0, 0, 1])
+            text = " ".join(["w"] * words)
+            parts.append(f"<p><a href=x>{text}</a></p>" if links else f"<p>{text}</p>")
+        for name in ("article", "main"):
+            page = f"<nav>{MENU}</nav><{name}>{''.join(parts)}</{name}><footer><p>{'small ' * 20}</p></footer>"
+            assert B.main_text(TREE, page).count("\n") == len(parts) - 1
+
+
+def test_no_markup_at_the_end():
+    for tail in ("<!-- not closed", "<div class='x", "</div", "<!doctype"):
+        assert B.main_text(TREE, f"<article><p>yes it is</p></article> tail text {tail}").split("\n")[0] == "yes it is"
+        assert "<" not in B.main_text(TREE, f"<article><p>yes it is</p></article> tail text {tail}")
+    assert B.main_text(TREE, "<article>5 < 6") == "5 < 6"
+
+
+def test_tree_uses_density_and_neighbours():
+    def used(tree):
+        return set() if isinstance(tree, bool) else {tree[0]} | used(tree[2]) | used(tree[3])
+
+    found = used(TREE)
+    assert {0, 1, 7} <= found and found & {2, 3, 4, 5}
+
+
+def test_held_out_pages_of_the_table():
+    wrong, blocks, varied = 0, 0, B.varied_table()
+    for k in range(len(B.TABLE)):
+        tree = B.train_tree(B.TABLE[:k] + B.TABLE[k + 1 :] + varied)
+        page, labels = B._outline(B.TABLE[k])
+        said = [B.decide(tree, row) for row in B.block_features(B.blocks(page))]
+        wrong += sum(a != bool(b) for a, b in zip(said, labels, strict=True))
+        blocks += len(labels)
+    assert wrong <= 0.06 * blocks
+
+
 def test_long_and_broken_pages_end():
     for page in ("<" * 200_000, "<a" * 100_000 + ">", "<div>" * 20_000 + "x", "<p>" + "w " * 300_000, "<div class='" * 20_000, "&" * 100_000):
         B.main_text(TREE, page)

@@ -5,11 +5,15 @@ number of words and link density, those of the block before and after it, whethe
 and what the nearest telling element around it says: an article or main part, or a part that pages
 use for navigation, notices, adverts, comments and the like. Names on the body and names that state
 whether the page has a part (``no-sidebar``, ``header-fixed``) don't make such a part, and a name of
-content beside them counts more. A form says nothing itself, since pages may lie in one as a whole; its
-controls are not read. A decision tree grown on the small labelled table below tells content from the rest.
+content beside them counts more. A form says little, since pages may lie in one as a whole; its controls
+are not read. A decision tree grown on the small labelled table below tells content from the rest.
+Most pages of the table have no names at all, so that words, link densities and neighbours decide where
+nothing else does.
 
 Results for unusual input: a null or empty page, or one without any content block, has an empty
-text; unclosed tags, comments and scripts reach to the end of the page.
+text; unclosed tags, comments and scripts reach to the end of the page; very long pages are read whole
+in one pass, repeated rows give repeated results, an empty table no rows, and columns other than page_id,
+url and the page's are not read.
 """
 
 import html
@@ -49,6 +53,8 @@ _TAG = re.compile(
 _NAMES = re.compile(r"(?:^|\s)(?:class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)(?:hidden(?=[\s=/]|$)|aria-hidden\s*=\s*[\"']?true|style\s*=\s*[\"'][^\"']*display\s*:\s*none)", re.I)
 _PART = re.compile(r"[a-z]+")
+IN_FORM = -0.4  # what a form says: less than nothing, as labels lie in forms, more than a part that stays out
+_OPENS = re.compile(r"<(?=[a-zA-Z/!?])")
 
 
 def _says(name, attributes, inside):
@@ -80,7 +86,7 @@ def blocks(page):
     """(text, words, link density, heading, telling element, inside an article) of each block."""
     out, pieces, linked = [], [], 0
     stack = []  # (element, what it says, inside an article)
-    says, inside, heading, link = 0, False, False, False
+    says, inside, heading, link, veiled = 0, False, False, False, False
     at, stop = 0, page.rfind(">") + 1
 
     def add(raw):
@@ -93,7 +99,7 @@ def blocks(page):
     def close():
         nonlocal linked
         words = "".join(pieces).split()
-        if words:
+        if words and not veiled:
             out.append((" ".join(words), len(words), min(1.0, linked / len(words)), heading, says, inside))
         pieces.clear()
         linked = 0
@@ -128,6 +134,7 @@ def blocks(page):
         elif name in BLOCK:
             close()
             link = False
+            veiled = not closing and name not in CONTAINER and bool(attributes and _HIDDEN.search(attributes))
             if name[0] == "h" and name[1:].isdigit():
                 heading = not closing
             elif name == "p" or name == "li":
@@ -136,15 +143,16 @@ def blocks(page):
                 if not closing:
                     stack.append((name, says, inside))
                     said = _says(name, attributes, inside)
-                    says = said or (min(says, 0) if name == "form" else says)
+                    says = said or (min(says, IN_FORM) if name == "form" else says)
                     inside = inside or said == 1
                 elif any(name == opened for opened, _, _ in stack):
                     while True:
                         opened, says, inside = stack.pop()
                         if opened == name:
                             break
-    if at < len(page):
-        add(page[at:])
+    tail = page[at:]
+    unclosed = _OPENS.search(tail)
+    add(tail[: unclosed.start()] if unclosed else tail)
     close()
     return out
 
@@ -152,14 +160,14 @@ def blocks(page):
 def block_features(found):
     """Rows: words, density, words and density before and after, heading, telling element, inside."""
     words = np.array([0, *[b[1] for b in found], 0], dtype=float)
-    density = np.array([1.0, *[b[2] for b in found], 1.0])
+    density = np.array([0.0, *[b[2] for b in found], 0.0])
     return np.column_stack([
         words[1:-1], density[1:-1], words[:-2], density[:-2], words[2:], density[2:],
         [float(b[3]) for b in found], [float(b[4]) for b in found], [float(b[5]) for b in found],
     ])
 
 
-def grow(x, y, depth=6, least=2):
+def grow(x, y, depth=8, least=2):
     """A decision tree by Gini impurity: (feature, limit, low side, high side) or a verdict."""
     if depth == 0 or len(y) < 2 * least or y.min() == y.max():
         return bool(y.mean() > 0.5)
@@ -217,9 +225,71 @@ TABLE = (
     (("article", (("p", 50, 0, 1), ("p", 90, 0, 1))), ("aside", (("p", 55, 0, 0), ("p", 18, 0, 0), ("p", 80, 0, 0))),
      ("", (("p", 70, 0, 1), ("p", 40, 0, 1))), ("footer", (("p", 20, 0, 0),))),
     (("main", (("p", 1, 0, 1), ("p", 1, 0, 1), ("h2", 9, 0, 1), ("p", 1, 0, 1))), ("aside", (("p", 30, 0, 0), ("h2", 4, 0, 0)))),
+    # Pages without names: menus, links to other pages, talk in short lines, lists and small print.
+    (("", (("li", 2, 2, 0),) * 7), ("", (("p", 3, 0, 1), ("p", 5, 0, 1), ("p", 2, 0, 1), ("p", 6, 0, 1), ("p", 4, 0, 1), ("p", 1, 0, 1),
+                                        ("p", 6, 0, 1), ("p", 3, 0, 1))), ("", (("li", 9, 9, 0),) * 6)),
+    (("", (("p", 4, 0, 1), ("p", 2, 0, 1), ("p", 5, 0, 1), ("p", 3, 0, 1), ("p", 6, 0, 1), ("p", 2, 0, 1))),),
+    (("", (("p", _LONG, 0, 1), ("p", 3, 0, 1), ("p", 1, 0, 1), ("p", 5, 0, 1), ("p", 70, 2, 1), ("p", 2, 0, 1), ("p", 40, 0, 1))),
+     ("", (("p", 12, 12, 0), ("p", 10, 10, 0), ("p", 8, 8, 0), ("p", 14, 14, 0), ("p", 9, 8, 0), ("p", 11, 11, 0)))),
+    (("", (("li", 1, 1, 0), ("li", 3, 3, 0), ("li", 2, 2, 0), ("li", 5, 5, 0))), ("", (("h1", 7, 0, 1), ("p", 30, 0, 1), ("p", 55, 6, 1),
+      ("li", 4, 0, 1), ("li", 6, 0, 1), ("li", 3, 0, 1), ("p", 22, 3, 1))), ("", (("p", 3, 1, 0), ("p", 2, 2, 0), ("p", 1, 1, 0)))),
+    (("", (("p", 6, 6, 0), ("p", 2, 0, 0), ("p", 5, 5, 0), ("p", 1, 0, 0), ("p", 3, 3, 0))),
+     ("", (("p", 80, 1, 1), ("p", 4, 0, 1), ("p", 75, 0, 1), ("p", 18, 2, 1))),
+     ("", (("p", 4, 4, 0), ("p", 2, 0, 0), ("p", 6, 6, 0), ("p", 3, 0, 0), ("p", 5, 5, 0)))),
+    (("", (("p", 20, 18, 0), ("p", 16, 12, 0), ("p", 25, 24, 0))), ("", (("h2", 5, 0, 1), ("p", 33, 8, 1), ("p", 48, 10, 1), ("p", 9, 2, 1),
+      ("p", 60, 0, 1))), ("", (("li", 7, 7, 0), ("li", 12, 11, 0), ("li", 8, 8, 0), ("li", 10, 10, 0)))),
+    (("", (("h1", 9, 0, 1), ("p", 5, 0, 1), ("p", 4, 0, 1), ("h2", 2, 0, 1), ("p", 6, 0, 1), ("p", 3, 0, 1))),
+     ("", (("p", 5, 3, 0), ("p", 3, 2, 0), ("p", 1, 0, 0), ("p", 4, 3, 0)))),
+    (("", (("li", 4, 4, 0),) * 3), ("", (("p", 7, 0, 1), ("p", 12, 0, 1), ("p", 26, 5, 1), ("p", 3, 0, 1), ("p", 44, 0, 1))),
+     ("", (("p", 8, 8, 0), ("p", 2, 0, 0), ("p", 9, 9, 0)))),
+    (("", (("li", 3, 3, 0), ("li", 9, 9, 0))), ("", (("p", 2, 0, 1), ("p", 3, 0, 1), ("p", 1, 0, 1), ("p", 6, 0, 1), ("p", 2, 0, 1))),
+     ("", (("li", 12, 12, 0), ("li", 2, 2, 0)))),
+    (("", (("li", 2, 2, 0),) * 3), ("", (("p", 1, 0, 1), ("p", 2, 0, 1), ("p", 4, 0, 1))), ("", (("li", 7, 7, 0),) * 3)),
+    (("", (("li", 10, 10, 0),) * 3), ("", (("p", 4, 0, 1), ("p", 1, 0, 1), ("p", 3, 0, 1))), ("", (("li", 1, 1, 0),) * 3)),
+    (("", (("li", 4, 4, 0), ("p", 3, 0, 0), ("li", 5, 5, 0), ("p", 1, 0, 0), ("li", 6, 6, 0))), ("", (("p", 3, 0, 1), ("p", 5, 0, 1)))),
+    # Forms: their labels, and pages that lie in one.
+    (("article", (("p", _LONG, 0, 1), ("p", 40, 0, 1))), ("form", (("p", 2, 0, 0), ("p", 1, 0, 0), ("p", 3, 0, 0), ("p", 6, 0, 0)))),
+    (("", (("p", 50, 0, 1), ("p", 4, 0, 1))), ("form", (("p", 5, 0, 0), ("p", 2, 0, 0), ("p", 2, 0, 0)))),
+    (("form", (("li", 2, 2, 0), ("li", 3, 3, 0), ("li", 2, 2, 0), ("p", _LONG, 0, 1), ("p", 45, 2, 1), ("p", 70, 0, 1), ("p", 14, 0, 1),
+               ("p", 28, 0, 1), ("li", 8, 8, 0), ("li", 9, 9, 0))),),
+    # Links inside a named article belong to it.
+    (("", (("li", 2, 2, 0),) * 4), ("article", (("h1", 8, 0, 1), ("p", _LONG, 0, 1), ("li", 3, 3, 1), ("li", 4, 4, 1), ("li", 1, 1, 1),
+      ("li", 9, 9, 1), ("p", 1, 0, 1), ("li", 9, 9, 1), ("p", 3, 0, 1), ("li", 4, 4, 1), ("p", 2, 0, 1), ("p", 30, 0, 1), ("p", 12, 12, 1), ("p", 2, 2, 1), ("p", 14, 14, 1), ("p", 6, 5, 1)))),
+    (("main", (("h1", 3, 3, 1), ("p", 1, 0, 1), ("p", 45, 2, 1), ("td", 5, 5, 1), ("td", 1, 1, 1), ("td", 6, 6, 1), ("td", 1, 0, 1), ("td", 2, 2, 1), ("td", 2, 0, 1), ("td", 4, 4, 1), ("p", 20, 20, 1))),
+     ("", (("li", 6, 6, 0), ("li", 3, 3, 0), ("li", 10, 10, 0)))),
 )
 
 
+# Bodies that pages of the rule below have: long paragraphs, talk, short lines between long ones, lists.
+BODIES = (
+    (("h1", 8, 0, 1), ("p", 60, 0, 1), ("p", 25, 2, 1), ("p", 40, 0, 1)),
+    (("p", 1, 0, 1), ("p", 5, 0, 1), ("p", 2, 0, 1), ("p", 6, 0, 1), ("p", 3, 0, 1)),
+    (("p", 4, 0, 1), ("p", 1, 0, 1), ("p", 7, 0, 1), ("p", 2, 0, 1)),
+    (("p", 50, 0, 1), ("p", 1, 0, 1), ("p", 3, 0, 1), ("p", 70, 8, 1), ("p", 2, 0, 1)),
+    (("h2", 2, 0, 1), ("li", 9, 0, 1), ("li", 12, 2, 1), ("li", 4, 0, 1), ("p", 30, 5, 1)),
+)
+
+
+def varied_table():
+    """Outlines by rule: every body between menus and lists of links of several sizes, without names and with."""
+    pages = []
+    for lead in (1, 2, 4, 9, 14):
+        menu = (("li", lead, lead, 0),) * 4
+        for tail in (1, 3, 6, 12):
+            links = (("li", tail, tail, 0),) * 4
+            pages += [(("", menu), ("", body), ("", links)) for body in BODIES]
+        for small in (1, 2, 3):  # words between links, as in trails and small print
+            between = (("li", lead, lead, 0), ("p", small, 0, 0)) * 3 + (("li", lead, lead, 0),)
+            pages.append((("", between), ("", BODIES[small])))
+        for body in (*BODIES, BODIES[1][:1], BODIES[3][1:3], BODIES[2][:2]):
+            mixed = tuple(block for row in body for block in (row, ("p", lead, lead, 1)))
+            pages.append((("nav", menu), ("article", mixed), ("footer", (("p", 12, 0, 0), ("p", lead, lead, 0)))))
+            pages.append((("", menu), ("main", mixed[1:]), ("aside", menu)))
+            pages += [(("", menu), (name, rows)) for name, rows in (("", body), ("article", body), ("article", mixed))]
+            pages += [((name, rows),) for name, rows in (("", body), ("article", body), ("article", mixed))]
+    return tuple(pages)
+
+
 def _outline(page):
     """The page of an outline and the labels of its blocks."""
     parts, labels = [], []
@@ -235,7 +305,8 @@ def _outline(page):
     return "".join(parts), labels
 
 
-def train_tree(table=TABLE):
+def train_tree(table=None):
+    table = TABLE + varied_table() if table is None else table
     features, labels = [], []
     for page in table:
         text, verdicts = _outline(page)
