@@ -25,6 +25,19 @@ def test_ids_equal_the_other_library(other):
         assert encode(text).tolist() == other.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("run", [" ", "\n", "\t", " \n", "\u3000"])
+def test_long_white_space(other, run):
+    """Two million characters of white space between words, which the fast encoder can't take."""
+    text = "one" + run * (2_000_000 // len(run)) + "two <|endoftext|> three"
+    assert encode(text).tolist() == other.encode(text, add_special_tokens=False).ids
+
+
+def test_rows_with_long_white_space(spark):
+    rows = [(1, " " * 1_000_000), (2, "a b"), (3, "x" + "\n" * 700_000 + "<|endoftext|>y")]
+    found = ordered_packing.pack(documents(spark, rows)).collect()
+    assert {p.doc_id: p.doc_tokens for p in found} == {i: len(encode_marked(t)) + 1 for i, t in rows}
+
+
 MARKED = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>\n y.<|endoftext|>", "<|endoftext |> no", "<|endoftext|>tail  "]
 
 

@@ -7,12 +7,19 @@ each worker process.
 """
 
 import base64
+import re
 from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 MARK = "<|endoftext|>"
+VOCABULARY_JSON = "byte_bpe_50k.json"
+# The fast encoder's pattern takes a run of white space at one go and overflows its stack at half a million
+# characters or more; texts with runs from this length on are encoded with the other form.
+LONG_RUN = 100_000
+_LONG_RUN = re.compile(r"\s{%d}" % LONG_RUN)
 
 
 @lru_cache(maxsize=2)
@@ -31,9 +38,23 @@ def _encoder(path):
     return encoder, ends
 
 
+@lru_cache(maxsize=2)
+def _slow_encoder(path):
+    import public_tokenizers
+    import tokenizers
+
+    name = public_tokenizers.path(VOCABULARY_JSON) if path is None else Path(path).with_suffix(".json")
+    encoder = tokenizers.Tokenizer.from_file(str(name))
+    encoder.encode_special_tokens = True  # marks are ordinary text here too
+    return encoder
+
+
 def encode(text, path=None):
     """Ids of a text; the marks of special tokens are ordinary text."""
-    return np.array(_encoder(path)[0].encode_ordinary(text or ""), dtype=np.uint32)
+    text = text or ""
+    if len(text) >= LONG_RUN and _LONG_RUN.search(text):
+        return np.array(_slow_encoder(path).encode(text, add_special_tokens=False).ids, dtype=np.uint32)
+    return np.array(_encoder(path)[0].encode_ordinary(text), dtype=np.uint32)
 
 
 def encode_marked(text, path=None):
