@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -64,3 +66,37 @@ def test_labels(spark):
     assert X.labelled(docs, labels, every, label_rows=1).count() <= 1
     none = X.learn(X.labelled(docs, labels.filter("toxic = 0"), every))
     assert {r.score for r in X.score(docs, none).collect()} == {0.0}
+
+
+def naive_hits(folded, weights, exceptions):
+    """Hits by trying every entry at the beginning of every word."""
+    words = [m for m in X._WORD.finditer(folded)]
+    out = []
+    for k, m in enumerate(words):
+        fitting = [w for e, w in weights.items() if m[0].startswith(e)]
+        before = words[k - 1][0] if k else ""
+        after = words[k + 1][0] if k + 1 < len(words) else ""
+        if fitting and (before, m[0]) not in exceptions and (m[0], after) not in exceptions:
+            out.append((max(fitting), before, m[0], after))
+    return out
+
+
+def test_hits_equal_a_naive_search():
+    """Words far from each other included: neighbours are found over any gap."""
+    chance = random.Random(6)
+    words = ["tra", "trash", "trashy", "can", "clean", "ug", "ugly", "ugliest", "x" * 90, "e", "été"]
+    weights = {"tra": 1.0, "trash": 2.5, "ug": 0.5, "ugli": 3.0, "x" * 10: 1.5}
+    exceptions = frozenset({("trash", "can"), ("clean", "ugly"), ("x" * 90, "e"), ("can", "x" * 90)})
+    matcher = X.Matcher(weights, exceptions)
+    for _ in range(60):
+        text = "".join(chance.choice(words) + chance.choice([" ", ", ", "-", " " * 300, "\n" * 70, "7"]) for _ in range(chance.randint(0, 25)))
+        folded = X.fold(text)
+        assert matcher.hits(folded) == naive_hits(folded, weights, exceptions)
+
+
+def test_white_space_changes_no_score(lexicon):
+    matcher = X.Matcher(lexicon.weights, lexicon.exceptions)
+    for text in ("you are a idiot and a loser here", "nothing of that kind", "", " "):
+        plain = X.score_text(matcher, lexicon.curve, text)
+        assert X.score_text(matcher, lexicon.curve, text.replace(" ", " " * 200)) == plain
+        assert X.score_text(matcher, lexicon.curve, text.replace(" ", "\n\t ")) == plain

@@ -6,7 +6,7 @@ labelled rows: the evidence for a beginning is the number of different words bef
 texts, so that copies of one toxic text count once, against the number of clean texts with it. One
 automaton finds all entries in a text; a hit counts only at the beginning of a word, and not as
 part of an exception phrase, which is a pair of neighbouring words that clean texts use around an
-entry. The sum of the weights, plain and per word of the text, goes through a logistic curve fitted
+entry (at most ``MAX_ENTRIES`` of them, as of the entries; words count by their first ``LONGEST`` letters). The sum of the weights, plain and per word of the text, goes through a logistic curve fitted
 on the same rows.
 
 Only texts, and for learning the labels, are looked at. Learning takes at most ``label_rows``
@@ -14,7 +14,9 @@ labelled rows, the first in the order of a hash of their id; scoring takes every
 
 Results for unusual input: null or empty texts get the score of a text without hits; a null id
 counts as the empty text when folds are drawn; labels without a verdict are left out, and of several
-labels of a document the toxic one holds; without any toxic label every score is 0.
+labels of a document the toxic one holds; without any toxic label every score is 0. Very long texts are
+folded and scored whole; repeated rows are scored each and learned from each; an empty table gives no
+rows, and columns other than the id and the text are not read.
 """
 
 import math
@@ -100,15 +102,25 @@ class Matcher:
 
 
 def _last_word(text, end, reach=64):
-    words = _WORD.findall(text, max(0, end - reach), end)
-    return words[-1] if words else ""
+    """The word before a place, however far away."""
+    while True:
+        start = max(0, end - reach)
+        words = [m for m in _WORD.finditer(text, start, end)][-1:]
+        if words and (words[0].start() > start or not start) or not start:
+            return words[0][0] if words else ""
+        reach *= 4
 
 
-def _next_word(text, at, reach=64):
-    found = _WORD.search(text, at, at + reach)
+def _next_word(text, at):
+    found = _WORD.search(text, at)
     return found[0] if found else ""
 
 
+def count_words(folded):
+    """Runs of anything but white space, so that more of it between words changes nothing."""
+    return len(folded.split())
+
+
 def features(hits, n_words):
     total = sum(hit[0] for hit in hits)
     return math.log1p(total), math.log1p(100.0 * total / max(n_words, 1))
@@ -117,7 +129,7 @@ def features(hits, n_words):
 def score_text(matcher, curve, text):
     folded = fold(text)
     hits = matcher.hits(folded)
-    x, y = features(hits, folded.count(" ") + folded.count("\n") + 1)
+    x, y = features(hits, count_words(folded))
     z = curve[0] + curve[1] * x + curve[2] * y
     return 1.0 / (1.0 + math.exp(-z)) if z > -700 else 0.0
 
@@ -224,7 +236,7 @@ def learn(rows):
             for number, (text, toxic) in enumerate(zip(batch.column(0), batch.column(1).to_pylist(), strict=True)):
                 folded = fold(text.as_py())
                 hits = [{"weight": h[0], "pairs": [f"{h[1]} {h[2]}", f"{h[2]} {h[3]}"]} for h in matcher.hits(folded)]
-                out.append((toxic, folded.count(" ") + folded.count("\n") + 1, hits))
+                out.append((toxic, count_words(folded), hits))
             if out:
                 yield pa.RecordBatch.from_pylist(
                     [{"toxic": t, "n_words": n, "hits": h} for t, n, h in out],
@@ -250,7 +262,7 @@ def learn(rows):
         lambda a, h: a + F.when(F.arrays_overlap(h["pairs"], listed), 0.0).otherwise(h["weight"]),
     )
     points = found.select(
-        F.log1p(total).alias("x"), F.log1p(100.0 * total / F.col("n_words")).alias("y"), F.col("toxic").cast("int").alias("t")
+        F.log1p(total).alias("x"), F.log1p(100.0 * total / F.greatest("n_words", F.lit(1))).alias("y"), F.col("toxic").cast("int").alias("t")
     ).groupBy("x", "y", "t").count().toPandas()
     repeat = points["count"].to_numpy()
     x = np.repeat(points[["x", "y"]].to_numpy(), repeat, axis=0)
