@@ -12,8 +12,10 @@ left to one of them.
 
 Ranks are given to the ``ranked`` most frequent words and phrases of each size, which bounds what is
 sent to tasks. All others that are frequent enough are known to tasks by a bitmap of fixed size; what
-holds one of them is counted as text, with a shuffle by phrase. A bitmap may let rare phrases through;
-they are counted exactly as well and dropped then. So counts are exact whatever the bounds are.
+holds one of them is counted as text, in lists by a hash of the phrase that travel and are merged like
+tiles; there are more lists the more tasks there are, so one of them stays small. A bitmap may let rare
+phrases through; they are counted exactly as well and dropped then. So counts are exact whatever the
+bounds are.
 
 Results for unusual input: a null text is empty and gives nothing; a null language is ``und``; repeated
 rows count each time; long texts are read in slices, with the last words of a slice carried on; ties in
@@ -32,7 +34,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .shingles import chunks, mix
-from .storage import cut, stored, text_of
+from .storage import cut, text_of
 
 MAX_WORDS = 3
 LEAST = 10
@@ -49,6 +51,7 @@ FLUSH_PAIRS = 1 << 22
 FLUSH_TEXTS = 300_000
 SLICE_BYTES = 1 << 22
 ONE_ROUND = 64
+LISTS_A_TASK = 8
 
 BREAK = b"\xff"  # no byte of a text
 _PLAIN = bytes(
@@ -256,15 +259,29 @@ _BLOBS = "lang string, tile long, part int, cells binary, counts binary"
 
 
 def _blob_rows(blobs):
+    """Blobs (lang, tile, part, cells, counts) as rows; the cells of a list, whose tile is negative, are phrases."""
     lang, tile, part, cells, counts = zip(*blobs, strict=True) if blobs else ((),) * 5
-    deltas = [np.diff(c, prepend=0).astype("<u4").tobytes() for c in cells]
+    packed = [
+        BREAK.join(c) if t < 0 else np.diff(c, prepend=0).astype("<u4").tobytes() for t, c in zip(tile, cells, strict=True)
+    ]
     return pa.RecordBatch.from_arrays(
-        [pa.array(lang, pa.string()), pa.array(tile, pa.int64()), pa.array(part, pa.int32()), pa.array(deltas, pa.binary()),
-         pa.array([c.astype("<i8").tobytes() for c in counts], pa.binary())],
+        [pa.array(lang, pa.string()), pa.array(tile, pa.int64()), pa.array(part, pa.int32()), pa.array(packed, pa.binary()),
+         pa.array([np.asarray(c).astype("<i8").tobytes() for c in counts], pa.binary())],
         names=["lang", "tile", "part", "cells", "counts"],
     )
 
 
+def _lists(counter, n_lists):
+    """(tile, phrases, counts) of a Counter of phrases, by a hash of the phrase."""
+    parts = {}
+    for phrase, n in counter.items():
+        phrases, counts = parts.setdefault(crc32(phrase) % n_lists, ([], []))
+        phrases.append(phrase)
+        counts.append(n)
+    for number, (phrases, counts) in parts.items():
+        yield -1 - number, phrases, counts
+
+
 def tiles(left, last, dense=DENSE):
     """(tile, cells, counts) of pairs of ranks: dense tiles by bincount, the others by sorting."""
     side = (1 << SIDE_BITS) - 1
@@ -315,6 +332,17 @@ class Merge:
         return cells, counts
 
 
+class MergeLists(Counter):
+    """The sum of lists of phrases."""
+
+    def add(self, phrases, counts):
+        for phrase, n in zip(phrases, counts.tolist(), strict=True):
+            self[phrase] += n
+
+    def settle(self):
+        return list(self), np.array(list(self.values()), dtype=np.int64)
+
+
 def _merged(batches):
     """(lang, tile, part, cells, counts) of rows that come sorted, one per tile and part."""
     key, merge = None, None
@@ -324,8 +352,11 @@ def _merged(batches):
             if found != key:
                 if key is not None:
                     yield (*key, *merge.settle())
-                key, merge = found, Merge()
-            cells = np.cumsum(np.frombuffer(batch.column(3)[number].as_buffer(), "<u4"), dtype=np.int64)
+                key, merge = found, MergeLists() if found[1] < 0 else Merge()
+            if found[1] < 0:
+                cells = batch.column(3)[number].as_py().split(BREAK)
+            else:
+                cells = np.cumsum(np.frombuffer(batch.column(3)[number].as_buffer(), "<u4"), dtype=np.int64)
             merge.add(cells, np.frombuffer(batch.column(4)[number].as_buffer(), "<i8"))
     if key is not None:
         yield (*key, *merge.settle())
@@ -351,6 +382,8 @@ def count_longer(texts, levels, least=LEAST, slice_bytes=SLICE_BYTES, flush_pair
     spark = texts.sparkSession
     size = len(levels) + 1
     sent = spark.sparkContext.broadcast(levels)
+    n_parts = texts.rdd.getNumPartitions()
+    n_lists = LISTS_A_TASK * n_parts
 
     def count(batches):
         from pyspark import TaskContext
@@ -363,8 +396,11 @@ def count_longer(texts, levels, least=LEAST, slice_bytes=SLICE_BYTES, flush_pair
             made = []
             for lang, (left, last) in pairs.items():
                 made += [(lang, t, part, cells, counts) for t, cells, counts in tiles(np.concatenate(left), np.concatenate(last))]
+            for lang, counter in others.items():
+                made += [(lang, t, part, phrases, counts) for t, phrases, counts in _lists(counter, n_lists)]
             pairs.clear()
-            return _with_kind(_blob_rows(made), None)
+            others.clear()
+            return _blob_rows(made)
 
         for batch in batches:
             for lang, texts_ in _by_language(batch):
@@ -377,17 +413,12 @@ def count_longer(texts, levels, least=LEAST, slice_bytes=SLICE_BYTES, flush_pair
                     waiting += int(addressed.sum())
                     rest = np.flatnonzero(wanted & ~addressed).tolist()
                     others.setdefault(lang, Counter()).update(b" ".join(tokens[k : k + size]) for k in rest)
-                    if waiting > flush_pairs:
+                    if waiting > flush_pairs or sum(map(len, others.values())) > FLUSH_TEXTS:
                         yield blobs()
                         waiting = 0
-                    if sum(map(len, others.values())) > FLUSH_TEXTS:
-                        yield _with_kind(None, _text_rows(others))
         yield blobs()
-        yield _with_kind(None, _text_rows(others))
 
-    counted = stored(texts.mapInArrow(count, f"{_BLOBS}, phrase string, f long"))
-    blobs = counted.filter("phrase IS NULL").drop("phrase", "f")
-    n_parts = texts.rdd.getNumPartitions()
+    blobs = texts.mapInArrow(count, _BLOBS)
     if n_parts > ONE_ROUND:
         blobs = blobs.withColumn("part", F.col("part") % isqrt(n_parts))
         blobs = _together(blobs, "lang", "tile", "part").mapInArrow(_merge_blobs, _BLOBS)
@@ -396,36 +427,24 @@ def count_longer(texts, levels, least=LEAST, slice_bytes=SLICE_BYTES, flush_pair
     def frequent(batches):
         names = Names(sent.value)
         for lang, tile, _, cells, counts in _merged(batches):
-            kept = counts >= least
-            cells, counts = cells[kept], counts[kept]
-            left = ((tile >> 32) << SIDE_BITS) + (cells >> SIDE_BITS)
-            last = ((tile & 0xFFFFFFFF) << SIDE_BITS) + (cells & ((1 << SIDE_BITS) - 1))
-            if len(cells):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang] * len(cells), pa.string()),
-                     pa.array([names.phrase(lang, size, a, b) for a, b in zip(left.tolist(), last.tolist(), strict=True)],
-                              pa.binary()).cast(pa.string()),
-                     pa.array(counts, pa.int64()), pa.array(left << 32 | last, pa.int64())],
-                    names=["lang", "phrase", "f", "key"],
-                )
-
-    addressed = blobs.mapInArrow(frequent, "lang string, phrase string, f long, key long")
-    spelled = (
-        counted.filter("phrase IS NOT NULL").groupBy("lang", "phrase").agg(F.sum("f").alias("f")).filter(F.col("f") >= least)
-        .withColumn("key", F.lit(None).cast("long"))
-    )
-    return cut(addressed.unionByName(spelled))
-
-
-def _with_kind(blobs, spelled):
-    """Rows of both kinds in one schema: blobs of tiles, or phrases as text."""
-    n = (blobs if spelled is None else spelled).num_rows
-    none = {"lang": pa.string(), "tile": pa.int64(), "part": pa.int32(), "cells": pa.binary(), "counts": pa.binary(),
-            "phrase": pa.string(), "f": pa.int64()}
-    rows = blobs if spelled is None else spelled
-    return pa.RecordBatch.from_arrays(
-        [rows.column(name) if name in rows.schema.names else pa.nulls(n, kind) for name, kind in none.items()], names=list(none)
-    )
+            kept = np.flatnonzero(counts >= least)
+            if not len(kept):
+                continue
+            counts = counts[kept]
+            if tile < 0:
+                phrases, keys = [cells[k] for k in kept.tolist()], pa.nulls(len(kept), pa.int64())
+            else:
+                left = ((tile >> 32) << SIDE_BITS) + (cells[kept] >> SIDE_BITS)
+                last = ((tile & 0xFFFFFFFF) << SIDE_BITS) + (cells[kept] & ((1 << SIDE_BITS) - 1))
+                phrases = [names.phrase(lang, size, a, b) for a, b in zip(left.tolist(), last.tolist(), strict=True)]
+                keys = pa.array(left << 32 | last, pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([lang] * len(kept), pa.string()), pa.array(phrases, pa.binary()).cast(pa.string()),
+                 pa.array(counts, pa.int64()), keys],
+                names=["lang", "phrase", "f", "key"],
+            )
+
+    return cut(blobs.mapInArrow(frequent, "lang string, phrase string, f long, key long"))
 
 
 class Names:
