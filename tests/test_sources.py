@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tests.fixtures import as_raw, lake_tables
 from tramline.functions import identity
 from tramline.operators import positions
+from tramline.plans.analysis import Analysis
 from tramline.sources import feed_csv, positions_json, warehouse
 from tramline.operators.silver import RECORD
 
@@ -27,7 +28,7 @@ def test_csv_values_stay_text(spark, tmp_path):
         tmp_path / "stops.txt",
         '﻿stop_id,stop_name,note\r\n0001,"Łódź, ""N""",NA\r\n,,\r\nNULL, x ,\r\n',
     )
-    rows = feed_csv.read_feed_csv(spark, path, "stops").collect()
+    rows = feed_csv.read_feed_csv(spark, path, "stops").orderBy(RECORD).collect()
     assert [tuple(r) for r in rows] == [
         ("0001", 'Łódź, "N"', "NA", 1), ("NULL", " x ", "", 3),
     ]
@@ -97,13 +98,34 @@ def test_csv_folder_is_numbered_by_file(spark, tmp_path):
 
 
 def test_csv_long_file_is_read_in_splits(spark, tmp_path):
-    text = "trip_id,note\n" + "".join(f'T{i},{"5"}" pipe\n' if i % 7 else f'T{i},"a\nb"\n' for i in range(1, 3001))
-    path = write(tmp_path / "b.txt", text)
-    with splits_of(spark, 2000):
-        frame = feed_csv.read_feed_csv(spark, path, "trips")
-        assert feed_csv.read_lines(spark, path).rdd.getNumPartitions() > 10
-        assert frame.count() == 3000
-        assert frame.filter(F.concat(F.lit("T"), F.col(RECORD)) != F.col("trip_id")).isEmpty()
+    """One without line breaks in its fields as lines, in splits; one with some whole, and right all the same."""
+    for name, quoted in (("split", "a b"), ("whole", "a\nb")):
+        text = "trip_id,note\n" + "".join(f'T{i},5" pipe\n' if i % 7 else f'T{i},"{quoted}"\n' for i in range(1, 3001))
+        path = write(tmp_path / f"{name}.txt", text)
+        with splits_of(spark, 2000):
+            frame = feed_csv.read_feed_csv(spark, path, "trips")
+            assert feed_csv.read_lines(spark, path).rdd.getNumPartitions() > 10
+            assert frame.count() == 3000
+            assert frame.filter(F.concat(F.lit("T"), F.col(RECORD)) != F.col("trip_id")).isEmpty()
+            assert frame.filter(F.col("note") == quoted).count() == 3000 // 7
+
+
+def test_csv_folder_of_both_kinds(spark, tmp_path):
+    """Only the file with a line break is read whole; numbers go on from file to file."""
+    write(tmp_path / "a.csv", 't,n\nA1,x\n\nA2,y\n')
+    write(tmp_path / "b.csv", 't,n\nB1,"two\nlines"\n" ",\n\nB2,z\n')
+    write(tmp_path / "c.csv", "t,n\nC1,\n")
+    rows = feed_csv.read_feed_csv(spark, str(tmp_path), "trips").collect()
+    assert sorted((r[RECORD], r.t, r.n) for r in rows) == [
+        (1, "A1", "x"), (3, "A2", "y"), (4, "B1", "two\nlines"), (7, "B2", "z"), (8, "C1", ""),
+    ]
+
+
+def test_large_files_with_line_breaks_are_refused(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(feed_csv, "WHOLE_BYTES", 10)
+    with pytest.raises(feed_csv.FeedError, match="bytes"):
+        feed_csv.read_feed_csv(spark, write(tmp_path / "a.txt", 'a,b\n1,"x\ny"\n'), "stops")
+    assert feed_csv.read_feed_csv(spark, write(tmp_path / "b.txt", 'a,b\n1,"x,y"\n'), "stops").count() == 1
 
 
 @pytest.mark.parametrize("text", [
@@ -139,17 +161,47 @@ def feed_files(tmp_path, leave=()):
     return paths
 
 
+def issues_of(spark, folder):
+    return {(r.code, r.file, r.detail) for r in feed_csv.feed_structure_check(spark, str(folder)).collect()}
+
+
 def test_structure(spark, tmp_path):
-    paths = feed_files(tmp_path, leave=("agency", "calendar"))
-    paths["calendar_dates"] = write(tmp_path / "cd.txt", "service_id,date,exception_type\n,,\n")
-    paths["routes"] = write(tmp_path / "r.txt", "route_id\nA\n")
-    found = {(r.code, r.file, r.detail) for r in feed_csv.feed_structure_check(spark, paths).collect()}
-    assert found == {
+    folder = tmp_path / "feed"
+    folder.mkdir()
+    feed_files(folder, leave=("agency", "calendar"))
+    write(folder / "calendar_dates.txt", "service_id,date,exception_type\n,,\n")
+    write(folder / "routes.txt", "route_id\nA\n")
+    write(folder / "notes.txt", "a,a\n")
+    assert issues_of(spark, folder) == {
         ("missing_file", "agency", ""), ("empty_calendar", None, ""),
         ("missing_columns", "routes", "route_type"), ("missing_route_name", "routes", ""),
     }
 
 
+def test_structure_of_odd_files(spark, tmp_path):
+    feed_files(tmp_path, leave=("calendar", "calendar_dates", "trips"))
+    write(tmp_path / "agency.txt", "")
+    write(tmp_path / "stops.txt", '\ufeffstop_id,"stop_name","stop_lat",stop_lon,stop_id," "\r\n,,\r\n"","",  ,\r\n')
+    (tmp_path / "trips.txt").mkdir()
+    write(tmp_path / "trips.txt" / "part-0.csv", "route_id,service_id,trip_id\n")
+    write(tmp_path / "trips.txt" / "part-1.csv", "route_id,service_id,trip_id\nR,S,T\n")
+    assert issues_of(spark, tmp_path) == {
+        ("missing_columns", "agency", "agency_name,agency_timezone,agency_url"), ("empty_table", "agency", ""),
+        ("duplicate_column", "stops", ""), ("empty_column", "stops", ""), ("empty_table", "stops", ""),
+        ("missing_calendar", None, ""),
+    }
+
+
+def test_absent_calendar_is_a_typed_table_without_rows(spark, tmp_path):
+    raw, present = feed_csv.read_feed(spark, feed_files(tmp_path, leave=("calendar",)))
+    rows = {r.table_name: r for r in feed_csv.tables_present(raw, present).collect()}
+    assert [(t, r.source_present) for t, r in rows.items() if r.normalized_empty] == [("calendar", False)]
+    assert rows["calendar"].row_count == 0 and "monday:bigint" in rows["calendar"].absent_columns
+    assert "start_date:date" in rows["calendar"].absent_columns and rows["trips"].row_count == 6
+    with pytest.raises(feed_csv.FeedError):
+        feed_csv.tables_present(raw, {**present, "trips": False})
+
+
 def test_feed_to_published_kpis(spark, tmp_path):
     """CSV files to typed tables, warehouse and KPI tables, each step once and again."""
     raw, present = feed_csv.read_feed(spark, feed_files(tmp_path))
@@ -320,3 +372,134 @@ def test_changed_tables_are_noticed(spark, tmp_path):
     assert not flags["stops"].content_matches and flags["stops"].count_matches and flags["trips"].content_matches
     with pytest.raises(warehouse.Rejected):
         warehouse.load_silver(spark, folder, str(tmp_path / "w"))
+
+
+def prepared(spark, tmp_path, name="s", source="ab", tables=None):
+    folder = str(tmp_path / name)
+    manifest = warehouse.silver_gate(as_raw(spark, tables or lake_tables()), folder, source * 32)
+    return folder, manifest["dataset_id"]
+
+
+def test_of_two_loads_at_once_one_publishes(spark, tmp_path, monkeypatch):
+    """The second load runs whole between the tables and the marker of the first."""
+    folder, name = prepared(spark, tmp_path)
+    store, states = str(tmp_path / "w"), []
+    publish = warehouse.publish_once
+
+    def interrupted(session, path, document):
+        monkeypatch.setattr(warehouse, "publish_once", publish)
+        states.append(warehouse.load_silver(session, folder, store))
+        return publish(session, path, document)
+
+    monkeypatch.setattr(warehouse, "publish_once", interrupted)
+    states.append(warehouse.load_silver(spark, folder, store))
+    assert [state for state, _ in states] == ["LOADED", "ALREADY_LOADED"]
+    assert states[0][1]["run"] == states[1][1]["run"]
+    assert warehouse.loaded_feed(spark, store, name).stop_times.count() == 15
+    runs = list((tmp_path / "w" / "silver" / "trips" / f"dataset_id={name}" / "runs").iterdir())
+    assert [run.name for run in runs] == [states[0][1]["run"].removeprefix("runs/")]
+
+
+def test_a_load_that_meets_other_content_is_a_conflict(spark, tmp_path, monkeypatch):
+    folder, _ = prepared(spark, tmp_path)
+    other_tables = lake_tables()
+    other_tables["trips"] = (other_tables["trips"][0], [(*r[:4], "Changed") for r in other_tables["trips"][1]])
+    other, _ = prepared(spark, tmp_path, "other", tables=other_tables)
+    store, publish = str(tmp_path / "w"), warehouse.publish_once
+
+    def interrupted(session, path, document):
+        monkeypatch.setattr(warehouse, "publish_once", publish)
+        warehouse.load_silver(session, other, store)
+        return publish(session, path, document)
+
+    monkeypatch.setattr(warehouse, "publish_once", interrupted)
+    with pytest.raises(warehouse.Rejected, match="CONFLICT"):
+        warehouse.load_silver(spark, folder, store)
+
+
+def test_a_marker_is_published_once(spark, tmp_path):
+    path = str(tmp_path / "m" / "marker")
+    assert warehouse.publish_once(spark, path, {"a": 1}) and not warehouse.publish_once(spark, path, {"a": 2})
+    assert warehouse.read_document(spark, path) == {"a": 1}
+    warehouse.replace_document(spark, path, {"a": "ż"})
+    assert warehouse.published_document(spark, path) == {"a": "ż"}
+    assert warehouse.read_document(spark, str(tmp_path / "m" / "none")) is None
+    (tmp_path / "m" / "begun").write_text("")
+    with pytest.raises(warehouse.Rejected, match="never finished"):
+        warehouse.published_document(spark, str(tmp_path / "m" / "begun"), seconds=1)
+
+
+def test_a_failed_analysis_leaves_the_former_rows(spark, tmp_path, monkeypatch):
+    """The fifth output of a new run fails; what was published stays until a whole run replaces it."""
+    folder, name = prepared(spark, tmp_path)
+    store, scratch = str(tmp_path / "w"), str(tmp_path / "x")
+    warehouse.load_silver(spark, folder, store)
+    dates = date(2027, 3, 1), date(2027, 3, 7)
+    _, entry = warehouse.publish_gold(spark, store, name, *dates, scratch)
+    before, _ = warehouse.read_gold(spark, store, entry["analysis_id"])
+    rows = {o: sorted(map(str, f.collect())) for o, f in before.items()}
+    whole = Analysis.tables
+
+    def broken(analysis):
+        tables = whole(analysis)
+        fifth = list(tables)[4]
+        tables[fifth] = tables[fifth].filter(F.raise_error(F.lit("lost")).isNull())
+        return tables
+
+    monkeypatch.setattr(Analysis, "tables", broken)
+    with pytest.raises(Exception, match="lost"):
+        warehouse.publish_gold(spark, store, name, *dates, scratch, replace=True)
+    monkeypatch.setattr(Analysis, "tables", whole)
+    after, found = warehouse.read_gold(spark, store, entry["analysis_id"])
+    assert found == entry and {o: sorted(map(str, f.collect())) for o, f in after.items()} == rows
+    state, new = warehouse.publish_gold(spark, store, name, *dates, scratch, replace=True)
+    assert state == "ANALYZED" and new["run"] != entry["run"]
+    assert {o: sorted(map(str, f.collect())) for o, f in before.items()} == rows
+    assert warehouse.read_gold(spark, store, entry["analysis_id"])[1]["run"] == new["run"]
+
+
+def test_a_damaged_folder_is_described(spark, tmp_path):
+    folder, _ = prepared(spark, tmp_path)
+    run = f"{folder}/{warehouse.published(spark, folder)['run']}"
+    stops = spark.read.parquet(f"{run}/stops")
+    warehouse.write_parquet(spark.createDataFrame(stops.collect(), stops.schema).drop("stop_lat"), f"{run}/stops")
+    trips = spark.read.parquet(f"{run}/trips")
+    warehouse.write_parquet(spark.createDataFrame(trips.collect(), trips.schema).withColumn("direction_id", F.col("direction_id").cast("string")), f"{run}/trips")
+    warehouse.discard(spark, [f"{run}/routes"])
+    flags = {r.table_name: (r.schema_matches, r.count_matches, r.content_matches) for r in warehouse.verify_silver(spark, folder).collect()}
+    assert flags["stops"] == (False, True, False) and flags["trips"] == (False, True, True)
+    assert flags["routes"] == (False, False, False) and flags["agency"] == (True, True, True)
+
+
+def test_position_documents(spark, tmp_path):
+    exports, metadata = tmp_path / "exports", tmp_path / "metadata"
+    for folder in (exports, metadata):
+        folder.mkdir()
+    documents = {
+        "a": {"meta": {"tytul": "one"}, "dane": [observation(), "no record", None, 7]},
+        "b": {"meta": {"tytul": "two"}, "dane": [observation(vehicle="9")]}, "c": {"meta": {"tytul": "gone"}, "dane": []},
+        "d": {"meta": {"tytul": "one"}, "dane": "no list"}, "e": {"dane": [observation(line="Z")]},
+        "f": {"meta": {"tytul": "three"}, "dane": [observation(line="Q")]},
+    }
+    for name, document in documents.items():
+        write(exports / f"{name}.json", json.dumps(document, indent=1))
+    for k, (title, licence) in enumerate([("one", "CC0 1.0"), ("two", "CC0 1.0"), ("two", "other"), ("three", None)]):
+        write(metadata / f"{k}.json", json.dumps({"tytul": title, "licencja": licence}))
+    rows = positions_json.read_position_documents(spark, str(exports), str(metadata)).collect()
+    found = sorted((r.title or "", -1 if r.place is None else r.place, r.status, r.metadata_consistent, r.terms_confirmed, r.is_object) for r in rows)
+    assert found == [
+        ("", 0, "available", False, False, True), ("gone", -1, "available", False, False, False),
+        ("one", -1, "unavailable", False, False, False), ("one", 0, "available", True, True, True),
+        ("one", 1, "available", True, True, False), ("one", 2, "available", True, True, False),
+        ("one", 3, "available", True, True, False), ("three", 0, "available", True, False, True),
+        ("two", 0, "available", True, False, True),
+    ]
+
+
+def test_manifest_rows(spark, tmp_path):
+    """What a write observed equals what a reader computes from the files."""
+    written = warehouse.write_bronze(as_raw(spark, lake_tables()), str(tmp_path))
+    for row in warehouse.manifest_rows(spark, written).collect():
+        found = identity.content_fingerprint(spark.read.parquet(str(tmp_path / row.table_name))).first()
+        assert (row.row_count, row.content_hash) == tuple(found)
+        assert [c.split(":")[0] for c in row.columns.split(",")] == spark.read.parquet(str(tmp_path / row.table_name)).columns

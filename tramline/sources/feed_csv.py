@@ -253,10 +253,11 @@ def feed_structure_check(spark, path):
     One job reads the first line of every file and whether a line with anything in it follows. A
     record that is blank over several lines counts as a row.
     """
-    table = F.regexp_extract(F.col("_metadata.file_path"), r"/([^/]+)\.txt(?:/[^/]*)?$", 1).alias("file")
-    found = spark.read.option("recursiveFileLookup", True)
-    listed = found.format("binaryFile").load(path).select(F.col("_metadata.file_path").alias("path"), table)
-    lines = spark.read.options(recursiveFileLookup=True, lineSep="\n").text(path).select(
+    text = spark.read.options(recursiveFileLookup=True, lineSep="\n").text(path)
+    listed = spark.createDataFrame([(name,) for name in text.inputFiles()], "path string").select(
+        "path", F.regexp_extract("path", r"/([^/]+)\.txt(?:/[^/]*)?$", 1).alias("file")
+    )  # empty files have no lines
+    lines = text.select(
         F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("place"), F.regexp_replace("value", r"\r\z", "").alias("line"),
     )
