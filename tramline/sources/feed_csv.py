@@ -254,11 +254,12 @@ def feed_structure_check(spark, path):
     record that is blank over several lines counts as a row.
     """
     text = spark.read.options(recursiveFileLookup=True, lineSep="\n").text(path)
-    listed = spark.createDataFrame([(name,) for name in text.inputFiles()], "path string").select(
-        "path", F.regexp_extract("path", r"/([^/]+)\.txt(?:/[^/]*)?$", 1).alias("file")
+    named = lambda name: F.regexp_replace(name, "^([a-z0-9]+):/+", "$1:/").alias("path")
+    listed = spark.createDataFrame([(name,) for name in text.inputFiles()], "name string").select(
+        named(F.col("name")), F.regexp_extract("name", r"/([^/]+)\.txt(?:/[^/]*)?$", 1).alias("file")
     )  # empty files have no lines
     lines = text.select(
-        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"),
+        named(F.col("_metadata.file_path")), F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("place"), F.regexp_replace("value", r"\r\z", "").alias("line"),
     )
     first = F.min(F.when(F.col("block") == 0, F.struct("place", "line")))
