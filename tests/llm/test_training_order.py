@@ -56,6 +56,8 @@ def test_shards_are_read_in_order_and_resumed(spark, tmp_path):
         slots = [r.slot for r in spark.read.parquet(f"{folder}/shard={shard}").coalesce(1).collect()]
         assert slots == list(range(8 * shard, min(50, 8 * shard + 8)))
     assert sorted(r.slot for r in O.read_from(spark, folder, 29, stride).collect()) == list(range(29, 50))
+    assert sorted(r.slot for r in O.read_from(spark, folder, 29).collect()) == list(range(29, 50))
+    assert O.manifest(spark, folder) == {"sequences": 50, "stride": 8, "key": O.KEY, "rounds": O.ROUNDS, "end_id": O.END_ID}
 
 
 def test_digests(spark):

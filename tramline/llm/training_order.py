@@ -7,15 +7,19 @@ computed from a number without looking at the others, and the inverse finds the
 
 Shard k holds the slots from k * stride on, in order. Rows are sent straight to the partition of
 their shard, sorted there and written as Parquet, one folder per shard. A reader goes through shards
-in order, and resumes at slot s with row s % stride of shard s // stride.
+in order, and resumes at slot s with row s % stride of shard s // stride. A manifest beside the shards
+keeps sequences, stride, key and end id for readers in other processes. Without a given stride it grows
+in powers of two from ``STRIDE`` on, so that there are at most ``MAX_SHARDS`` folders.
 
 The numbers depend on how Spark cuts the input into tasks, which the reading of files does alike
 each time; the count of written slots is held against the count of rows.
 
 Results for unusual input: a null or empty text is a sequence of the end id alone; rows with the
-same id are sequences of their own; a null id stays null; an empty table writes nothing.
+same id are sequences of their own; a null id stays null; an empty table writes nothing; very long texts
+are encoded whole. Columns other than the id and the text are not read.
 """
 
+import json
 import uuid
 from zlib import crc32
 
@@ -33,6 +37,7 @@ ROUNDS = 6
 STRIDE = 4096
 MAX_SHARDS = 50_000
 END_ID = 0
+MANIFEST = "_manifest"  # readers of the shards pass over names like this
 
 
 def _round_keys(key, rounds):
@@ -111,9 +116,17 @@ def materialise(docs, folder, key=KEY, stride=None, id_column="doc_id", text_col
     sequences = rows.mapInArrow(task, "shard int, slot long, doc_id long, n_tokens int, ids binary")
     shards = sequences.repartitionById(-(-size // stride), F.col("shard"))
     shards.sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(folder)
+    about = {"sequences": size, "stride": stride, "key": key, "rounds": ROUNDS, "end_id": end_id}
+    text = docs.sparkSession.createDataFrame([(json.dumps(about, sort_keys=True),)], "value string")
+    text.coalesce(1).write.text(f"{folder}/{MANIFEST}")
     return size, stride
 
 
+def manifest(spark, folder):
+    """What a reader needs to know of written shards: sequences, stride, key, rounds and end id."""
+    return json.loads(spark.read.text(f"{folder}/{MANIFEST}").first()["value"])
+
+
 def _packed(ids):
     """Two bytes an id while all fit, four otherwise; the length tells which."""
     return (ids.astype("<u2") if not len(ids) or ids.max() < 1 << 16 else ids).tobytes()
@@ -123,8 +136,12 @@ def unpack(data, n_tokens):
     return np.frombuffer(data, dtype="<u2" if len(data) == 2 * n_tokens else "<u4").astype("<u4")
 
 
-def read_from(spark, folder, slot, stride):
-    """The sequences from ``slot`` on, for a reader that resumes there; order by slot to go through them."""
+def read_from(spark, folder, slot, stride=None):
+    """The sequences from ``slot`` on, for a reader that resumes there; order by slot to go through them.
+
+    Another process needs the folder alone: the stride stands in the manifest beside the shards.
+    """
+    stride = stride or manifest(spark, folder)["stride"]
     return spark.read.parquet(folder).filter((F.col("shard") >= slot // stride) & (F.col("slot") >= slot))
 
 
