@@ -25,7 +25,7 @@ an empty table gives no rows. Extra columns are not read, whatever their names.
 
 import re
 from collections import Counter
-from itertools import pairwise
+from itertools import pairwise, repeat
 from typing import NamedTuple
 from zlib import crc32
 
@@ -77,9 +77,9 @@ def pieces(text, size=GROUP_CHARACTERS):
 def words_of(text):
     """The words of a text, lowered; signs that are no letters though they count as such in patterns go."""
     for _, part in pieces(text or ""):
-        for word in _WORD.findall(part):
-            if word.isalpha() or any(map(str.isalpha, word)):
-                yield word.lower()
+        for word in _WORD.findall(part.lower()):
+            if any(map(str.isalpha, word)):
+                yield word
 
 
 def feature_buckets(word, lexicon):
@@ -229,6 +229,18 @@ class Tagger:
         known = self.known
         return np.fromiter((known.setdefault(w, len(known)) for w in words), dtype=np.int64)
 
+    def numbers_of(self, text):
+        """Numbers of the words of a text; the same words as ``words_of`` gives, looked at once each."""
+        known, found = self.known, []
+        for _, part in pieces(text):
+            words = _WORD.findall(part.lower())
+            for word in set(words):
+                if word not in known and any(map(str.isalpha, word)):
+                    known[word] = len(known)
+            numbers = np.fromiter(map(known.get, words, repeat(-1)), dtype=np.int64, count=len(words))
+            found.append(numbers[numbers >= 0])
+        return np.concatenate(found) if found else np.zeros(0, dtype=np.int64)
+
     def _emissions(self):
         fresh = list(self.known)[len(self.table):]
         if fresh:
@@ -303,7 +315,7 @@ class Tagger:
 
     def shares(self, texts):
         """(number of words, expected share of each language) of each text."""
-        numbers = [self.number(words_of(text)) for text in texts]
+        numbers = [self.numbers_of(text) for text in texts]
         counts = np.array([len(k) for k in numbers], dtype=np.int64)
         joined = np.concatenate(numbers) if numbers else np.zeros(0, dtype=np.int64)
         begins = np.cumsum(counts) - counts
