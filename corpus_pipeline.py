@@ -2,6 +2,11 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read
 again as the next one's docs. All but the last return the columns of documents.
+
+Results for unusual input: a null text counts as empty; texts without words are kept by the near-copy
+stage, equal texts, empty ones too, by the exact one in one row; rows that agree in id and text are one
+document; very long texts are read whole at every stage; an empty table gives no pieces; columns beyond
+those of documents go along to the packing, which reads the id and the text alone.
 """
 
 import uuid
