@@ -13,7 +13,8 @@ next one, so memory is bounded by a block and one document.
 No shuffle takes place. A retried task reads its partition again and yields the same windows.
 
 Results for unusual input: a null or empty text is one piece that holds the end id alone; rows
-with the same id are packed one by one; an empty table gives no rows.
+with the same id are packed one by one; very long texts are encoded and cut whole; an empty table gives
+no rows. Columns other than the id and the text are not read.
 """
 
 from collections import deque

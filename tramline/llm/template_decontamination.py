@@ -17,7 +17,8 @@ document leaks an item when its windows cover the wanted share of the item's win
 them as a passage of ``passage`` tokens has.
 
 Results for unusual input: null and empty texts have no windows; rows that agree in id and text are judged together, and a null id is
-reported as null; equal items are all reported; an empty table on either side gives no rows.
+reported as null; equal items are all reported; very long texts are searched whole; an empty table on either side
+gives no rows. Columns other than the ids and the texts are not read.
 """
 
 import numpy as np
