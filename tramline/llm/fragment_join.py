@@ -8,6 +8,9 @@ order is cut into fragments; a text's set falls into one segment per fragment.
 * The first segment of a set is its prefix, so long that two sets with the wanted similarity must
   share an n-gram within both prefixes. Prefixes are spread by n-gram; n-grams without a second
   class of fitting size there are dropped.
+* Every set has a signature of 128 bits, the parities of the counts of its n-grams by a hash. Bits in
+  which two signatures differ stand for n-grams of one set only, so their number bounds the overlap
+  before a pair is made: 2 * overlap <= n + m - differing bits.
 * Of a candidate pair the overlap within the prefixes is counted first. It bounds the whole overlap,
   and most pairs end here.
 * For the others the overlap is counted in each fragment on its own, and the partial counts are
@@ -19,7 +22,9 @@ those with the largest shared part and then by hash, and the components are upda
 every pair that shares a prefix n-gram and lies in different components, is then compared without
 exception, so no link is lost; the rounds only decide how many pairs are left.
 
-A hash collision of two n-grams of one compared pair, at 63 bits, is the only way to a wrong count.
+Wrong counts take a collision of hashes: of two n-grams of a compared pair at 63 bits, of two sets that
+are taken for one class at 64 bits (sum, exclusive or and size of their hashes), or of two segments'
+names at 64 bits.
 
 Results for unusual input: null and empty texts, and texts without words, have an empty set and are
 linked with nothing; a null id is ignored as the smallest of a component unless it has no other;
@@ -38,12 +43,14 @@ from .storage import cut, keep_rows, row_key, text_of
 BUCKET_BITS = 18
 SLICES = 16
 FRAGMENTS = 8
+SIGNATURE_WORDS = 2  # of 64 bits
+SIGNATURE = [f"s{k}" for k in range(SIGNATURE_WORDS)]
 HOT = 20_000  # n-grams of a bucket beyond four times the mean; for each so many its entries get a further part
 BAND = 1.5
 PIVOTS = 4
 MAX_ROUNDS = 8
 LARGE_GROUP = 64  # classes that share an n-gram in their prefixes, from which on stars go first
-FEW_PAIRS = 100_000  # with no more pairs left in large groups than this, no further round of stars
+FEW_PAIRS = 20  # for each entry: with no more pairs left in large groups than this, no further round of stars
 BROADCAST_IDS = 100_000  # rows of at most 100 bytes
 
 
@@ -56,6 +63,13 @@ def _set_class(numbers):
     return int(mix(mix(mix(parts[:1]) + parts[1:2]) + parts[2:]).view(np.int64)[0])
 
 
+def _signature(numbers):
+    """Parities of the numbers of n-grams by a hash, as words of 64 bits."""
+    bits = 64 * SIGNATURE_WORDS
+    at = (mix(numbers ^ np.uint64(0xC2B2AE3D27D4EB4F)) % np.uint64(bits)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8)).view("<i8")
+
+
 def _texts(docs, id_column, text_column):
     return docs.select(
         F.col(id_column).cast("long").alias("doc_id"),
@@ -65,29 +79,34 @@ def _texts(docs, id_column, text_column):
 
 
 def _summary(texts, size):
-    """Rows (doc_id, row, class, n) of texts, and per task the bucket counts in slices."""
+    """Rows (doc_id, row, class, n, signature) of texts, and per task the bucket counts in slices."""
 
     def task(batches):
         counts = np.zeros(1 << BUCKET_BITS, dtype=np.int64)
-        names = ["doc_id", "row", "class", "n", "slice", "counts"]
+        names = ["doc_id", "row", "class", "n", "slice", "counts", *SIGNATURE]
         for batch in batches:
-            classes, sizes = [], []
+            classes, sizes, signatures = [], [], []
             for numbers in shingle_sets(batch.column(2).to_pylist(), size):
                 classes.append(_set_class(numbers))
                 sizes.append(len(numbers))
+                signatures.append(_signature(numbers))
                 counts += np.bincount((numbers & np.uint64((1 << BUCKET_BITS) - 1)).astype(np.int64), minlength=len(counts))
             none = pa.nulls(len(classes), pa.int32()), pa.nulls(len(classes), pa.binary())
+            bits = np.array(signatures, dtype=np.int64).reshape(len(classes), SIGNATURE_WORDS)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(classes, pa.int64()), pa.array(sizes, pa.int64()), *none], names=names
+                [batch.column(0), batch.column(1), pa.array(classes, pa.int64()), pa.array(sizes, pa.int64()), *none,
+                 *[pa.array(bits[:, k]) for k in range(SIGNATURE_WORDS)]], names=names
             )
         if counts.any():
             parts = [zlib.compress(part.astype("<i8").tobytes(), 1) for part in np.split(counts, SLICES)]
             none = [pa.nulls(SLICES, kind) for kind in (pa.int64(), pa.string(), pa.int64(), pa.int64())]
             yield pa.RecordBatch.from_arrays(
-                [*none, pa.array(range(SLICES), pa.int32()), pa.array(parts, pa.binary())], names=names
+                [*none, pa.array(range(SLICES), pa.int32()), pa.array(parts, pa.binary()),
+                 *[pa.nulls(SLICES, pa.int64())] * SIGNATURE_WORDS], names=names
             )
 
-    return texts.mapInArrow(task, "doc_id long, row string, class long, n long, slice int, counts binary")
+    words = ", ".join(f"{name} long" for name in SIGNATURE)
+    return texts.mapInArrow(task, f"doc_id long, row string, class long, n long, slice int, counts binary, {words}")
 
 
 def _bucket_counts(summary):
@@ -244,7 +263,9 @@ def _stars(percent):
         for batch in batches:
             pairs = set()
             columns = (batch.column(k).to_pylist() for k in range(9))
-            for number, share, band, name, n, root, k, behind, strong in zip(*columns, strict=True):
+            signatures = np.column_stack([batch.column(9 + k).to_numpy() for k in range(SIGNATURE_WORDS)])
+            signatures = [int.from_bytes(row.tobytes(), "little") for row in signatures]
+            for number, share, band, name, n, root, k, behind, strong, bits in zip(*columns, signatures, strict=True):
                 if group != (number, share, band):
                     left += total * strong_rest + strong_total * rest
                     group, pivots = (number, share, band), []
@@ -254,12 +275,13 @@ def _stars(percent):
                 if pivots and root != pivots[0][2]:
                     rest += 1
                     strong_rest += strong
-                for other, m, its, k2, behind2, strong2 in pivots:
+                for other, m, its, k2, behind2, strong2, bits2 in pivots:
                     if its != root and (strong if (n, name) < (m, other) else strong2) and 100 * min(n, m) >= percent * max(n, m):
-                        if min(k, k2) + 1 + min(behind, behind2) >= -(-percent * (n + m) // (100 + percent)):
+                        needed = -(-percent * (n + m) // (100 + percent))
+                        if min(k, k2) + 1 + min(behind, behind2) >= needed and (bits ^ bits2).bit_count() <= n + m - 2 * needed:
                             pairs.add((name, other) if name < other else (other, name))
                 if len(pivots) < PIVOTS and all(name != p[0] for p in pivots):
-                    pivots.append((name, n, root, k, behind, strong))
+                    pivots.append((name, n, root, k, behind, strong, bits))
             if pairs:
                 first, second = zip(*pairs, strict=True)
                 yield pa.RecordBatch.from_arrays(
@@ -306,11 +328,12 @@ class _Join:
             entries.repartition(_parts(entries), "class").groupBy("class").agg(
                 F.first("n").alias("n"), F.sort_array(F.collect_list("number")).alias("numbers"),
                 F.sort_array(F.collect_list("place")).alias("places"),
-            )
+            ).join(classes.select("class", *SIGNATURE), "class")
         )
         numbers = self.prefixes.select(F.explode("numbers").alias("number"))
         self.large = cut(numbers.groupBy("number").count().filter(F.col("count") > LARGE_GROUP).select("number"))
         self.any_large = not self.large.isEmpty()
+        self.few_pairs = FEW_PAIRS * self.prefixes.agg(F.coalesce(F.sum(F.size("numbers")), F.lit(0))).first()[0]
         self.segments = self.roots = self.checked = None
 
     def needed(self, n, m):
@@ -334,8 +357,8 @@ class _Join:
             entries = entries.join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))
         central = F.round(F.size("numbers") / F.col("n"), 1 if round_number else 3)
         return (
-            entries.select("class", "n", "root", (-central).alias("rank"), F.posexplode(F.arrays_zip("numbers", "places")).alias("k", "entry"))
-            .select("class", "n", "root", "rank", "k", F.col("entry.numbers").alias("number"), (F.col("n") - F.col("entry.places") - 1).alias("behind"))
+            entries.select("class", "n", "root", *SIGNATURE, (-central).alias("rank"), F.posexplode(F.arrays_zip("numbers", "places")).alias("k", "entry"))
+            .select("class", "n", "root", *SIGNATURE, "rank", "k", F.col("entry.numbers").alias("number"), (F.col("n") - F.col("entry.places") - 1).alias("behind"))
             .withColumn("strong", F.col("k") + 1 + F.col("behind") >= self.needed(F.col("n"), F.col("n")))
         )
 
@@ -352,7 +375,7 @@ class _Join:
         if len(hot):  # hot buckets are the last ones of the order
             limit = int(hot[0]) << (63 - BUCKET_BITS)
             share = F.when(F.col("number") >= limit, F.pmod(F.xxhash64("class", "number", F.lit(number)), F.lit(int(shares[hot].max()))).cast("int")).otherwise(0)
-        spread = self.in_large_groups(self.entries(number)).select("number", share.alias("share"), band.alias("band"), "class", "n", "root", "k", "behind", "strong", "rank")
+        spread = self.in_large_groups(self.entries(number)).select("number", share.alias("share"), band.alias("band"), "class", "n", "root", "k", "behind", "strong", *SIGNATURE, "rank")
         ordered = spread.repartition("number", "share").sortWithinPartitions(
             "number", "share", "band", "rank", F.xxhash64("class", F.lit(number)), "class"
         )
@@ -363,11 +386,14 @@ class _Join:
 
     def meeting(self, large, small, keys):
         """Pairs of a class and a smaller or equal one, from entries that meet, as far as they may be links."""
+        needed = self.needed(F.col("n"), F.col("m"))
+        differing = sum(F.bit_count(F.col(s).bitwiseXOR(F.col(f"small_{s}"))) for s in SIGNATURE)
         may_link = (
             (F.col("root") != F.col("r"))
             & ((F.col("m") < F.col("n")) | ((F.col("m") == F.col("n")) & (F.col("x") < F.col("class"))))
             & (F.col("m") * 100 >= F.col("n") * self.percent)
-            & (F.least("k", "k2") + 1 + F.least("behind", "behind2") >= self.needed(F.col("n"), F.col("m")))
+            & (F.least("k", "k2") + 1 + F.least("behind", "behind2") >= needed)
+            & (differing.cast("long") <= F.col("n").cast("long") + F.col("m") - 2 * needed)
         )
         met = large.join(small, keys).filter(may_link)
         return met.select(F.least("class", "x").alias("a"), F.greatest("class", "x").alias("b"))
@@ -375,7 +401,7 @@ class _Join:
     def smaller(self, entries, *others):
         return entries.filter("strong").select(
             "number", *others, F.col("class").alias("x"), F.col("n").alias("m"), F.col("root").alias("r"), F.col("k").alias("k2"),
-            F.col("behind").alias("behind2"),
+            F.col("behind").alias("behind2"), *[F.col(s).alias(f"small_{s}") for s in SIGNATURE],
         )
 
     def all_pairs(self):
@@ -384,7 +410,7 @@ class _Join:
         In large groups both sides meet by band of sizes too, and of each n-gram one component is left
         out against itself: a pair in different components has a class outside of it.
         """
-        columns = ["number", "class", "n", "root", "k", "behind", "strong"]
+        columns = ["number", "class", "n", "root", "k", "behind", "strong", *SIGNATURE]
         others = self.in_large_groups(self.entries().select(*columns), False)
         pairs = self.meeting(others.drop("strong"), self.smaller(others), ["number"])
         if not self.any_large:
@@ -457,8 +483,9 @@ class _Join:
         for number in range(MAX_ROUNDS if self.any_large else 0):
             stars = self.star_pairs(number)
             left = stars.agg(F.sum("left")).first()[0] or 0
-            # another round of stars pays while there is much to compare and the last one more than halved it
-            if left <= FEW_PAIRS or (before is not None and 2 * left > before):
+            # another round of stars pays while there is much to compare and the last one more than halved it;
+            # the first one connects the copies, what is left after it are mostly pairs the bounds rule out
+            if before is not None and (left <= self.few_pairs or 2 * left > before):
                 break
             before = left
             self.connect(self.verify(stars.filter("a IS NOT NULL").select("a", "b")))
@@ -480,7 +507,8 @@ def _joined(docs, percent, size, id_column, text_column):
     entries = spread.sortWithinPartitions("number", "share", "n", "class").mapInArrow(
         _with_partner(order, percent), "number long, class long, n int, place int"
     )
-    classes = rows.filter("n > 0").groupBy("class").agg(F.min("row").alias("row"))
+    signed = summary.filter("slice IS NULL AND n > 0")
+    classes = signed.groupBy("class").agg(F.min("row").alias("row"), *[F.min(s).alias(s) for s in SIGNATURE])
     return rows, _Join(texts, classes, entries, order, percent, size).run()
 
 
