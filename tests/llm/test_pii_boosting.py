@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tests.llm.common import clashing, documents, edge_rows
 from tramline.llm import pii_boosting as P
@@ -156,3 +157,30 @@ def test_time_grows_with_the_length():
         return time.perf_counter() - began
 
     assert seconds(16_000) < 6 * seconds(4_000) + 0.5
+
+
+def test_every_document_is_learned_from(spark):
+    """One candidate in the last of 20,500 documents, in any order of their ids, is among the rows."""
+    plain = spark.range(20_500).select(F.col("id").alias("doc_id"), F.lit("nothing here").alias("text"))
+    last = plain.orderBy(F.xxhash64("doc_id").desc()).first().doc_id
+    text = "version 2.0.1.4000 of"
+    docs = plain.withColumn("text", F.when(F.col("doc_id") == last, text).otherwise(F.col("text")))
+    rows = [r.row for r in P.training_rows(docs).collect()]
+    assert rows == [[*map(float, P.candidate_features(text, *c)), 0.0] for c in P.candidates(text) if c[0] == 1]
+
+
+def test_trees_grown_in_blocks_are_those_of_the_rows(spark):
+    """The model of all rows against ``boost`` on the same rows, and the same from any layout."""
+    rows = [
+        (k, f"call {k} {'the mail'.split()[k % 2]} +1 ({100 + k * 7 % 900}) 555-{1000 + k * 13 % 9000} on {k % 300}.{k * 3 % 400}.{k * 7 % 400}.1 "
+            f"or n{k}.x@h{k % 9}.example.com {'4539148803436467' if k % 2 else 4539148803436460 + k} 2021-{k % 12 + 1:02}-1{k % 10}")
+        for k in range(300)
+    ]
+    (start, trees), calibration, limits = P.train_on(documents(spark, rows))
+    assert P.train_on(documents(spark, rows, 1)) == ((start, trees), calibration, limits)
+    found = [list(r.row) for r in P.training_rows(documents(spark, rows)).collect()]
+    x = np.array([*found, *P.variant_rows(1)], dtype=float)
+    weight = np.repeat([min(8.0, P.TABLE_WEIGHT / len(found)), P.TABLE_WEIGHT / len(P.VARIANTS)], [len(found), len(P.VARIANTS)])
+    wanted = P.margins(P.boost(x[:, :-1], x[:, -1], weight), x[:, :-1])
+    assert np.abs(P.margins((start, trees), x[:, :-1]) - wanted).max() < 0.05
+    assert all(0.5 <= limit <= 1.01 for limit in limits)
