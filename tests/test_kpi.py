@@ -242,3 +242,30 @@ def test_span_and_headways_agree_with_both_tables(analysis):
                          (analysis.route_stop_headways, ["interval_count", "median_seconds", "p90_seconds"])):
         columns = keys + extra
         assert sorted(map(repr, both.select(columns).collect())) == sorted(map(repr, table.select(columns).collect()))
+
+
+def test_percentiles_without_a_map_per_group(spark):
+    """Places in the sorted group give what the exact percentile with frequencies gives, groups without gaps included."""
+    rows = [(date(2024, 1, 1 + k % 2), f"R{k % 3}", f"S{k % 5}", None if k % 4 == 0 else k % 2, None if k % 7 == 0 else k * k % 900, 1, k % 3, 0) for k in range(400)]
+    rows.append((date(2024, 1, 9), "R", "S", 0, None, 1, 0, 0))
+    profile = spark.createDataFrame(
+        rows, "service_date date, route_id string, stop_id string, direction_id bigint, departure bigint, regular bigint, departures bigint, approximate bigint"
+    ).groupBy(*events.GROUP, "departure").agg(*[F.sum(n).alias(n) for n in ("regular", "departures", "approximate")])
+    wanted = gold._headway_entries(profile).groupBy(*events.GROUP).agg(
+        F.percentile("gap", F.lit(0.5), F.col("times")).alias("m"), F.percentile("gap", F.lit(0.9), F.col("times")).alias("p")
+    )
+    key = lambda r: tuple(map(str, r))
+    found = gold.gold_headways(profile)
+    assert "percentile(" not in found._jdf.queryExecution().toString()
+    shown = found.select(*events.GROUP, "median_seconds", "p90_seconds").collect()
+    assert sorted(map(tuple, shown), key=key) == sorted(map(tuple, wanted.collect()), key=key)
+    assert any(r.median_seconds is None for r in shown) and any((r.p90_seconds or 0) % 1 for r in shown)
+
+
+def test_published_headways_and_spans_share_their_totals(lake, tmp_path):
+    analysis = Analysis(lake, FIRST, LAST)
+    single = [sorted(map(str, f.collect())) for f in (analysis.route_stop_headways, analysis.service_span)]
+    shared = analysis.share_profile(str(tmp_path / "profile"))
+    tables = (shared.route_stop_headways, shared.service_span)
+    assert [sorted(map(str, f.collect())) for f in tables] == single
+    assert all("Exchange" not in f._jdf.queryExecution().executedPlan().toString() for f in tables)
