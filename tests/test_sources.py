@@ -503,3 +503,11 @@ def test_manifest_rows(spark, tmp_path):
         found = identity.content_fingerprint(spark.read.parquet(str(tmp_path / row.table_name))).first()
         assert (row.row_count, row.content_hash) == tuple(found)
         assert [c.split(":")[0] for c in row.columns.split(",")] == spark.read.parquet(str(tmp_path / row.table_name)).columns
+
+
+def test_the_structure_check_sorts_no_lines(spark, tmp_path):
+    (tmp_path / "stops.txt").write_text("stop_id,stop_name\n1,x\n")
+    found = feed_csv.feed_structure_check(spark, str(tmp_path))
+    assert ("missing_file", "trips") in {(r.code, r.file) for r in found.collect()}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "min(struct(" not in plan and "min(CASE WHEN" in plan

@@ -250,8 +250,8 @@ def _header_names(header):
 def feed_structure_check(spark, path):
     """Issues of the files of a folder, ``<table>.txt`` each, or folders of that name with the parts of one.
 
-    One job reads the first line of every file and whether a line with anything in it follows. A
-    record that is blank over several lines counts as a row.
+    One scan counts the lines of every file with anything in them and finds the place of the first, a
+    second one reads that line. A record that is blank over several lines counts as a row.
     """
     text = spark.read.options(recursiveFileLookup=True, lineSep="\n").text(path)
     named = lambda name: F.regexp_replace(name, "^([a-z0-9]+):/+", "$1:/").alias("path")
@@ -262,10 +262,14 @@ def feed_structure_check(spark, path):
         named(F.col("_metadata.file_path")), F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("place"), F.regexp_replace("value", r"\r\z", "").alias("line"),
     )
-    first = F.min(F.when(F.col("block") == 0, F.struct("place", "line")))
-    headed = lines.groupBy("path").agg(
-        _without_mark(first["line"], F.lit(True)).alias("header"), F.count_if(~F.col("line").rlike(BLANK_RECORD)).alias("filled")
+    found = lines.groupBy("path").agg(
+        F.min(F.when(F.col("block") == 0, F.col("place"))).alias("place"),
+        F.count_if(~F.col("line").rlike(BLANK_RECORD)).alias("filled"),
+    )  # numbers only, so that no task sorts its lines
+    headers = lines.filter("block = 0").join(F.broadcast(found.select("place")), "place", "left_semi").select(
+        "path", _without_mark(F.col("line"), F.lit(True)).alias("header")
     )
+    headed = found.drop("place").join(headers, "path", "left")
     header = F.coalesce("header", F.lit(""))
     has_rows = F.coalesce("filled", F.lit(0)) > F.when(header.rlike(BLANK_RECORD), 0).otherwise(1)
     return structure_issues(
