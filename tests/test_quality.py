@@ -214,3 +214,23 @@ def test_frequencies_are_a_warning(spark):
     found = quality.unsupported_frequencies(spark.range(3)).first()
     assert (found.severity, found.occurrences) == ("warning", 3)
     assert codes(raw, spark.range(1)) == set()
+
+
+def test_a_check_stages_the_tables_it_reads(spark):
+    from tramline.plans import queries as Q
+
+    Q._STAGED.clear()
+    assert Q.QUERIES["dq_invalid_date"](spark, "/root/testdata/sf0.001").count() == 2
+    (raw, typed), = Q._STAGED.values()
+    assert "stop_times" not in raw._written and not typed._written
+    assert set({**typed}) == set(silver.TABLES) and all(f.columns for f in {**typed}.values())
+
+
+def test_falling_times_keep_one_row_per_visit(spark):
+    """Falls within a visit, between visits and over the end of a block, without a row per known time."""
+    rows = [("a", 1, 10, 5, 1), ("a", 2, None, 4, 2), ("a", 3, 9, None, 3), ("a", 4, None, None, 4), ("a", 10**6, 8, 8, 5),
+            ("b", 1, 5, 6, 6), ("b", 1, 4, 9, 7), ("b", 2, 8, 8, 8), ("c", None, 9, 1, 9), (None, 1, 5, 2, 10), ("d", 1, None, 7, None), ("d", 2, 6, 7, 11)]
+    visits = spark.createDataFrame(rows, "trip_id string, stop_sequence bigint, arrival_seconds bigint, departure_seconds bigint, _source_record bigint")
+    found = quality.time_decreases({"stop_times": visits})
+    assert sorted((r.value or "", r.record) for r in found.collect()) == [("", 10), ("a", 1), ("a", 2), ("a", 5), ("b", 8), ("d", 11)]
+    assert "posexplode" not in found._jdf.queryExecution().optimizedPlan().toString()
