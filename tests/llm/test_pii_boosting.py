@@ -184,3 +184,14 @@ def test_trees_grown_in_blocks_are_those_of_the_rows(spark):
     wanted = P.margins(P.boost(x[:, :-1], x[:, -1], weight), x[:, :-1])
     assert np.abs(P.margins((start, trees), x[:, :-1]) - wanted).max() < 0.05
     assert all(0.5 <= limit <= 1.01 for limit in limits)
+
+
+def test_training_jobs_have_a_task_for_each_full_block(spark, monkeypatch):
+    """A few rows are one block, however many files they come from; smaller blocks give the same model."""
+    parts, grow = [], P.boost_blocks
+    monkeypatch.setattr(P, "boost_blocks", lambda blocks, *a: parts.append(blocks.getNumPartitions()) or grow(blocks, *a))
+    rows = [(k, f"call {k} or +1 ({100 + k * 7 % 900}) 555-{1000 + k * 13 % 9000} on {k % 300}.{k * 3 % 400}.{k}.1") for k in range(120)]
+    model = P.train_on(documents(spark, rows, 12))
+    monkeypatch.setattr(P, "BLOCK_ROWS", 40)
+    assert P.train_on(documents(spark, rows, 12)) == model
+    assert parts[0] == 1 < parts[1]

@@ -22,6 +22,7 @@ import hashlib
 import re
 from bisect import bisect_right
 from collections import Counter
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +35,7 @@ KINDS = ("email", "ip", "card", "phone")
 PRECISION = 0.98
 TABLE_WEIGHT = 1000.0  # of all variants together, and at most of all candidates together
 FOLDS = 8
+BLOCK_ROWS = 8192
 LARGEST = 255  # lengths and counts beyond it are one value of a feature
 STEPS = 1 << 24  # gradients are summed in this part of one
 GRID = 1024  # margins are counted in this part of one
@@ -478,10 +480,11 @@ def train_on(docs, precision=PRECISION, text_column="text", bins=32):
         limits.append(_edges(*map(np.array, zip(*of, strict=True)), bins))
 
     def pack(part):
-        while chunk := [r for _, r in zip(range(8192), part)]:
+        while chunk := list(islice(part, BLOCK_ROWS)):
             yield Block(chunk, limits, weights, starts)
 
-    blocks = rows.rdd.mapPartitions(pack).persist(StorageLevel.MEMORY_AND_DISK)
+    # every level is a job over all partitions, so there are as many as there are full blocks
+    blocks = rows.coalesce(-(-sum(r.n for r in counts) // BLOCK_ROWS)).rdd.mapPartitions(pack).persist(StorageLevel.MEMORY_AND_DISK)
     models, blocks = boost_blocks(blocks, limits, starts)
     judged = _added_up(blocks, Block.judged, Counter())
     blocks.unpersist()
