@@ -1,5 +1,6 @@
 import contextlib
 import csv
+import hashlib
 import io
 import json
 import random
@@ -511,3 +512,19 @@ def test_the_structure_check_sorts_no_lines(spark, tmp_path):
     assert ("missing_file", "trips") in {(r.code, r.file) for r in found.collect()}
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "min(struct(" not in plan and "min(CASE WHEN" in plan
+
+
+def test_fingerprint_sums_lanes_exactly(spark):
+    """Count and hash of texts worked out in plain Python; NULL, empty text, signs and large lanes included."""
+    rows = [(1, None), (None, ""), (3, "-"), (4, "=1:a"), (4, "=1:a"), (5, "\U0001f600 x")] + [(k, f"t{k}") for k in range(300)]
+    texts = ["".join("-" if v is None else f"={len(str(v))}:{v}" for v in row) for row in rows]
+    digests = [hashlib.sha256(text.encode()).hexdigest() for text in texts]
+    low, high = (sum(int(d[at : at + 15], 16) for d in digests) for at in (0, 15))
+    wanted = (len(rows), hashlib.sha256(f"{len(rows)}:{low}:{high}".encode()).hexdigest())
+    frame = spark.createDataFrame(rows, "`a b` long, text string")
+    assert tuple(identity.content_fingerprint(frame).first()) == wanted
+    empty = hashlib.sha256(b"0:0:0").hexdigest()
+    assert tuple(identity.content_fingerprint(frame.limit(0)).first()) == (0, empty)
+    names = {part for name in identity.LANES for part in (f"_{name}_0", f"_{name}_20", f"_{name}_40")}
+    kinds = {f.name: f.dataType.simpleString() for f in identity.with_lanes(frame).schema if f.name not in frame.columns}
+    assert kinds == dict.fromkeys(names, "bigint")  # rows are summed as whole numbers

@@ -36,14 +36,38 @@ def analysis_id_column(dataset, start, end, version=METRICS_VERSION):
 
 
 def row_text(columns):
-    """One text per row that differs whenever any value differs, NULL included."""
-    parts = []
+    """One text per row that differs whenever any value differs, NULL included.
+
+    All pieces go into one text at once; a NULL value leaves its sign alone.
+    """
+    pieces = []
     for name in columns:
         text = F.col(f"`{name}`").cast("string")
-        parts.append(
-            F.coalesce(F.concat(F.lit("="), F.length(text).cast("string"), F.lit(":"), text), F.lit("-"))
-        )
-    return F.concat(*parts)
+        known = text.isNotNull()
+        pieces += [F.when(known, "=").otherwise("-"), F.length(text).cast("string"), F.when(known, ":"), text]
+    return F.concat_ws("", *pieces)
+
+
+# Two 60-bit lanes of a row's hash, and the bits of a lane that are summed together.
+LANES = {"low": 1, "high": 16}
+LANE_BITS = 60
+PART_BITS = 20
+
+
+def _part(name, shift):
+    return f"_{name}_{shift}"
+
+
+def with_lanes(frame, columns=None):
+    """Add the lanes of each row's hash, in parts of whole numbers."""
+    digest = F.sha2(row_text(columns or frame.columns), 256)
+    lanes = {f"_{name}": F.conv(F.substring("_digest", start, 15), 16, 10).cast("long") for name, start in LANES.items()}
+    mask = F.lit((1 << PART_BITS) - 1).cast("long")
+    parts = {
+        _part(name, shift): F.shiftright(f"_{name}", shift).bitwiseAND(mask)
+        for name in LANES for shift in range(0, LANE_BITS, PART_BITS)
+    }
+    return frame.withColumn("_digest", digest).withColumns(lanes).withColumns(parts).drop("_digest", *lanes)
 
 
 def content_fingerprint(frame, columns=None):
@@ -52,23 +76,24 @@ def content_fingerprint(frame, columns=None):
     Two 60-bit lanes of each row's hash are summed, so any split into tasks gives the same
     result and a repeated row changes it.
     """
-    sums = frame.agg(*fingerprint_parts(frame, columns))
+    sums = with_lanes(frame, columns).agg(*fingerprint_parts())
     return sums.select(
         "row_count", F.sha2(F.concat_ws(":", "row_count", "low", "high"), 256).alias("content_hash")
     )
 
 
-def fingerprint_parts(frame, columns=None):
-    """The aggregates a fingerprint is made of, which an Observation can take during a write."""
-    digest = F.sha2(row_text(columns or frame.columns), 256)
-    lanes = {
-        name: F.sum(F.conv(F.substring(digest, start, 15), 16, 10).cast("decimal(20,0)"))
-        for name, start in (("low", 1), ("high", 16))
-    }
-    return [
-        F.count(F.lit(1)).alias("row_count"),
-        *[F.coalesce(lane, F.lit(0)).cast("string").alias(name) for name, lane in lanes.items()],
-    ]
+def _lane_sum(name):
+    """Exact sum of a lane: its parts are summed as 64-bit numbers, which hold 2^43 rows."""
+    total = F.lit(0).cast("decimal(38,0)")
+    for shift in range(0, LANE_BITS, PART_BITS):
+        part = F.coalesce(F.sum(_part(name, shift)), F.lit(0)).cast("decimal(20,0)")
+        total = (total + part * F.lit(1 << shift).cast("decimal(14,0)")).cast("decimal(38,0)")
+    return total.cast("string").alias(name)
+
+
+def fingerprint_parts():
+    """The aggregates over ``with_lanes`` a fingerprint is made of, which an Observation can take during a write."""
+    return [F.count(F.lit(1)).alias("row_count"), *map(_lane_sum, LANES)]
 
 
 def observed_fingerprint(parts):

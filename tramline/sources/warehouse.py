@@ -24,6 +24,7 @@ from ..functions.identity import (
     document_hash,
     fingerprint_parts,
     observed_fingerprint,
+    with_lanes,
 )
 from ..operators import quality, silver
 from ..operators.events import estimate_guard
@@ -54,7 +55,7 @@ def write_parquet(frame, path):
 def write_table(frame, path):
     """Write a table as zstd Parquet; count and fingerprint are taken of the rows as they are written."""
     seen = Observation()
-    write_parquet(frame.observe(seen, *fingerprint_parts(frame)), path)
+    write_parquet(with_lanes(frame).observe(seen, *fingerprint_parts()).select(*[F.col(f"`{n}`") for n in frame.columns]), path)
     row_count, content_hash = observed_fingerprint(seen.get)
     return {
         "row_count": row_count,
