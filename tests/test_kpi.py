@@ -269,3 +269,10 @@ def test_published_headways_and_spans_share_their_totals(lake, tmp_path):
     tables = (shared.route_stop_headways, shared.service_span)
     assert [sorted(map(str, f.collect())) for f in tables] == single
     assert all("Exchange" not in f._jdf.queryExecution().executedPlan().toString() for f in tables)
+
+
+def test_counts_of_headways_need_no_sorted_groups(spark, analysis):
+    """The number of groups is counted without windows over their departures."""
+    counted = analysis.route_stop_headways.agg(F.count("*"))
+    assert "Window" not in counted._jdf.queryExecution().optimizedPlan().toString()
+    assert counted.first()[0] == analysis.service_span.count()

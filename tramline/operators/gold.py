@@ -134,17 +134,18 @@ def gold_hourly(measures):
 
 def _headway_entries(profile):
     """Profile rows with their gap; departures of the same second add a row of zero gaps without counts."""
-    measures = ("regular", "departures", "approximate")
-    first = F.struct("departure", "gap", F.lit(1).cast("long").alias("times"), *measures)
-    same_second = F.struct(
-        "departure",
-        F.lit(0).cast("long").alias("gap"),
-        (F.col("departures") - 1).alias("times"),
-        *[F.lit(0).cast("long").alias(name) for name in measures],
+    again = F.col("again") == 1  # what is zero in the second row of a second stays a column of its own, so counts need no gaps
+    rows = (
+        headway_gaps(profile)
+        .withColumn("again", F.explode(F.when(F.col("departures") > 1, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+        .select(
+            *GROUP,
+            "departure",
+            F.when(again, F.lit(0).cast("long")).otherwise(F.col("gap")).alias("gap"),
+            F.when(again, F.col("departures") - 1).otherwise(F.lit(1).cast("long")).alias("times"),
+            *[F.when(again, F.lit(0).cast("long")).otherwise(F.col(m)).alias(m) for m in ("regular", "departures", "approximate")],
+        )
     )
-    entries = F.array_compact(F.array(first, F.when(F.col("departures") > 1, same_second)))
-    exploded = headway_gaps(profile).select(*GROUP, F.explode(entries).alias("entry"))
-    rows = exploded.select(*GROUP, "entry.departure", "entry.gap", "entry.times", *[f"entry.{m}" for m in measures])
     known = F.sum(F.when(F.col("gap").isNotNull(), F.col("times")))
     group = Window.partitionBy(*GROUP)
     upto = group.orderBy(F.col("gap").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, Window.currentRow)

@@ -40,13 +40,15 @@ class Analysis:
     def profile(self):
         return events.departure_profile(self.feed, self.start, self.end)
 
-    def share_profile(self, path):
-        """Write the profile and the totals of its groups to a shared folder and use them for all tables that can."""
+    def share_profile(self, path, totals=True):
+        """Write the profile to a shared folder, and the totals of its groups beside it, and use them for all tables that can."""
         self.profile.write.mode("overwrite").parquet(path)
         self._shared = self.feed.spark.read.parquet(path)
-        totals = f"{path}-totals"
-        gold.group_totals(self._shared).write.mode("overwrite").option("compression", "zstd").parquet(totals)
-        self._totals = self.feed.spark.read.parquet(totals)
+        if not totals:
+            return self
+        folder = f"{path}-totals"
+        gold.group_totals(self._shared).write.mode("overwrite").option("compression", "zstd").parquet(folder)
+        self._totals = self.feed.spark.read.parquet(folder)
         return self
 
     @property
