@@ -234,3 +234,11 @@ def test_falling_times_keep_one_row_per_visit(spark):
     found = quality.time_decreases({"stop_times": visits})
     assert sorted((r.value or "", r.record) for r in found.collect()) == [("", 10), ("a", 1), ("a", 2), ("a", 5), ("b", 8), ("d", 11)]
     assert "posexplode" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_rows_without_findings_are_not_spread(spark):
+    """Rows are filtered before their marks become an array; NULL marks count as none."""
+    raw = as_raw(spark, lake_tables())
+    found = quality.row_findings("stop_times", raw["stop_times"])
+    plan = found._jdf.queryExecution().analyzed().toString()
+    assert found.count() == 0 and "Filter" in plan[plan.index("Generate") :]
