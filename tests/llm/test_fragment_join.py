@@ -108,3 +108,47 @@ def test_one_of_each_component_stays(spark):
     assert stay.columns == docs.columns
     _, groups = connected(rows)
     assert sorted(map(repr, (r.doc_id for r in stay.collect()))) == sorted(repr(smallest(rows, g)) for g in groups)
+
+
+@pytest.mark.parametrize("sizes", [(0, 3), (40, 50), (100, 130), (500, 520), (500, 60_000)])
+def test_signatures_bound_the_difference(sizes):
+    first, second = (np.random.default_rng(k).choice(2**20, n, replace=False).astype(np.uint64) for k, n in enumerate(sizes))
+    differing = fragment_join._differing(*(fragment_join._signature(x).tobytes() for x in (first, second)))
+    assert differing <= len(np.setxor1d(first, second))
+    assert fragment_join._differing(*[fragment_join._signature(second).tobytes()] * 2) == 0
+
+
+def own_words(name, length):
+    return " ".join(f"{name}x{k}" for k in range(length))
+
+
+def test_only_shared_n_grams_are_spread(spark):
+    """Entries of texts without a neighbour stay in their task, and shared ones of other tasks go."""
+    passage = sentence(99, 12)
+    rows = [(k, own_words(k, 80)) for k in range(40)] + [(100, passage), (101, passage + " end")]
+    texts = fragment_join._texts(documents(spark, rows, 6), "doc_id", "text")
+    counts = np.zeros(1 << fragment_join.BUCKET_BITS, dtype=np.int64)
+    for numbers in shingle_sets([t for _, t in rows]):
+        np.add.at(counts, (numbers & np.uint64(len(counts) - 1)).astype(np.int64), 1)
+    order = spark.sparkContext.broadcast(fragment_join._Order(counts))
+    shared = spark.sparkContext.broadcast(fragment_join._shared(texts, order, 50, 5))
+    entries = fragment_join._prefixes(texts, order, shared, 50, 5).collect()
+    own = {fragment_join._set_class(numbers) for numbers in shingle_sets([passage, passage + " end"])}
+    assert {e["class"] for e in entries} == own
+    assert len({e["number"] for e in entries}) < len(entries)
+
+
+def test_pairs_far_from_a_link_get_no_segments(spark, monkeypatch):
+    """Texts that share a third to a half, beyond the bound of 128 bits, end before their whole sets are sent."""
+    passage = own_words("p", 300)
+    rows = [(k, f"{passage} {own_words(k, 240 + 5 * k)}") for k in range(12)]
+    rows += near_copies(sentence(97, 300), 4, 2, 7, 100)
+    sent, segments = [], fragment_join._segments
+
+    def watched(texts, wanted, *others):
+        sent.append(wanted.count())
+        return segments(texts, wanted, *others)
+
+    monkeypatch.setattr(fragment_join, "_segments", watched)
+    assert found(documents(spark, rows)) == expected(rows)
+    assert 0 < sum(sent) <= 4

@@ -6,13 +6,14 @@ order is cut into fragments; a text's set falls into one segment per fragment.
 
 * Texts with the same set form a class, and the join works on classes.
 * The first segment of a set is its prefix, so long that two sets with the wanted similarity must
-  share an n-gram within both prefixes. Prefixes are spread by n-gram; n-grams without a second
-  class of fitting size there are dropped.
-* Every set has a signature of 128 bits, the parities of the counts of its n-grams by a hash. Bits in
-  which two signatures differ stand for n-grams of one set only, so their number bounds the overlap
-  before a pair is made: 2 * overlap <= n + m - differing bits.
-* Of a candidate pair the overlap within the prefixes is counted first. It bounds the whole overlap,
-  and most pairs end here.
+  share an n-gram within both prefixes. Sorted lists of 36-bit hashes of the prefixes tell first which
+  n-grams may be in two of them; they are kept as a bitmap of 2^28 bits. Only these are spread by
+  n-gram, and those without a second class of fitting size there are dropped.
+* Every set has a signature, the parities of the counts of its n-grams by a hash. Bits in which two
+  signatures differ stand for n-grams of one set only, so their number bounds the overlap:
+  2 * overlap <= n + m - differing bits. Folded to 128 bits it does so before a pair is made.
+* Of a candidate pair the overlap within the prefixes is counted first, and the whole signatures, of
+  at least a bit for each n-gram, are compared. Both bound the whole overlap, and most pairs end here.
 * For the others the overlap is counted in each fragment on its own, and the partial counts are
   summed per pair.
 
@@ -43,6 +44,10 @@ from .storage import cut, keep_rows, row_key, text_of
 BUCKET_BITS = 18
 SLICES = 16
 FRAGMENTS = 8
+CELL_BITS = 36  # of an n-gram's hash in the lists of prefixes
+MAP_BITS = 28
+MAP_SLICES = 256
+LIST_ENTRIES = 1 << 20  # of a task's lists before they are sent
 SIGNATURE_WORDS = 2  # of 64 bits
 SIGNATURE = [f"s{k}" for k in range(SIGNATURE_WORDS)]
 HOT = 20_000  # n-grams of a bucket beyond four times the mean; for each so many its entries get a further part
@@ -64,10 +69,22 @@ def _set_class(numbers):
 
 
 def _signature(numbers):
-    """Parities of the numbers of n-grams by a hash, as words of 64 bits."""
-    bits = 64 * SIGNATURE_WORDS
+    """Parities of the numbers of n-grams by a hash: a power of two of bits, at least one for each n-gram."""
+    bits = max(64 * SIGNATURE_WORDS, 1 << (len(numbers) - 1).bit_length() if len(numbers) else 0)
     at = (mix(numbers ^ np.uint64(0xC2B2AE3D27D4EB4F)) % np.uint64(bits)).astype(np.int64)
-    return np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8)).view("<i8")
+    return np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8))
+
+
+def _folded(signature, size):
+    """The signature of the same set with so many bytes, which are a power of two and not more."""
+    return np.bitwise_xor.reduce(signature.reshape(-1, size), axis=0)
+
+
+def _differing(first, second):
+    """In how many bits two signatures differ, the longer one folded."""
+    first, second = np.frombuffer(first, dtype=np.uint8), np.frombuffer(second, dtype=np.uint8)
+    size = min(len(first), len(second))
+    return int(np.bitwise_count(_folded(first, size) ^ _folded(second, size)).sum())
 
 
 def _texts(docs, id_column, text_column):
@@ -79,11 +96,11 @@ def _texts(docs, id_column, text_column):
 
 
 def _summary(texts, size):
-    """Rows (doc_id, row, class, n, signature) of texts, and per task the bucket counts in slices."""
+    """Rows (doc_id, row, class, n, signatures) of texts, and per task the bucket counts in slices."""
 
     def task(batches):
         counts = np.zeros(1 << BUCKET_BITS, dtype=np.int64)
-        names = ["doc_id", "row", "class", "n", "slice", "counts", *SIGNATURE]
+        names = ["doc_id", "row", "class", "n", "slice", "counts", "bits", *SIGNATURE]
         for batch in batches:
             classes, sizes, signatures = [], [], []
             for numbers in shingle_sets(batch.column(2).to_pylist(), size):
@@ -92,21 +109,22 @@ def _summary(texts, size):
                 signatures.append(_signature(numbers))
                 counts += np.bincount((numbers & np.uint64((1 << BUCKET_BITS) - 1)).astype(np.int64), minlength=len(counts))
             none = pa.nulls(len(classes), pa.int32()), pa.nulls(len(classes), pa.binary())
-            bits = np.array(signatures, dtype=np.int64).reshape(len(classes), SIGNATURE_WORDS)
+            bits = np.array([_folded(b, 8 * SIGNATURE_WORDS) for b in signatures], dtype=np.uint8).reshape(len(classes), 8 * SIGNATURE_WORDS).view("<i8")
+            whole = pa.array([b.tobytes() for b in signatures], pa.binary())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(classes, pa.int64()), pa.array(sizes, pa.int64()), *none,
+                [batch.column(0), batch.column(1), pa.array(classes, pa.int64()), pa.array(sizes, pa.int64()), *none, whole,
                  *[pa.array(bits[:, k]) for k in range(SIGNATURE_WORDS)]], names=names
             )
         if counts.any():
             parts = [zlib.compress(part.astype("<i8").tobytes(), 1) for part in np.split(counts, SLICES)]
             none = [pa.nulls(SLICES, kind) for kind in (pa.int64(), pa.string(), pa.int64(), pa.int64())]
             yield pa.RecordBatch.from_arrays(
-                [*none, pa.array(range(SLICES), pa.int32()), pa.array(parts, pa.binary()),
+                [*none, pa.array(range(SLICES), pa.int32()), pa.array(parts, pa.binary()), pa.nulls(SLICES, pa.binary()),
                  *[pa.nulls(SLICES, pa.int64())] * SIGNATURE_WORDS], names=names
             )
 
     words = ", ".join(f"{name} long" for name in SIGNATURE)
-    return texts.mapInArrow(task, f"doc_id long, row string, class long, n long, slice int, counts binary, {words}")
+    return texts.mapInArrow(task, f"doc_id long, row string, class long, n long, slice int, counts binary, bits binary, {words}")
 
 
 def _bucket_counts(summary):
@@ -150,28 +168,90 @@ class _Order:
         return np.sort((self.rank[bucket] << np.uint64(63 - BUCKET_BITS)) | low).astype(np.int64)
 
 
-def _prefixes(texts, order, percent, size):
-    """Rows (number, share, class, n, place) of the n-grams in each class's prefix, once per task."""
+def _class_prefixes(batches, table, percent, size):
+    """For each batch (prefix, class, size) of the sets in it that are new to the task."""
+    seen = set()
+    for batch in batches:
+        parts = []
+        for numbers in shingle_sets(batch.column(0).to_pylist(), size):
+            name = _set_class(numbers)
+            n = len(numbers)
+            if not n or name in seen:
+                continue
+            seen.add(name)
+            parts.append((table.numbers(numbers)[: n - -(-percent * n // 100) + 1], name, n))
+        yield parts
+
+
+def _cells(number):
+    return mix(number.view(np.uint64)) >> np.uint64(64 - CELL_BITS)
+
+
+def _shared(texts, order, percent, size):
+    """A bitmap with the n-grams that are in the prefixes of two sets, and by chance some others.
+
+    Tasks send their cells in sorted lists of distances, by the cells' first bits. A class that two
+    tasks have counts twice; its n-grams stay until they are spread by n-gram.
+    """
+    low = CELL_BITS - MAP_SLICES.bit_length() + 1
+
+    def lists(cells):
+        cells = np.sort(np.concatenate(cells))
+        bounds = np.searchsorted(cells, np.arange(1, MAP_SLICES, dtype=np.uint64) << np.uint64(low))
+        parts = [(k, part) for k, part in enumerate(np.split(cells, bounds)) if len(part)]
+        steps = [np.diff(part, prepend=np.uint64(k << low)).astype("<u4") for k, part in parts]
+        return pa.RecordBatch.from_arrays(
+            [pa.array([k for k, _ in parts], pa.int32()), pa.array([zlib.compress(s.tobytes(), 1) for s in steps], pa.binary())],
+            names=["slice", "cells"],
+        )
 
     def task(batches):
-        seen = set()
-        table = order.value
+        held, count = [], 0
+        for parts in _class_prefixes(batches, order.value, percent, size):
+            for prefix, _, _ in parts:
+                held.append(_cells(prefix))
+                count += len(prefix)
+                if count >= LIST_ENTRIES:
+                    yield lists(held)
+                    held, count = [], 0
+        if held:
+            yield lists(held)
+
+    def mark(batches):
+        found = {}
         for batch in batches:
-            parts = []
-            for numbers in shingle_sets(batch.column(0).to_pylist(), size):
-                name = _set_class(numbers)
-                n = len(numbers)
-                if not n or name in seen:
-                    continue
-                seen.add(name)
-                prefix = table.numbers(numbers)[: n - -(-percent * n // 100) + 1]
-                parts.append((prefix, name, n))
+            for k, part in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                found.setdefault(k, []).append(part)
+        for k, parts in found.items():
+            cells = np.sort(np.concatenate([np.cumsum(np.frombuffer(zlib.decompress(p), dtype="<u4"), dtype=np.uint64) for p in parts]))
+            bits = np.zeros((1 << MAP_BITS) // MAP_SLICES, dtype=np.uint8)
+            bits[(cells[1:][cells[1:] == cells[:-1]] >> np.uint64(CELL_BITS - MAP_BITS)).astype(np.int64)] = 1
+            bits = zlib.compress(np.packbits(bits, bitorder="little").tobytes(), 1)
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([bits], pa.binary())], names=["slice", "cells"])
+
+    schema = "slice int, cells binary"
+    spread = texts.select("text").mapInArrow(task, schema).repartition(min(MAP_SLICES, _parts(texts)), "slice")
+    out = np.zeros((MAP_SLICES, (1 << MAP_BITS) // MAP_SLICES // 8), dtype=np.uint8)
+    for row in spread.mapInArrow(mark, schema).collect():
+        out[row["slice"]] = np.frombuffer(zlib.decompress(row["cells"]), dtype=np.uint8)
+    return out.ravel()
+
+
+def _prefixes(texts, order, shared, percent, size):
+    """Rows (number, share, class, n, place) of the n-grams in prefixes that may be shared, once per task and class."""
+
+    def task(batches):
+        table, bitmap = order.value, shared.value
+        for parts in _class_prefixes(batches, table, percent, size):
             if parts:
                 number = np.concatenate([p for p, _, _ in parts])
                 lengths = [len(p) for p, _, _ in parts]
                 name = np.repeat(np.array([c for _, c, _ in parts], dtype=np.int64), lengths)
                 n = np.repeat(np.array([n for _, _, n in parts], dtype=np.int32), lengths)
                 place = np.concatenate([np.arange(k, dtype=np.int32) for k in lengths])
+                bit = (_cells(number) >> np.uint64(CELL_BITS - MAP_BITS)).astype(np.int64)
+                kept = (bitmap[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1
+                number, name, n, place = number[kept], name[kept], n[kept], place[kept]
                 share = (mix((number ^ name).view(np.uint64)) >> np.uint64(1)).view(np.int64) % table.shares[number >> (63 - BUCKET_BITS)]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(number), pa.array(share.astype(np.int32)), pa.array(name), pa.array(n), pa.array(place)],
@@ -221,7 +301,7 @@ def _parts(frame):
 
 
 def _segments(texts, rows, order, size):
-    """Rows (segment, numbers) of the texts in ``rows`` (row, class), spread by segment for the joins."""
+    """Rows (segment, numbers) of the texts in ``rows`` (row, class)."""
 
     def task(batches):
         table = order.value
@@ -244,9 +324,15 @@ def _segments(texts, rows, order, size):
     small = rows.count() <= BROADCAST_IDS
     wanted = texts.select("row", "text").join(F.broadcast(rows) if small else rows, "row")
     found = wanted.select("class", "text").mapInArrow(task, "class long, fragment int, numbers array<long>")
-    return cut(
-        found.select(F.xxhash64("class", "fragment").alias("segment"), "numbers").repartition(_parts(found), "segment")
-    )
+    return found.select(F.xxhash64("class", "fragment").alias("segment"), "numbers")
+
+
+def _alike(batches):
+    """Of pairs (a, b, sizes, allowed, signatures) those whose signatures differ in the allowed bits at most."""
+    for batch in batches:
+        columns = [batch.column(k).to_pylist() for k in (3, 4, 5)]
+        kept = pa.array([_differing(x, y) <= allowed for allowed, x, y in zip(*columns, strict=True)], pa.bool_())
+        yield pa.RecordBatch.from_arrays([batch.column(k).filter(kept) for k in range(3)], names=["a", "b", "sizes"])
 
 
 def _stars(percent):
@@ -320,21 +406,21 @@ def components(edges):
 
 
 class _Join:
-    """State of one join: prefixes by class, segments so far, links and components."""
+    """State of one join: prefixes by class, pairs checked so far and components."""
 
     def __init__(self, texts, classes, entries, order, percent, size):
-        self.texts, self.classes, self.order, self.percent, self.size = texts, classes, order, percent, size
+        self.texts, self.order, self.percent, self.size = texts, order, percent, size
         self.prefixes = cut(
             entries.repartition(_parts(entries), "class").groupBy("class").agg(
                 F.first("n").alias("n"), F.sort_array(F.collect_list("number")).alias("numbers"),
                 F.sort_array(F.collect_list("place")).alias("places"),
-            ).join(classes.select("class", *SIGNATURE), "class")
+            ).join(classes, "class")
         )
         numbers = self.prefixes.select(F.explode("numbers").alias("number"))
         self.large = cut(numbers.groupBy("number").count().filter(F.col("count") > LARGE_GROUP).select("number"))
         self.any_large = not self.large.isEmpty()
         self.few_pairs = FEW_PAIRS * self.prefixes.agg(F.coalesce(F.sum(F.size("numbers")), F.lit(0))).first()[0]
-        self.segments = self.roots = self.checked = None
+        self.roots = self.checked = None
 
     def needed(self, n, m):
         """The overlap two sets of these sizes need: overlap / (n + m - overlap) >= percent / 100."""
@@ -432,11 +518,12 @@ class _Join:
         )
 
     def verify(self, pairs):
-        """The pairs that are links, by counts of prefixes first and of fragments then; pairs are distinct."""
+        """The pairs that are links, by counts of prefixes and signatures first and of fragments then; pairs are distinct."""
         if self.checked is not None:
             pairs = pairs.join(self.checked, ["a", "b"], "left_anti")
         side = lambda c: self.prefixes.select(
-            F.col("class").alias(c), F.col("n").alias(f"n_{c}"), F.col("numbers").alias(f"numbers_{c}"), F.col("places").alias(f"places_{c}")
+            F.col("class").alias(c), F.col("n").alias(f"n_{c}"), F.col("numbers").alias(f"numbers_{c}"), F.col("places").alias(f"places_{c}"),
+            F.col("bits").alias(f"bits_{c}"),
         )
         both = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("common", F.array_intersect("numbers_a", "numbers_b"))
         last = F.array_max("common")
@@ -446,14 +533,15 @@ class _Join:
         needed = self.needed(F.col("n_a").cast("long"), F.col("n_b").cast("long"))
         likely = cut(
             both.filter(F.size("common") + F.least(left_over("a"), left_over("b")) >= needed)
-            .select("a", "b", (F.col("n_a") + F.col("n_b")).alias("sizes"))
+            .select("a", "b", (F.col("n_a") + F.col("n_b")).alias("sizes"), (F.col("n_a").cast("long") + F.col("n_b") - 2 * needed).alias("allowed"), "bits_a", "bits_b")
+            .mapInArrow(_alike, "a long, b long, sizes int")
         )
-        self.add_segments(likely)
+        segments = self.segments(likely)
         fragments = F.explode(F.sequence(F.lit(0), F.lit(FRAGMENTS - 1))).alias("fragment")
         keys = likely.select("a", "b", "sizes", fragments).select(
             "a", "b", "sizes", "fragment", F.xxhash64("a", "fragment").alias("segment_a"), F.xxhash64("b", "fragment").alias("segment_b")
         )
-        part = lambda c: self.segments.select(F.col("segment").alias(f"segment_{c}"), F.col("numbers").alias(f"numbers_{c}"))
+        part = lambda c: segments.select(F.col("segment").alias(f"segment_{c}"), F.col("numbers").alias(f"numbers_{c}"))
         partial = keys.join(part("a"), "segment_a").join(part("b"), "segment_b")
         counted = partial.groupBy("a", "b", "sizes", "fragment").agg(  # a text that is there twice has its segments twice
             F.max(F.size(F.array_intersect("numbers_a", "numbers_b"))).alias("part")
@@ -464,14 +552,11 @@ class _Join:
         self.checked = done if self.checked is None else self.checked.unionByName(done)
         return cut(found.select("a", "b"))
 
-    def add_segments(self, pairs):
-        """Segments of the classes of the pairs that have none yet."""
+    def segments(self, pairs):
+        """Segments of the classes of the pairs; both joins read them from one shuffle."""
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
-        if self.segments is not None:
-            wanted = wanted.join(self.checked.select(F.explode(F.array("a", "b")).alias("class")).distinct(), "class", "left_anti")
-        rows = cut(self.classes.join(wanted, "class", "left_semi").select("row", "class"))
-        new = _segments(self.texts, rows, self.order, self.size)
-        self.segments = new if self.segments is None else self.segments.unionByName(new)
+        rows = cut(self.prefixes.select("row", "class").join(wanted, "class", "left_semi").select("row", "class"))
+        return _segments(self.texts, rows, self.order, self.size)
 
     def connect(self, links):
         if self.roots is not None:
@@ -503,12 +588,13 @@ def _joined(docs, percent, size, id_column, text_column):
     if not counts.any():
         return rows, spark.createDataFrame([], "node long, root long")
     order = spark.sparkContext.broadcast(_Order(counts))
-    spread = _prefixes(texts, order, percent, size).repartition("number", "share")
+    shared = spark.sparkContext.broadcast(_shared(texts, order, percent, size))
+    spread = _prefixes(texts, order, shared, percent, size).repartition("number", "share")
     entries = spread.sortWithinPartitions("number", "share", "n", "class").mapInArrow(
         _with_partner(order, percent), "number long, class long, n int, place int"
     )
     signed = summary.filter("slice IS NULL AND n > 0")
-    classes = signed.groupBy("class").agg(F.min("row").alias("row"), *[F.min(s).alias(s) for s in SIGNATURE])
+    classes = signed.groupBy("class").agg(F.min("row").alias("row"), F.min("bits").alias("bits"), *[F.min(s).alias(s) for s in SIGNATURE])
     return rows, _Join(texts, classes, entries, order, percent, size).run()
 
 
