@@ -187,6 +187,24 @@ def _cells(number):
     return mix(number.view(np.uint64)) >> np.uint64(64 - CELL_BITS)
 
 
+class _Bitmap:
+    """A bit for each of 2^28 ranges of cells, sent to the tasks as compressed slices."""
+
+    def __init__(self, slices):
+        self.slices = slices
+        self.bits = np.zeros((MAP_SLICES, (1 << MAP_BITS) // MAP_SLICES // 8), dtype=np.uint8)
+        for k, part in slices.items():
+            self.bits[k] = np.frombuffer(zlib.decompress(part), dtype=np.uint8)
+        self.bits = self.bits.ravel()
+
+    def __reduce__(self):
+        return _Bitmap, (self.slices,)
+
+    def has(self, number):
+        bit = (_cells(number) >> np.uint64(CELL_BITS - MAP_BITS)).astype(np.int64)
+        return (self.bits[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1
+
+
 def _shared(texts, order, percent, size):
     """A bitmap with the n-grams that are in the prefixes of two sets, and by chance some others.
 
@@ -231,10 +249,7 @@ def _shared(texts, order, percent, size):
 
     schema = "slice int, cells binary"
     spread = texts.select("text").mapInArrow(task, schema).repartition(min(MAP_SLICES, _parts(texts)), "slice")
-    out = np.zeros((MAP_SLICES, (1 << MAP_BITS) // MAP_SLICES // 8), dtype=np.uint8)
-    for row in spread.mapInArrow(mark, schema).collect():
-        out[row["slice"]] = np.frombuffer(zlib.decompress(row["cells"]), dtype=np.uint8)
-    return out.ravel()
+    return _Bitmap({row["slice"]: row["cells"] for row in spread.mapInArrow(mark, schema).collect()})
 
 
 def _prefixes(texts, order, shared, percent, size):
@@ -249,8 +264,7 @@ def _prefixes(texts, order, shared, percent, size):
                 name = np.repeat(np.array([c for _, c, _ in parts], dtype=np.int64), lengths)
                 n = np.repeat(np.array([n for _, _, n in parts], dtype=np.int32), lengths)
                 place = np.concatenate([np.arange(k, dtype=np.int32) for k in lengths])
-                bit = (_cells(number) >> np.uint64(CELL_BITS - MAP_BITS)).astype(np.int64)
-                kept = (bitmap[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1
+                kept = bitmap.has(number)
                 number, name, n, place = number[kept], name[kept], n[kept], place[kept]
                 share = (mix((number ^ name).view(np.uint64)) >> np.uint64(1)).view(np.int64) % table.shares[number >> (63 - BUCKET_BITS)]
                 yield pa.RecordBatch.from_arrays(
