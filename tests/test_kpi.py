@@ -276,3 +276,10 @@ def test_counts_of_headways_need_no_sorted_groups(spark, analysis):
     counted = analysis.route_stop_headways.agg(F.count("*"))
     assert "Window" not in counted._jdf.queryExecution().optimizedPlan().toString()
     assert counted.first()[0] == analysis.service_span.count()
+
+
+def test_published_stops_start_from_totals(lake, tmp_path):
+    """Stops read a row per group, not one per group and second."""
+    shared = Analysis(lake, FIRST, LAST).share_profile(str(tmp_path / "profile"))
+    files = shared.stop_daily.inputFiles()
+    assert any("profile-totals" in name for name in files) and not any("/profile/" in name for name in files)

@@ -242,3 +242,25 @@ def test_rows_without_findings_are_not_spread(spark):
     found = quality.row_findings("stop_times", raw["stop_times"])
     plan = found._jdf.queryExecution().analyzed().toString()
     assert found.count() == 0 and "Filter" in plan[plan.index("Generate") :]
+
+
+def test_endpoints_are_counted_per_trip(spark):
+    """Repeated ends, trips of one sequence, missing keys; visits are not grouped by sequence to find the ends."""
+    rows = [("A", 0, None, 1), ("A", 0, None, 2), ("A", 0, 3, 3), ("A", 5, None, 2), ("A", 3, None, 2), ("B", 2, None, 1), ("B", 2, None, 1),
+            ("C", 1, 1, 1), ("C", 2, None, 1), ("C", 3, 1, 1), (None, 1, None, 1), ("D", None, None, 1), ("D", 1, 1, 1)]
+    found = quality.missing_endpoint_arrivals({"stop_times": visits(spark, rows)})
+    assert {(row.value, row.occurrences, row.record) for row in found.collect()} == {("A", 3, 1), ("B", 2, 6)}
+    assert "min_by" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_visits_are_walked_once(spark):
+    found = quality.time_decreases({"stop_times": visits(spark, [("A", 0, 5, 4), ("A", 9000, 1, 1)])})
+    assert found.count() == 2
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("row_number()") == 1
+
+
+@pytest.mark.parametrize(("text", "good"), [("", True), ("3", True), ("003", True), ("4", False), ("3\n", False), (" 3", False), ("1.0", False), ("13", False)])
+def test_codes_with_choices(spark, text, good):
+    raw = as_raw(spark, lake_tables())
+    trips = raw["stop_times"].limit(1).withColumn("pickup_type", F.lit(text))
+    assert quality.row_findings("stop_times", trips, codes={"invalid_integer_or_enum"}).isEmpty() == good

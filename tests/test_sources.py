@@ -528,3 +528,27 @@ def test_fingerprint_sums_lanes_exactly(spark):
     names = {part for name in identity.LANES for part in (f"_{name}_0", f"_{name}_20", f"_{name}_40")}
     kinds = {f.name: f.dataType.simpleString() for f in identity.with_lanes(frame).schema if f.name not in frame.columns}
     assert kinds == dict.fromkeys(names, "bigint")  # rows are summed as whole numbers
+
+
+def test_a_load_checks_what_it_writes(spark, tmp_path, monkeypatch):
+    """Tables are read once; one that differs from its manifest leaves nothing behind."""
+    folder, name = prepared(spark, tmp_path)
+    run = f"{folder}/{warehouse.published(spark, folder)['run']}"
+    monkeypatch.delattr(warehouse, "content_fingerprint")
+    assert warehouse.load_silver(spark, folder, str(tmp_path / "w"))[0] == "LOADED"
+    stops = spark.read.parquet(f"{run}/stops")
+    changed = spark.createDataFrame(stops.collect(), stops.schema).withColumn("stop_name", F.lit("x"))
+    warehouse.write_parquet(changed, f"{run}/stops")
+    with pytest.raises(warehouse.Rejected, match="stops"):
+        warehouse.load_silver(spark, folder, str(tmp_path / "v"))
+    assert not list((tmp_path / "v").rglob("*.parquet"))
+
+
+def test_times_are_written_as_the_formatter_does(spark):
+    from tramline.functions import labels
+
+    times = [0, 59, 60, 3599, 36000, 359_999, 360_000, 10**9, -1, -3661]
+    frame = spark.createDataFrame([(t,) for t in times], "t bigint").select("t", labels.service_time(F.col("t")).alias("x"))
+    signed = lambda t, n: (-1 if t < 0 else 1) * (abs(t) // n)
+    rest = lambda t: (-1 if t < 0 else 1) * (abs(t) % 60)
+    assert {r.t: r.x for r in frame.collect()} == {t: "%02d:%02d:%02d" % (signed(t, 3600), rest(signed(t, 60)), rest(t)) for t in times}
